@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyloom.functions.expr import CatalogError, finite, require_columns
+from skyloom.functions.expr import CatalogError, finite
 from skyloom.operators.quality import sky_x
 
 # Column sets that identify the two footprint formats.
@@ -15,6 +15,7 @@ LIMIT_COLUMNS = ("ra_center", "dec_limit")
 
 VERTEX_BLOCK = 100_000
 RA_BLOCK_DEG = 0.01
+_LAST_BLOCK = (1 << 63) - 1  # points without a position come last
 
 
 def footprint_format(columns: list[str], expected: str | None = None) -> str:
@@ -40,7 +41,7 @@ def footprint_curves(vertices: DataFrame) -> DataFrame:
     if kind == "region_vertices":
         position = F.col("vertex_id").cast("double")
         block = F.floor(position / VERTEX_BLOCK)
-        exterior = vertices.where(F.col("ring_type") == "exterior")
+        exterior = vertices.where((F.col("ring_type") == "exterior") & F.col("region_id").isNotNull())
         curve, ra, dec, source = F.col("region_id").cast("string"), "ra_deg", "dec_deg", exterior
     else:
         position = F.col("ra_center").cast("double")
@@ -49,7 +50,7 @@ def footprint_curves(vertices: DataFrame) -> DataFrame:
     return source.select(
         curve.alias("curve"),
         position.alias("position"),
-        block.cast("bigint").alias("block"),
+        F.coalesce(block.cast("bigint"), F.lit(_LAST_BLOCK)).alias("block"),
         F.col(ra).cast("double").alias("ra"),
         F.col(dec).cast("double").alias("dec"),
     )
@@ -83,13 +84,19 @@ def curve_segments(vertices: DataFrame) -> DataFrame:
     block by block; a summary row per block carries them across, so a curve
     with most of the vertices is still spread over many tasks.
     """
+
+    def present(c: Column) -> Column:
+        """A missing coordinate is NaN here, so that NULL can mean "no neighbour"."""
+        return F.coalesce(c, F.lit(math.nan))
+
     points = footprint_curves(vertices).select(
-        "curve", "position", "block", sky_x(F.col("ra")).alias("x"), F.radians("dec").alias("y")
+        "curve", "position", "block", present(sky_x(F.col("ra"))).alias("x"), F.radians("dec").alias("y")
     )
     inside = Window.partitionBy("curve", "block").orderBy("position")
 
     def jump(a: Column, b: Column) -> Column:
-        return F.coalesce(F.abs(a - b) > F.lit(math.pi), F.lit(False))
+        step = F.abs(a - b)
+        return F.coalesce((step > F.lit(math.pi)) & ~F.isnan(step), F.lit(False))
 
     local = points.select(
         "*",
@@ -123,13 +130,12 @@ def curve_segments(vertices: DataFrame) -> DataFrame:
         return other.isNotNull() & ~jump(F.col("x"), other)
 
     return joined.where(linked(left) | linked(right)).select(
-        "curve", (F.col("start") + F.col("cuts")).alias("segment"), "position", "x", "y"
+        "curve", (F.col("start") + F.col("cuts")).alias("segment"), "position", F.nanvl("x", F.lit(None)).alias("x"), "y"
     )
 
 
 def unusable_footprint_warning(vertices: DataFrame, label: str) -> DataFrame:
     """A warning row if the footprint cannot be drawn."""
-    require_columns(vertices, [], label)
     message = f"{label}: footprint has no curve with at least two finite points."
     return (
         curve_usable(vertices)

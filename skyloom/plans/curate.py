@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation
 
 from skyloom.functions.expr import INVALID_Z, CatalogError, col, ordered_unique, require_columns
+from skyloom.functions.healpix import INDEX_COLUMN
+from skyloom.operators.tiles import TileMap
 from skyloom.operators.transforms import apply_transformations
 from skyloom.operators.validate import (
     check_ranges,
@@ -18,6 +20,9 @@ from skyloom.operators.validate import (
     required_inputs,
     standard_ranges,
 )
+from skyloom.session import delete_path
+from skyloom.sinks.collection import DEFAULT_MARGIN_ARCSEC, write_collection
+from skyloom.sinks.parquet import write_manifest, write_parquet
 
 
 @dataclass
@@ -116,3 +121,85 @@ def curate_observed(df: DataFrame, spec: CurateSpec) -> tuple[DataFrame, Observa
     seen = Observation()
     metrics = range_metrics(frame, *spec.standard, spec.allow_blueshifts)
     return _finished(frame.observe(seen, *metrics), spec, generated), seen
+
+
+def curate_to(
+    df: DataFrame,
+    spec: dict[str, Any] | CurateSpec,
+    path: str,
+    output_mode: str = "partitioned",
+    overwrite: bool = False,
+    sources: list[str] | None = None,
+) -> list[str]:
+    """Curate into a Parquet dataset, reading the input once; returns the output columns.
+
+    Validation rides on the write. If it fails the output is removed again, so
+    nothing invalid stays behind.
+    """
+    spark = df.sparkSession
+    checked = spec if isinstance(spec, CurateSpec) else CurateSpec.from_dict(spec)
+    result, seen = curate_observed(df, checked)
+    write_parquet(result, path, output_mode, overwrite)
+    try:
+        check_ranges(seen.get, *checked.standard, checked.invalid_policy, checked.allow_blueshifts)
+    except CatalogError:
+        delete_path(spark, path)
+        raise
+    write_manifest(spark, path, _facts(checked, result, sources, output_mode, "parquet"))
+    return result.columns
+
+
+def curate_to_collection(
+    df: DataFrame,
+    spec: dict[str, Any] | CurateSpec,
+    path: str,
+    ra: str | None = None,
+    dec: str | None = None,
+    overwrite: bool = False,
+    sources: list[str] | None = None,
+    **options: Any,
+) -> TileMap:
+    """Curate into a spatial collection; ``options`` go to ``write_collection``.
+
+    The input may itself come from ``read_spatial``: rows are placed in tiles
+    again and the margin is always made anew, as transformations may move both.
+    """
+    spark = df.sparkSession
+    checked = spec if isinstance(spec, CurateSpec) else CurateSpec.from_dict(spec)
+    result = curate(df.drop(INDEX_COLUMN), checked)
+    ra, dec = ra or checked.ra, dec or checked.dec
+    require_columns(result, [ra, dec], "spatial output")
+    same = (ra, dec) == (checked.ra, checked.dec)
+    tiles = write_collection(result, path, ra, dec, overwrite=overwrite, checked=same, **options)
+    if tiles.n_rows == 0:
+        delete_path(spark, path)
+        raise CatalogError("Curated spatial catalog has no rows.")
+    facts = _facts(checked, result, sources, "spatial", "hats")
+    facts["n_partitions"] = tiles.n_tiles
+    facts["hats"] = {
+        "catalog_name": options.get("name") or path.rstrip("/").rsplit("/", 1)[-1],
+        "ra_column": ra,
+        "dec_column": dec,
+        "margin_threshold": options.get("margin_arcsec", DEFAULT_MARGIN_ARCSEC),
+        "sort_columns": options.get("sort_column"),
+    }
+    write_manifest(spark, path, facts)
+    return tiles
+
+
+def _facts(spec: CurateSpec, result: DataFrame, sources: list[str] | None, mode: str, kind: str) -> dict[str, Any]:
+    return {
+        "source_paths": sources or [],
+        "partition_format": kind,
+        "output_mode": mode,
+        "columns": result.columns,
+        "coordinates": {"ra_column": spec.ra, "dec_column": spec.dec},
+        "redshift": {
+            "column": spec.z,
+            "invalid_policy": spec.invalid_policy,
+            "invalid_value": spec.invalid_value,
+            "allow_blueshifts": spec.allow_blueshifts,
+            "filters": spec.filters,
+        },
+        "transformations": spec.transformations,
+    }
