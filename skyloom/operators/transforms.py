@@ -199,7 +199,7 @@ def _angle_degrees(df: DataFrame, name: str, unit: str, label: str) -> Column:
     return (
         F.when(number.isNotNull(), number * scale)
         .when(bad, F.raise_error(message).cast("double"))
-        .otherwise(signed * own_unit)
+        .when(text.isNotNull(), signed * own_unit)
     )
 
 
