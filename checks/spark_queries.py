@@ -555,6 +555,10 @@ def _indexed(spark: SparkSession, sf_dir: str, name: str = "catalog") -> DataFra
     return add_sky_index(view(spark, sf_dir, name).select("object_id", "ra", "dec"), "ra", "dec")
 
 
+def _tile_map(indexed: DataFrame) -> tiles.TileMap:
+    return tiles.build_tile_map(tiles.count_cells(indexed, TILE_ORDER), TILE_ROWS, TILE_ORDER)
+
+
 @query
 def healpix_index(spark, sf_dir):
     df = view(spark, sf_dir, "catalog").select("object_id", "ra", "dec")
@@ -571,27 +575,27 @@ def healpix_index_wide(spark, sf_dir):
 
 @query
 def partition_map(spark, sf_dir):
-    cells = as_table(tiles.occupied_cells(_indexed(spark, sf_dir), TILE_ORDER), "cells")
+    cells = tiles.count_cells(_indexed(spark, sf_dir), TILE_ORDER)
     return tiles.partition_map(cells, TILE_ORDER, TILE_ROWS)
 
 
 @query
 def tile_assign(spark, sf_dir):
     df = _indexed(spark, sf_dir)
-    return tiles.assign_tiles(df, tiles.build_tile_map(df, TILE_ROWS, TILE_ORDER)).drop(INDEX_COLUMN, "ra", "dec")
+    return tiles.assign_tiles(df, _tile_map(df)).drop(INDEX_COLUMN, "ra", "dec")
 
 
 @query
 def tile_sorted(spark, sf_dir):
     df = _indexed(spark, sf_dir)
-    assigned = tiles.assign_tiles(df, tiles.build_tile_map(df, TILE_ROWS, TILE_ORDER))
+    assigned = tiles.assign_tiles(df, _tile_map(df))
     return tiles.cluster_tiles(assigned, "object_id").drop(INDEX_COLUMN, "ra", "dec")
 
 
 @query
 def margin_cache(spark, sf_dir):
     df = _indexed(spark, sf_dir)
-    found = tiles.build_tile_map(df, TILE_ROWS, TILE_ORDER)
+    found = _tile_map(df)
     stored = as_table(tiles.assign_tiles(df, found), "assigned")
     return tiles.margin_rows(stored, found, "ra", "dec", 900.0).drop(INDEX_COLUMN)
 

@@ -10,8 +10,8 @@ through the projections.
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
 from functools import reduce
+from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,8 @@ _BYTE_EVEN = [_even_bits(v) for v in range(256)]
 
 
 def _table(numbers: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in numbers])
+    """Constant array; written as text so that the optimizer handles one node, not one per number."""
+    return F.split(F.lit(" ".join(map(str, numbers))), " ").cast("array<bigint>")
 
 
 def _bits(v: Column, mask: int) -> Column:
@@ -112,7 +113,7 @@ def _spread(v: Column, bits: int) -> Column:
         F.shiftleft(F.get(table, _bits(F.shiftright(v, 8 * i), 255).cast("int")), 16 * i)
         for i in range((bits + 7) // 8)
     ]
-    return reduce(operator.add, parts)
+    return reduce(operator.add, parts, F.lit(0).cast("bigint"))
 
 
 def _compress(v: Column, bits: int) -> Column:
@@ -122,7 +123,7 @@ def _compress(v: Column, bits: int) -> Column:
         F.shiftleft(F.get(table, _bits(F.shiftright(v, 8 * i), 255).cast("int")), 4 * i)
         for i in range((bits + 3) // 4)
     ]
-    return reduce(operator.add, parts)
+    return reduce(operator.add, parts, F.lit(0).cast("bigint"))
 
 
 def coarser(index: Column, order: int, index_order: int = INDEX_ORDER) -> Column:
@@ -215,10 +216,10 @@ def tile_distance_udf():
     """Pandas UDF (ra, dec, order, face, x, y) -> radians to the tile, Arrow batch by batch."""
     distance = tile_distance.distance_to_tile
 
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for ra, dec, order, face, x, y in batches:
             args = [np.asarray(s, dtype=np.float64) for s in (ra, dec)]
             whole = [np.asarray(s, dtype=np.int64) for s in (order, x, y, face)]
             yield pd.Series(distance(*args, *whole))
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "double")

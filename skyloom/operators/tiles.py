@@ -84,14 +84,20 @@ class TileMap:
         return F.broadcast(df) if self.broadcastable else df
 
 
-def build_tile_map(indexed: DataFrame, max_rows: int = MAX_TILE_ROWS, max_order: int = MAX_ORDER) -> TileMap:
-    """Count the catalog per cell (one scan of the index), then derive the tiles from the counts."""
-    cells = as_table(occupied_cells(indexed, max_order), "cells")
+def count_cells(indexed: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
+    """Occupied cells as a written table: one scan of the coordinates, at most 12 * 4^order rows."""
+    return as_table(occupied_cells(indexed, max_order), "cells")
+
+
+def build_tile_map(cells: DataFrame, max_rows: int = MAX_TILE_ROWS, max_order: int = MAX_ORDER) -> TileMap:
+    """Derive the tiles from ``count_cells``; every row must have a place on the sky."""
     lost = cells.where(F.col("cell").isNull()).first()
     if lost is not None:
         raise CatalogError(f"{lost['n_rows']} rows have no coordinates and cannot be placed in a tile.")
-    table = as_table(partition_map(cells, max_order, max_rows).coalesce(1), "tiles")
+    table = as_table(partition_map(cells, max_order, max_rows), "tiles")
     found = table.groupBy("Norder").agg(F.count(F.lit(1)).alias("t"), F.sum("n_rows").alias("n")).collect()
+    if not found:
+        raise CatalogError("A spatial catalog needs at least one row.")
     return TileMap(table, sorted(r["Norder"] for r in found), sum(r["t"] for r in found), sum(r["n"] for r in found))
 
 

@@ -260,13 +260,14 @@ def input_columns(spec: Spec) -> list[str]:
 
 def generated_columns(spec: Spec) -> list[str]:
     """Columns a transformation adds, including the defaults of the velocity conversion."""
+    makes = _kind(spec).makes
     if spec.get("type") == "velocity_to_redshift":
         spec = {"output_column": "redshift", **spec}
         if spec.get("velocity_error_column") is not None:
             spec = {"error_output_column": "redshift_err", **spec}
         else:
             spec = {k: v for k, v in spec.items() if k != "error_output_column"}
-    return [spec[key] for key in _kind(spec).makes if isinstance(spec.get(key), str)]
+    return [spec[key] for key in makes if isinstance(spec.get(key), str)]
 
 
 def apply_transformations(

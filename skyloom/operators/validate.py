@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from skyloom.functions.expr import (
     DEC_MAX_DEG,
@@ -19,7 +20,6 @@ from skyloom.functions.expr import (
     clean,
     col,
     is_numeric,
-    missing,
     number_from_text,
     ordered_unique,
     require_columns,
@@ -174,8 +174,8 @@ def filter_redshift(
     return df.where(reduce(operator.and_, tests, valid_z(value, allow_blueshifts)))
 
 
-def spatial_coordinate_ranges(df: DataFrame, ra: str, dec: str) -> DataFrame:
-    """One row: count, min and max of the coordinate columns of a spatial output."""
+def spatial_metrics(df: DataFrame, ra: str, dec: str) -> list[Column]:
+    """Aggregates behind the coordinate check of a spatial output."""
     absent = [n for n in (ra, dec) if n not in df.columns]
     if absent:
         raise CatalogError(f"Spatial output misses coordinate columns: {', '.join(absent)}.")
@@ -189,13 +189,17 @@ def spatial_coordinate_ranges(df: DataFrame, ra: str, dec: str) -> DataFrame:
             F.min(value).alias(f"{key}_min"),
             F.max(value).alias(f"{key}_max"),
         ]
-    return df.agg(*aggs)
+    return aggs
+
+
+def spatial_coordinate_ranges(df: DataFrame, ra: str, dec: str) -> DataFrame:
+    """One row: count, min and max of the coordinate columns of a spatial output."""
+    return df.agg(*spatial_metrics(df, ra, dec))
 
 
-def check_spatial_coordinates(df: DataFrame, ra: str, dec: str) -> None:
+def check_spatial_coordinates(row: dict[str, Any], ra: str, dec: str) -> None:
     """Refuse coordinates that cannot be placed on the sky."""
-    row = spatial_coordinate_ranges(df, ra, dec).first()
-    if row["ra_count"] == 0 or row["dec_count"] == 0:
+    if not row["ra_count"] or not row["dec_count"]:
         raise CatalogError("Spatial output needs non-null coordinate values.")
     if row["ra_min"] < RA_MIN_DEG or row["ra_max"] >= RA_MAX_DEG:
         raise CatalogError(f"RA column '{ra}' observed range: [{row['ra_min']}, {row['ra_max']}].")
@@ -203,6 +207,19 @@ def check_spatial_coordinates(df: DataFrame, ra: str, dec: str) -> None:
         raise CatalogError(f"Dec column '{dec}' observed range: [{row['dec_min']}, {row['dec_max']}].")
 
 
-def null_coordinate_rows(df: DataFrame, ra: str, dec: str) -> DataFrame:
-    """Rows that have no place on the sky because a coordinate is missing."""
-    return df.where(missing(col(ra), type_of(df, ra)) | missing(col(dec), type_of(df, dec)))
+def observed(df: DataFrame, metrics: list[Column]) -> tuple[DataFrame, Callable[[], dict[str, Any]]]:
+    """Attach aggregates to the next action on a frame; the returned call fetches their values.
+
+    Where the optimizer proved the result empty and so never ran the scan, the
+    call computes the aggregates itself. Only extremes and "more than zero"
+    counts belong here: a task that runs again may add to a count twice.
+    """
+    seen = Observation()
+
+    def values() -> dict[str, Any]:
+        try:
+            return seen.get
+        except Py4JJavaError:  # the action ended without a metrics row
+            return df.agg(*metrics).first().asDict()
+
+    return df.observe(seen, *metrics), values

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 
 from skyloom.functions.expr import INVALID_Z, CatalogError, col, ordered_unique, require_columns
 from skyloom.functions.healpix import INDEX_COLUMN
@@ -16,13 +17,14 @@ from skyloom.operators.validate import (
     filter_redshift,
     final_columns,
     flag_redshift,
+    observed,
     range_metrics,
     required_inputs,
     standard_ranges,
 )
 from skyloom.session import delete_path
 from skyloom.sinks.collection import DEFAULT_MARGIN_ARCSEC, write_collection
-from skyloom.sinks.parquet import write_manifest, write_parquet
+from skyloom.sinks.parquet import file_count, write_manifest, write_parquet
 
 
 @dataclass
@@ -111,16 +113,15 @@ def curate(df: DataFrame, spec: dict[str, Any] | CurateSpec, validate: bool = Tr
     return _finished(frame, spec, generated)
 
 
-def curate_observed(df: DataFrame, spec: CurateSpec) -> tuple[DataFrame, Observation]:
-    """Curated catalog whose validation metrics arrive with the first action on it.
-
-    The metrics are ranges and a "more than zero" count, so a task that runs
-    again after a lost executor cannot change the verdict.
-    """
+def _curate_observed(df: DataFrame, spec: CurateSpec) -> tuple[DataFrame, Callable[[], None]]:
+    """Curated catalog, and the check of its ranges to call once an action has read the input."""
     frame, generated = _transformed(df, spec)
-    seen = Observation()
-    metrics = range_metrics(frame, *spec.standard, spec.allow_blueshifts)
-    return _finished(frame.observe(seen, *metrics), spec, generated), seen
+    frame, ranges = observed(frame, range_metrics(frame, *spec.standard, spec.allow_blueshifts))
+
+    def verify() -> None:
+        check_ranges(ranges(), *spec.standard, spec.invalid_policy, spec.allow_blueshifts)
+
+    return _finished(frame, spec, generated), verify
 
 
 def curate_to(
@@ -138,14 +139,16 @@ def curate_to(
     """
     spark = df.sparkSession
     checked = spec if isinstance(spec, CurateSpec) else CurateSpec.from_dict(spec)
-    result, seen = curate_observed(df, checked)
+    result, verify = _curate_observed(df, checked)
     write_parquet(result, path, output_mode, overwrite)
     try:
-        check_ranges(seen.get, *checked.standard, checked.invalid_policy, checked.allow_blueshifts)
+        verify()
     except CatalogError:
         delete_path(spark, path)
         raise
-    write_manifest(spark, path, _facts(checked, result, sources, output_mode, "parquet"))
+    facts = _facts(checked, result, sources, output_mode, "parquet")
+    facts["n_partitions"] = file_count(spark, path)
+    write_manifest(spark, path, facts)
     return result.columns
 
 
@@ -163,17 +166,13 @@ def curate_to_collection(
 
     The input may itself come from ``read_spatial``: rows are placed in tiles
     again and the margin is always made anew, as transformations may move both.
+    Validation rides on the scan that sizes the tiles.
     """
-    spark = df.sparkSession
     checked = spec if isinstance(spec, CurateSpec) else CurateSpec.from_dict(spec)
-    result = curate(df.drop(INDEX_COLUMN), checked)
+    result, verify = _curate_observed(df.drop(INDEX_COLUMN), checked)
     ra, dec = ra or checked.ra, dec or checked.dec
     require_columns(result, [ra, dec], "spatial output")
-    same = (ra, dec) == (checked.ra, checked.dec)
-    tiles = write_collection(result, path, ra, dec, overwrite=overwrite, checked=same, **options)
-    if tiles.n_rows == 0:
-        delete_path(spark, path)
-        raise CatalogError("Curated spatial catalog has no rows.")
+    tiles = write_collection(result, path, ra, dec, overwrite=overwrite, verify=verify, **options)
     facts = _facts(checked, result, sources, "spatial", "hats")
     facts["n_partitions"] = tiles.n_tiles
     facts["hats"] = {
@@ -183,7 +182,7 @@ def curate_to_collection(
         "margin_threshold": options.get("margin_arcsec", DEFAULT_MARGIN_ARCSEC),
         "sort_columns": options.get("sort_column"),
     }
-    write_manifest(spark, path, facts)
+    write_manifest(df.sparkSession, path, facts)
     return tiles
 
 

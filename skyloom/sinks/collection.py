@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyloom.functions.expr import CatalogError
@@ -13,11 +15,12 @@ from skyloom.operators.tiles import (
     assign_tiles,
     build_tile_map,
     cluster_tiles,
+    count_cells,
     margin_rows,
 )
-from skyloom.operators.validate import check_spatial_coordinates
+from skyloom.operators.validate import check_spatial_coordinates, observed, spatial_metrics
 from skyloom.session import move_single_part, write_text
-from skyloom.sinks.parquet import prepare_output
+from skyloom.sinks.parquet import prepare_output, refuse_existing
 
 DEFAULT_MARGIN_ARCSEC = 5.0
 TILE_COLUMNS = ["Norder", "Dir", "Npix"]
@@ -70,24 +73,28 @@ def write_collection(
     max_order: int = MAX_ORDER,
     sort_column: str | None = None,
     overwrite: bool = False,
-    checked: bool = False,
+    verify: Callable[[], None] | None = None,
 ) -> TileMap:
     """Write a catalog as tiles, each held by its own folder, and the rows around each tile.
 
-    Two scans of the input: one reads the coordinates to size the tiles, one
-    writes. The margin reads the written tiles, not the input again.
-    ``checked`` says the coordinate ranges were validated before.
+    Two scans of the input: one reads the coordinates, sizes the tiles and
+    checks the ranges; one writes. The margin reads the written tiles, not the
+    input again. ``verify`` is a check of the caller's own to run between them.
     """
     spark, path = df.sparkSession, path.rstrip("/")
     name = name or path.rsplit("/", 1)[-1]
     if margin_arcsec is not None and not margin_arcsec > 0:
         raise CatalogError("margin threshold must be positive; pass None to write no margin.")
-    if not checked:
-        check_spatial_coordinates(df, ra, dec)
-    prepare_output(spark, path, overwrite)
+    refuse_existing(spark, path, overwrite)
     df = df.drop(INDEX_COLUMN, *TILE_COLUMNS)
+    sized, ranges = observed(df, spatial_metrics(df, ra, dec))
+    cells = count_cells(add_sky_index(sized, ra, dec), max_order)
+    if verify is not None:
+        verify()
+    check_spatial_coordinates(ranges(), ra, dec)
+    tiles = build_tile_map(cells, max_tile_rows, max_order)
     indexed = add_sky_index(df, ra, dec)
-    tiles = build_tile_map(indexed, max_tile_rows, max_order)
+    prepare_output(spark, path, overwrite)
     primary = f"{path}/{name}"
     _write_leaves(cluster_tiles(assign_tiles(indexed, tiles), sort_column), primary)
     _write_partition_info(tiles.table, primary)

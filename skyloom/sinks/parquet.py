@@ -13,11 +13,15 @@ from skyloom.session import delete_path, path_exists, total_bytes, write_text
 SMALL_BYTES = 100 * 1024 * 1024
 
 
+def refuse_existing(spark: SparkSession, path: str, overwrite: bool) -> None:
+    if not overwrite and path_exists(spark, path):
+        raise CatalogError(f"Output directory already exists: {path}. Set overwrite to replace it.")
+
+
 def prepare_output(spark: SparkSession, path: str, overwrite: bool) -> None:
     """Refuse an existing output, or clear it if overwriting was asked for."""
+    refuse_existing(spark, path, overwrite)
     if path_exists(spark, path):
-        if not overwrite:
-            raise CatalogError(f"Output directory already exists: {path}. Set overwrite to replace it.")
         delete_path(spark, path)
 
 
