@@ -9,8 +9,6 @@ through the projections.
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
 from typing import Iterator, Tuple
 
 import numpy as np
@@ -27,6 +25,7 @@ cloudpickle.register_pickle_by_value(tile_distance)
 INDEX_ORDER = 29
 INDEX_COLUMN = "_healpix_29"
 
+
 def _spread_number(v: int) -> int:
     """Move bit i of a number to bit 2i."""
     return sum(((v >> i) & 1) << (2 * i) for i in range(v.bit_length()))
@@ -41,89 +40,82 @@ _BYTE_SPREAD = [_spread_number(v) for v in range(256)]
 _BYTE_EVEN = [_even_bits(v) for v in range(256)]
 
 
-def _table(numbers: list[int]) -> Column:
+def _table(numbers: list[int]) -> str:
     """Constant array; written as text so that the optimizer handles one node, not one per number."""
-    return F.split(F.lit(" ".join(map(str, numbers))), " ").cast("array<bigint>")
+    return f"cast(split('{' '.join(map(str, numbers))}', ' ') as array<bigint>)"
+
+
+def _spread(v: str, bits: int) -> str:
+    """Bit i of an expression to bit 2i, for the low ``bits`` bits."""
+    table = _table(_BYTE_SPREAD)
+    parts = [
+        f"shiftleft(get({table}, cast(shiftright({v}, {8 * i}) & 255L as int)), {16 * i})"
+        for i in range((bits + 7) // 8)
+    ]
+    return "(" + " + ".join(["0L", *parts]) + ")"
 
 
-def _bits(v: Column, mask: int) -> Column:
-    return v.bitwiseAND(F.lit(mask).cast("bigint"))
+def _compress(v: str, bits: int) -> str:
+    """Bit 2i of an expression to bit i, for the low ``bits`` bit pairs."""
+    table = _table(_BYTE_EVEN)
+    parts = [
+        f"shiftleft(get({table}, cast(shiftright({v}, {8 * i}) & 255L as int)), {4 * i})"
+        for i in range((bits + 3) // 4)
+    ]
+    return "(" + " + ".join(["0L", *[f"cast({p} as bigint)" for p in parts]]) + ")"
+
+
+def _with(df: DataFrame, kept: list[Column], **expressions: str) -> DataFrame:
+    """Keep some columns and add others given as SQL text (one parse each is much cheaper to plan)."""
+    return df.select(*kept, *[F.expr(e).alias(n) for n, e in expressions.items()])
 
 
 def add_sky_index(
     df: DataFrame, ra: str, dec: str, order: int = INDEX_ORDER, name: str = INDEX_COLUMN
 ) -> DataFrame:
     """Add the nested index of (ra, dec) in degrees; NULL where a coordinate is missing."""
-    n, mask = float(1 << order), (1 << order) - 1
+    n, last = f"{1 << order}D", f"{(1 << order) - 1}L"
     kept = [col(c) for c in df.columns if c != name]
-    d = F.radians(col(dec).cast("double"))
-    usable = col(ra).isNotNull() & col(dec).isNotNull() & ~F.isnan(col(ra)) & ~F.isnan(col(dec))
     step = df.select(
         *kept,
-        F.when(usable, F.sin(d)).alias("__z"),
-        F.cos(d).alias("__c"),
-        (F.pmod(col(ra).cast("double"), F.lit(360.0)) / F.lit(90.0)).alias("__t"),
+        F.nanvl(col(ra).cast("double"), F.lit(None).cast("double")).alias("__ra"),
+        F.radians(F.nanvl(col(dec).cast("double"), F.lit(None).cast("double"))).alias("__dec"),
     )
-    z, c, t = F.col("__z"), F.col("__c"), F.col("__t")
-    za = F.abs(z)
-    quarter = F.least(F.lit(3.0), F.floor(t).cast("double"))
-    narrow = F.lit(n) * c / F.sqrt((F.lit(1.0) + za) / F.lit(3.0))
-    radius = F.when(za < 0.99, F.lit(n) * F.sqrt(F.lit(3.0) * (F.lit(1.0) - za))).otherwise(narrow)
-    step = step.select(
-        *kept,
-        z.alias("__z"),
-        (za <= F.lit(2.0) / F.lit(3.0)).alias("__e"),
-        quarter.cast("bigint").alias("__q"),
-        (t - quarter).alias("__p"),
-        radius.alias("__r"),
-        F.floor(F.lit(n) * (F.lit(0.5) + t) - F.lit(0.75) * F.lit(n) * z).cast("bigint").alias("__u"),
-        F.floor(F.lit(n) * (F.lit(0.5) + t) + F.lit(0.75) * F.lit(n) * z).cast("bigint").alias("__v"),
+    step = _with(step, kept, __z="sin(__dec)", __c="cos(__dec)", __t="pmod(__ra, 360D) / 90D")
+    step = _with(
+        step,
+        kept,
+        __z="__z",
+        __t="__t",
+        # Radius on the polar facet; next to a pole the cosine is the precise way to it.
+        __r=f"if(abs(__z) < 0.99D, {n} * sqrt(3D * (1D - abs(__z))), {n} * __c / sqrt((1D + abs(__z)) / 3D))",
+        __q="least(3L, floor(__t))",
+        __u=f"floor({n} * (0.5D + __t) - 0.75D * {n} * __z)",
+        __v=f"floor({n} * (0.5D + __t) + 0.75D * {n} * __z)",
     )
-    p, r = F.col("__p"), F.col("__r")
-    step = step.select(
-        *kept,
-        *[F.col(k) for k in ("__z", "__e", "__q", "__u", "__v")],
-        F.least(F.floor(p * r).cast("bigint"), F.lit(mask).cast("bigint")).alias("__a"),
-        F.least(F.floor((F.lit(1.0) - p) * r).cast("bigint"), F.lit(mask).cast("bigint")).alias("__b"),
-        F.shiftright("__u", order).alias("__fu"),
-        F.shiftright("__v", order).alias("__fv"),
+    step = _with(
+        step,
+        kept,
+        __z="__z",
+        __q="__q",
+        __u="__u",
+        __v="__v",
+        __fu=f"shiftright(__u, {order})",
+        __fv=f"shiftright(__v, {order})",
+        __a=f"least(floor((__t - cast(__q as double)) * __r), {last})",
+        __b=f"least(floor((1D - (__t - cast(__q as double))) * __r), {last})",
     )
-    fu, fv, last = F.col("__fu"), F.col("__fv"), F.lit(mask).cast("bigint")
-    north, equatorial = F.col("__z") >= 0, F.col("__e")
-    belt = F.when(fu == fv, fu.bitwiseOR(F.lit(4).cast("bigint"))).when(fu < fv, fu).otherwise(fv + 8)
-    cap = F.when(north, F.col("__q")).otherwise(F.col("__q") + 8)
-    cap_x = F.when(north, last - F.col("__b")).otherwise(F.col("__a"))
-    cap_y = F.when(north, last - F.col("__a")).otherwise(F.col("__b"))
-    step = step.select(
-        *kept,
-        F.when(equatorial, belt).otherwise(cap).alias("__f"),
-        F.when(equatorial, _bits(F.col("__v"), mask)).otherwise(cap_x).alias("__x"),
-        F.when(equatorial, last - _bits(F.col("__u"), mask)).otherwise(cap_y).alias("__y"),
-        F.col("__z").isNotNull().alias("__ok"),
+    belt = "abs(__z) <= 2D / 3D"
+    step = _with(
+        step,
+        kept,
+        __f=f"""case when {belt} then case when __fu = __fv then __fu | 4L when __fu < __fv then __fu else __fv + 8L end
+            when __z >= 0 then __q else __q + 8L end""",
+        __x=f"case when {belt} then __v & {last} when __z >= 0 then {last} - __b else __a end",
+        __y=f"case when {belt} then {last} - (__u & {last}) when __z >= 0 then {last} - __a else __b end",
     )
-    index = F.shiftleft(F.col("__f"), 2 * order) + _spread(F.col("__x"), order)
-    index += F.shiftleft(_spread(F.col("__y"), order), 1)
-    return step.select(*kept, F.when(F.col("__ok"), index).alias(name))
-
-
-def _spread(v: Column, bits: int) -> Column:
-    """Bit i of a column to bit 2i, for the low ``bits`` bits."""
-    table = _table(_BYTE_SPREAD)
-    parts = [
-        F.shiftleft(F.get(table, _bits(F.shiftright(v, 8 * i), 255).cast("int")), 16 * i)
-        for i in range((bits + 7) // 8)
-    ]
-    return reduce(operator.add, parts, F.lit(0).cast("bigint"))
-
-
-def _compress(v: Column, bits: int) -> Column:
-    """Bit 2i of a column to bit i, for the low ``bits`` bit pairs."""
-    table = _table(_BYTE_EVEN)
-    parts = [
-        F.shiftleft(F.get(table, _bits(F.shiftright(v, 8 * i), 255).cast("int")), 4 * i)
-        for i in range((bits + 3) // 4)
-    ]
-    return reduce(operator.add, parts, F.lit(0).cast("bigint"))
+    index = f"shiftleft(__f, {2 * order}) + {_spread('__x', order)} + shiftleft({_spread('__y', order)}, 1)"
+    return step.select(*kept, F.expr(f"if(__x is null or __y is null, null, {index})").alias(name))
 
 
 def coarser(index: Column, order: int, index_order: int = INDEX_ORDER) -> Column:
@@ -133,12 +125,13 @@ def coarser(index: Column, order: int, index_order: int = INDEX_ORDER) -> Column
 
 def add_face_xy(df: DataFrame, index: str = INDEX_COLUMN, order: int = INDEX_ORDER) -> DataFrame:
     """Split an index into ``__face``, ``__x``, ``__y``."""
-    inner = _bits(col(index), (1 << (2 * order)) - 1)
-    return df.select(
-        *[col(c) for c in df.columns],
-        F.shiftright(col(index), 2 * order).alias("__face"),
-        _compress(inner, order).alias("__x"),
-        _compress(F.shiftright(inner, 1), order).alias("__y"),
+    inner = f"(`{index}` & {(1 << (2 * order)) - 1}L)"
+    return _with(
+        df,
+        [col(c) for c in df.columns],
+        __face=f"shiftright(`{index}`, {2 * order})",
+        __x=_compress(inner, order),
+        __y=_compress(f"shiftright({inner}, 1)", order),
     )
 
 
