@@ -120,7 +120,7 @@ def as_number(df: DataFrame, name: str) -> Column:
 def number_from_text(c: Column) -> Column:
     """Text to double, refusing the ``1d``/``1f`` suffixes the JVM would take."""
     t = F.trim(c)
-    return F.when(~t.rlike("[dDfF]$"), t).otherwise(F.when(t.rlike("(?i)inf$"), t)).try_cast("double")
+    return F.when(~t.rlike("[0-9.][dDfF]$"), t).try_cast("double")
 
 
 def finite(v: Column) -> Column:

@@ -26,6 +26,7 @@ from skyloom.functions.expr import (
     spark_type,
     type_of,
     valid_z,
+    z_range,
 )
 
 Spec = dict[str, Any]
@@ -156,14 +157,17 @@ def coalesce_redshift(df: DataFrame, spec: Spec) -> DataFrame:
 
     sentinel = F.lit(float(invalid))
     candidates = [col(n).cast("double") for n in names]
-    usable = [valid_z(c, blueshifts) & (c != sentinel) for c in candidates]
+    low, high = z_range(blueshifts)
+    usable = [valid_z(c, blueshifts) for c in candidates]
+    if low < invalid < high:
+        usable = [u & (c != sentinel) for u, c in zip(usable, candidates)]
     value = F.coalesce(*[F.when(u, c) for u, c in zip(usable, candidates)], sentinel)
     new = {output: value}
     if spec.get("label_column") is not None:
         no_label = F.lit(_text(spec, "invalid_label", "invalid"))
         picks = [F.when(u, F.lit(label)) for u, label in zip(usable, labels)]
-        # With nothing usable the last candidate still names the row if it is itself valid.
-        picks.append(F.when(valid_z(candidates[-1], blueshifts), F.lit(labels[-1])))
+        if low < invalid < high:  # with nothing usable the last candidate still names the row if valid
+            picks.append(F.when(valid_z(candidates[-1], blueshifts), F.lit(labels[-1])))
         new[_text(spec, "label_column")] = F.coalesce(*picks, no_label)
     return df.withColumns(new)
 
@@ -173,7 +177,20 @@ _UNIT_DEGREES = {"hourangle": 15.0, "deg": 1.0, "degree": 1.0, "rad": 180.0 / ma
 _SEXAGESIMAL = r"^[+-]?\d+(\.\d*)?\s*[hd°:\s]\s*(\d+(\.\d*)?\s*([m'′:\s]\s*(\d+(\.\d*)?\s*[s\"″]?)?)?)?$"
 
 
-def _angle_degrees(df: DataFrame, name: str, unit: str, label: str) -> Column:
+def _angle_columns(df: DataFrame, name: str, key: str) -> dict[str, Column]:
+    """Pieces of a text angle, as columns of their own so that each pattern runs once per row."""
+    if not isinstance(type_of(df, name), T.StringType):
+        return {}
+    text = F.trim(col(name))
+    return {
+        f"__{key}_number": number_from_text(text),
+        f"__{key}_parts": F.regexp_extract_all(text, F.lit(r"(\d+\.?\d*)"), F.lit(1)).cast("array<double>"),
+        f"__{key}_shape": text.rlike(_SEXAGESIMAL),
+        f"__{key}_unit": F.lower(F.regexp_extract(text, r"^[+-]?[0-9.]+\s*([hd°])", 1)),
+    }
+
+
+def _angle_degrees(df: DataFrame, name: str, key: str, unit: str, label: str) -> Column:
     """Numbers in ``unit``, or text: a number, or sexagesimal parts with any usual separators."""
     if unit not in _UNIT_DEGREES:
         raise CatalogError(f"Unsupported coordinate unit: {unit!r}.")
@@ -182,38 +199,45 @@ def _angle_degrees(df: DataFrame, name: str, unit: str, label: str) -> Column:
         return col(name).cast("double") * scale
     if not isinstance(dtype, T.StringType):
         raise CatalogError(f"{label} column '{name}' must be numeric or text.")
-    text = F.trim(col(name))
-    number = number_from_text(text)
-    parts = F.regexp_extract_all(text, F.lit(r"(\d+\.?\d*)"), F.lit(1))
+    number, parts = F.col(f"__{key}_number"), F.col(f"__{key}_parts")
 
     def part(i: int) -> Column:
-        return F.coalesce(F.get(parts, F.lit(i)).cast("double"), F.lit(0.0))
+        return F.coalesce(F.get(parts, F.lit(i)), F.lit(0.0))
 
     size = part(0) + part(1) / F.lit(60.0) + part(2) / F.lit(3600.0)
     # The sign belongs to the whole text, so -00:30 keeps it.
-    signed = F.when(text.startswith("-"), -size).otherwise(size)
-    hours, degrees = text.rlike("^[+-]?[0-9.]+\\s*h"), text.rlike("^[+-]?[0-9.]+\\s*[d°]")
-    own_unit = F.when(hours, F.lit(15.0)).when(degrees, F.lit(1.0)).otherwise(scale)
-    bad = ~text.rlike(_SEXAGESIMAL) | (part(1) > 60) | (part(2) > 60) | ((own_unit == 15.0) & (part(0) > 24))
-    message = F.concat(F.lit(f"{label} value cannot be read as an angle: "), text)
+    signed = F.when(F.trim(col(name)).startswith("-"), -size).otherwise(size)
+    own = F.col(f"__{key}_unit")
+    own_scale = F.when(own == "h", F.lit(15.0)).when(own != "", F.lit(1.0)).otherwise(scale)
+    bad = ~F.col(f"__{key}_shape") | (part(1) > 60) | (part(2) > 60) | ((own_scale == 15.0) & (part(0) > 24))
+    message = F.concat(F.lit(f"{label} value cannot be read as an angle: "), col(name))
     return (
         F.when(number.isNotNull(), number * scale)
         .when(bad, F.raise_error(message).cast("double"))
-        .when(text.isNotNull(), signed * own_unit)
+        .when(col(name).isNotNull(), signed * own_scale)
     )
 
 
 def skycoord_to_degrees(df: DataFrame, spec: Spec) -> DataFrame:
     """RA wrapped to [0, 360); a Dec beyond +-90 is an error."""
+    ra_name, dec_name = _text(spec, "ra_column"), _text(spec, "dec_column")
     ra_unit, dec_unit = _text(spec, "ra_unit", "hourangle"), _text(spec, "dec_unit", "deg")
-    ra = F.pmod(_angle_degrees(df, _text(spec, "ra_column"), ra_unit, "RA"), F.lit(360.0))
+    pieces = _angle_columns(df, ra_name, "ra") | _angle_columns(df, dec_name, "dec")
+    split = df.withColumns(pieces)
+    split = split.withColumns(
+        {
+            "__ra": F.pmod(_angle_degrees(df, ra_name, "ra", ra_unit, "RA"), F.lit(360.0)),
+            "__dec": _angle_degrees(df, dec_name, "dec", dec_unit, "Dec"),
+        }
+    )
     # pmod of a tiny negative rounds up to the divisor itself.
-    ra = F.when(ra >= 360.0, F.lit(0.0)).otherwise(ra)
-    dec = _angle_degrees(df, _text(spec, "dec_column"), dec_unit, "Dec")
+    ra = F.when(F.col("__ra") >= 360.0, F.lit(0.0)).otherwise(F.col("__ra"))
+    dec = F.col("__dec")
     message = F.concat(F.lit("Dec is outside [-90, 90] degrees: "), dec.cast("string"))
     out_of_range = (F.abs(dec) > 90.0) & ~F.isnan(dec)
     dec = F.when(out_of_range, F.raise_error(message).cast("double")).otherwise(dec)
-    return df.withColumns({_text(spec, "output_ra_column"): ra, _text(spec, "output_dec_column"): dec})
+    new = {_text(spec, "output_ra_column"): ra, _text(spec, "output_dec_column"): dec}
+    return split.withColumns(new).drop("__ra", "__dec", *pieces)
 
 
 class _Kind:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Callable, Sequence
-from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -19,6 +17,7 @@ from skyloom.functions.expr import (
     CatalogError,
     clean,
     col,
+    is_float,
     is_numeric,
     number_from_text,
     ordered_unique,
@@ -30,14 +29,7 @@ from skyloom.functions.expr import (
 from skyloom.operators.transforms import generated_columns, input_columns
 
 # Comparison operators a redshift filter may name.
-_OPERATORS = {
-    "<": operator.lt,
-    "<=": operator.le,
-    ">": operator.gt,
-    ">=": operator.ge,
-    "==": operator.eq,
-    "!=": operator.ne,
-}
+_OPERATORS = ("<", "<=", ">", ">=", "==", "!=")
 
 
 def strict_number(df: DataFrame, name: str) -> Column:
@@ -54,6 +46,15 @@ def strict_number(df: DataFrame, name: str) -> Column:
     return clean(col(name), dtype).cast("double")
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """Value for two-sided range tests, which NaN fails by itself, so doubles stay bare columns.
+
+    A bare column keeps the expression small when a filter is pushed through the
+    projection that made it, and reaches the Parquet scan when it is a source column.
+    """
+    return col(name) if is_float(type_of(df, name)) else strict_number(df, name)
+
+
 def required_inputs(
     selection: Sequence[str], transformations: Sequence[dict[str, Any]], standard: Sequence[str]
 ) -> list[str] | None:
@@ -101,7 +102,7 @@ def range_metrics(df: DataFrame, ra: str, dec: str, z: str, allow_blueshifts: bo
     """Aggregates behind the validation of the three standard columns (missing redshifts are invalid)."""
     values = {"ra": strict_number(df, ra), "dec": strict_number(df, dec), "z": strict_number(df, z)}
     metrics = [f(v).alias(f"{k}_{n}") for k, v in values.items() for n, f in (("min", F.min), ("max", F.max))]
-    invalid = ~F.coalesce(valid_z(values["z"], allow_blueshifts), F.lit(False))
+    invalid = ~F.coalesce(valid_z(_comparable(df, z), allow_blueshifts), F.lit(False))
     return metrics + [F.count_if(invalid).alias("invalid_redshift_count")]
 
 
@@ -144,14 +145,14 @@ def coordinate_violations(df: DataFrame, ra: str, dec: str) -> DataFrame:
 
 def redshift_violations(df: DataFrame, z: str, allow_blueshifts: bool = True) -> DataFrame:
     """Rows without a valid redshift."""
-    return df.where(~F.coalesce(valid_z(strict_number(df, z), allow_blueshifts), F.lit(False)))
+    return df.where(~F.coalesce(valid_z(_comparable(df, z), allow_blueshifts), F.lit(False)))
 
 
 def flag_redshift(
     df: DataFrame, z: str, invalid_value: float = INVALID_Z, allow_blueshifts: bool = True
 ) -> DataFrame:
     """Invalid and missing redshifts become ``invalid_value``."""
-    value = strict_number(df, z)
+    value = _comparable(df, z).cast("double")
     kept = F.when(valid_z(value, allow_blueshifts), value).otherwise(F.lit(float(invalid_value)))
     return df.withColumn(z, kept)
 
@@ -167,11 +168,31 @@ def filter_redshift(
             raise CatalogError("redshift filter op must be one of: " + ", ".join(_OPERATORS) + ".")
         if isinstance(threshold, bool) or not isinstance(threshold, (int, float)):
             raise CatalogError("redshift filter value must be numeric.")
-    dtype = type_of(df, z)
-    # Compare the bare column where its type allows, so that the Parquet scan gets the predicate.
-    value = col(z) if isinstance(dtype, (T.DoubleType, T.FloatType)) else strict_number(df, z)
-    tests = [_OPERATORS[op](value, F.lit(float(threshold))) for op, threshold in filters]
-    return df.where(reduce(operator.and_, tests, valid_z(value, allow_blueshifts)))
+    return df.where(_merged_test(_comparable(df, z), filters, allow_blueshifts))
+
+
+def _merged_test(value: Column, filters: Sequence[tuple[str, float]], allow_blueshifts: bool) -> Column:
+    """The valid range and all filters as one interval plus the values it leaves out.
+
+    Every mention of a computed redshift is evaluated anew once the optimizer
+    pushes the filter below its projection, so the test names it as rarely as it can.
+    """
+    low, high = z_range(allow_blueshifts)
+    low_open, high_open, holes = True, True, []
+    for op, threshold in filters:
+        t = float(threshold)
+        if op in (">", ">=", "==") and (t > low or (t == low and op == ">")):
+            low, low_open = t, op == ">"
+        if op in ("<", "<=", "==") and (t < high or (t == high and op == "<")):
+            high, high_open = t, op == "<"
+        if op == "!=":
+            holes.append(t)
+        if op == "==" and not (low <= t <= high):
+            return F.lit(False)
+    test = (value > F.lit(low)) if low_open else (value >= F.lit(low))
+    test &= (value < F.lit(high)) if high_open else (value <= F.lit(high))
+    inside = [t for t in dict.fromkeys(holes) if low <= t <= high]
+    return test & ~value.isin(*inside) if inside else test
 
 
 def spatial_metrics(df: DataFrame, ra: str, dec: str) -> list[Column]:

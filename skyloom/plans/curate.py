@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from skyloom.functions.expr import INVALID_Z, CatalogError, col, ordered_unique, require_columns
+from skyloom.functions.expr import INVALID_Z, CatalogError, col, ordered_unique, require_columns, z_range
 from skyloom.functions.healpix import INDEX_COLUMN
 from skyloom.operators.tiles import TileMap
 from skyloom.operators.transforms import apply_transformations
@@ -93,7 +93,9 @@ def _transformed(df: DataFrame, spec: CurateSpec) -> tuple[DataFrame, list[str]]
 
 def _finished(df: DataFrame, spec: CurateSpec, generated: list[str]) -> DataFrame:
     names = final_columns(df.columns, spec.selection, generated, spec.standard, spec.generated_position)
-    if spec.invalid_policy == "flag":
+    low, high = z_range(spec.allow_blueshifts)
+    if spec.invalid_policy == "flag" and (not spec.filters or low < spec.invalid_value < high):
+        # A filter keeps valid redshifts only, so unless the flag itself is valid there is nothing to flag.
         df = flag_redshift(df, spec.z, spec.invalid_value, spec.allow_blueshifts)
     return filter_redshift(df, spec.z, spec.filters, spec.allow_blueshifts).select(*[col(n) for n in names])
 

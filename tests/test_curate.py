@@ -341,3 +341,23 @@ def test_curate_to_collection(spark, tmp_path):
     empty = spec(redshift={"filters": [{"op": ">", "value": 5}]})
     with pytest.raises(CatalogError):
         curate_to_collection(df, empty, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("blueshifts", [True, False])
+def test_merged_filters_equal_their_parts(spark, blueshifts):
+    """The interval a filter list folds into keeps exactly what the single comparisons keep."""
+    import itertools
+    import operator
+
+    from skyloom.operators.validate import filter_redshift
+
+    ops = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
+    values = [-0.2, -0.1, -0.05, 0.0, 0.5, 1.0, 1.5, 19.9, 20.0, 25.0, None, math.nan]
+    df = redshifts(spark, values).cache()
+    single = [(op, t) for op in ops for t in (-0.1, 0.0, 0.5, 1.0, 20.0, 30.0)]
+    low = -0.1 if blueshifts else 0.0
+    combos = [[s] for s in single] + [list(c) for c in itertools.combinations(single[::5], 2)]
+    combos += [[(">", 0.5), (">=", 0.5)], [("==", 0.5), ("!=", 0.5)], [("==", 1.0), ("==", 0.5)], [("!=", 0.5), ("!=", 1.0)]]
+    for filters in combos:
+        want = [v for v in values if v is not None and low < v < 20 and all(ops[o](v, t) for o, t in filters)]
+        assert column(filter_redshift(df, "z", filters, blueshifts), "z") == want, filters
