@@ -117,10 +117,18 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
+# Fixed value: the shape of a number in text.
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+
+
 def number_from_text(c: Column) -> Column:
-    """Text to double, refusing the ``1d``/``1f`` suffixes the JVM would take."""
+    """Text to double, NULL where it is no number.
+
+    The pattern goes first: a failed conversion costs the JVM an exception, and
+    a successful one would accept suffixes such as ``1d``.
+    """
     t = F.trim(c)
-    return F.when(~t.rlike("[0-9.][dDfF]$"), t).try_cast("double")
+    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def finite(v: Column) -> Column:

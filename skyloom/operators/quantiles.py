@@ -11,10 +11,14 @@ fills a third of the catalog changes the answer or the cost.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from skyloom.functions.expr import ordered_unique
+
 SKETCH_ACCURACY = 10_000
 FEW_ROWS = 5_000
 
@@ -56,32 +60,30 @@ def first_pass(columns: Sequence[str], fractions: Sequence[float], accuracy: int
 
 
 def _tighten(values: DataFrame, brackets: Sequence[tuple[_Target, float, float]]) -> None:
-    """Count around both ends of every proposed bracket in one pass and keep the part with the rank."""
+    """Count up to both ends of every proposed bracket in one pass and keep the part with the rank."""
+    ends = list(dict.fromkeys((t.column, end) for t, *pair in brackets for end in pair))
     aggs = []
-    for i, (t, low, high) in enumerate(brackets):
-        v, held = F.col(t.column), t.holds()
+    for i, (column, end) in enumerate(ends):
         aggs += [
-            F.count_if(held & (v < F.lit(low))).alias(f"a{i}"),
-            F.count_if(held & (v == F.lit(low))).alias(f"b{i}"),
-            F.count_if(held & (v > F.lit(low)) & (v < F.lit(high))).alias(f"c{i}"),
-            F.count_if(held & (v == F.lit(high))).alias(f"d{i}"),
+            F.count_if(F.col(column) < F.lit(end)).alias(f"under{i}"),
+            F.count_if(F.col(column) <= F.lit(end)).alias(f"upto{i}"),
         ]
-    seen = values.agg(*aggs).first()
-    for i, (t, low, high) in enumerate(brackets):
-        n_under, n_low, n_mid = seen[f"a{i}"], seen[f"b{i}"], seen[f"c{i}"]
-        n_high = seen[f"d{i}"] if high != low else 0
-        offset = t.rank - t.below
-        if offset < n_under:
-            t.high, t.inside = low, n_under
-        elif offset < n_under + n_low:
+    row = values.agg(*aggs).first()
+    counts = {key: (row[f"under{i}"], row[f"upto{i}"]) for i, key in enumerate(ends)}
+    for t, low, high in brackets:
+        under_low, upto_low = counts[t.column, low]
+        under_high, upto_high = counts[t.column, high]
+        if t.rank < under_low:
+            t.high, t.inside = low, under_low - t.below
+        elif t.rank < upto_low:
             t.value = low
-        elif offset < n_under + n_low + n_mid:
-            t.low, t.high, t.below, t.inside = low, high, t.below + n_under + n_low, n_mid
-        elif offset < n_under + n_low + n_mid + n_high:
+        elif t.rank < under_high:
+            t.low, t.high, t.below, t.inside = low, high, upto_low, under_high - upto_low
+        elif t.rank < upto_high:
             t.value = high
         else:
-            passed = n_under + n_low + n_mid + n_high
-            t.low, t.below, t.inside = high, t.below + passed, t.inside - passed
+            t.inside -= upto_high - t.below
+            t.low, t.below = high, upto_high
 
 
 def _sketch(values: DataFrame, targets: Sequence[_Target], accuracy: int) -> list[tuple[_Target, float, float]]:
@@ -95,16 +97,37 @@ def _sketch(values: DataFrame, targets: Sequence[_Target], accuracy: int) -> lis
 
 
 def _pick(values: DataFrame, targets: Sequence[_Target]) -> None:
-    """Count the few bracketed values; a running sum per target (at most FEW_ROWS rows) finds the rank."""
-    tagged = [
-        F.when(t.holds(), F.struct(F.lit(i).alias("t"), F.col(t.column).alias("v"))) for i, t in enumerate(targets)
-    ]
-    counts = values.select(F.inline(F.array_compact(F.array(*tagged)))).groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.get(F.array(*[F.lit(t.rank - t.below).cast("bigint") for t in targets]), F.col("t"))
-    upto = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
-    hits = counts.withColumn("upto", upto).where((wanted < F.col("upto")) & (wanted >= F.col("upto") - F.col("n")))
-    for t, v in hits.select("t", "v").collect():  # one row per target
-        targets[t].value = v
+    """Count the few bracketed values and read each rank off a running sum per bracket."""
+    spans: dict[tuple[str, float | None, float | None], list[_Target]] = {}
+    for t in targets:
+        spans.setdefault((t.column, t.low, t.high), []).append(t)
+    columns = ordered_unique(c for c, _, _ in spans)
+    # One row per column and value first, so that the tests below read a plain attribute.
+    pairs = [F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)]
+    long = values.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
+    tests = []
+    for column, low, high in spans:
+        test = F.col("c") == columns.index(column)
+        if low is not None:
+            test &= F.col("v") > F.lit(low)
+        if high is not None:
+            test &= F.col("v") < F.lit(high)
+        tests.append(test)
+    # Spans may overlap; the plain test first drops nearly all rows before any array is built.
+    held = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(tests)]))
+    few = long.where(reduce(operator.or_, tests)).select(F.explode(held).alias("span"), "v")
+    counts = few.groupBy("span", "v").agg(F.count(F.lit(1)).alias("n"))
+    # A span holds at most FEW_ROWS rows, so its window is small.
+    upto = F.sum("n").over(Window.partitionBy("span").orderBy("v"))
+    ranks = [sorted({t.rank - t.below for t in members}) for members in spans.values()]
+    wanted = F.get(F.array(*[F.array(*[F.lit(r).cast("bigint") for r in rs]) for rs in ranks]), F.col("span"))
+    offset = F.explode(wanted).alias("offset")
+    placed = counts.select("span", "v", "n", upto.alias("upto")).select("span", "v", "n", "upto", offset)
+    hits = placed.where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+    found = {(r["span"], r["offset"]): r["v"] for r in hits.collect()}  # one row per wanted rank
+    for i, members in enumerate(spans.values()):
+        for t in members:
+            t.value = found[i, t.rank - t.below]
 
 
 def exact_quantiles(
