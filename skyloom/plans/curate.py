@@ -24,7 +24,14 @@ from skyloom.operators.validate import (
 )
 from skyloom.session import delete_path
 from skyloom.sinks.collection import DEFAULT_MARGIN_ARCSEC, write_collection
-from skyloom.sinks.parquet import file_count, write_manifest, write_parquet
+from skyloom.sinks.parquet import (
+    SMALL_BYTES,
+    file_count,
+    input_bytes,
+    resolve_output_mode,
+    write_manifest,
+    write_parquet,
+)
 
 
 @dataclass
@@ -133,14 +140,20 @@ def curate_to(
     output_mode: str = "partitioned",
     overwrite: bool = False,
     sources: list[str] | None = None,
+    allow_large_single_output: bool = False,
 ) -> list[str]:
     """Curate into a Parquet dataset, reading the input once; returns the output columns.
 
+    ``output_mode`` ``auto`` and ``single`` look at the size of the files in ``sources``.
+
     Validation rides on the write. If it fails the output is removed again, so
     nothing invalid stays behind.
     """
     spark = df.sparkSession
     checked = spec if isinstance(spec, CurateSpec) else CurateSpec.from_dict(spec)
+    if output_mode != "partitioned":
+        small = bool(sources) and input_bytes(spark, sources) < SMALL_BYTES
+        output_mode = resolve_output_mode(output_mode, small, allow_large_single_output)
     result, verify = _curate_observed(df, checked)
     write_parquet(result, path, output_mode, overwrite)
     try:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.functions.expr import CatalogError
-from skyloom.operators.union import union_outer, union_strict
+from skyloom.operators.union import check_same_columns, union_outer, union_strict
 from skyloom.sinks.collection import DEFAULT_MARGIN_ARCSEC, write_collection
 from skyloom.sinks.parquet import (
     SMALL_BYTES,
@@ -18,7 +18,7 @@ from skyloom.sinks.parquet import (
     write_manifest,
     write_parquet,
 )
-from skyloom.sources.readers import format_of, read_catalog
+from skyloom.sources.readers import format_of, read_files, schema_frame
 
 
 def read_sources(
@@ -28,7 +28,11 @@ def read_sources(
     column_names: Sequence[str] | None = None,
     hdu: int = 1,
 ) -> DataFrame:
-    """All files as one catalog; ``strict`` demands equal columns, ``union`` fills the gaps with NULL."""
+    """All files as one catalog; ``strict`` demands equal columns, ``union`` fills the gaps with NULL.
+
+    Files that share a schema are read by one scan (and typed by one pass), so
+    the plan grows with the number of different schemas, not of files.
+    """
     if schema_policy not in ("strict", "union"):
         raise CatalogError("schema_policy must be one of: strict, union.")
     kinds = {p: format_of(spark, p, column_names) for p in paths}
@@ -36,7 +40,15 @@ def read_sources(
         raise CatalogError("Input is already a spatial catalog; inspect and curate read it directly.")
     if len(set(kinds.values())) != 1:
         raise CatalogError("All input files must have the same format.")
-    frames = {p: read_catalog(spark, p, column_names, hdu) for p in paths}
+    kind = kinds[paths[0]]
+    groups: dict[str, list[str]] = {}
+    headers: dict[str, DataFrame] = {}
+    for path in paths:
+        headers[path] = schema_frame(spark, path, kind, column_names, hdu)
+        groups.setdefault(headers[path].schema.json(), []).append(path)
+    if schema_policy == "strict":
+        check_same_columns(headers)
+    frames = [read_files(spark, group, kind, column_names, hdu) for group in groups.values()]
     return union_strict(frames) if schema_policy == "strict" else union_outer(frames)
 
 

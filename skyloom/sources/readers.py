@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skyloom.functions.expr import CatalogError, col
 from skyloom.session import is_dir, list_names
 from skyloom.sources import fits
+from skyloom.sources.collection import read_spatial
 from skyloom.sources.text import read_csv, read_whitespace
 
 # Reader code travels with the job, so executors need no installed copy of this package.
@@ -69,6 +70,36 @@ def format_of(spark: SparkSession, path: str, column_names: Sequence[str] | None
     raise CatalogError(f"Unsupported input format: {path}.")
 
 
+def schema_frame(
+    spark: SparkSession, path: str, kind: str, column_names: Sequence[str] | None = None, hdu: int = 1
+) -> DataFrame:
+    """A frame with the columns of a file, known from its header or footer alone (text is not typed yet)."""
+    if kind == "whitespace":
+        if not column_names:
+            raise CatalogError("Headerless whitespace inputs require column_names.")
+        return spark.createDataFrame([], ", ".join(f"`{n.replace('`', '``')}` string" for n in column_names))
+    if kind == "csv":
+        return spark.read.option("header", True).option("escape", '"').csv(path)
+    return read_fits(spark, path, hdu) if kind == "fits" else read_parquet(spark, path)
+
+
+def read_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    kind: str,
+    column_names: Sequence[str] | None = None,
+    hdu: int = 1,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Read files of one format and one schema in one scan."""
+    if kind == "parquet":
+        return read_parquet(spark, paths, columns)
+    if kind == "fits":
+        return read_fits(spark, paths, hdu, columns)
+    df = read_csv(spark, paths) if kind == "csv" else read_whitespace(spark, paths, column_names)
+    return df.select(*[col(c) for c in columns]) if columns else df
+
+
 def read_catalog(
     spark: SparkSession,
     path: str,
@@ -78,13 +109,6 @@ def read_catalog(
 ) -> DataFrame:
     """Read one catalog file of any supported format."""
     kind = format_of(spark, path, column_names)
-    if kind == "parquet":
-        return read_parquet(spark, path, columns)
-    if kind == "fits":
-        return read_fits(spark, path, hdu, columns)
     if kind == "spatial":
-        from skyloom.sources.collection import read_spatial
-
         return read_spatial(spark, path, columns)
-    df = read_csv(spark, path) if kind == "csv" else read_whitespace(spark, path, column_names)
-    return df.select(*[col(c) for c in columns]) if columns else df
+    return read_files(spark, [path], kind, column_names, hdu, columns)
