@@ -25,16 +25,16 @@ def _header(cards) -> bytes:
     return raw.ljust(-(-len(raw) // BLOCK) * BLOCK)
 
 
-def table_bytes(columns, extra=()) -> bytes:
+def table_bytes(columns, extra=(), heap=b"") -> bytes:
     """A FITS file: columns is [(name, TFORM, big-endian array of rows)], extra more header cards."""
     n = len(columns[0][2])
     raw = [np.ascontiguousarray(a).view(np.uint8).reshape(n, -1) if n else np.zeros((0, 0), np.uint8) for _, _, a in columns]
     width = sum(a.dtype.itemsize * int(np.prod(a.shape[1:], dtype=int)) for _, _, a in columns)
     cards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", n)]
-    cards += [("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(columns))]
+    cards += [("PCOUNT", len(heap)), ("GCOUNT", 1), ("TFIELDS", len(columns))]
     for i, (name, form, _) in enumerate(columns, 1):
         cards += [(f"TTYPE{i}", name), (f"TFORM{i}", form)]
-    body = np.concatenate(raw, axis=1).tobytes() if n else b""
+    body = (np.concatenate(raw, axis=1).tobytes() if n else b"") + heap
     primary = _header([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)])
     return primary + _header(cards + list(extra)) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 

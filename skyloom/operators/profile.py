@@ -241,9 +241,10 @@ def merge_stats(parts: DataFrame) -> DataFrame:
 def categorical_uniques(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
     """(column, value, rank): the first ``limit`` distinct non-empty values of each column, by value.
 
-    Values are made distinct before they are ranked, so a value that fills the
-    catalog costs one row per task, and the ranking cuts each task to ``limit``
-    rows per column before it shuffles.
+    A first scan takes the least value of each of some hash buckets. These are
+    distinct values, so the ``limit``-th of them is no less than the last value
+    wanted, and only values up to it are made distinct and ranked: a column of
+    a trillion identifiers does not shuffle them.
     """
     names = list(columns if columns is not None else [f.name for f in df.schema.fields if is_categorical(f.dataType)])
     require_columns(df, names, "categorical_uniques")
@@ -256,9 +257,16 @@ def categorical_uniques(df: DataFrame, columns: Sequence[str] | None = None, lim
         return F.trim(col(name).cast("string"))
 
     pairs = [F.struct(F.lit(n).alias("column"), text(n).alias("value")) for n in names]
-    values = df.select(F.inline(F.array(*pairs))).where(F.col("value") != "").distinct()
+    values = df.select(F.inline(F.array(*pairs))).where(F.col("value") != "")
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    return values.withColumn("rank", rank).where(F.col("rank") <= limit)
+    bucket = F.pmod(F.xxhash64("value"), F.lit(max(64, 8 * limit)))
+    least = values.groupBy("column", bucket.alias("bucket")).agg(F.min("value").alias("value"))
+    bounds = least.withColumn("rank", rank).where(F.col("rank") == limit)
+    bounds = bounds.select(F.col("column").alias("of"), F.col("value").alias("bound"))
+    # At most one row per column; a column with fewer full buckets has no bound and few values.
+    near = values.join(F.broadcast(bounds), F.col("column") == F.col("of"), "left")
+    near = near.where(F.col("bound").isNull() | (F.col("value") <= F.col("bound")))
+    return near.select("column", "value").distinct().withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def sample_columns(columns: Sequence[str], candidates: Sequence[str], max_columns: int = 100) -> list[str]:

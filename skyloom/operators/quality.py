@@ -169,6 +169,7 @@ def value_counts(df: DataFrame, column: str, drop_missing: bool = False) -> Data
 
 # The quartiles of a description.
 _QUARTILES = (0.25, 0.5, 0.75)
+DESCRIBE_BATCH = 25
 _MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
@@ -180,26 +181,27 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: b
     """
     names = list(columns or [f.name for f in df.schema.fields if is_numeric(f.dataType)])
     require_columns(df, names, "describe")
+    rows = [row for i in range(0, len(names), DESCRIBE_BATCH) for row in _description(df, names[i : i + DESCRIBE_BATCH], approximate)]
+    schema = "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _description(df: DataFrame, names: Sequence[str], approximate: bool) -> list[tuple]:
     keys = [f"v{i}" for i in range(len(names))]
     values = df.select(*[clean(col(n), type_of(df, n)).cast("double").alias(k) for n, k in zip(names, keys)])
-    aggs: list[Column] = []
-    for k in keys:
-        v = F.col(k)
-        aggs += [f(v).alias(f"{k}_{n}") for n, f in _MOMENTS.items()]
-        if approximate:
-            aggs.append(F.percentile_approx(v, list(_QUARTILES), 10000).alias(f"{k}_q"))
+    moments = [f(F.col(k)).alias(f"{k}_{n}") for k in keys for n, f in _MOMENTS.items()]
     if approximate:
-        row = values.agg(*aggs).first()
+        sketches = [F.percentile_approx(F.col(k), list(_QUARTILES), 10000).alias(f"{k}_q") for k in keys]
+        row = values.agg(*moments, *sketches).first()
         quartiles = {k: row[f"{k}_q"] or [None] * 3 for k in keys}
     else:
-        row = values.agg(*aggs, *first_pass(keys, _QUARTILES)).first()
+        row = values.agg(*moments, *first_pass(keys, _QUARTILES)).first()
         quartiles = exact_quantiles(values, keys, _QUARTILES, first=row)
-    rows = []
+    found = []
     for n, k in zip(names, keys):
         m = [row[f"{k}_{name}"] for name in _MOMENTS]
-        rows.append((n, *m[:4], *quartiles[k], m[4]))
-    schema = "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
-    return df.sparkSession.createDataFrame(rows, schema)
+        found.append((n, *m[:4], *quartiles[k], m[4]))
+    return found
 
 
 def data_warnings(

@@ -78,7 +78,7 @@ class Field:
     repeat: int
     scale: float
     zero: float
-    null: int | None = None
+    heap: str = ""  # "P" or "Q" where the row only points at values in the heap
 
     @property
     def shifted(self) -> str | None:
@@ -93,6 +93,8 @@ class Field:
 
     @property
     def spark(self) -> str:
+        if self.heap:
+            return "string" if self.code == "A" else f"array<{self.element}>"
         if self.code == "A" or self.repeat == 1:
             return self.element
         return f"array<{self.element}>"
@@ -104,6 +106,7 @@ class Table:
     start: int
     row_bytes: int
     rows: int
+    heap: int  # where the values of variable-length columns start
 
 
 def _read_header(handle) -> dict[str, str | int | float | bool] | None:
@@ -160,57 +163,79 @@ def read_table_header(path: str, hdu: int = 1) -> Table:
         raise ValueError(f"{path}: the chosen HDU is not a binary table.")
     fields, offset = [], 0
     for i in range(1, int(cards["TFIELDS"]) + 1):
-        match = re.match(r"\s*(\d*)([LXBIJKAEDCMPQ])", str(cards[f"TFORM{i}"]))
+        match = re.match(r"\s*(\d*)([LXBIJKAEDCM]|[PQ][LXBIJKAEDCM])", str(cards[f"TFORM{i}"]))
         if match is None:
             raise ValueError(f"{path}: unknown TFORM {cards[f'TFORM{i}']!r}.")
         repeat = int(match.group(1)) if match.group(1) else 1
-        code = match.group(2)
-        if code in "PQ":
-            raise ValueError(f"{path}: variable-length column {cards.get(f'TTYPE{i}')} is not supported.")
-        if code == "X":
+        code, heap = match.group(2)[-1], match.group(2)[:-1]
+        if code == "X" and not heap:
             repeat = -(-repeat // 8)
-        null = cards.get(f"TNULL{i}")
+        size = {"": _CODES[code][0], "P": 8, "Q": 16}[heap]
         if repeat:
-            fields.append(
-                Field(
-                    str(cards.get(f"TTYPE{i}", f"col{i}")),
-                    offset,
-                    code,
-                    repeat,
-                    float(cards.get(f"TSCAL{i}", 1)),
-                    float(cards.get(f"TZERO{i}", 0)),
-                    int(null) if null is not None else None,
-                )
-            )
-        offset += repeat * _CODES[code][0]
-    return Table(tuple(fields), start, int(cards["NAXIS1"]), int(cards["NAXIS2"]))
+            name = str(cards.get(f"TTYPE{i}", f"col{i}"))
+            scale, zero = float(cards.get(f"TSCAL{i}", 1)), float(cards.get(f"TZERO{i}", 0))
+            fields.append(Field(name, offset, code, repeat, scale, zero, heap))
+        offset += repeat * size
+    width, rows = int(cards["NAXIS1"]), int(cards["NAXIS2"])
+    return Table(tuple(fields), start, width, rows, start + int(cards.get("THEAP", width * rows)))
+
+
+def _heap_column(field: Field, records: np.ndarray, handle, heap: int) -> pa.Array:
+    """Variable-length column: descriptors in the rows, values in the heap, read in one stretch if dense."""
+    kind, size = (">i4", 8) if field.heap == "P" else (">i8", 16)
+    raw = np.ascontiguousarray(records[:, field.offset : field.offset + size])
+    counts, starts = raw.view(kind).reshape(-1, 2).astype(np.int64).T
+    width = _CODES[field.code][0]
+    bytes_of = -(-counts // 8) if field.code == "X" else counts * width
+    used = counts > 0
+    total = int(bytes_of.sum())
+    first = int(starts[used].min()) if used.any() else 0
+    span = int((starts + bytes_of)[used].max()) - first if used.any() else 0
+    if span <= 4 * total + (1 << 20):
+        handle.seek(heap + first)
+        block = handle.read(span)
+        pieces = [block[s - first : s - first + b] for s, b in zip(starts.tolist(), bytes_of.tolist())]
+    else:
+        pieces = []
+        for s, b in zip(starts.tolist(), bytes_of.tolist()):
+            handle.seek(heap + s)
+            pieces.append(handle.read(b))
+    if field.code == "A":
+        return pa.array([p.split(b"\0")[0].decode("utf-8", "replace").strip() for p in pieces], pa.string())
+    flat = _values(field, np.frombuffer(b"".join(pieces), np.uint8))
+    lengths = bytes_of if field.code == "X" else counts
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
 
 
 def _column(field: Field, records: np.ndarray) -> pa.Array:
     """One column of a block of records (rows x bytes) as an Arrow array."""
-    size, kind, _ = _CODES[field.code]
+    size = _CODES[field.code][0]
     raw = np.ascontiguousarray(records[:, field.offset : field.offset + size * field.repeat])
     n = len(raw)
     if field.code == "A":
         text = raw.view(f"S{field.repeat}").reshape(n)
         return pa.array([t.split(b"\0")[0].decode("utf-8", "replace").strip() for t in text.tolist()], pa.string())
-    if field.code == "L":
-        flags = raw.reshape(n * field.repeat)
-        flat = pa.array(flags == ord("T"), mask=(flags == 0))
-    else:
-        values = raw.view(kind).reshape(-1)
-        values = values.astype(values.dtype.newbyteorder("="))
-        if field.code in "BIJK" and (field.scale != 1 or field.zero != 0):
-            if field.shifted:
-                values = values.astype(np.int64) + int(field.zero)
-            else:
-                values = values.astype(np.float64) * field.scale + field.zero
-        flat = pa.array(values).cast(_ARROW[_CODES[field.code][2][6:-1] if field.code in "CM" else field.element])
-        if field.code in "CM":
-            flat = _lists(flat, 2)
+    flat = _values(field, raw.reshape(-1))
     return flat if field.repeat == 1 else _lists(flat, field.repeat)
 
 
+def _values(field: Field, raw: np.ndarray) -> pa.Array:
+    """The bytes of any number of values of a field as one flat Arrow array."""
+    if field.code == "L":
+        return pa.array(raw == ord("T"), mask=(raw == 0))
+    kind = _CODES[field.code][1]
+    values = raw.view(kind)
+    values = values.astype(values.dtype.newbyteorder("="))
+    if field.code in "BIJK" and (field.scale != 1 or field.zero != 0):
+        if field.shifted:
+            values = values.astype(np.int64) + int(field.zero)
+        else:
+            values = values.astype(np.float64) * field.scale + field.zero
+    if field.code in "CM":
+        return _lists(pa.array(values).cast(_ARROW[_CODES[field.code][2][6:-1]]), 2)
+    return pa.array(values).cast(_ARROW[field.element])
+
+
 def _lists(flat: pa.Array, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), flat)
 
@@ -240,17 +265,20 @@ class FitsReader(DataSourceReader):
         table = partition.table
         fields = {f.name: f for f in table.fields}
         with open_file(partition.path) as handle:
-            handle.seek(table.start + partition.first * table.row_bytes)
-            left = partition.stop - partition.first
+            at, left = table.start + partition.first * table.row_bytes, partition.stop - partition.first
             while left:
                 n = min(left, max(1, min(BATCH_ROWS, (8 << 20) // table.row_bytes)))
+                handle.seek(at)
                 block = handle.read(n * table.row_bytes)
                 if len(block) != n * table.row_bytes:
                     raise ValueError(f"{partition.path} ends inside its table.")
                 records = np.frombuffer(block, np.uint8).reshape(n, table.row_bytes)
-                arrays = [_column(fields[c], records) for c in self.columns]
+                arrays = [
+                    _heap_column(fields[c], records, handle, table.heap) if fields[c].heap else _column(fields[c], records)
+                    for c in self.columns
+                ]
                 yield pa.RecordBatch.from_arrays(arrays, names=self.columns)
-                left -= n
+                at, left = at + n * table.row_bytes, left - n
 
 
 class FitsDataSource(DataSource):

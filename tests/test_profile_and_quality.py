@@ -62,6 +62,14 @@ def test_uniques(spark):
     assert profile.categorical_uniques(df, ["s"], limit=1).collect()[0]["value"] == "a"
 
 
+def test_uniques_of_a_column_with_many_values(spark):
+    """More values than hash buckets: the bound of the first scan must not lose a wanted one."""
+    df = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.lit("same").alias("s"))
+    got = profile.categorical_uniques(df, limit=5).orderBy("column", "rank").collect()
+    want = sorted(f"k{i}" for i in range(20_000))[:5]
+    assert [(r["column"], r["value"]) for r in got] == [("k", v) for v in want] + [("s", "same")]
+
+
 def test_random_sample_ignores_partitioning(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     a = {r["k"] for r in profile.sample_random(df.repartition(7), "k", 10).collect()}

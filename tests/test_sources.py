@@ -122,6 +122,26 @@ def test_fits(spark, tmp_path):
     assert read_catalog(spark, str(tmp_path / "b.fits.gz")).count() == 25
 
 
+def test_fits_variable_length(spark, tmp_path):
+    lists, words = [[1.5], [], [2.0, 3.0, 4.0]], [b"ab", b"", b"xyz"]
+    heap, floats, texts = b"", [], []
+    for values, word in zip(lists, words):
+        floats.append((len(values), len(heap)))
+        heap += np.array(values, ">f4").tobytes()
+        texts.append((len(word), len(heap)))
+        heap += word
+    columns = [
+        ("ID", "J", np.arange(3).astype(">i4")),
+        ("FLUX", "1PE(3)", np.array(floats, ">i4")),
+        ("WORD", "QA", np.array(texts, ">i8")),
+    ]
+    path = tmp_path / "v.fits"
+    path.write_bytes(table_bytes(columns, heap=heap))
+    df = read_fits(spark, str(path), chunk_rows=2)
+    assert types(df) == {"ID": "int", "FLUX": "array<float>", "WORD": "string"}
+    assert [tuple(r) for r in df.orderBy("ID").collect()] == [(0, [1.5], "ab"), (1, [], ""), (2, [2.0, 3.0, 4.0], "xyz")]
+
+
 def test_empty_fits(spark, tmp_path):
     path = tmp_path / "a.fits"
     path.write_bytes(table_bytes(fits_columns(0)))
