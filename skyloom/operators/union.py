@@ -19,7 +19,7 @@ def check_same_columns(frames: Mapping[str, DataFrame] | Sequence[DataFrame]) ->
     first = next(iter(named.values())).columns
     if all(f.columns == first for f in named.values()):
         return
-    lines = ["Multi-file inputs must describe one logical catalog with the same schema."]
+    lines = ["All sources must have the same schema, in the same order:"]
     lines += [f"{name}: {', '.join(f.columns)}" for name, f in named.items()]
     raise CatalogError("\n".join(lines))
 

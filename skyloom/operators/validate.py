@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -42,7 +43,7 @@ def strict_number(df: DataFrame, name: str) -> Column:
         value = F.when(value.isNull() & text.isNotNull(), F.raise_error(message).cast("double")).otherwise(value)
         return F.when(~F.isnan(value), value)
     if not is_numeric(dtype) and not isinstance(dtype, T.BooleanType):
-        raise CatalogError(f"Configured RA, DEC, and redshift columns must be numeric; '{name}' is not.")
+        raise CatalogError(f"Column '{name}' must be numeric to be validated.")
     return clean(col(name), dtype).cast("double")
 
 
@@ -89,7 +90,7 @@ def final_columns(
         absent = [n for n in standard if n not in selection]
         if absent:
             raise CatalogError(
-                "column_selection must include validated coordinate and redshift columns: " + ", ".join(absent) + "."
+                "The selection must include the coordinate and redshift columns, but lacks: " + ", ".join(absent) + "."
             )
         base = list(selection)
     else:
@@ -114,7 +115,7 @@ def standard_ranges(df: DataFrame, ra: str, dec: str, z: str, allow_blueshifts:
 
 def check_ranges(row: dict[str, Any], ra: str, dec: str, z: str, policy: str, allow_blueshifts: bool) -> None:
     """Raise on the first range an observed ``standard_ranges`` row breaks; all-missing columns pass."""
-    hint = "Use a supported coordinate conversion transformation and validate the generated column."
+    hint = "Convert it to degrees with a transformation and name the result in coordinates."
 
     def observed(key: str) -> str:
         return f"Observed range: [{row[key + '_min']}, {row[key + '_max']}]."
@@ -131,7 +132,7 @@ def check_ranges(row: dict[str, Any], ra: str, dec: str, z: str, policy: str, al
         low, high = z_range(allow_blueshifts)
         raise CatalogError(
             f"Redshift column '{z}' is outside the required range ({low}, {high}). {observed('z')} "
-            "Set redshift.invalid_policy to flag to map invalid values, or to keep to preserve them."
+            "The policies flag and keep let such rows pass."
         )
 
 
@@ -163,23 +164,41 @@ def filter_redshift(
     """Rows with a valid redshift that also pass every ``(operator, threshold)``."""
     if not filters:
         return df
-    for op, threshold in filters:
-        if op not in _OPERATORS:
-            raise CatalogError("redshift filter op must be one of: " + ", ".join(_OPERATORS) + ".")
-        if isinstance(threshold, bool) or not isinstance(threshold, (int, float)):
-            raise CatalogError("redshift filter value must be numeric.")
-    return df.where(_merged_test(_comparable(df, z), filters, allow_blueshifts))
+    return df.where(redshift_interval(filters, allow_blueshifts).test(_comparable(df, z)))
 
 
-def _merged_test(value: Column, filters: Sequence[tuple[str, float]], allow_blueshifts: bool) -> Column:
-    """The valid range and all filters as one interval plus the values it leaves out.
+@dataclass(frozen=True)
+class Interval:
+    """The redshifts a filter list keeps: one interval and the values it leaves out."""
 
-    Every mention of a computed redshift is evaluated anew once the optimizer
-    pushes the filter below its projection, so the test names it as rarely as it can.
-    """
+    low: float
+    low_open: bool
+    high: float
+    high_open: bool
+    holes: tuple[float, ...]
+
+    @property
+    def empty(self) -> bool:
+        return self.low > self.high
+
+    def test(self, value: Column) -> Column:
+        """True inside. A pushed filter evaluates a computed value at every mention, so there are few."""
+        if self.empty:
+            return F.lit(False)
+        above = (value > F.lit(self.low)) if self.low_open else (value >= F.lit(self.low))
+        below = (value < F.lit(self.high)) if self.high_open else (value <= F.lit(self.high))
+        return above & below & ~value.isin(*self.holes) if self.holes else above & below
+
+
+def redshift_interval(filters: Sequence[tuple[str, float]], allow_blueshifts: bool = True) -> Interval:
+    """The valid range and all filters together."""
     low, high = z_range(allow_blueshifts)
     low_open, high_open, holes = True, True, []
     for op, threshold in filters:
+        if op not in _OPERATORS:
+            raise CatalogError("redshift filter op must be one of: " + ", ".join(_OPERATORS) + ".")
+        if isinstance(threshold, bool) or not isinstance(threshold, (int, float)):
+            raise CatalogError("redshift filter value must be numeric.")
         t = float(threshold)
         if op in (">", ">=", "==") and (t > low or (t == low and op == ">")):
             low, low_open = t, op == ">"
@@ -187,12 +206,9 @@ def _merged_test(value: Column, filters: Sequence[tuple[str, float]], allow_blue
             high, high_open = t, op == "<"
         if op == "!=":
             holes.append(t)
-        if op == "==" and not (low <= t <= high):
-            return F.lit(False)
-    test = (value > F.lit(low)) if low_open else (value >= F.lit(low))
-    test &= (value < F.lit(high)) if high_open else (value <= F.lit(high))
-    inside = [t for t in dict.fromkeys(holes) if low <= t <= high]
-    return test & ~value.isin(*inside) if inside else test
+        if op == "==" and not low <= t <= high:
+            low, high = 1.0, 0.0
+    return Interval(low, low_open, high, high_open, tuple(t for t in dict.fromkeys(holes) if low <= t <= high))
 
 
 def spatial_metrics(df: DataFrame, ra: str, dec: str) -> list[Column]:

@@ -6,12 +6,22 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from skyloom.functions.expr import INVALID_Z, CatalogError, col, ordered_unique, require_columns, z_range
+from skyloom.functions.expr import (
+    INVALID_Z,
+    SPEED_OF_LIGHT_KMS,
+    CatalogError,
+    col,
+    is_numeric,
+    ordered_unique,
+    require_columns,
+    type_of,
+    z_range,
+)
 from skyloom.functions.healpix import INDEX_COLUMN
 from skyloom.operators.tiles import TileMap
-from skyloom.operators.transforms import apply_transformations
+from skyloom.operators.transforms import apply_transformations, generated_columns
 from skyloom.operators.validate import (
     check_ranges,
     filter_redshift,
@@ -19,6 +29,7 @@ from skyloom.operators.validate import (
     flag_redshift,
     observed,
     range_metrics,
+    redshift_interval,
     required_inputs,
     standard_ranges,
 )
@@ -104,9 +115,37 @@ def _finished(df: DataFrame, spec: CurateSpec, generated: list[str]) -> DataFram
     if spec.invalid_policy == "flag" and (not spec.filters or low < spec.invalid_value < high):
         # A filter keeps valid redshifts only, so unless the flag itself is valid there is nothing to flag.
         df = flag_redshift(df, spec.z, spec.invalid_value, spec.allow_blueshifts)
+    elif spec.filters:
+        df = _velocity_filter(df, spec)
     return filter_redshift(df, spec.z, spec.filters, spec.allow_blueshifts).select(*[col(n) for n in names])
 
 
+def _velocity_filter(df: DataFrame, spec: CurateSpec) -> DataFrame:
+    """Repeat the redshift filter on the velocity the redshift comes from.
+
+    A scan cannot use a condition on ``v / c``, but it can skip row groups by one
+    on ``v``. The bounds are a little wide; the filter itself stays.
+    """
+
+    def writes(step: dict[str, Any]) -> list[str]:
+        changed = [step["column"]] if step["type"] in ("cast", "replace_values") else []
+        return changed + generated_columns(step)
+
+    makers = [t for t in spec.transformations if spec.z in writes(t)]
+    if len(makers) != 1 or makers[0]["type"] != "velocity_to_redshift":
+        return df
+    maker = makers[0]
+    velocity = maker["velocity_column"]
+    if maker.get("output_column", "redshift") != spec.z or any(velocity in writes(t) for t in spec.transformations):
+        return df
+    if not is_numeric(type_of(df, velocity)):
+        return df
+    kept = redshift_interval(spec.filters, spec.allow_blueshifts)
+    low, high = (z * SPEED_OF_LIGHT_KMS for z in (kept.low, kept.high))
+    low, high = low - abs(low) * 1e-9, high + abs(high) * 1e-9
+    return df.where((col(velocity) >= F.lit(low)) & (col(velocity) <= F.lit(high)))
+
+
 def curate(df: DataFrame, spec: dict[str, Any] | CurateSpec, validate: bool = True) -> DataFrame:
     """Curated catalog as a lazy frame.
 

@@ -15,7 +15,7 @@ SMALL_BYTES = 100 * 1024 * 1024
 
 def refuse_existing(spark: SparkSession, path: str, overwrite: bool) -> None:
     if not overwrite and path_exists(spark, path):
-        raise CatalogError(f"Output directory already exists: {path}. Set overwrite to replace it.")
+        raise CatalogError(f"{path} already exists; overwrite=True replaces it.")
 
 
 def prepare_output(spark: SparkSession, path: str, overwrite: bool) -> None:
@@ -37,8 +37,8 @@ def resolve_output_mode(mode: str, is_small_single: bool, allow_large_single: bo
         return "single" if is_small_single else "partitioned"
     if mode == "single" and not is_small_single and not allow_large_single:
         raise CatalogError(
-            "output_mode='single' can concentrate a large or multi-file catalog into one partition. "
-            "Set allow_large_single_output if this is intentional."
+            "One output file would put a large or multi-file catalog into one task; "
+            "allow_large_single_output permits it."
         )
     return mode
 

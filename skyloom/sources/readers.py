@@ -60,7 +60,7 @@ def format_of(spark: SparkSession, path: str, column_names: Sequence[str] | None
             return "spatial"
         if "_metadata" in names or any(n.endswith((".parquet", ".pq")) for n in names):
             return "parquet"
-        raise CatalogError(f"Unsupported directory input: {path}. Expected a Parquet dataset.")
+        raise CatalogError(f"{path} is a folder without Parquet files.")
     name = re.sub(r"\.(gz|bz2)$", "", path.lower())
     if name.endswith(".txt") and column_names:
         return "whitespace"
@@ -76,7 +76,7 @@ def schema_frame(
     """A frame with the columns of a file, known from its header or footer alone (text is not typed yet)."""
     if kind == "whitespace":
         if not column_names:
-            raise CatalogError("Headerless whitespace inputs require column_names.")
+            raise CatalogError("Text without a header needs column_names.")
         return spark.createDataFrame([], ", ".join(f"`{n.replace('`', '``')}` string" for n in column_names))
     if kind == "csv":
         return spark.read.option("header", True).option("escape", '"').csv(path)

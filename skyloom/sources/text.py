@@ -99,9 +99,9 @@ def read_whitespace(
     fields = lines.select(F.split(body, " ").alias("f")).where(F.col("f")[0] != "")
     width = fields.agg(F.max(F.size("f")).alias("w")).first()["w"]
     if not column_names:
-        raise CatalogError(f"The file has no column names; provide exactly {width} in column_names.")
+        raise CatalogError(f"The file has no header; column_names must name its {width} columns.")
     if width is not None and width != len(column_names):
-        raise CatalogError(f"column_names has {len(column_names)} entries, but the file has {width} columns.")
+        raise CatalogError(f"The file has {width} columns, column_names {len(column_names)}.")
     raw = fields.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(column_names)])
     return type_columns(raw, types)
 

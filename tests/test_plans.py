@@ -44,6 +44,21 @@ def test_curation_is_a_map_with_pushed_filters_and_pruned_columns(catalog):
     assert re.search(r"ReadSchema: struct<object_id:bigint,ra:double,dec:double,z:double>", plan)
 
 
+def test_a_filter_on_a_velocity_redshift_reaches_the_scan(catalog):
+    job = {
+        "transformations": [{"type": "velocity_to_redshift", "velocity_column": "v_kms", "output_column": "zv"}],
+        "coordinates": {"ra_column": "ra", "dec_column": "dec"},
+        "redshift": {"column": "zv", "invalid_policy": "keep", "filters": [{"op": ">=", "value": 0.5}]},
+    }
+    out = skyloom.curate(catalog, job)
+    assert "GreaterThanOrEqual(v_kms," in plan_of(out)
+    want = catalog.where("v_kms / 299792.458 >= 0.5 and v_kms / 299792.458 < 20").count()
+    assert 0 < want < catalog.count() and out.count() == want
+    recast = {"type": "cast", "column": "v_kms", "dtype": "float32"}
+    changed = skyloom.curate(catalog, {**job, "transformations": [recast, *job["transformations"]]})
+    assert "GreaterThanOrEqual(v_kms," not in plan_of(changed)
+
+
 def test_validation_reads_three_columns(catalog):
     plan = plan_of(validate.standard_ranges(catalog, "ra", "dec", "z"))
     assert "ReadSchema: struct<ra:double,dec:double,z:double>" in plan
