@@ -158,11 +158,13 @@ def margin_rows(assigned: DataFrame, tiles: TileMap, ra: str, dec: str, threshol
     split = add_face_xy(assigned)
     steps = math.ceil(reach / MIN_STRETCH * (1 << INDEX_ORDER)) + 1
     side = F.expr(f"shiftleft(1L, {INDEX_ORDER} - Norder)")
-    near = []
-    for axis in ("__x", "__y"):
-        inner = F.col(axis).bitwiseAND(side - 1)
-        near += [inner <= steps, side - 1 - inner <= steps]
-    edge = split.where(near[0] | near[1] | near[2] | near[3])
+    last = side - 1
+
+    def near(axis: str) -> Column:
+        """Within reach of either end of the axis; names the (long) position expression once."""
+        return F.abs(F.col(axis).bitwiseAND(last) * 2 - last) >= last - 2 * steps
+
+    edge = split.where(near("__x") | near("__y"))
 
     def shifted(c: str) -> Column:
         return F.shiftright(c, INDEX_ORDER - order)
