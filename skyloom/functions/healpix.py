@@ -109,7 +109,8 @@ def add_sky_index(
     step = _with(
         step,
         kept,
-        __f=f"""case when {belt} then case when __fu = __fv then __fu | 4L when __fu < __fv then __fu else __fv + 8L end
+        # least() skips NULLs, so a missing coordinate has to be passed on here.
+        __f=f"""case when __u is null then null when {belt} then case when __fu = __fv then __fu | 4L when __fu < __fv then __fu else __fv + 8L end
             when __z >= 0 then __q else __q + 8L end""",
         __x=f"case when {belt} then __v & {last} when __z >= 0 then {last} - __b else __a end",
         __y=f"case when {belt} then {last} - (__u & {last}) when __z >= 0 then {last} - __a else __b end",

@@ -39,9 +39,9 @@ def test_index_is_hierarchical_and_inverts(spark):
 
 
 def test_index_of_known_fields_and_gaps(spark):
-    df = spark.createDataFrame([(242.75, 54.5), (8.75, -43.5), (None, 1.0), (1.0, math.nan)], "ra double, dec double")
+    df = spark.createDataFrame([(242.75, 54.5), (8.75, -43.5), (None, 1.0), (1.0, math.nan), (math.nan, 80.0), (None, -80.0), (1.0, None)], "ra double, dec double")
     got = [r["k"] for r in add_sky_index(df, "ra", "dec", 0, "k").collect()]
-    assert got == [2, 8, None, None]
+    assert got == [2, 8, None, None, None, None, None]
 
 
 def test_filters_on_the_index_stay_compilable(spark):
