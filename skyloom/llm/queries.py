@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import packing, sentencepieces, topk
+from skyloom.llm import langid, packing, quality, sentencepieces, topk, toxicity
 from skyloom.llm.shared import table
 
 
@@ -26,6 +26,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+#: Chain of op5 over the labels: junk first, for it hides words; toxic last.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    toxic = F.col("p_toxic") >= 0.5
+    return scored.select("doc_id", "p_low_quality", "p_toxic", toxic.alias("toxic"), (~toxic).alias("kept"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = langid.identify(docs, "text", declared="lang", host="source")
+    return found.select("doc_id", "language", "posterior", F.col("language_accepted").alias("kept"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return coded.select(
@@ -36,4 +57,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_best_fit_packing, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_best_fit_packing, op5_toxicity, op7_language_id, op8_quality_rules, op10_sentencepiece)}

@@ -44,9 +44,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word ``[^\\x20\\x09-\\x0D]+`` in the buffer, and the first word of each text (n + 1)."""
-    inside = ~_SPACE[data]
+#: Bytes of letters: A-Z, a-z and everything beyond ASCII.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word in the buffer, and the first word of each text (n + 1).
+
+    A word is ``[^\\x20\\x09-\\x0D]+``, or a run of the bytes marked by ``inside``.
+    """
+    inside = ~_SPACE[data] if inside is None else inside
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -99,5 +107,8 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def tidy(batch_columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(batch_columns[f.name], f.type) for f in schema], schema=schema)
+def bounded_sample(labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled ids with their 0/1 labels, chosen by a hash of the id: the same choice at every run."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
+    one = usable.groupBy("doc_id").agg(F.max(column).cast("double").alias("y"))
+    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
