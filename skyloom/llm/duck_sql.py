@@ -15,3 +15,38 @@ select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 where rank <= 10
 """
+
+SQL["op4_chat_tool_links"] = """
+with recursive turns as (
+  select conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
+calls as (
+  select conv_id, turn, min(case role when 'user' then 'answer' else 'configure' end) as tool, min(text) as text
+  from turns where role in ('user', 'system') group by conv_id, turn),
+results as (
+  select conv_id, turn - 1 as turn, arg_min(text, turn) as content, count(*) as n from turns where role = 'assistant' group by conv_id, turn),
+edges as (
+  select c.conv_id, c.turn, p.turn as parent from calls c join calls p on p.conv_id = c.conv_id and p.turn in (c.turn - 1, c.turn - 2)),
+paths(conv_id, turn, level) as (
+  select conv_id, turn, 0 from calls
+  union
+  select e.conv_id, e.turn, p.level + 1 from paths p join edges e on e.conv_id = p.conv_id and e.parent = p.turn),
+levels as (select conv_id, turn, max(level) as level from paths group by conv_id, turn),
+joined as (
+  select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.turn, r.turn) as turn, c.tool, c.text, l.level, r.content, r.n,
+    c.turn is not null as is_call, r.turn is not null as is_result
+  from calls c full join results r on c.conv_id = r.conv_id and c.turn = r.turn
+  left join levels l on l.conv_id = c.conv_id and l.turn = c.turn),
+checked as (
+  select *, conv_id || '-' || turn as call_id,
+    is_call and text is not null and (tool = 'configure' or length(text) <= 400) as valid
+  from joined)
+select conv_id, call_id, tool, level, valid, is_call and is_result as linked, coalesce(n, 0) as n_results,
+  '{"arguments":' || case when is_call then '{"prompt":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"turn":' || turn || '}' else 'null' end
+  || ',"call_id":"' || call_id || '","level":' || coalesce(cast(level as varchar), 'null')
+  || ',"parents":' || case when not is_call or turn < 1 then '[]' when turn = 1 then '["' || conv_id || '-0"]'
+       else '["' || least(conv_id || '-' || (turn - 1), conv_id || '-' || (turn - 2)) || '","' || greatest(conv_id || '-' || (turn - 1), conv_id || '-' || (turn - 2)) || '"]' end
+  || ',"result":' || coalesce(cast(to_json(content) as varchar), 'null')
+  || ',"tool":' || case when is_call then '"' || tool || '"' else 'null' end
+  || ',"valid":' || cast(valid as varchar) || '}' as json
+from checked
+"""

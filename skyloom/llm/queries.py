@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import langid, packing, quality, sentencepieces, topk, toxicity
+from skyloom.llm import chat, langid, packing, quality, sentencepieces, topk, toxicity, url_filter
 from skyloom.llm.shared import table
 
 
@@ -21,11 +21,20 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op4_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.from_conversations(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.SCHEMAS)
+
+
 #: Chain of op5 over the labels: junk first, for it hides words; toxic last.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -57,4 +66,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op3_best_fit_packing, op5_toxicity, op7_language_id, op8_quality_rules, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filters, op3_best_fit_packing, op4_chat_tool_links, op5_toxicity, op7_language_id, op8_quality_rules, op10_sentencepiece)}
