@@ -50,3 +50,33 @@ select conv_id, call_id, tool, level, valid, is_call and is_result as linked, co
   || ',"valid":' || cast(valid as varchar) || '}' as json
 from checked
 """
+
+SQL["op6_line_dedup"] = r"""
+with raw as materialized (
+  select doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) as idx, unnest(string_split(text, chr(10))) as line
+  from documents),
+worded as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
+    count(*) filter (regexp_matches(line, '[^\x20\x09-\x0D]')) over (partition by doc_id order by idx) as ord
+  from raw),
+l as materialized (
+  select doc_id, ord, line, words, sum(words) over (partition by doc_id order by ord) as upto from worded where words > 0),
+runs as (
+  select s.doc_id, s.ord as a, min(e.ord) as b from l s join l e
+    on e.doc_id = s.doc_id and e.ord >= s.ord and e.upto - s.upto + s.words >= 50 group by s.doc_id, s.ord
+  union
+  select e.doc_id, max(s.ord) as a, e.ord as b from l s join l e
+    on e.doc_id = s.doc_id and e.ord >= s.ord and e.upto - s.upto + s.words >= 50 group by e.doc_id, e.ord),
+content as (
+  select r.doc_id, r.a, r.b, string_agg(l.line, chr(10) order by l.ord) as body
+  from runs r join l on l.doc_id = r.doc_id and l.ord between r.a and r.b group by r.doc_id, r.a, r.b),
+ranked as (select *, row_number() over (partition by body order by doc_id, a) as nth from content),
+gone as (select distinct l.doc_id, l.ord from ranked r join l on l.doc_id = r.doc_id and l.ord between r.a and r.b where r.nth > 1),
+left_over as (
+  select w.doc_id, string_agg(w.line, chr(10) order by w.idx) as text, count(*) filter (w.words > 0) as n
+  from worded w left join gone g on g.doc_id = w.doc_id and g.ord = w.ord where g.ord is null group by w.doc_id),
+removed as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text,
+  coalesce(r.n, 0) as removed_lines, coalesce(r.n, 0) > 0 and coalesce(k.n, 0) = 0 as emptied
+from documents d left join left_over k on k.doc_id = d.doc_id left join removed r on r.doc_id = d.doc_id
+"""

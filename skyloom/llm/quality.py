@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import forest
-from skyloom.llm.shared import bounded_sample, mix, slices, text_buffer, word_bounds, word_hashes
+from skyloom.llm.shared import bounded_sample, line_bounds, mix, slices, text_buffer, word_bounds, word_hashes
 
 #: Labelled rows that the trees are fitted to at most; which ones depends on their ids only.
 TRAIN_ROWS = 20_000
@@ -66,15 +66,7 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
             covered[twice + k] = True
 
     # Lines that hold a word; a line is its bytes.
-    breaks = np.flatnonzero(data == 10)
-    line_start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
-    line_text = np.searchsorted(offsets[1:], line_start, side="right")
-    ok = (line_start < len(data)) & (line_text < n)
-    line_start, line_text = line_start[ok], line_text[ok]
-    line_start, keep = np.unique(line_start, return_index=True)
-    line_text = line_text[keep]
-    line_end = np.minimum(np.append(line_start[1:], len(data)), offsets[line_text + 1]) if len(line_start) else line_start
-    line_end = line_end - ((line_end > line_start) & (data[np.maximum(line_end - 1, 0)] == 10)) if len(line_start) else line_end
+    line_start, line_end, line_text = line_bounds(data, offsets)
     worded = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, line_text = line_start[worded], line_end[worded], line_text[worded]
     dup = np.zeros(0, bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, langid, packing, quality, sentencepieces, topk, toxicity, url_filter
+from skyloom.llm import chat, langid, line_dedup, packing, quality, sentencepieces, topk, toxicity, url_filter
 from skyloom.llm.shared import table
 
 
@@ -46,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_low_quality", "p_toxic", toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = langid.identify(docs, "text", declared="lang", host="source")
@@ -66,4 +70,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filters, op3_best_fit_packing, op4_chat_tool_links, op5_toxicity, op7_language_id, op8_quality_rules, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filters, op3_best_fit_packing, op4_chat_tool_links, op5_toxicity, op6_line_dedup, op7_language_id, op8_quality_rules, op10_sentencepiece)}

@@ -65,6 +65,23 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every \\n-split line of each text, empty lines too; the break is not part of a line."""
+    breaks = np.flatnonzero(data == 10)
+    text_of = np.searchsorted(offsets[1:], breaks, side="right")
+    per_text = np.bincount(text_of, minlength=len(offsets) - 1) + 1
+    last = np.cumsum(per_text) - 1
+    ends = np.empty(len(breaks) + len(per_text), np.int64)
+    ends[last] = offsets[1:]
+    rest = np.ones(len(ends), bool)
+    rest[last] = False
+    ends[rest] = breaks
+    starts = np.empty_like(ends)
+    starts[1:] = ends[:-1] + 1
+    starts[last - per_text + 1] = offsets[:-1]
+    return starts, ends, np.repeat(np.arange(len(per_text)), per_text)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,15 +103,15 @@ _BASE = 0xD6E8FEB86659FD93
 _POWERS: list[np.ndarray] = []
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: differences of a running polynomial, taken back to the word's start."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: differences of a running polynomial, taken back to the span's start."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(data) + 1
     if not _POWERS or len(_POWERS[0]) < n:
         _POWERS[:] = [_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)]
     running = np.zeros(n, np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) + _ODD) * _POWERS[0][: n - 1], out=running[1:])
+    np.cumsum(mix(data.astype(np.uint64) + _ODD + np.uint64(seed << 8)) * _POWERS[0][: n - 1], out=running[1:])
     return mix((running[ends] - running[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
