@@ -80,3 +80,27 @@ select d.doc_id, case when d.text is null then null else coalesce(k.text, '') en
   coalesce(r.n, 0) as removed_lines, coalesce(r.n, 0) > 0 and coalesce(k.n, 0) = 0 as emptied
 from documents d left join left_over k on k.doc_id = d.doc_id left join removed r on r.doc_id = d.doc_id
 """
+
+SQL["op9_ngram_jaccard_join"] = r"""
+with recursive w as materialized (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents),
+s as materialized (
+  select distinct doc_id, unnest(case when words is null or len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i:i + 4], ' ')) end) as shingle
+  from w),
+sizes as materialized (select doc_id, count(*) as n from s group by doc_id),
+pairs as materialized (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared
+  from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as materialized (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared >= 75 * (p.n + q.n - shared)),
+both_ways as materialized (select x, y from links union all select y, x from links),
+reach(doc_id, seen) as (
+  select doc_id, doc_id from documents
+  union
+  select r.doc_id, b.y from reach r join both_ways b on b.x = r.seen)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, min(r.seen) as component_id
+from documents d left join sizes z on z.doc_id = d.doc_id join reach r on r.doc_id = d.doc_id
+group by d.doc_id, z.n
+"""

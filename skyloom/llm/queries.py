@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, langid, line_dedup, packing, quality, sentencepieces, topk, toxicity, url_filter
+from skyloom.llm import chat, jaccard_join, langid, line_dedup, packing, quality, sentencepieces, topk, toxicity, url_filter
 from skyloom.llm.shared import table
 
 
@@ -60,6 +60,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text_hash")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return coded.select(
@@ -70,4 +74,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filters, op3_best_fit_packing, op4_chat_tool_links, op5_toxicity, op6_line_dedup, op7_language_id, op8_quality_rules, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filters, op3_best_fit_packing, op4_chat_tool_links, op5_toxicity, op6_line_dedup, op7_language_id, op8_quality_rules, op9_ngram_jaccard_join, op10_sentencepiece)}
