@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import LETTER, lower_ascii, mix, slices, text_buffer
+from skyloom.llm.shared import LETTER, box_type, boxed, lower_ascii, mix, slices, text_buffer
 from skyloom.session import as_table
 
 #: Trigrams are counted in so many buckets.
@@ -83,7 +83,9 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
     """
     part = {"_text": text, "_declared": declared, "_suffix": suffix, "_host": host}
     added = ["language", "posterior", "language_accepted"]
-    rows = docs.drop(*added).withColumns({k: (docs[v] if v else F.lit(None)).cast("string") for k, v in part.items()})
+    bare = docs.drop(*added)
+    evidence = [(F.col(f"`{v}`") if v else F.lit(None)).cast("string").alias(k) for k, v in part.items()]
+    rows = docs.select(boxed(bare), *evidence)
     counts = rows.groupBy("_host", "_suffix", "_declared").agg(F.count("*").alias("_n"))
     # Hosts are many; their counts are written once and read for each level.
     counts = as_table(counts, "language-counts")
@@ -91,7 +93,7 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
     wanted = counts.where("_declared is not null").groupBy("_declared").agg(F.sum("_n").alias("n"))
     languages = {r[0]: r[1] for r in wanted.where(F.col("n") >= LEAST_SHARE * total).collect()}
     if not languages:
-        return docs.drop(*added).withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "language_accepted": F.lit(False)})
+        return bare.withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "language_accepted": F.lit(False)})
     names = sorted(languages)
     every = [languages[x] / sum(languages.values()) for x in names]
     model = rows.sparkSession.sparkContext.broadcast(_text_model(rows, names))
@@ -106,8 +108,7 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
     joined = rows.join(h, (F.col("_host") == F.col("h_host")) & F.col("_suffix").eqNullSafe(F.col("h_suffix")), "left")
     joined = joined.join(s, F.col("_suffix").eqNullSafe(F.col("s_suffix")), "left")
     prior = [F.coalesce(F.col(f"h_q{i}"), F.col(f"s_q{i}"), F.lit(x)) for i, x in enumerate(every)]
-    keep = docs.drop(*added).columns
-    ready = joined.select(*keep, "_text", "_declared", F.array(*prior).alias("_prior"))
+    ready = joined.select("_row", "_text", "_declared", F.array(*prior).alias("_prior"))
 
     def fuse(batches):
         logs, index = model.value, {name: i for i, name in enumerate(names)}
@@ -126,11 +127,11 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
                 best = score.argmax(axis=1)
                 p = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
                 none = seen == 0
-                out = [part.column(c) for c in keep]
+                out = [part.column("_row")]
                 out.append(pa.array(np.array(names, object)[best], pa.string(), mask=none))
                 out.append(pa.array(p, pa.float64(), mask=none))
                 out.append(pa.array(~none & (p >= 0.5)))
-                yield pa.RecordBatch.from_arrays(out, names=[*keep, *added])
+                yield pa.RecordBatch.from_arrays(out, names=["_row", *added])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(*added).schema)
-    return ready.mapInArrow(fuse, f"{kinds}, language string, posterior double, language_accepted boolean")
+    kinds = box_type(bare, ("language", "string"), ("posterior", "double"), ("language_accepted", "boolean"))
+    return ready.mapInArrow(fuse, kinds).select("_row.*", *added)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import line_bounds, mix, slices, text_buffer, word_bounds, word_hashes
+from skyloom.llm.shared import boxed, line_bounds, mix, slices, text_buffer, word_bounds, word_hashes
 from skyloom.session import as_table
 
 #: A run of lines must have so many words to count as repeated.
@@ -162,13 +162,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("removed_lines", "emptied")
     least = F.lit(-(2**63)).cast("long")
-    marked = docs.withColumns({"_d": F.coalesce("doc_id", least), "_t": F.xxhash64("text")})
+    marked = docs.select(boxed(docs), F.coalesce("doc_id", least).alias("_d"), F.xxhash64("text").alias("_t"), "text")
     spans = repeated_lines(marked.select("_d", "_t", "text"), min_words)
     joined = marked.join(spans.hint("shuffle_hash"), _DOC, "left")
     gone = lambda i: F.exists("_spans", lambda s: (i >= s["_lo"]) & (i < s["_hi"]))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~gone(i)), "\n")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left)
-    others = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
     removed = F.coalesce("_n", F.lit(0)).cast("long")
+    others = [F.col(f"_row.`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
     out = joined.select(*others, removed.alias("removed_lines"))
     return out.withColumn("emptied", (F.col("removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import slices
+from skyloom.llm.shared import boxed, slices
 from skyloom.llm.word_bpe import encoder
 from skyloom.session import as_table
 
@@ -87,10 +87,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     each get a place of their own. No pieces give no rows.
     """
     spark = pieces.sparkSession
-    pieces = as_table(pieces.drop("sequence_id", "offset", "_part", "_parts"), "pieces")
+    given = pieces.drop("sequence_id", "offset")
+    pieces = as_table(given.select(boxed(given), "doc_id", "piece", "length"), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row a length
     if not counts:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.select("_row.*").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     parts = spark.createDataFrame([(n, -(-c // RANKED_TOGETHER)) for n, c in counts.items()], "length long, _parts long")
     slots = spark.createDataFrame(plan_slots(counts, capacity), "length long, _first long, _n long, _each long, _sequence long, _offset long")
 
@@ -104,7 +105,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     at = F.col("_rank") - F.col("_first")
     placed = ranked.join(F.broadcast(slots), "length").where((at >= 0) & (at < F.col("_n")))
     return placed.select(
-        *pieces.columns,
+        "_row.*",
         (F.col("_sequence") + ((at - at % F.col("_each")) / F.col("_each")).cast("long")).alias("sequence_id"),
         (F.col("_offset") + at % F.col("_each") * F.col("length")).alias("offset"),
     )

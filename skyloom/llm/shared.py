@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step inside a task works on.
 SLICE_BYTES = 4_000_000
@@ -124,6 +125,19 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def boxed(df: DataFrame):
+    """All columns of a row in one, so that names used inside an operator cannot clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def box_type(df: DataFrame, *more: tuple[str, str]) -> T.StructType:
+    """Schema of a boxed row and further columns (name, type)."""
+    out = T.StructType([T.StructField("_row", df.schema)])
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
+
+
 def bounded_sample(labels: DataFrame, column: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled ids with their 0/1 labels, chosen by a hash of the id: the same choice at every run."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import jaccard_join, langid, line_dedup, packing, toxicity
 from skyloom.llm.queries import CATEGORIES, tokenizer
-from skyloom.llm.shared import table
+from skyloom.llm.shared import boxed, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,11 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     found = jaccard_join.join(docs)
     other = found.where("doc_id is not null and component_id <> doc_id").select("doc_id", "_text_hash").distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    marked = docs.select(boxed(docs), "doc_id", F.xxhash64("text").alias("_text_hash"))
     left = marked.join(other, ["doc_id", "_text_hash"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
     left = left.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(nth))
-    return left.where("_nth = 1").select(docs.columns)
+    return left.where("_nth = 1").select("_row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

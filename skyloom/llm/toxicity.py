@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import LETTER, bounded_sample, lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
+from skyloom.llm.shared import LETTER, bounded_sample, box_type, boxed, lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
 
 #: Labelled rows the chain is fitted to at most.
 TRAIN_ROWS = 8_000
@@ -169,7 +169,6 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
     chain = fit(docs, labels, categories, rows)
     names = [f"p_{n}" for n in categories]
     docs = docs.drop(*names)
-    keep = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
@@ -184,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
                 for link in links:
                     earlier = np.column_stack([earlier, np.clip(_odds(link, row, feature, n, earlier), -8, 8)])
                 p = 1 / (1 + np.exp(-earlier))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x) for x in p.T)], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *(pa.array(x) for x in p.T)], names=["_row", *names])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} double" for n in names)])
-    return docs.mapInArrow(run, kinds)
+    kinds = box_type(docs, *((n, "double") for n in names))
+    return docs.select(boxed(docs), "text").mapInArrow(run, kinds).select("_row.*", *names)
