@@ -32,13 +32,15 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Bucket and text of every trigram around a letter; everything but letters reads as a space."""
     data, offsets = text_buffer(texts)
     n = len(offsets) - 1
-    if len(data) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), n
     plain = np.where(LETTER[data], lower_ascii(data), 32).astype(np.uint64)
     text_of = np.repeat(np.arange(n), np.diff(offsets))
-    ok = (plain[1:-1] != 32) & (text_of[2:] == text_of[:-2])
-    codes = (plain[:-2][ok] << np.uint64(16)) | (plain[1:-1][ok] << np.uint64(8)) | plain[2:][ok]
-    return (mix(codes) & np.uint64(BUCKETS - 1)).astype(np.int64), text_of[:-2][ok], n
+    padded = np.concatenate([[np.uint64(32)], plain, [np.uint64(32)]])
+    edge = np.concatenate([[True], text_of[1:] != text_of[:-1], [True]]) if len(plain) else np.ones(1, bool)
+    before = np.where(edge[:-1], np.uint64(32), padded[:-2])
+    after = np.where(edge[1:], np.uint64(32), padded[2:])
+    ok = plain != 32
+    codes = (before[ok] << np.uint64(16)) | (plain[ok] << np.uint64(8)) | after[ok]
+    return (mix(codes) & np.uint64(BUCKETS - 1)).astype(np.int64), text_of[ok], n
 
 
 def _text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:

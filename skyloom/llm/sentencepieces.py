@@ -27,6 +27,7 @@ def _words(text: str) -> list[str]:
     and its characters; '' is a single marker at the end of a text."""
     if not text:
         return []
+    text = text.replace(_MARKER, " ")  # the library takes both for the marker
     if "  " not in text and text[0] != " " and text[-1] != " ":
         return text.split(" ")
     # The marker before the first word is the one the library puts before a text.
