@@ -119,7 +119,7 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
             for part in slices(batch, "_text"):
                 codes, text_of, n = _trigrams(part.column("_text"))
                 seen = np.bincount(text_of, minlength=n)
-                score = np.stack([np.bincount(text_of, logs[codes, i], n) for i in range(len(names))], axis=1)
+                score = np.stack([np.bincount(text_of, logs[codes, i], n) for i in range(len(names))], axis=1).astype(float)
                 score *= (np.minimum(seen, EVIDENCE) / np.maximum(seen, 1))[:, None]
                 score += np.log(np.array(part.column("_prior").to_pylist(), float).reshape(n, len(names)))
                 said = np.array([index.get(x, -1) for x in part.column("_declared").to_pylist()], np.int64)
