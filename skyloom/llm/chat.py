@@ -47,34 +47,60 @@ def _valid(tool: Column, value: Column, schemas: dict[str, dict]) -> Column:
     return verdict
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """For each call with one parent: the nearest ancestor without that property (anchor), and the steps to it.
+
+    Pointers double their reach each round; a pointer that still moves after as many rounds
+    as the number of calls has digits is on or behind a cycle and gets a null anchor.
+    """
+    single = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("parent").alias("anchor")).where("n = 1")
+    jumps = as_table(single.select(*KEY, "anchor", F.lit(1).cast("long").alias("steps")), "chains")
+    rounds = jumps.count().bit_length() + 1
+    for left in range(rounds, 0, -1):
+        on = jumps.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"))
+        moved = jumps.join(on, ["conv_id", "anchor"], "left")
+        anchor = F.coalesce("next", "anchor") if left > 1 else F.when(F.col("next").isNull(), F.col("anchor"))
+        steps = F.col("steps") + F.coalesce("more", F.lit(0))
+        jumps = as_table(moved.select(*KEY, anchor.alias("anchor"), steps.alias("steps"), F.col("next").isNotNull().alias("moved")), "chains")
+        if jumps.where("moved").isEmpty():
+            break
+    return jumps.drop("moved")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """Topological level of each call: 0 without parents, else one more than its highest parent.
 
     ``calls``: conv_id, call_id (distinct), parents. Parents that are no calls of the same
-    conversation are ignored. Calls on or behind a cycle get null. One round a level.
+    conversation are ignored. Calls on or behind a cycle get null. Chains of calls with one
+    parent each are followed in a logarithmic number of rounds; what is left, the calls with
+    several parents, takes one round for each of them on the longest way.
     """
     nodes = as_table(calls.select(*KEY), "calls")
     edges = calls.select(*KEY, F.explode(F.array_distinct("parents")).alias("parent"))
     known = nodes.select("conv_id", F.col("call_id").alias("parent"))
     edges = as_table(edges.join(known, ["conv_id", "parent"]), "call-edges")
-    left, level, found = edges.count(), 0, []
-    front = as_table(nodes.join(edges, KEY, "left_anti"), "call-level")
-    while True:
-        found.append(front.withColumn("level", F.lit(level)))
-        if not left:
-            break
-        done = front.select("conv_id", F.col("call_id").alias("parent"))
-        rest = as_table(edges.join(done, ["conv_id", "parent"], "left_anti"), "call-edges")
-        still = rest.count()
-        if still == left:  # only cycles and what hangs on them
-            found.append(rest.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int")))
+    chains = _chains(edges)
+    several = edges.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    by_parent = chains.select("conv_id", F.col("call_id").alias("parent"), "anchor", "steps", F.lit(True).alias("chained"))
+    short = edges.join(several, KEY).join(by_parent, ["conv_id", "parent"], "left")
+    anchor = F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("parent"))
+    short = as_table(short.select(*KEY, anchor.alias("anchor"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "short-edges")
+
+    zero = nodes.join(edges, KEY, "left_anti").select(*KEY, F.lit(0).cast("long").alias("level"))
+    found, waiting = as_table(zero, "call-levels"), short.select(*KEY).distinct().count()
+    while waiting:
+        at = found.select("conv_id", F.col("call_id").alias("anchor"), "level")
+        met = short.join(at, ["conv_id", "anchor"], "left").groupBy(*KEY)
+        ready = met.agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.max(F.col("level").isNull()).alias("open"))
+        new = as_table(ready.where("not open").select(*KEY, "level").join(found, KEY, "left_anti"), "call-levels")
+        reached = new.count()
+        if not reached:  # only cycles and what hangs on them
             break
-        front = as_table(edges.select(*KEY).distinct().join(rest, KEY, "left_anti"), "call-level")
-        edges, left, level = rest, still, level + 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        found, waiting = as_table(found.union(new), "call-levels"), waiting - reached
+    at = found.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    behind = chains.join(at, ["conv_id", "anchor"], "left").select(*KEY, (F.col("level") + F.col("steps")).alias("level"))
+    some = found.unionByName(behind)
+    return nodes.join(some, KEY, "left").select(*KEY, F.col("level").cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

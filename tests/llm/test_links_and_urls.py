@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -44,6 +45,20 @@ def test_links_levels_and_schemas(spark):
     assert json.loads(got[1, "e"].json)["arguments"] == "not json" and json.loads(got[2, "a"].json)["arguments"] is None
 
 
+def test_levels_of_long_chains_and_graphs(spark):
+    rng = random.Random(13)
+    calls, want = [], {}
+    for conv in range(12):
+        for i in range(60):
+            parents = [] if i == 0 else [i - 1] if conv < 4 else [i - 2] if conv < 6 and i > 1 else rng.sample(range(i), rng.randint(0, min(i, 2)))
+            calls.append((conv, str(i), [*map(str, parents), "none"]))
+            want[conv, str(i)] = max((want[conv, str(p)] + 1 for p in parents), default=0)
+    calls += [(90, "a", ["b"]), (90, "b", ["c"]), (90, "c", ["a"]), (90, "d", ["a", "e"]), (90, "e", []), (90, "f", ["d"]), (90, "g", ["g"])]
+    want |= {(90, x): 0 if x == "e" else None for x in "abcdefg"}
+    got = chat.levels(spark.createDataFrame(calls, "conv_id long, call_id string, parents array<string>"))
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
+
+
 def test_no_calls(spark):
     assert linked(spark, [], []) == {}
 
