@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-MOST = 600_000
+MOST = 300_000
 
 
 class _Codes(dict):

@@ -34,6 +34,8 @@ PART, WHOLE = 75, 100
 #: Counters of the global order.
 ORDER_BITS = 20
 FRAGMENTS = 4
+#: Prefix rows that a task puts together before it sends them.
+HELD = 1_000_000
 #: Bits that tell which rows' sets are wanted; a false hit costs work, never a result.
 FILTER_BITS = 24
 
@@ -133,11 +135,22 @@ def _prefixes(owner, found, size, counters) -> tuple[np.ndarray, np.ndarray, np.
     return owner[inside], found[inside], place[inside]
 
 
-_ROW = "t long, e long, n int, i int, o long"
+#: Shingle, set, and its size and the shingle's place in one number; DIRECT there: a pair of sets (in t and e).
+_ROW = "t long, e long, p long"
+_DIRECT = -1
+
+
+def _met(e: np.ndarray, n: np.ndarray, i: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Pairs of each set with the one at ``to``. Of a pair that cannot link both sets come as pairs with themselves:
+    the shingle may still link them with others."""
+    other = e != e[to]
+    can = other & _possible(n, i, n[to], i[to])
+    alone = np.concatenate([e[other & ~can], e[to][other & ~can]])
+    return np.stack([np.concatenate([e[to][can], alone]), np.concatenate([e[can], alone])])
 
 
 def _star_rows(docs: DataFrame, counters) -> DataFrame:
-    """For each shingle of a prefix and task its least set (t, e, n, i), and the pairs of other sets of the task with it (e, o; t null)."""
+    """For each shingle of a prefix and part of a task its least set, and the pairs of the part's other sets with it."""
 
     def run(batches):
         seen, held = set(), []
@@ -149,7 +162,7 @@ def _star_rows(docs: DataFrame, counters) -> DataFrame:
                 ok = new[owner]
                 owner = owner[ok]
                 held.append((found[ok].view(np.int64), e[owner], size[owner].astype(np.int32), place[ok].astype(np.int32)))
-                if sum(len(h[0]) for h in held) > 4_000_000:  # what one part of a task holds
+                if sum(len(h[0]) for h in held) > HELD:  # what one part of a task holds
                     yield from combine(held)
                     held = []
         yield from combine(held)
@@ -164,33 +177,27 @@ def _star_rows(docs: DataFrame, counters) -> DataFrame:
         lead[1:] = t[1:] != t[:-1]
         to = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(t) else np.zeros(0, np.int64)
         wide = lambda x: x.astype(np.int64)
-        pair = ~lead & (e != e[to]) & _possible(wide(n), wide(i), wide(n[to]), wide(i[to]))
-        pairs = np.unique(np.stack([e[to][pair], e[pair]]), axis=1)
-        none = np.zeros(pairs.shape[1], np.int32)
-        yield batch_of(t[lead], e[lead], n[lead], i[lead], None)
-        yield batch_of(None, pairs[1], none, none, pairs[0])
+        pairs = np.unique(_met(e, wide(n), wide(i), to), axis=1)
+        yield batch_of(t[lead], e[lead], wide(n[lead]) << 32 | wide(i[lead]))
+        yield batch_of(pairs[0], pairs[1], np.full(pairs.shape[1], _DIRECT))
 
-    def batch_of(t, e, n, i, o):
-        empty = pa.nulls(len(e), pa.int64())
-        return pa.RecordBatch.from_arrays([empty if t is None else pa.array(t), pa.array(e), pa.array(n), pa.array(i), empty if o is None else pa.array(o)], names=["t", "e", "n", "i", "o"])
+    def batch_of(t, e, p):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t, e, p)], names=["t", "e", "p"])
 
     return docs.select("text").mapInArrow(run, _ROW)
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
     """Candidates a < b: every set of a shingle with the shingle's least set. One shuffle; a task sends one row a shingle."""
-    key = F.coalesce("t", F.xxhash64("e", "o"))
-    ordered = rows.withColumn("k", key).repartition("k").sortWithinPartitions("k", "e")
+    ordered = rows.repartition("t").sortWithinPartitions("t", "e")
 
     def meet(batches):
         last = None
         for batch in batches:
-            t, e, n, i, o = (batch.column(c) for c in ("t", "e", "n", "i", "o"))
-            ready = np.asarray(t.is_null())
-            direct = pa.RecordBatch.from_arrays([o.filter(pa.array(ready)), e.filter(pa.array(ready))], names=["a", "b"])
-            yield direct
-            keep = pa.array(~ready)
-            t, e, n, i = (np.asarray(c.filter(keep)).astype(np.int64) for c in (t, e, n, i))
+            t, e, p = (np.asarray(batch.column(c)).astype(np.int64) for c in ("t", "e", "p"))
+            direct = p == _DIRECT
+            yield pa.RecordBatch.from_arrays([pa.array(t[direct]), pa.array(e[direct])], names=["a", "b"])
+            t, e, n, i = t[~direct], e[~direct], p[~direct] >> 32, p[~direct] & 0xFFFFFFFF
             if not len(t):
                 continue
             if last is not None and last[0] == t[0]:  # the shingle goes on from the batch before
@@ -199,10 +206,9 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
             lead[1:] = t[1:] != t[:-1]
             to = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             last = tuple(int(c[to[-1]]) for c in (t, e, n, i))
-            pair = (e != e[to]) & _possible(n, i, n[to], i[to])
-            yield pa.RecordBatch.from_arrays([pa.array(e[to][pair]), pa.array(e[pair])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _met(e, n, i, to)], names=["a", "b"])
 
-    return ordered.select("t", "e", "n", "i", "o").mapInArrow(meet, "a long, b long").distinct()
+    return ordered.mapInArrow(meet, "a long, b long").distinct()
 
 
 def _wanted_sets(docs: DataFrame, wanted, counters) -> DataFrame:
@@ -309,6 +315,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = as_table(_wanted_sets(rows, wanted, counters), "sets")
     whole = found.where("t is null").select("e", "n", "fragment", "tokens").dropDuplicates(["e", "fragment"])
     prefixes = found.where("t is not null").select("e", "n", "t", "i").dropDuplicates(["e", "t"]).join(named, "e", "left_semi")
+    pairs = pairs.where("a <> b")
     links = as_table(_links(pairs, whole), "links")
     roots = components(links)
 

@@ -28,6 +28,9 @@ def near():
     rows += [edited(rng, hot, rng.randint(0, 3)) for _ in range(60)]  # one large group
     rows += [hot + " " + prose(rng, 15) for _ in range(40)]  # around the threshold
     rows += [prose(rng, 40) + " " + hot for _ in range(20)]  # a passage that unlike documents share
+    for _ in range(12):  # texts inside much longer ones
+        inner = prose(rng, 40, 10**6)
+        rows += [inner, edited(rng, inner, 1), edited(rng, inner, 1), *(inner + " " + prose(rng, 200, 10**6) for _ in range(3))]
     rows += [None, "", " \n", "a b", "a b", "A  B", "a b c d e", "one", "w " * 300, "w " * 200]
     rng.shuffle(rows)
     ids = list(range(len(rows)))
