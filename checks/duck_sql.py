@@ -120,17 +120,20 @@ def index_sql(source: str, order: int, keep: str) -> str:
               from {source}))))))"""
 
 
-_LEVELS = " union all ".join(
-    f"select cast({o} as integer) as \"Norder\", idx >> {2 * (TILE_ORDER - o)} as \"Npix\","
-    f" idx >> {2 * (TILE_ORDER - o + 1)} as parent, count(*) as n_rows from cells group by 2, 3"
-    for o in range(TILE_ORDER + 1)
-)
 _TILES = (
-    f"cells as (select idx from {index_sql(CAT, TILE_ORDER, 'object_id')}), levels as ({_LEVELS}),"
-    f' tiles as (select t."Norder", t."Npix", t.n_rows from levels t left join levels p on p."Norder" = t."Norder" - 1'
+    f"cells as materialized (select object_id, idx from {index_sql(CAT, TILE_ORDER, 'object_id')}),"
+    f" levels as materialized (select l as \"Norder\", idx >> (2*({TILE_ORDER} - l)) as \"Npix\","
+    f" idx >> (2*({TILE_ORDER} - l + 1)) as parent, count(*) as n_rows"
+    f" from cells, (select unnest(range({TILE_ORDER + 1}))::integer as l) group by 1, 2, 3),"
+    f' tiles as materialized (select t."Norder", t."Npix", t.n_rows from levels t left join levels p on p."Norder" = t."Norder" - 1'
     f' and p."Npix" = t.parent where (t.n_rows <= {TILE_ROWS} or t."Norder" = {TILE_ORDER})'
     f" and (p.n_rows is null or p.n_rows > {TILE_ROWS}))"
 )
+_ASSIGNED = (
+    f'with {_TILES}, placed as (select object_id, l as o, idx >> (2*({TILE_ORDER} - l)) as p from cells,'
+    f" (select unnest(range({TILE_ORDER + 1}))::integer as l))"
+    ' select object_id, "Norder", "Npix"//10000*10000 as "Dir", "Npix"{} from placed join tiles on o = "Norder" and p = "Npix"'
+)
 
 
 def _finite(c: str) -> str:
@@ -349,8 +352,8 @@ SQL: dict[str, str] = {
     f" join {index_sql(CAT, 29, 'object_id')} c using (object_id)",
     "healpix_index_wide": f"select idx >> 50 as cell, count(*) as n from {index_sql(WIDE, 29, 'object_id')} group by 1",
     "partition_map": f'with {_TILES} select "Norder", "Npix", n_rows from tiles',
-    "tile_assign": f"with {_TILES} select object_id, \"Norder\", \"Npix\"//10000*10000 as \"Dir\", \"Npix\" from"
-    f" {index_sql(CAT, TILE_ORDER, 'object_id')} c join tiles on c.idx >> (2*({TILE_ORDER} - \"Norder\")) = \"Npix\"",
+    "tile_assign": _ASSIGNED.format(""),
+    "tile_sorted": _ASSIGNED.format(', row_number() over (partition by "Norder", "Npix" order by object_id) as rank'),
     "x_curate_pipeline": _pipeline(CAT),
     "x_curate_wide": _pipeline(WIDE),
     "x_curate_write": _pipeline(CAT),
@@ -358,4 +361,3 @@ SQL: dict[str, str] = {
     "x_prepare": f"select {CAT_COLUMNS} from {CAT}",
     "x_qa_tables": _warning_rows(nothing=False, footprint=True),
 }
-SQL["tile_sorted"] = SQL["tile_assign"]

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import skyloom
 from checks import fits_files
@@ -588,8 +588,12 @@ def tile_assign(spark, sf_dir):
 @query
 def tile_sorted(spark, sf_dir):
     df = _indexed(spark, sf_dir)
-    assigned = tiles.assign_tiles(df, _tile_map(df))
-    return tiles.cluster_tiles(assigned, "object_id").drop(INDEX_COLUMN, "ra", "dec")
+    found = _tile_map(df)
+    together = tiles.cluster_tiles(tiles.assign_tiles(df, found), found, "object_id")
+    place = F.monotonically_increasing_id()
+    first = F.min("place").over(Window.partitionBy("Norder", "Npix"))
+    ranked = together.withColumn("place", place).withColumn("rank", (F.col("place") - first + 1).cast("bigint"))
+    return ranked.drop(INDEX_COLUMN, "ra", "dec", "place")
 
 
 @query

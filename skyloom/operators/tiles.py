@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skyloom.functions.expr import CatalogError, col, require_columns
 from skyloom.functions.healpix import (
@@ -20,19 +22,38 @@ from skyloom.session import as_table
 
 MAX_ORDER = 10
 MAX_TILE_ROWS = 1_000_000
-# A tile row is three numbers; up to this many are broadcast (some tens of MB), more are joined by shuffle.
-BROADCAST_TILES = 1_000_000
 # Fixed value: an angle on the sky is at least this share of the distance on the unit face (true bound 0.65).
 MIN_STRETCH = 0.6
 
 
-def occupied_cells(indexed: DataFrame, order: int = MAX_ORDER) -> DataFrame:
-    """(cell, n_rows) of every occupied cell; rows without a place on the sky count under NULL."""
-    return indexed.groupBy(coarser(F.col(INDEX_COLUMN), order).alias("cell")).agg(F.count(F.lit(1)).alias("n_rows"))
+def row_bytes(df: DataFrame) -> Column:
+    """Uncompressed bytes of a row: fixed widths, and the lengths of texts, binaries and lists of the row."""
+    sizes, fixed = [], 0
+    for field in df.schema.fields:
+        kind, value = field.dataType, col(field.name)
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(value))
+        elif isinstance(kind, T.ArrayType) and hasattr(kind.elementType, "jsonValue"):
+            sizes.append(F.greatest(F.size(value), F.lit(0)) * 8)
+        else:
+            fixed += 8
+    return sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(fixed)).cast("long")
 
 
-def partition_map(cells: DataFrame, order: int = MAX_ORDER, max_rows: int = MAX_TILE_ROWS) -> DataFrame:
-    """(Norder, Npix, n_rows): the coarsest tiles that hold at most ``max_rows``.
+def occupied_cells(indexed: DataFrame, order: int = MAX_ORDER, size: Column | None = None) -> DataFrame:
+    """(cell, n_rows, n_bytes) of every occupied cell; rows without a place on the sky count under NULL.
+
+    n_bytes is 0 unless ``size`` tells the bytes of a row.
+    """
+    size = F.lit(0).cast("long") if size is None else size
+    cell = coarser(F.col(INDEX_COLUMN), order).alias("cell")
+    return indexed.groupBy(cell).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(size).alias("n_bytes"))
+
+
+def partition_map(
+    cells: DataFrame, order: int = MAX_ORDER, max_rows: int = MAX_TILE_ROWS, max_bytes: int | None = None
+) -> DataFrame:
+    """(Norder, Npix, n_rows): the coarsest tiles that hold at most ``max_rows`` and ``max_bytes``.
 
     A cell of the finest order stays one tile however full it is. Every cell
     counts towards all its ancestors in one aggregation; ``cells`` should be a
@@ -52,18 +73,19 @@ def partition_map(cells: DataFrame, order: int = MAX_ORDER, max_rows: int = MAX_
     )
     counts = (
         cells.where(F.col("cell").isNotNull())
-        .select(ancestors.alias("a"), "n_rows")
+        .select(ancestors.alias("a"), "n_rows", "n_bytes")
         .groupBy("a.Norder", "a.Npix", "a.parent")
-        .agg(F.sum("n_rows").alias("n_rows"))
-    )
-    small = (F.col("n_rows") <= max_rows) | (F.col("Norder") == order)
-    full = counts.where(F.col("n_rows") > max_rows).select(
-        (F.col("Norder") + 1).alias("child_order"), F.col("Npix").alias("full_parent")
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
     )
+    fits = F.col("n_rows") <= max_rows
+    if max_bytes is not None:
+        fits &= F.col("n_bytes") <= max_bytes
+    full = counts.where(~fits).select((F.col("Norder") + 1).alias("child_order"), F.col("Npix").alias("full_parent"))
     split = (F.col("Norder") == F.col("child_order")) & (F.col("parent") == F.col("full_parent"))
     under_full = counts.join(full, split, "left_semi")
     roots = counts.where(F.col("Norder") == 0)
-    return roots.unionByName(under_full).where(small).select("Norder", "Npix", "n_rows")
+    tiles = roots.unionByName(under_full).where(fits | (F.col("Norder") == order))
+    return tiles.select("Norder", "Npix", "n_rows")
 
 
 @dataclass
@@ -74,31 +96,67 @@ class TileMap:
     orders: list[int]
     n_tiles: int
     n_rows: int
-
-    @property
-    def broadcastable(self) -> bool:
-        return self.n_tiles <= BROADCAST_TILES
-
-    def side(self, df: DataFrame) -> DataFrame:
-        """Mark a projection of the map for broadcasting if its counted size allows."""
-        return F.broadcast(df) if self.broadcastable else df
-
-
-def count_cells(indexed: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
+    max_rows: int
+    max_order: int
+
+    def ranges(self) -> pd.DataFrame:
+        """Tiles in the order of the index, with the range of it (start, end) each covers.
+
+        At most 12 * 4**max_order rows, whatever the catalog; it is sent to every task.
+        """
+        found = self.table.toPandas()
+        width = 2 * (INDEX_ORDER - found["Norder"].to_numpy("int64"))
+        found["start"] = found["Npix"].to_numpy("int64") << width
+        found["end"] = found["start"] + (np.int64(1) << width)
+        return found.sort_values("start", ignore_index=True)
+
+    def tasks(self, wanted: int) -> tuple[pd.DataFrame, int]:
+        """Tiles packed in index order into about ``wanted`` tasks of like size, and the number of tasks.
+
+        A tile is whole in its task (first), unless it has more than ``max_rows``: then its rows
+        are dealt over as many tasks (pieces) as it fills.
+        """
+        found = self.ranges()
+        per_task = max(1, -(-self.n_rows // max(1, wanted)))
+        large = found["n_rows"] > max(self.max_rows, per_task)
+        found["pieces"] = np.where(large, -(-found["n_rows"] // max(self.max_rows, per_task)), 1)
+        before = (found["n_rows"].cumsum() - found["n_rows"]) // per_task
+        found["first"] = before + (found["pieces"] - 1).cumsum() - (found["pieces"] - 1)
+        return found, int((found["first"] + found["pieces"]).max()) if len(found) else 1
+
+
+def count_cells(indexed: DataFrame, max_order: int = MAX_ORDER, size: Column | None = None) -> DataFrame:
     """Occupied cells as a written table: one scan of the coordinates, at most 12 * 4^order rows."""
-    return as_table(occupied_cells(indexed, max_order), "cells")
+    return as_table(occupied_cells(indexed, max_order, size), "cells")
 
 
-def build_tile_map(cells: DataFrame, max_rows: int = MAX_TILE_ROWS, max_order: int = MAX_ORDER) -> TileMap:
-    """Derive the tiles from ``count_cells``; every row must have a place on the sky."""
+def build_tile_map(
+    cells: DataFrame,
+    max_rows: int = MAX_TILE_ROWS,
+    max_order: int = MAX_ORDER,
+    max_bytes: int | None = None,
+    strict: bool = False,
+) -> TileMap:
+    """Derive the tiles from ``count_cells``; every row must have a place on the sky.
+
+    ``strict`` refuses a cell of the finest order with more than ``max_rows`` instead of keeping it whole.
+    """
     lost = cells.where(F.col("cell").isNull()).first()
     if lost is not None:
         raise CatalogError(f"{lost['n_rows']} rows have no coordinates and cannot be placed in a tile.")
-    table = as_table(partition_map(cells, max_order, max_rows), "tiles")
-    found = table.groupBy("Norder").agg(F.count(F.lit(1)).alias("t"), F.sum("n_rows").alias("n")).collect()
+    table = as_table(partition_map(cells, max_order, max_rows, max_bytes), "tiles")
+    fullest = F.max(F.struct("n_rows", "Norder", "Npix")).alias("top")
+    found = table.groupBy("Norder").agg(F.count(F.lit(1)).alias("t"), F.sum("n_rows").alias("n"), fullest).collect()
     if not found:
         raise CatalogError("A spatial catalog needs at least one row.")
-    return TileMap(table, sorted(r["Norder"] for r in found), sum(r["t"] for r in found), sum(r["n"] for r in found))
+    top = max(r["top"] for r in found)
+    if strict and top["n_rows"] > max_rows:
+        raise CatalogError(
+            f"Cell {top['Npix']} of order {top['Norder']} holds {top['n_rows']} rows, more than the {max_rows} of a tile;"
+            " raise max_order, or max_tile_rows if the rows share one place."
+        )
+    orders = sorted(r["Norder"] for r in found)
+    return TileMap(table, orders, sum(r["t"] for r in found), sum(r["n"] for r in found), max_rows, max_order)
 
 
 def tile_folder(npix: Column) -> Column:
@@ -109,34 +167,53 @@ def tile_folder(npix: Column) -> Column:
 def assign_tiles(indexed: DataFrame, tiles: TileMap) -> DataFrame:
     """Add Norder, Dir and Npix of each row's tile.
 
-    Each order of the map is one lookup by the row's cell of that order; a row
-    belongs to exactly one tile, so at most one lookup hits. With a broadcast
-    map nothing of the catalog moves.
+    Tiles are disjoint ranges of the index, so a binary search in their sorted
+    starts finds a row's tile (Arrow batches of the index alone). Nothing of the
+    catalog moves, at any number of tiles.
     """
+    found = tiles.ranges()
+    numbers = found["Npix"].to_numpy("int64") * 32 + found["Norder"].to_numpy("int64")
+    shared = indexed.sparkSession.sparkContext.broadcast((found["start"].to_numpy(), found["end"].to_numpy(), numbers))
+
+    @F.pandas_udf("long")
+    def tile_of(index: pd.Series) -> pd.Series:
+        starts, ends, numbers = shared.value
+        value = index.fillna(-1).to_numpy("int64")
+        at = np.maximum(np.searchsorted(starts, value, side="right") - 1, 0)
+        inside = (value >= starts[at]) & (value < ends[at])
+        return pd.Series(numbers[at]).where(pd.Series(inside))
+
     kept = [col(c) for c in indexed.columns]
-    df = indexed
-    hits = []
-    for order in tiles.orders:
-        key = f"__tile_{order}"
-        side = tiles.table.where(F.col("Norder") == order).select(F.col("Npix").alias(key))
-        df = df.join(tiles.side(side), coarser(F.col(INDEX_COLUMN), order) == F.col(key), "left")
-        hits.append(key)
-    norder = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(o)) for k, o in zip(hits, tiles.orders)])
-    npix = F.coalesce(*[F.col(k) for k in hits])
-    return df.select(*kept, norder.alias("Norder"), tile_folder(npix).alias("Dir"), npix.alias("Npix"))
-
-
-def cluster_tiles(assigned: DataFrame, sort_column: str | None = None) -> DataFrame:
+    placed = indexed.select(*kept, tile_of(F.col(INDEX_COLUMN)).alias("__tile"))
+    npix = F.shiftright("__tile", 5)
+    norder = F.col("__tile").bitwiseAND(31).cast("int")
+    return placed.select(*kept, norder.alias("Norder"), tile_folder(npix).alias("Dir"), npix.alias("Npix"))
+
+
+def cluster_tiles(assigned: DataFrame, tiles: TileMap, sort_column: str | None = None) -> DataFrame:
     """Bring the rows of a tile together, ordered by ``sort_column`` and position.
 
-    The rebalance hint splits a tile that is too big for one task and merges
-    small ones, so a patch of sky with a third of the catalog is no bottleneck.
+    The counts are known, so tiles are packed whole into tasks of like size, in index
+    order; only one beyond the map's limit, such as a patch of sky with a third
+    of the catalog, is dealt over several tasks by a hash of the row. One exchange.
     """
     if sort_column is not None:
         require_columns(assigned, [sort_column], "tile sort")
     inner = [sort_column, INDEX_COLUMN] if sort_column else [INDEX_COLUMN]
-    together = assigned.hint("rebalance", F.col("Norder"), F.col("Npix"))
-    return together.sortWithinPartitions("Norder", "Dir", "Npix", *[col(c) for c in inner])
+    spark = assigned.sparkSession
+    found, n_tasks = tiles.tasks(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast(tuple(found[c].to_numpy("int64") for c in ("start", "first", "pieces")))
+
+    @F.pandas_udf("int")
+    def task_of(start: pd.Series, salt: pd.Series) -> pd.Series:
+        starts, first, pieces = shared.value
+        at = np.maximum(np.searchsorted(starts, start.to_numpy("int64"), side="right") - 1, 0)
+        return pd.Series(first[at] + salt.to_numpy("int64") % pieces[at])
+
+    start = F.expr(f"shiftleft(Npix, 2 * ({INDEX_ORDER} - Norder))")
+    salt = F.xxhash64(*[col(c) for c in assigned.columns]).bitwiseAND((1 << 62) - 1)
+    together = assigned.withColumn("__task", task_of(start, salt)).repartitionById(n_tasks, F.col("__task"))
+    return together.drop("__task").sortWithinPartitions("Norder", "Dir", "Npix", *[col(c) for c in inner])
 
 
 def margin_rows(assigned: DataFrame, tiles: TileMap, ra: str, dec: str, threshold_arcsec: float) -> DataFrame:
@@ -197,7 +274,7 @@ def margin_rows(assigned: DataFrame, tiles: TileMap, ra: str, dec: str, threshol
     lookup = add_face_xy(lookup, "__inner", INDEX_ORDER).drop("__face", "__inner")
     lookup = lookup.withColumnsRenamed({"__x": "__tile_x", "__y": "__tile_y"})
     pairs = around.join(
-        tiles.side(lookup), (F.col("__key.o") == F.col("__ko")) & (F.col("__key.p") == F.col("__kp"))
+        lookup, (F.col("__key.o") == F.col("__ko")) & (F.col("__key.p") == F.col("__kp"))
     ).where((F.col("Norder") != F.col("__own_order")) | (F.col("Npix") != F.col("__own_pix")))
     distance = tile_distance_udf()(
         col(ra).cast("double"), col(dec).cast("double"), "Norder", "__tile_face", "__tile_x", "__tile_y"

@@ -33,16 +33,8 @@ from skyloom.operators.validate import (
     required_inputs,
     standard_ranges,
 )
-from skyloom.session import delete_path
-from skyloom.sinks.collection import DEFAULT_MARGIN_ARCSEC, write_collection
-from skyloom.sinks.parquet import (
-    SMALL_BYTES,
-    file_count,
-    input_bytes,
-    resolve_output_mode,
-    write_manifest,
-    write_parquet,
-)
+from skyloom.sinks.collection import write_collection
+from skyloom.sinks.parquet import check_output, file_count, output_layout, write_manifest, write_parquet
 
 
 @dataclass
@@ -66,40 +58,67 @@ class CurateSpec:
 
     @classmethod
     def from_dict(cls, spec: dict[str, Any]) -> CurateSpec:
-        selection = spec.get("column_selection") or []
-        if isinstance(selection, dict):
-            selection = selection.get("keep_columns") or []
-        if not isinstance(selection, (list, tuple)) or not all(isinstance(n, str) for n in selection):
-            raise CatalogError("column_selection must be a list of column names or a keep_columns mapping.")
-        coordinates = spec.get("coordinates", spec.get("coordinate_validation")) or {}
-        redshift = spec.get("redshift", spec.get("redshift_validation")) or {}
-        names = [coordinates.get("ra_column"), coordinates.get("dec_column"), redshift.get("column")]
-        if not all(isinstance(n, str) and n.strip() for n in names):
-            raise CatalogError("coordinates.ra_column, coordinates.dec_column and redshift.column are required.")
-        policy = str(redshift.get("invalid_policy", "fail")).lower()
-        if policy not in ("fail", "flag", "keep"):
-            raise CatalogError("redshift.invalid_policy must be one of: fail, flag, keep.")
-        value = redshift.get("invalid_value", INVALID_Z)
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            raise CatalogError("redshift.invalid_value must be numeric.")
-        blueshifts = redshift.get("allow_blueshifts", True)
-        if not isinstance(blueshifts, bool):
-            raise CatalogError("redshift.allow_blueshifts must be true or false.")
-        filters = redshift.get("filters") or []
-        if not isinstance(filters, (list, tuple)) or not all(isinstance(f, dict) for f in filters):
-            raise CatalogError("redshift.filters must be a list of filter mappings.")
+        """Read a mapping by the table of its keys below; every fault names its key."""
+        sections = {name: _section(spec, *names) for name, names in _SECTIONS.items()}
+        read = {f: _entry(sections[s], s, key, kind, default) for f, (s, key, kind, default) in _ENTRIES.items()}
+        keep = spec.get("column_selection")
+        keep = keep.get("keep_columns") if isinstance(keep, dict) else keep
+        if keep is not None and not (isinstance(keep, (list, tuple)) and all(isinstance(n, str) for n in keep)):
+            raise CatalogError("column_selection: column names were expected, as a list or under keep_columns.")
+        if read["invalid_policy"].lower() not in POLICIES:
+            raise CatalogError(f"redshift.invalid_policy: {read['invalid_policy']!r} is none of {', '.join(POLICIES)}.")
+        if not all(isinstance(f, dict) for f in read["filters"]):
+            raise CatalogError("redshift.filters: each filter is a mapping with op and value.")
         return cls(
-            *names,
-            selection=ordered_unique(n.strip() for n in selection if n.strip()),
-            transformations=list(spec.get("transformations") or []),
-            invalid_policy=policy,
-            invalid_value=float(value),
-            allow_blueshifts=blueshifts,
-            filters=[(f.get("op", f.get("operator")), f.get("value")) for f in filters],
-            generated_position=str(spec.get("generated_columns_position", "last")).lower(),
+            **read
+            | {
+                "selection": ordered_unique(n.strip() for n in keep or () if n.strip()),
+                "invalid_policy": read["invalid_policy"].lower(),
+                "invalid_value": float(read["invalid_value"]),
+                "filters": [(f.get("op", f.get("operator")), f.get("value")) for f in read["filters"]],
+                "generated_position": read["generated_position"].lower(),
+            }
         )
 
 
+POLICIES = ("fail", "flag", "keep")
+_KINDS = {"text": str, "number": (int, float), "flag": bool, "list": (list, tuple)}
+# Section -> its keys in a mapping; "" is the mapping itself.
+_SECTIONS = {"": (), "coordinates": ("coordinates", "coordinate_validation"), "redshift": ("redshift", "redshift_validation")}
+# Field of a spec -> section, key, kind of value, default (None: the key is required).
+_ENTRIES: dict[str, tuple[str, str, str, Any]] = {
+    "ra": ("coordinates", "ra_column", "text", None),
+    "dec": ("coordinates", "dec_column", "text", None),
+    "z": ("redshift", "column", "text", None),
+    "transformations": ("", "transformations", "list", []),
+    "invalid_policy": ("redshift", "invalid_policy", "text", "fail"),
+    "invalid_value": ("redshift", "invalid_value", "number", INVALID_Z),
+    "allow_blueshifts": ("redshift", "allow_blueshifts", "flag", True),
+    "filters": ("redshift", "filters", "list", []),
+    "generated_position": ("", "generated_columns_position", "text", "last"),
+}
+
+
+def _section(spec: dict[str, Any], *names: str) -> dict[str, Any]:
+    if not names:
+        return spec
+    found = next((spec[n] for n in names if spec.get(n) is not None), {})
+    if not isinstance(found, dict):
+        raise CatalogError(f"{names[0]}: a mapping was expected.")
+    return found
+
+
+def _entry(section: dict[str, Any], name: str, key: str, kind: str, default: Any) -> Any:
+    value, label = section.get(key), f"{name}.{key}".lstrip(".")
+    if value is None or (kind == "list" and not value):
+        if default is None:
+            raise CatalogError(f"{label} is missing.")
+        return type(default)(default)
+    if not isinstance(value, _KINDS[kind]) or (kind == "number" and isinstance(value, bool)) or value == "":
+        raise CatalogError(f"{label}: {value!r} is no {kind}.")
+    return list(value) if kind == "list" else value
+
+
 def _transformed(df: DataFrame, spec: CurateSpec) -> tuple[DataFrame, list[str]]:
     needed = required_inputs(spec.selection, spec.transformations, spec.standard)
     if needed is not None:
@@ -179,30 +198,25 @@ def curate_to(
     output_mode: str = "partitioned",
     overwrite: bool = False,
     sources: list[str] | None = None,
-    allow_large_single_output: bool = False,
+    target_partition_bytes: int | None = None,
 ) -> list[str]:
     """Curate into a Parquet dataset, reading the input once; returns the output columns.
 
-    ``output_mode`` ``auto`` and ``single`` look at the size of the files in ``sources``.
-
-    Validation rides on the write. If it fails the output is removed again, so
-    nothing invalid stays behind.
+    ``target_partition_bytes`` evens out what is written, for filters that keep little.
+    Validation rides on the write. The output takes its place only if it passes; until
+    then whatever was there stays, so an input may be replaced by its own curated form.
     """
     spark = df.sparkSession
     checked = spec if isinstance(spec, CurateSpec) else CurateSpec.from_dict(spec)
-    if output_mode != "partitioned":
-        small = bool(sources) and input_bytes(spark, sources) < SMALL_BYTES
-        output_mode = resolve_output_mode(output_mode, small, allow_large_single_output)
     result, verify = _curate_observed(df, checked)
-    write_parquet(result, path, output_mode, overwrite)
-    try:
+
+    def finish(staged: str) -> None:
         verify()
-    except CatalogError:
-        delete_path(spark, path)
-        raise
-    facts = _facts(checked, result, sources, output_mode, "parquet")
-    facts["n_partitions"] = file_count(spark, path)
-    write_manifest(spark, path, facts)
+        facts = _facts(checked, result, sources, output_layout(output_mode), "parquet")
+        facts["n_partitions"] = file_count(spark, staged)
+        write_manifest(spark, staged, facts)
+
+    write_parquet(result, path, output_mode, overwrite, target_partition_bytes, sources, finish)
     return result.columns
 
 
@@ -226,18 +240,9 @@ def curate_to_collection(
     result, verify = _curate_observed(df.drop(INDEX_COLUMN), checked)
     ra, dec = ra or checked.ra, dec or checked.dec
     require_columns(result, [ra, dec], "spatial output")
-    tiles = write_collection(result, path, ra, dec, overwrite=overwrite, verify=verify, **options)
     facts = _facts(checked, result, sources, "spatial", "hats")
-    facts["n_partitions"] = tiles.n_tiles
-    facts["hats"] = {
-        "catalog_name": options.get("name") or path.rstrip("/").rsplit("/", 1)[-1],
-        "ra_column": ra,
-        "dec_column": dec,
-        "margin_threshold": options.get("margin_arcsec", DEFAULT_MARGIN_ARCSEC),
-        "sort_columns": options.get("sort_column"),
-    }
-    write_manifest(df.sparkSession, path, facts)
-    return tiles
+    check_output(df.sparkSession, path, overwrite, sources)
+    return write_collection(result, path, ra, dec, overwrite=overwrite, verify=verify, facts=facts, **options)
 
 
 def _facts(spec: CurateSpec, result: DataFrame, sources: list[str] | None, mode: str, kind: str) -> dict[str, Any]:

@@ -9,15 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.functions.expr import CatalogError
 from skyloom.operators.union import check_same_columns, union_outer, union_strict
-from skyloom.sinks.collection import DEFAULT_MARGIN_ARCSEC, write_collection
-from skyloom.sinks.parquet import (
-    SMALL_BYTES,
-    file_count,
-    input_bytes,
-    resolve_output_mode,
-    write_manifest,
-    write_parquet,
-)
+from skyloom.sinks.collection import write_collection
+from skyloom.sinks.parquet import check_output, file_count, output_layout, write_manifest, write_parquet
 from skyloom.sources.readers import format_of, read_files, schema_frame
 
 
@@ -57,12 +50,12 @@ def prepare(
     paths: str | Sequence[str],
     output: str,
     output_format: str = "parquet",
-    output_mode: str = "auto",
+    output_mode: str = "partitioned",
     schema_policy: str = "strict",
     column_names: Sequence[str] | None = None,
     hdu: int = 1,
     overwrite: bool = False,
-    allow_large_single_output: bool = False,
+    target_partition_bytes: int | None = None,
     ra: str | None = None,
     dec: str | None = None,
     **spatial: Any,
@@ -74,6 +67,7 @@ def prepare(
     kind = format_of(spark, paths[0], column_names)
     if len(paths) == 1 and kind == "parquet" and output_format == "parquet" and not paths[0].endswith((".parquet", ".pq")):
         return paths[0]
+    check_output(spark, output, overwrite, paths)
     df = read_sources(spark, paths, schema_policy, column_names, hdu)
     facts: dict[str, Any] = {
         "source_paths": paths,
@@ -84,23 +78,14 @@ def prepare(
     }
     if output_format == "hats":
         if not ra or not dec:
-            raise CatalogError("Spatial output requires ra and dec column names.")
-        tiles = write_collection(df, output, ra, dec, overwrite=overwrite, **spatial)
-        facts |= {
-            "output_mode": "spatial",
-            "n_partitions": tiles.n_tiles,
-            "hats": {
-                "catalog_name": spatial.get("name") or output.rstrip("/").rsplit("/", 1)[-1],
-                "ra_column": ra,
-                "dec_column": dec,
-                "margin_threshold": spatial.get("margin_arcsec", DEFAULT_MARGIN_ARCSEC),
-                "sort_columns": spatial.get("sort_column"),
-            },
-        }
-    else:
-        small = len(paths) == 1 and input_bytes(spark, paths) < SMALL_BYTES
-        mode = resolve_output_mode(output_mode, small, allow_large_single_output)
-        write_parquet(df, output, mode, overwrite)
-        facts |= {"output_mode": mode, "n_partitions": file_count(spark, output)}
-    write_manifest(spark, output, facts)
+            raise CatalogError("A spatial output is placed by ra and dec; name both columns.")
+        facts["output_mode"] = "spatial"
+        write_collection(df, output, ra, dec, overwrite=overwrite, facts=facts, **spatial)
+        return output
+
+    def finish(staged: str) -> None:
+        done = {"output_mode": output_layout(output_mode), "n_partitions": file_count(spark, staged)}
+        write_manifest(spark, staged, facts | done)
+
+    write_parquet(df, output, output_mode, overwrite, target_partition_bytes, paths, finish)
     return output

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,43 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A sibling path to write to; it takes the place of ``path`` only if the block ends well.
+
+    What was at ``path`` is moved aside, and deleted once the new data is in its place.
+    After an error, or when a machine dies, the old data is there whole.
+    """
+    path, tag = path.rstrip("/"), uuid.uuid4().hex
+    folder, slash, name = path.rpartition("/")
+    staged, aside = (f"{folder}{slash}{name}.{kind}-{tag}" for kind in ("new", "old"))
+    try:
+        yield staged
+        _, target, fs = _fs(spark, path)
+        old, new = _fs(spark, aside)[1], _fs(spark, staged)[1]
+        replaced = fs.exists(target)
+        if replaced and not fs.rename(target, old):
+            raise OSError(f"{path} could not be moved aside.")
+        if not fs.rename(new, target):
+            if replaced:
+                fs.rename(old, target)
+            raise OSError(f"{path} could not be put in place.")
+        if replaced:
+            fs.delete(old, True)
+    finally:
+        delete_path(spark, staged)
+
+
+def within(spark: SparkSession, path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or lies in it."""
+
+    def full(name: str) -> str:
+        _, p, fs = _fs(spark, name.rstrip("/"))
+        return fs.makeQualified(p).toString().rstrip("/") + "/"
+
+    return full(path).startswith(full(folder))
+
+
 def is_dir(spark: SparkSession, path: str) -> bool:
     _, p, fs = _fs(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()

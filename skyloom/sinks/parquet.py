@@ -1,62 +1,87 @@
-"""Parquet output, output modes, and run manifests."""
+"""Parquet output and run manifests. Nothing that exists is touched before the new data is complete."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyloom.functions.expr import CatalogError
-from skyloom.session import delete_path, path_exists, total_bytes, write_text
+from skyloom.session import path_exists, replacing, within, write_text
 
-SMALL_BYTES = 100 * 1024 * 1024
-
-
-def refuse_existing(spark: SparkSession, path: str, overwrite: bool) -> None:
+def check_output(spark: SparkSession, path: str, overwrite: bool, sources: Sequence[str] | None = None) -> None:
+    """Refuse an output that exists (unless it may be replaced) or whose replacement would delete a source."""
+    for source in sources or ():
+        if within(spark, source, path):
+            raise CatalogError(f"The output {path} holds the input {source}; write to another place.")
     if not overwrite and path_exists(spark, path):
         raise CatalogError(f"{path} already exists; overwrite=True replaces it.")
 
 
-def prepare_output(spark: SparkSession, path: str, overwrite: bool) -> None:
-    """Refuse an existing output, or clear it if overwriting was asked for."""
-    refuse_existing(spark, path, overwrite)
-    if path_exists(spark, path):
-        delete_path(spark, path)
-
-
-def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    return sum(total_bytes(spark, p) for p in paths)
-
-
-def resolve_output_mode(mode: str, is_small_single: bool, allow_large_single: bool = False) -> str:
-    """``auto`` is one file only for a small single input; a large one must ask for ``single`` explicitly."""
-    if mode not in ("auto", "single", "partitioned"):
-        raise CatalogError("output_mode must be one of: auto, single, partitioned.")
-    if mode == "auto":
-        return "single" if is_small_single else "partitioned"
-    if mode == "single" and not is_small_single and not allow_large_single:
-        raise CatalogError(
-            "One output file would put a large or multi-file catalog into one task; "
-            "allow_large_single_output permits it."
-        )
-    return mode
+def output_layout(mode: str) -> str:
+    """``partitioned`` keeps the parallelism of the job, ``single`` writes one file; ``auto`` is the former at every size."""
+    layouts = {"auto": "partitioned", "partitioned": "partitioned", "single": "single"}
+    if mode not in layouts:
+        raise CatalogError(f"output_mode {mode!r} is unknown; known are {', '.join(layouts)}.")
+    return layouts[mode]
+
+
+@contextmanager
+def _partitions_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """While the block runs, rebalanced writes aim at partitions of ``size`` bytes, even if few tasks are left."""
+    wanted = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(size),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(size),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def write_files(df: DataFrame, path: str, mode: str = "partitioned", target_partition_bytes: int | None = None) -> None:
+    """Write a frame as Parquet files to a path that nothing is at.
+
+    The partitioned form keeps the scan's partitions and moves no data, unless
+    ``target_partition_bytes`` asks for partitions of about that size: then one
+    shuffle of the rows that are written splits large and merges small ones. In a
+    single file only the write is one task.
+    """
+    if output_layout(mode) == "single":
+        df.repartition(1).write.parquet(path)
+    elif target_partition_bytes is None:
+        df.write.parquet(path)
+    elif target_partition_bytes <= 0:
+        raise CatalogError("target_partition_bytes must be positive.")
+    else:
+        with _partitions_of(df.sparkSession, target_partition_bytes):
+            df.hint("rebalance").write.parquet(path)
 
 
 def write_parquet(
-    df: DataFrame, path: str, mode: str = "partitioned", overwrite: bool = False, rebalance: bool = False
+    df: DataFrame,
+    path: str,
+    mode: str = "partitioned",
+    overwrite: bool = False,
+    target_partition_bytes: int | None = None,
+    sources: Sequence[str] | None = None,
+    finish: Callable[[str], None] | None = None,
 ) -> None:
-    """Write a catalog as one file or as many.
-
-    The partitioned form keeps the scan's partitions and moves no data.
-    ``rebalance`` evens out file sizes (one shuffle) after a filter that kept little.
-    """
-    prepare_output(df.sparkSession, path, overwrite)
-    if mode == "single":
-        df = df.coalesce(1)
-    elif rebalance:
-        df = df.hint("rebalance")
-    df.write.parquet(path)
+    """Write a catalog; ``finish`` gets the folder before it takes its place, and may raise to call it off."""
+    spark = df.sparkSession
+    check_output(spark, path, overwrite, sources)
+    with replacing(spark, path) as staged:
+        write_files(df, staged, mode, target_partition_bytes)
+        if finish is not None:
+            finish(staged)
 
 
 def write_manifest(spark: SparkSession, path: str, facts: dict[str, Any]) -> None:

@@ -320,7 +320,10 @@ def test_write_validates_in_the_same_pass_and_leaves_nothing_invalid(spark, tmp_
         curate_to(redshifts(spark, [0.1]), spec(), path)
     with pytest.raises(CatalogError, match="outside the required range"):
         curate_to(redshifts(spark, [0.1, 99.0]), spec(), path, overwrite=True)
-    assert not path_exists(spark, path)
+    assert column(spark.read.parquet(path), "z") == [0.1, -1.0]  # what was there stays
+    with pytest.raises(CatalogError, match="outside the required range"):
+        curate_to(redshifts(spark, [0.1, 99.0]), spec(), path + "2")
+    assert not path_exists(spark, path + "2")
 
 
 def test_curate_to_collection(spark, tmp_path):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import skyloom
+from checks.duck_sql import SQL
+from checks.spark_queries import QUERIES
 from skyloom.functions.healpix import add_sky_index
 from skyloom.operators import profile, quality, tiles, validate
 
@@ -97,12 +99,14 @@ def test_random_sample_keeps_the_top_of_each_task(catalog):
     assert "TakeOrderedAndProject" in plan_of(profile.sample_random(catalog, "object_id"))
 
 
-def test_tile_assignment_moves_nothing(catalog):
+@pytest.mark.parametrize("max_rows", [100_000, 100, 2])
+def test_tiles_take_one_exchange_at_every_map_size(catalog, max_rows):
     indexed = add_sky_index(catalog, "ra", "dec")
-    found = tiles.build_tile_map(tiles.count_cells(indexed, 4), 100, 4)
-    plan = plan_of(tiles.assign_tiles(indexed, found))
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
-    assert "Exchange" in plan_of(tiles.cluster_tiles(tiles.assign_tiles(indexed, found)))
+    found = tiles.build_tile_map(tiles.count_cells(indexed, 6), max_rows, 6)
+    assigned = tiles.assign_tiles(indexed, found)
+    assert "Exchange" not in plan_of(assigned) and "Join" not in plan_of(assigned)
+    together = tiles.cluster_tiles(assigned, found)
+    assert exchanges(together) == 1 and "Join" not in plan_of(together)
 
 
 def test_many_files_of_one_schema_are_one_scan(spark, catalog, tmp_path):
@@ -115,9 +119,9 @@ def test_many_files_of_one_schema_are_one_scan(spark, catalog, tmp_path):
     assert df.schema["z"].dataType.simpleString() == "string" and df.count() == 4
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_runs(spark, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     assert len(df.columns) == len(set(df.columns)) > 0
     df.write.format("noop").mode("overwrite").save()
 
@@ -130,4 +134,4 @@ def test_no_query_needs_an_unsized_product(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"sample_random", "margin_cache", "scan_spatial_margin"}
+    assert set(QUERIES) - set(SQL) == {"sample_random", "margin_cache", "scan_spatial_margin"}

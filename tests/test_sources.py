@@ -4,11 +4,13 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import skyloom
 from checks.fits_files import table_bytes
 from skyloom import CatalogError, prepare, read_catalog, read_csv, read_fits, read_footprint, read_whitespace
 from skyloom.operators.union import union_outer, union_strict
-from skyloom.sinks.parquet import resolve_output_mode, write_parquet
+from skyloom.sinks.parquet import output_layout, write_parquet
 from skyloom.sources.fits import rows_per_partition
 
 
@@ -163,13 +165,45 @@ def test_union(spark):
 
 
 def test_output_modes():
-    assert resolve_output_mode("auto", True) == "single"
-    assert resolve_output_mode("auto", False) == "partitioned"
-    assert resolve_output_mode("single", False, True) == "single"
-    with pytest.raises(CatalogError):
-        resolve_output_mode("single", False)
-    with pytest.raises(CatalogError):
-        resolve_output_mode("many", True)
+    assert [output_layout(m) for m in ("auto", "partitioned", "single")] == ["partitioned", "partitioned", "single"]
+    with pytest.raises(CatalogError, match="many"):
+        output_layout("many")
+
+
+def test_failed_and_in_place_overwrites_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "out")
+    spec = {"coordinates": {"ra_column": "ra", "dec_column": "dec"}, "redshift": {"column": "z"}}
+    good = spark.createDataFrame([(1.0, 2.0, 0.5), (3.0, 4.0, 0.6)], "ra double, dec double, z double")
+    skyloom.curate_to(good, spec, path)
+    with pytest.raises(CatalogError, match="RA column"):
+        skyloom.curate_to(good.withColumn("ra", F.lit(400.0)), spec, path, overwrite=True)
+    assert spark.read.parquet(path).count() == 2
+    few = {**spec, "redshift": {"column": "z", "filters": [{"op": ">", "value": 0.55}]}}
+    skyloom.curate_to(spark.read.parquet(path), few, path, overwrite=True)
+    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(CatalogError, match="holds the input"):
+        skyloom.curate_to(spark.read.parquet(path), few, str(tmp_path), overwrite=True, sources=[path])
+    with pytest.raises(CatalogError, match="holds the input"):
+        prepare(spark, [path], path, overwrite=True, output_format="hats", ra="ra", dec="dec")
+    assert sorted(os.listdir(tmp_path)) == ["out"]
+
+
+def test_target_size_rebalances_what_is_written(spark, tmp_path):
+    df = spark.range(0, 40_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    for size, files in ((10**9, 1), (400_000, 4)):
+        write_parquet(df, str(tmp_path / str(size)), target_partition_bytes=size)
+        written = [f for f in os.listdir(tmp_path / str(size)) if f.endswith(".parquet")]
+        assert len(written) == 1 if files == 1 else len(written) >= files
+        assert spark.read.parquet(str(tmp_path / str(size))).count() == 40_000
+
+
+def test_a_small_zipped_input_is_written_by_its_scan(spark, tmp_path):
+    path = str(tmp_path / "a.csv.gz")
+    with gzip.open(path, "wt") as handle:
+        handle.write("id,z\n" + "".join(f"{i},0.5\n" for i in range(100)))
+    out = prepare(spark, path, str(tmp_path / "out"))
+    assert json.loads((tmp_path / "out" / "_curation_manifest.json").read_text())["output_mode"] == "partitioned"
+    assert spark.read.parquet(out).count() == 100
 
 
 def test_write_keeps_binary_and_lists(spark, tmp_path):
@@ -180,7 +214,7 @@ def test_write_keeps_binary_and_lists(spark, tmp_path):
     assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 1
     with pytest.raises(CatalogError, match="already exists"):
         write_parquet(df, path)
-    write_parquet(df, path, overwrite=True, rebalance=True)
+    write_parquet(df, path, overwrite=True, target_partition_bytes=1 << 20)
 
 
 def test_prepare(spark, write_file, tmp_path):
@@ -196,7 +230,7 @@ def test_prepare(spark, write_file, tmp_path):
         prepare(spark, [one, two], str(tmp_path / "strict"))
     with pytest.raises(CatalogError, match="same format"):
         prepare(spark, [one, write_file("c.dat", "1 2\n")], str(tmp_path / "mixed"), column_names=["a", "b"])
-    single = prepare(spark, one, str(tmp_path / "single"))
+    single = prepare(spark, one, str(tmp_path / "single"), output_mode="single")
     assert json.loads((tmp_path / "single" / "_curation_manifest.json").read_text())["output_mode"] == "single"
     assert spark.read.parquet(single).count() == 1
 

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,8 +10,9 @@ from skyloom import CatalogError, curate_to, curate_to_collection, read_margin,
 from skyloom.functions.healpix import INDEX_COLUMN, add_face_xy, add_sky_index, coarser
 from skyloom.functions.tile_distance import distance_to_tile, face_to_vector
 from skyloom.operators import tiles
-from skyloom.session import as_table, list_names, read_text, write_text
-from skyloom.sources.collection import primary_path, select_margin
+from skyloom.session import as_table, read_text, write_text
+from skyloom.sinks.collection import add_margin
+from skyloom.sources.collection import CollectionLayout
 
 
 def sky(spark, n=4000, seed=0):
@@ -78,13 +80,42 @@ def test_tiles_hold_every_row_once(spark):
     assert (merged["count"] == merged["n_rows"]).all()
 
 
-def test_tiles_without_broadcast_are_the_same(spark, monkeypatch):
-    df = add_sky_index(sky(spark, 500), "ra", "dec")
-    found = tile_map(df, 100, 5)
-    key = ["id", "Norder", "Npix"]
-    small = {tuple(r) for r in tiles.assign_tiles(df, found).select(*key).collect()}
-    monkeypatch.setattr(tiles, "BROADCAST_TILES", 0)
-    assert {tuple(r) for r in tiles.assign_tiles(df, found).select(*key).collect()} == small
+def test_byte_limit_splits_tiles_too(spark):
+    df = add_sky_index(sky(spark, 400), "ra", "dec").withColumn("note", F.expr("repeat('x', 100)"))
+    wide = tiles.build_tile_map(tiles.count_cells(df, 5, tiles.row_bytes(df)), 10**9, 5, max_bytes=20_000)
+    assert wide.orders[-1] > 0
+    held = tiles.assign_tiles(df, wide).groupBy("Norder", "Npix").agg(F.sum(tiles.row_bytes(df)).alias("b"))
+    assert held.where("b > 20000 and Norder < 5").count() == 0
+
+
+def test_a_full_finest_cell_is_named(spark):
+    df = add_sky_index(spark.range(50).select(F.lit(10.0).alias("ra"), F.lit(5.0).alias("dec")), "ra", "dec")
+    with pytest.raises(CatalogError, match="of order 3 holds 50 rows"):
+        tiles.build_tile_map(tiles.count_cells(df, 3), 10, 3, strict=True)
+
+
+def test_tiles_are_whole_in_their_task_and_one_file(spark, tmp_path):
+    """Many input partitions and a small advisory size must not scatter a tile over files."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1KB")
+    try:
+        df = sky(spark, 2000).repartition(16)
+        write_collection(df, str(tmp_path / "c"), "ra", "dec", margin_arcsec=None, max_tile_rows=100)
+    finally:
+        spark.conf.set(key, old)
+    folders = [d for d, _, files in os.walk(tmp_path / "c") if "/Npix=" in d]
+    assert len(folders) > 40
+    assert all(sum(f.endswith(".parquet") for f in os.listdir(d)) == 1 for d in folders)
+
+
+def test_packing_of_tiles_into_tasks(spark):
+    df = add_sky_index(sky(spark, 2000), "ra", "dec")
+    found = tile_map(df, 150, 5)
+    packed, n = found.tasks(6)
+    normal = packed[packed.pieces == 1]
+    assert n >= 6 and normal["first"].is_monotonic_increasing
+    assert normal.groupby("first").n_rows.sum().max() <= 2 * (found.n_rows // 6) + 150
 
 
 def test_a_coarse_map_is_one_tile_per_face(spark):
@@ -173,7 +204,8 @@ def test_collection_round_trip(spark, tmp_path):
 
 def test_rows_are_sorted_inside_their_tile(spark):
     df = add_sky_index(sky(spark, 800).withColumn("k", F.hash("id")), "ra", "dec")
-    grouped = tiles.cluster_tiles(tiles.assign_tiles(df, tile_map(df, 400, 4)), "k")
+    found = tile_map(df, 400, 4)
+    grouped = tiles.cluster_tiles(tiles.assign_tiles(df, found), found, "k")
     part = grouped.withColumn("p", F.spark_partition_id()).toPandas()
     for _, rows in part.groupby(["p", "Norder", "Npix"], sort=False):
         assert rows.k.is_monotonic_increasing
@@ -189,7 +221,7 @@ def test_a_hot_tile_is_split_over_tasks(spark, tmp_path):
         df = spark.range(0, 60_000, 1, 8).select("id", F.when(F.col("id") % 3 < 2, F.lit(10.0)).otherwise(F.col("id") % 360.0).alias("ra"), F.lit(5.0).alias("dec"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
         indexed = add_sky_index(df, "ra", "dec")
         found = tile_map(indexed, 1000, 3)
-        grouped = tiles.cluster_tiles(tiles.assign_tiles(indexed, found))
+        grouped = tiles.cluster_tiles(tiles.assign_tiles(indexed, found), found)
         grouped.withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "hot"))
         written = spark.read.parquet(str(tmp_path / "hot"))
         assert written.count() == 60_000
@@ -207,7 +239,7 @@ def test_single_file_leaves_and_default_collection(spark, tmp_path):
         spark.createDataFrame([(npix * 10, 1.0)], "id long, z double").toPandas().to_parquet(leaf / f"Npix={npix}.parquet")
     path = str(tmp_path / "c")
     write_text(spark, f"{path}/catalog/hats.properties", "#HATS catalog\nhats_npix_suffix=.parquet\nbad line\n")
-    assert primary_path(spark, path) == f"{path}/catalog"
+    assert CollectionLayout.of(spark, path).primary == "catalog"
     rows = {tuple(r) for r in read_spatial(spark, path, ["id"], tiles=True).collect()}
     assert rows == {(20, 0, 0, 2), (80, 0, 0, 8)}
     assert read_margin(spark, path) is None
@@ -217,13 +249,43 @@ def test_margin_choice(spark, tmp_path):
     path = str(tmp_path / "c")
     for name, threshold in (("m10", "10.0"), ("m5", "5"), ("m7", "7.5"), ("broken", "x")):
         write_text(spark, f"{path}/{name}/hats.properties", f"dataproduct_type=margin\nhats_margin_threshold={threshold}\n")
-    write_text(spark, f"{path}/collection.properties", "hats_primary_table_url=catalog\n")
-    assert select_margin(spark, path) == f"{path}/m5"
-    assert select_margin(spark, path, 10.0) == f"{path}/m10"
-    assert select_margin(spark, path, 11.0) is None
+    named = "hats_primary_table_url=catalog\nall_margins=m10 m5, m7 broken gone\n"
+    write_text(spark, f"{path}/collection.properties", named)
+    chosen = lambda *t: getattr(CollectionLayout.of(spark, path).margin(*t), "folder", None)
+    assert chosen() == f"{path}/m5"
+    assert chosen(10.0) == f"{path}/m10"
+    assert chosen(11.0) is None
+    write_text(spark, f"{path}/collection.properties", named + "default_margin=m7\n")
+    assert chosen() == f"{path}/m7"
     write_text(spark, f"{path}/collection.properties", "default_margin=m7\n")
-    assert select_margin(spark, path) == f"{path}/m7"
-    assert "m5" in list_names(spark, path)
+    assert chosen() == f"{path}/m7" and chosen(5.0) is None
+
+
+def test_a_margin_can_be_added(spark, tmp_path):
+    path = str(tmp_path / "c")
+    found = write_collection(sky(spark, 300), path, "ra", "dec", margin_arcsec=60.0, max_tile_rows=100)
+    assert add_margin(spark, path, 1800.0) == "c_1800arcs"
+    with pytest.raises(CatalogError, match="already"):
+        add_margin(spark, path, 1800.0)
+    stored = as_table(tiles.assign_tiles(add_sky_index(sky(spark, 300), "ra", "dec"), found), "stored")
+    want = tiles.margin_rows(stored, found, "ra", "dec", 1800.0)
+    got = read_margin(spark, path, 1800.0, tiles=True)
+    key = ["id", "Norder", "Npix"]
+    assert {tuple(r) for r in got.select(*key).collect()} == {tuple(r) for r in want.select(*key).collect()}
+    assert CollectionLayout.of(spark, path).margins == ["c_60arcs", "c_1800arcs"]
+    assert CollectionLayout.of(spark, path).margin().folder == f"{path}/c_60arcs"
+
+
+def test_a_failed_rewrite_keeps_the_collection(spark, tmp_path):
+    path = str(tmp_path / "c")
+    good = spark.createDataFrame([(1, 45.0, 40.0)], "id long, ra double, dec double")
+    write_collection(good, path, "ra", "dec")
+    with pytest.raises(CatalogError):
+        write_collection(good.withColumn("ra", F.lit(400.0)), path, "ra", "dec", overwrite=True)
+    assert [r["id"] for r in read_spatial(spark, path, ["id"]).collect()] == [1]
+    write_collection(read_spatial(spark, path).withColumn("id", F.lit(2)), path, "ra", "dec", overwrite=True)
+    assert [r["id"] for r in read_spatial(spark, path, ["id"]).collect()] == [2]
+    assert sorted(os.listdir(tmp_path)) == ["c"]
 
 
 def test_empty_margin_reads_back_empty(spark, tmp_path):
