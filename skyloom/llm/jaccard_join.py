@@ -9,8 +9,8 @@ and the parts are summed by pair.
 * The order comes from counters of a fixed number, each shared by the shingles of one hash
   bucket. They cover all texts; which counter a shingle shares changes the order, not the result.
 * A shingle in very many prefixes does not make all pairs of its sets. First each set meets
-  only the shingle's least set (in a task the task's least, and those the least of all). Sets
-  that are in one component by then need not meet: only sets of other components than a
+  only the leader of the shingle's sets of about its size (in a task the task's own leaders,
+  and then those each other). Sets that are in one component by then need not meet: only sets of other components than a
   shingle's main one are compared further, first with one set of the main component for each
   shingle they share, at last with all that are left.
 * That last step counts the shared shingles of the prefixes first, and only pairs that
@@ -135,22 +135,64 @@ def _prefixes(owner, found, size, counters) -> tuple[np.ndarray, np.ndarray, np.
     return owner[inside], found[inside], place[inside]
 
 
-#: Shingle, set, and its size and the shingle's place in one number; DIRECT there: a pair of sets (in t and e).
+#: Shingle, set, and in one number the set's size, its group's largest size and the shingle's place; DIRECT there: a pair of sets.
 _ROW = "t long, e long, p long"
 _DIRECT = -1
+_STEPS = 3 << 12
 
 
-def _met(e: np.ndarray, n: np.ndarray, i: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Pairs of each set with the one at ``to``. Of a pair that cannot link both sets come as pairs with themselves:
-    the shingle may still link them with others."""
-    other = e != e[to]
-    can = other & _possible(n, i, n[to], i[to])
-    alone = np.concatenate([e[other & ~can], e[to][other & ~can]])
-    return np.stack([np.concatenate([e[to][can], alone]), np.concatenate([e[can], alone])])
+def _packed(n: np.ndarray, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """26 bits of size, 13 of (largest / size - 1) rounded up (0: no other member), 24 of place. Order is that of the size."""
+    more = np.minimum(np.ceil((high / np.maximum(n, 1) - 1) * _STEPS), 2**13 - 1).astype(np.int64)
+    return n << 37 | more << 24 | np.minimum(i, 2**24 - 1)
+
+
+def _unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, more, i = p >> 37, p >> 24 & (2**13 - 1), p & (2**24 - 1)
+    return n, np.ceil(n * (1 + more / _STEPS)).astype(np.int64), i
+
+
+class _Groups:
+    """Sets of one shingle, met in the order of their sizes.
+
+    A group has a leader, and takes in what is not too large to link with it. Its members meet
+    the leader only. Every set that could link with some member without having met it is named
+    (a pair with itself), so that it is compared later; a set whose possible partners were all
+    met is not.
+    """
+
+    def __init__(self):
+        self.shingle, self.pairs, self.leaders = None, [], []
+
+    def meet(self, t: int, e: int, n: int, high: int, i: int):
+        if t != self.shingle:
+            self.shingle, self.lead = t, None
+        if self.lead is None:
+            self._open(t, e, n, high, i)
+            return
+        own, size, place = self.lead
+        if e == own:
+            self._grow(high)
+        elif PART * n > WHOLE * size:  # too large for the leader
+            if PART * n <= WHOLE * self.high:
+                self.pairs.append((e, e))
+            self._open(t, e, n, high, i)
+        else:
+            can = min(place, i) + min(size - place, n - i) >= -(-PART * (size + n) // (PART + WHOLE))
+            self.pairs += [(own, e)] if can else [(own, own), (e, e)]
+            self._grow(max(high, n))
+
+    def _open(self, t, e, n, high, i):
+        self.lead, self.high = (e, n, i), high
+        self.leaders.append([t, e, n, high, i])
+
+    def _grow(self, high):
+        self.high = max(self.high, high, self.lead[1] + 1)
+        self.leaders[-1][3] = self.high
 
 
 def _star_rows(docs: DataFrame, counters) -> DataFrame:
-    """For each shingle of a prefix and part of a task its least set, and the pairs of the part's other sets with it."""
+    """For each shingle of a prefix and part of a task the leaders of its groups, and the pairs that the part's sets make."""
 
     def run(batches):
         seen, held = set(), []
@@ -170,16 +212,23 @@ def _star_rows(docs: DataFrame, counters) -> DataFrame:
     def combine(held):
         if not held:
             return
-        t, e, n, i = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((e, t))
+        t, e, n, i = (np.concatenate(c).astype(np.int64) for c in zip(*held, strict=True))
+        order = np.lexsort((e, n, t))
         t, e, n, i = t[order], e[order], n[order], i[order]
-        lead = np.ones(len(t), bool)
-        lead[1:] = t[1:] != t[:-1]
-        to = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(t) else np.zeros(0, np.int64)
-        wide = lambda x: x.astype(np.int64)
-        pairs = np.unique(_met(e, wide(n), wide(i), to), axis=1)
-        yield batch_of(t[lead], e[lead], wide(n[lead]) << 32 | wide(i[lead]))
-        yield batch_of(pairs[0], pairs[1], np.full(pairs.shape[1], _DIRECT))
+        yield from grouped(t, e, n, n, i, _Groups())
+
+    def grouped(t, e, n, high, i, groups):
+        several = np.zeros(len(t), bool)
+        several[1:] = t[1:] == t[:-1]
+        several[:-1] |= several[1:]
+        one = ~several
+        yield batch_of(t[one], e[one], _packed(n[one], high[one], i[one]))
+        for row in zip(*(c[several].tolist() for c in (t, e, n, high, i)), strict=True):
+            groups.meet(*row)
+        lead = np.array(groups.leaders, np.int64).reshape(-1, 5).T
+        yield batch_of(lead[0], lead[1], _packed(lead[2], lead[3], lead[4]))
+        pairs = np.unique(np.array(groups.pairs, np.int64).reshape(-1, 2), axis=0)
+        yield batch_of(pairs[:, 0], pairs[:, 1], np.full(len(pairs), _DIRECT))
 
     def batch_of(t, e, p):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t, e, p)], names=["t", "e", "p"])
@@ -188,25 +237,31 @@ def _star_rows(docs: DataFrame, counters) -> DataFrame:
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
-    """Candidates a < b: every set of a shingle with the shingle's least set. One shuffle; a task sends one row a shingle."""
-    ordered = rows.repartition("t").sortWithinPartitions("t", "e")
+    """Candidate pairs, and pairs of a set with itself for what is to be compared later. One shuffle; a part of a task
+    sends one row for each shingle and group."""
+    ordered = rows.repartition("t").sortWithinPartitions("t", "p", "e")
 
     def meet(batches):
-        last = None
+        groups, waiting = _Groups(), None
         for batch in batches:
             t, e, p = (np.asarray(batch.column(c)).astype(np.int64) for c in ("t", "e", "p"))
             direct = p == _DIRECT
             yield pa.RecordBatch.from_arrays([pa.array(t[direct]), pa.array(e[direct])], names=["a", "b"])
-            t, e, n, i = t[~direct], e[~direct], p[~direct] >> 32, p[~direct] & 0xFFFFFFFF
+            t, e, p = t[~direct], e[~direct], p[~direct]
+            if waiting is not None:  # the last row of the batch before may share its shingle with this one
+                t, e, p = (np.concatenate([[x], c]) for x, c in zip(waiting, (t, e, p), strict=True))
             if not len(t):
                 continue
-            if last is not None and last[0] == t[0]:  # the shingle goes on from the batch before
-                t, e, n, i = (np.concatenate([[x], c]) for x, c in zip(last, (t, e, n, i), strict=True))
-            lead = np.ones(len(t), bool)
-            lead[1:] = t[1:] != t[:-1]
-            to = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            last = tuple(int(c[to[-1]]) for c in (t, e, n, i))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _met(e, n, i, to)], names=["a", "b"])
+            waiting = t[-1], e[-1], p[-1]
+            several = np.zeros(len(t), bool)
+            several[1:] = t[1:] == t[:-1]
+            several[:-1] |= several[1:]
+            columns = (c[several].tolist() for c in (t, e, *_unpacked(p)))
+            for row in zip(*columns, strict=True):
+                groups.meet(*row)
+            found = np.unique(np.array(groups.pairs, np.int64).reshape(-1, 2), axis=0)
+            groups.pairs, groups.leaders = [], groups.leaders[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
