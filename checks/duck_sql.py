@@ -6,7 +6,6 @@ import math
 
 from checks.spark_queries import NAME_STEMS, TILE_ORDER, TILE_ROWS
 from checks.views import CATALOG, view_sql
-from skyloom.operators.profile import PATTERNS
 
 CAT, WIDE, SEXA, GAPS, VERT = (
     view_sql(n) for n in ("catalog", "wide_catalog", "sexagesimal", "gaps", "vertices")
@@ -204,6 +203,77 @@ _SEG = (
 )
 
 
+# Name patterns of each semantic category, written again so that the SQL does not use the list it tests.
+_NAME_PATTERNS = {
+    "ra": [
+        r"^ra$",
+        r"(^|_)ra_deg($|_)",
+        r"(^|_)target_ra($|_)",
+        r"(^|_)obsra($|_)",
+        r"(^|_)ra_j2000($|_)",
+        r"^alpha",
+        r"(^|_)right_ascension($|_)",
+    ],
+    "dec": [
+        r"^dec$",
+        r"dec_deg",
+        r"target_dec",
+        r"obsdec",
+        r"dec_j2000",
+        r"^delta",
+        r"(^|_)declination($|_)",
+    ],
+    "redshift": [
+        r"^z$",
+        r"redshift",
+        r"zspec",
+        r"z_spec",
+        r"zphot",
+        r"z_phot",
+        r"best_z",
+        r"z_ml",
+        r"z_helio",
+    ],
+    "quality": [
+        r"quality",
+        r"qual",
+        r"qop",
+        r"(^|_)flag($|_)",
+        r"zflag",
+        r"zwarn",
+        r"zwarning",
+        r"z_flag",
+        r"vi_quality",
+        r"confidence",
+    ],
+    "redshift_error": [
+        r"(^|_)z_err($|_)",
+        r"^zerr$",
+        r"(^|_)err_z($|_)",
+        r"(^|_)z_error($|_)",
+        r"(^|_)sigma_z($|_)",
+    ],
+    "id": [
+        r"^id$",
+        r"(^|_)objectid($|_)",
+        r"(^|_)object_id($|_)",
+        r"(^|_)targetid($|_)",
+        r"(^|_)specid($|_)",
+        r"(^|_)catalogid($|_)",
+        r"^tileid$",
+    ],
+    "object_type": [
+        r"(^|_)class($|_)",
+        r"(^|_)subclass($|_)",
+        r"(^|_)objtype($|_)",
+        r"(^|_)spectype($|_)",
+        r"(^|_)subtype($|_)",
+        r"(^|_)eta_type($|_)",
+        r"^type$",
+    ],
+}
+
+
 def _stem_name() -> str:
     cases = " ".join(f"when {i} then '{s}'" for i, s in enumerate(NAME_STEMS))
     return f"(case length(word) % {len(NAME_STEMS)} {cases} end) || word"
@@ -213,7 +283,7 @@ def _categories() -> str:
     return " union all ".join(
         f"select name, '{k}' as category from names where "
         + " or ".join(f"regexp_matches(name, '{p}', 'i')" for p in patterns)
-        for k, patterns in PATTERNS.items()
+        for k, patterns in _NAME_PATTERNS.items()
     )
 
 
@@ -354,6 +424,7 @@ SQL: dict[str, str] = {
     "partition_map": f'with {_TILES} select "Norder", "Npix", n_rows from tiles',
     "tile_assign": _ASSIGNED.format(""),
     "tile_sorted": _ASSIGNED.format(', row_number() over (partition by "Norder", "Npix" order by object_id) as rank'),
+    "sample_random": f"select {CAT_COLUMNS} from {CAT} order by md5('42:' || object_id), object_id limit 20",
     "x_curate_pipeline": _pipeline(CAT),
     "x_curate_wide": _pipeline(WIDE),
     "x_curate_write": _pipeline(CAT),

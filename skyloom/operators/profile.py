@@ -148,7 +148,7 @@ def report_columns(df: DataFrame, selection: Sequence[str] | None) -> list[str]:
     chosen = ordered_unique(n.strip() for n in selection if n.strip())
     absent = [n for n in chosen if n not in df.columns]
     if absent:
-        raise CatalogError("column_selection contains columns not present in input: " + ", ".join(absent) + ".")
+        raise CatalogError(f"The catalog has none of the selected columns {', '.join(absent)}.")
     return chosen
 
 
@@ -194,50 +194,6 @@ def _stats_batch(df: DataFrame, names: Sequence[str], moments: bool) -> DataFram
     return rows_of(df.agg(*aggs), structs)
 
 
-def partial_stats(df: DataFrame, columns: Sequence[str], by: Column) -> DataFrame:
-    """Mergeable moments per part: (part, column, n, nulls, mean, m2, lo, hi)."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        v = clean(col(name), type_of(df, name)).cast("double")
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.avg(v).alias(f"mean{i}"),
-            F.var_pop(v).alias(f"var{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-        ]
-    structs = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.col(f"n{i}").alias("n"),
-            (F.col("rows") - F.col(f"n{i}")).alias("nulls"),
-            F.col(f"mean{i}").alias("mean"),
-            (F.col(f"var{i}") * F.col(f"n{i}")).alias("m2"),
-            F.col(f"lo{i}").alias("lo"),
-            F.col(f"hi{i}").alias("hi"),
-        )
-        for i, name in enumerate(columns)
-    ]
-    return df.groupBy(by.alias("part")).agg(*aggs).select("part", F.inline(F.array(*structs)))
-
-
-def merge_stats(parts: DataFrame) -> DataFrame:
-    """Combine partial moments into the rows ``numeric_stats`` gives for the whole catalog."""
-    totals = parts.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        F.sum("nulls").alias("null_count"),
-        (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
-        F.min("lo").alias("min"),
-        F.max("hi").alias("max"),
-    )
-    # Spread of the parts' means around the merged mean; taken around it, not from squares, to stay stable.
-    centred = parts.join(totals.select("column", F.col("mean").alias("centre")), "column")
-    shift = F.col("mean") - F.col("centre")
-    spread = centred.groupBy("column").agg(F.sum(F.col("m2") + F.col("n") * shift * shift).alias("m2"))
-    std = F.when(F.col("count") > 1, F.sqrt(F.col("m2") / (F.col("count") - 1)))
-    return totals.join(spread, "column").select("column", "count", "null_count", "mean", std.alias("std"), "min", "max")
-
-
 def categorical_uniques(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
     """(column, value, rank): the first ``limit`` distinct non-empty values of each column, by value.
 
@@ -284,7 +240,8 @@ def sample_head(df: DataFrame, key: str | None = None, rows: int = 5, max_column
 
 def sample_random(df: DataFrame, key: str, rows: int = 5, seed: int = 42) -> DataFrame:
     """Random rows that depend on key and seed only, not on how the catalog is partitioned."""
-    return df.orderBy(F.xxhash64(col(key), F.lit(seed)), col(key)).limit(rows)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), col(key).cast("string")).cast("binary"))
+    return df.orderBy(draw, col(key)).limit(rows)
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -294,6 +251,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 def semantic_warnings(df: DataFrame, patterns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(code, columns, message) of what the column names and the redshift nulls give reason to warn of."""
+    # The sentences below are part of the report format.
     found = candidate_columns(df.columns, patterns)
     numeric = {f.name for f in df.schema.fields if is_numeric(f.dataType)}
     ra, dec, z = (found.get(k, []) for k in ("ra", "dec", "redshift"))

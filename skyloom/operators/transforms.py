@@ -66,7 +66,7 @@ def absolute_value(df: DataFrame, spec: Spec) -> DataFrame:
 def signed_value_sign(df: DataFrame, spec: Spec) -> DataFrame:
     negative, other = spec.get("negative_label", "-"), spec.get("non_negative_label", "+")
     if not isinstance(negative, str) or not isinstance(other, str):
-        raise CatalogError("signed_value_sign labels must be strings.")
+        raise CatalogError("signed_value_sign: a label is no text.")
     # A missing value is not below zero, so it takes the non-negative label.
     sign = F.when(col(_text(spec, "input_column")) < 0, F.lit(negative)).otherwise(F.lit(other))
     return df.withColumn(_text(spec, "output_column"), sign)
@@ -76,7 +76,7 @@ def replace_values(df: DataFrame, spec: Spec) -> DataFrame:
     """All replacements look at the original value; a ``from`` of a foreign type never matches."""
     name, pairs = _text(spec, "column"), spec.get("replacements")
     if not isinstance(pairs, (list, tuple)):
-        raise CatalogError("replace_values requires replacements to be a list.")
+        raise CatalogError("replace_values: replacements are given as a list of from and to.")
     mapping = {p["from"]: p["to"] for p in pairs}
     dtype, source = type_of(df, name), col(name)
 
@@ -139,20 +139,20 @@ def coalesce_redshift(df: DataFrame, spec: Spec) -> DataFrame:
     """First valid candidate wins; a valid candidate equal to ``invalid_value`` counts as unset."""
     output, names = _text(spec, "output_column"), spec.get("columns")
     if not isinstance(names, (list, tuple)) or not names or not all(isinstance(n, str) for n in names):
-        raise CatalogError("coalesce_redshift requires a non-empty columns list.")
+        raise CatalogError("coalesce_redshift: columns names at least one candidate.")
     invalid = spec.get("invalid_value", INVALID_Z)
     if not _is_number(invalid) or math.isnan(invalid):
-        raise CatalogError("coalesce_redshift invalid_value must be a number.")
+        raise CatalogError("coalesce_redshift: invalid_value is no number.")
     blueshifts = spec.get("allow_blueshifts", True)
     if not isinstance(blueshifts, bool):
-        raise CatalogError("coalesce_redshift allow_blueshifts must be true or false.")
+        raise CatalogError("coalesce_redshift: allow_blueshifts is a truth value.")
     labels = spec.get("labels")
     if labels is not None and (
         not isinstance(labels, (list, tuple))
         or len(labels) != len(names)
         or not all(isinstance(label, str) and label.strip() for label in labels)
     ):
-        raise CatalogError("coalesce_redshift labels must be one non-empty string per column.")
+        raise CatalogError("coalesce_redshift: every candidate takes one label, and none may be blank.")
     labels = list(labels) if labels is not None else list(names)
 
     sentinel = F.lit(float(invalid))
@@ -162,6 +162,8 @@ def coalesce_redshift(df: DataFrame, spec: Spec) -> DataFrame:
     if low < invalid < high:
         usable = [u & (c != sentinel) for u, c in zip(usable, candidates)]
     value = F.coalesce(*[F.when(u, c) for u, c in zip(usable, candidates)], sentinel)
+    if {type_of(df, n).simpleString() for n in names} == {"float"}:
+        value = value.cast("float")
     new = {output: value}
     if spec.get("label_column") is not None:
         no_label = F.lit(_text(spec, "invalid_label", "invalid"))
@@ -267,7 +269,7 @@ TRANSFORMATIONS: dict[str, _Kind] = {
 
 def _kind(spec: Spec) -> _Kind:
     if not isinstance(spec, dict) or not isinstance(spec.get("type"), str):
-        raise CatalogError("Each transformation must be a mapping with a type string.")
+        raise CatalogError("A transformation is a mapping whose type names what it does.")
     if spec["type"] not in TRANSFORMATIONS:
         raise CatalogError(f"Unsupported transformation type: {spec['type']}.")
     return TRANSFORMATIONS[spec["type"]]

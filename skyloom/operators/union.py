@@ -13,6 +13,10 @@ from skyloom.functions.expr import CatalogError, col
 _INTEGERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
 
 
+# Decimal digits that every value of an integer type fits in.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
 def check_same_columns(frames: Mapping[str, DataFrame] | Sequence[DataFrame]) -> None:
     """Every source must have the first one's column names in the same order (types may differ)."""
     named = frames if isinstance(frames, Mapping) else {f"source {i}": f for i, f in enumerate(frames)}
@@ -25,12 +29,21 @@ def check_same_columns(frames: Mapping[str, DataFrame] | Sequence[DataFrame]) ->
 
 
 def common_type(types: Sequence[T.DataType]) -> T.DataType:
-    """Type that holds every source's values unchanged; text if they have nothing in common."""
+    """Type that holds every source's values; text if they have nothing in common.
+
+    Integers and decimals meet in a decimal with room for both. Next to floats all become
+    doubles, which hold integers up to 2**53 unchanged.
+    """
     distinct = [t for i, t in enumerate(types) if t not in types[:i] and not isinstance(t, T.NullType)]
     if len(distinct) <= 1:
         return distinct[0] if distinct else T.StringType()
     if all(type(t) in _INTEGERS for t in distinct):
         return max(distinct, key=lambda t: _INTEGERS.index(type(t)))
+    exact = [T.DecimalType(_DIGITS[type(t)], 0) if type(t) in _DIGITS else t for t in distinct]
+    if all(isinstance(t, T.DecimalType) for t in exact):
+        scale = max(t.scale for t in exact)
+        whole = max(t.precision - t.scale for t in exact)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
     if all(isinstance(t, T.NumericType) for t in distinct):
         return T.DoubleType()
     return T.StringType()

@@ -80,23 +80,22 @@ def final_columns(
     standard: Sequence[str],
     position: str = "last",
 ) -> list[str]:
-    """Output columns: the selection in its order, other generated columns first or last."""
-    if position not in ("first", "last"):
-        raise CatalogError("generated_columns_position must be one of: first, last.")
-    if selection:
-        absent = [n for n in selection if n not in columns]
-        if absent:
-            raise CatalogError(f"column_selection references missing columns: {', '.join(absent)}.")
-        absent = [n for n in standard if n not in selection]
-        if absent:
-            raise CatalogError(
-                "The selection must include the coordinate and redshift columns, but lacks: " + ", ".join(absent) + "."
-            )
-        base = list(selection)
-    else:
-        base = [n for n in columns if n not in generated]
-    extra = [n for n in generated if n not in base]
-    return extra + base if position == "first" else base + extra
+    """Output columns: the selection in its order, other generated columns first or last.
+
+    Without a selection all columns stay, the generated ones at their end of the table.
+    """
+    wanted = list(selection) or [n for n in columns if n not in set(generated)]
+    made = [n for n in generated if n not in set(wanted)]
+    faults = {
+        "generated columns can stand first or last, not " + position: position not in ("first", "last"),
+        "it selects columns that do not exist": sorted(set(wanted) - set(columns), key=wanted.index),
+        "it leaves out standard columns": [n for n in standard if selection and n not in selection],
+    }
+    for fault, found in faults.items():
+        if found:
+            names = f": {', '.join(found)}" if isinstance(found, list) else ""
+            raise CatalogError(f"The output cannot be laid out, {fault}{names}.")
+    return made + wanted if position == "first" else wanted + made
 
 
 def range_metrics(df: DataFrame, ra: str, dec: str, z: str, allow_blueshifts: bool = True) -> list[Column]:
@@ -152,10 +151,11 @@ def redshift_violations(df: DataFrame, z: str, allow_blueshifts: bool = True) ->
 def flag_redshift(
     df: DataFrame, z: str, invalid_value: float = INVALID_Z, allow_blueshifts: bool = True
 ) -> DataFrame:
-    """Invalid and missing redshifts become ``invalid_value``."""
+    """Invalid and missing redshifts become ``invalid_value``; single floats and decimals keep their type."""
     value = _comparable(df, z).cast("double")
     kept = F.when(valid_z(value, allow_blueshifts), value).otherwise(F.lit(float(invalid_value)))
-    return df.withColumn(z, kept)
+    own = type_of(df, z)
+    return df.withColumn(z, kept.cast(own) if isinstance(own, (T.FloatType, T.DecimalType)) else kept)
 
 
 def filter_redshift(
@@ -196,9 +196,9 @@ def redshift_interval(filters: Sequence[tuple[str, float]], allow_blueshifts: bo
     low_open, high_open, holes = True, True, []
     for op, threshold in filters:
         if op not in _OPERATORS:
-            raise CatalogError("redshift filter op must be one of: " + ", ".join(_OPERATORS) + ".")
+            raise CatalogError(f"A redshift filter compares by one of {' '.join(_OPERATORS)}.")
         if isinstance(threshold, bool) or not isinstance(threshold, (int, float)):
-            raise CatalogError("redshift filter value must be numeric.")
+            raise CatalogError("A redshift filter compares with a number.")
         t = float(threshold)
         if op in (">", ">=", "==") and (t > low or (t == low and op == ">")):
             low, low_open = t, op == ">"
@@ -237,7 +237,7 @@ def spatial_coordinate_ranges(df: DataFrame, ra: str, dec: str) -> DataFrame:
 def check_spatial_coordinates(row: dict[str, Any], ra: str, dec: str) -> None:
     """Refuse coordinates that cannot be placed on the sky."""
     if not row["ra_count"] or not row["dec_count"]:
-        raise CatalogError("Spatial output needs non-null coordinate values.")
+        raise CatalogError("No row has both coordinates, so nothing can be placed on the sky.")
     if row["ra_min"] < RA_MIN_DEG or row["ra_max"] >= RA_MAX_DEG:
         raise CatalogError(f"RA column '{ra}' observed range: [{row['ra_min']}, {row['ra_max']}].")
     if row["dec_min"] <= DEC_MIN_DEG or row["dec_max"] >= DEC_MAX_DEG:

@@ -91,6 +91,13 @@ def inspect(
     }
 
 
+def _plain(value: Any) -> str:
+    """Binary cells as the text they hold, everything else as it prints."""
+    if isinstance(value, (bytes, bytearray, memoryview)):
+        return bytes(value).decode("utf-8", "replace")
+    return str(value)
+
+
 def write_report(spark: SparkSession, report: Mapping[str, Any], path: str) -> None:
     """Save a profile as one JSON document."""
-    write_text(spark, path, json.dumps(report, indent=2, default=str))
+    write_text(spark, path, json.dumps(report, indent=2, default=_plain))

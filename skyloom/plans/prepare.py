@@ -27,12 +27,12 @@ def read_sources(
     the plan grows with the number of different schemas, not of files.
     """
     if schema_policy not in ("strict", "union"):
-        raise CatalogError("schema_policy must be one of: strict, union.")
+        raise CatalogError(f"schema_policy {schema_policy!r} is neither strict nor union.")
     kinds = {p: format_of(spark, p, column_names) for p in paths}
     if "spatial" in kinds.values():
-        raise CatalogError("Input is already a spatial catalog; inspect and curate read it directly.")
+        raise CatalogError("A spatial catalog is prepared already; read it as it is.")
     if len(set(kinds.values())) != 1:
-        raise CatalogError("All input files must have the same format.")
+        raise CatalogError("Files of different formats cannot be read as one catalog.")
     kind = kinds[paths[0]]
     groups: dict[str, list[str]] = {}
     headers: dict[str, DataFrame] = {}
@@ -63,7 +63,7 @@ def prepare(
     """Write the files as one dataset and return its path (a Parquet folder needs no preparation)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if output_format not in ("parquet", "hats"):
-        raise CatalogError("output_format must be one of: parquet, hats.")
+        raise CatalogError(f"output_format {output_format!r} is neither parquet nor hats.")
     kind = format_of(spark, paths[0], column_names)
     if len(paths) == 1 and kind == "parquet" and output_format == "parquet" and not paths[0].endswith((".parquet", ".pq")):
         return paths[0]

@@ -84,19 +84,34 @@ def read_csv(
         .option("enforceSchema", False)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
+    _refuse_renamed(raw, paths)
     return type_columns(raw, types)
 
 
+def _refuse_renamed(raw: DataFrame, paths: str | Sequence[str]) -> None:
+    """A session that ignores case gives names that differ by case only their positions as a suffix; say so at once."""
+    stems = [n.removesuffix(str(i)).lower() for i, n in enumerate(raw.columns)]
+    renamed = [n for i, n in enumerate(raw.columns) if n.endswith(str(i)) and stems.count(stems[i]) > 1]
+    if len(renamed) > 1 and raw.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        header = raw.sparkSession.read.option("escape", '"').csv(paths if isinstance(paths, str) else paths[0]).first()
+        if header is None or list(header) == raw.columns:
+            return
+        names = ", ".join(n.removesuffix(str(raw.columns.index(n))) for n in renamed)
+        raise CatalogError(f"Columns differ by case only ({names}); set spark.sql.caseSensitive to true to read them.")
+
+
 def read_whitespace(
     spark: SparkSession,
     paths: str | Sequence[str],
     column_names: Sequence[str] | None,
     types: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Text without a header, fields separated by blanks; ``#`` starts a comment."""
+    """Text without a header, fields separated by blanks; ``#`` starts a comment, ``"`` holds a field with blanks together."""
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    body = F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"\s+", " "))
-    fields = lines.select(F.split(body, " ").alias("f")).where(F.col("f")[0] != "")
+    body = F.regexp_replace("value", r'^((?:[^"#]|"[^"]*")*)#.*$', "$1")
+    parts = F.regexp_extract_all(body, F.lit(r'"[^"]*"|[^\s"]+'), 0)
+    bare = F.transform(parts, lambda p: F.translate(p, '"', ""))
+    fields = lines.select(bare.alias("f")).where(F.size("f") > 0)
     width = fields.agg(F.max(F.size("f")).alias("w")).first()["w"]
     if not column_names:
         raise CatalogError(f"The file has no header; column_names must name its {width} columns.")

@@ -4,7 +4,7 @@ import pytest
 
 from skyloom import CatalogError, CurateSpec, curate, curate_to, curate_to_collection, read_csv, read_spatial
 from skyloom.operators.transforms import apply_transformations, zero_degree_rows
-from skyloom.operators.validate import required_inputs
+from skyloom.operators.validate import flag_redshift, required_inputs
 from skyloom.session import path_exists
 
 BASE = "object_id,ra,dec,z,quality,extra\n1,10.0,-1.0,0.1,3,drop\n"
@@ -276,13 +276,13 @@ def test_bad_specs(bad):
 
 def test_bad_filters_and_positions(spark):
     df = redshifts(spark, [0.1])
-    with pytest.raises(CatalogError, match="op must be"):
+    with pytest.raises(CatalogError, match="compares by"):
         curate(df, spec(redshift={"filters": [{"op": "~", "value": 1}]}))
-    with pytest.raises(CatalogError, match="numeric"):
+    with pytest.raises(CatalogError, match="a number"):
         curate(df, spec(redshift={"filters": [{"op": "<", "value": "1"}]}))
-    with pytest.raises(CatalogError, match="first, last"):
+    with pytest.raises(CatalogError, match="first or last"):
         curate(df, spec(generated_columns_position="middle"))
-    with pytest.raises(CatalogError, match="must include"):
+    with pytest.raises(CatalogError, match="leaves out"):
         curate(df, spec(column_selection=["object_id", "ra"]))
 
 
@@ -364,3 +364,12 @@ def test_merged_filters_equal_their_parts(spark, blueshifts):
     for filters in combos:
         want = [v for v in values if v is not None and low < v < 20 and all(ops[o](v, t) for o, t in filters)]
         assert column(filter_redshift(df, "z", filters, blueshifts), "z") == want, filters
+
+
+def test_single_floats_keep_their_type(spark):
+    df = spark.createDataFrame([(0.5, 0.25), (99.0, 0.75)], "z float, y float")
+    assert flag_redshift(df, "z").schema["z"].dataType.simpleString() == "float"
+    assert [r["z"] for r in flag_redshift(df, "z").collect()] == [0.5, -1.0]
+    step = {"type": "coalesce_redshift", "output_column": "best", "columns": ["z", "y"]}
+    out, _ = apply_transformations(df, [step], True)
+    assert out.schema["best"].dataType.simpleString() == "float" and [r["best"] for r in out.collect()] == [0.5, 0.75]

@@ -134,4 +134,4 @@ def test_no_query_needs_an_unsized_product(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(SQL) == {"sample_random", "margin_cache", "scan_spatial_margin"}
+    assert set(QUERIES) - set(SQL) == {"margin_cache", "scan_spatial_margin"}

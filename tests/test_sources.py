@@ -4,12 +4,12 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import skyloom
 from checks.fits_files import table_bytes
 from skyloom import CatalogError, prepare, read_catalog, read_csv, read_fits, read_footprint, read_whitespace
-from skyloom.operators.union import union_outer, union_strict
+from skyloom.operators.union import common_type, union_outer, union_strict
 from skyloom.sinks.parquet import output_layout, write_parquet
 from skyloom.sources.fits import rows_per_partition
 
@@ -228,7 +228,7 @@ def test_prepare(spark, write_file, tmp_path):
     assert prepare(spark, out, "unused") == out
     with pytest.raises(CatalogError, match="same schema"):
         prepare(spark, [one, two], str(tmp_path / "strict"))
-    with pytest.raises(CatalogError, match="same format"):
+    with pytest.raises(CatalogError, match="different formats"):
         prepare(spark, [one, write_file("c.dat", "1 2\n")], str(tmp_path / "mixed"), column_names=["a", "b"])
     single = prepare(spark, one, str(tmp_path / "single"), output_mode="single")
     assert json.loads((tmp_path / "single" / "_curation_manifest.json").read_text())["output_mode"] == "single"
@@ -246,5 +246,30 @@ def test_prepare_spatial(spark, write_file, tmp_path):
     path = write_file("a.csv", "object_id,ra,dec,z\n1,10.0,-1.0,0.1\n2,11.0,-1.1,0.2\n")
     out = prepare(spark, path, str(tmp_path / "sky"), output_format="hats", ra="ra", dec="dec", sort_column="z")
     assert read_catalog(spark, out).count() == 2
-    with pytest.raises(CatalogError, match="already a spatial"):
+    with pytest.raises(CatalogError, match="prepared already"):
         prepare(spark, out, str(tmp_path / "again"))
+
+
+def test_names_that_differ_by_case_need_the_setting(spark, write_file):
+    path = write_file("case.csv", "Z,id,z\n0.1,1,0.2\n")
+    with pytest.raises(CatalogError, match="caseSensitive"):
+        read_csv(spark, path)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        assert [tuple(r) for r in read_csv(spark, path).collect()] == [(0.1, 1, 0.2)]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert read_csv(spark, write_file("like.csv", "a0,b1,a2\n1,2,3\n")).columns == ["a0", "b1", "a2"]
+
+
+def test_quotes_hold_a_blank_field_together(spark, write_file):
+    path = write_file("q.dat", '1 "NGC 12" 3.0 # note\n2 "x # y" 4.5\n# all of it\n\n3 z 1\n')
+    rows = read_whitespace(spark, path, ["id", "name", "z"]).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "NGC 12", 3.0), (2, "x # y", 4.5), (3, "z", 1.0)]
+
+
+def test_common_types_hold_every_value():
+    t = lambda *names: common_type([T._parse_datatype_string(n) for n in names]).simpleString()
+    assert t("int", "bigint") == "bigint" and t("bigint", "decimal(10,4)") == "decimal(23,4)"
+    assert t("decimal(38,10)", "bigint") == "decimal(38,10)" and t("decimal(38,0)", "decimal(38,38)") == "string"
+    assert t("bigint", "double") == "double" and t("bigint", "boolean") == "string"
