@@ -19,8 +19,13 @@ and the parts are summed by pair.
 
 from __future__ import annotations
 
+import gc
+import zlib
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ WORDS = 5
 PART, WHOLE = 75, 100
 #: Counters of the global order.
 ORDER_BITS = 20
+#: Rows that a task's counters are packed in.
+CHUNKS = 64
 FRAGMENTS = 4
 #: Prefix rows that a task puts together before it sends them.
 HELD = 1_000_000
@@ -80,8 +87,9 @@ def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, text hash, set size, set and its check; kind 1: counter and count."""
-    names = ["kind", "doc_id", "t", "n", "e", "check"]
+    """One row a document: doc_id, text hash, set size, set and its check. And of each task its counters, packed in
+    CHUNKS rows that have only chunk, part and counters."""
+    names = ["doc_id", "t", "n", "e", "check", "chunk", "part", "counters"]
 
     def run(batches):
         counters = np.zeros(1 << ORDER_BITS, np.int64)
@@ -89,22 +97,36 @@ def _profiles(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 _, found, size, e, check = _sets(part)
                 counters += np.bincount((found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=len(counters))
-                columns = [np.zeros(len(size), np.int64), part.column("doc_id"), part.column("t"), size, e, check]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], names=names)
-        at = np.flatnonzero(counters)
-        for begin in range(0, len(at), 100_000):
-            a = at[begin : begin + 100_000]
-            columns = [np.ones(len(a), np.int64), a, np.zeros(len(a), np.int64), counters[a], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                rows = [part.column("doc_id"), part.column("t"), *(pa.array(c, pa.int64()) for c in (size, e, check))]
+                rows += [pa.nulls(len(size), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
+        chunks = [_squeezed(c) for c in np.split(counters, CHUNKS)]
+        rows = [pa.nulls(CHUNKS, pa.int64()) for _ in names[:5]]
+        rows += [pa.array(range(CHUNKS), pa.int64()), pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int64()), pa.array(chunks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(rows, names=names)
+
+    kinds = "doc_id long, t long, n long, e long, check long, chunk long, part long, counters binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, kinds)
+
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def _squeezed(counters: np.ndarray) -> bytes:
+    return zlib.compress(counters.astype("<i8").tobytes(), 1)
 
 
 def _counters(profiles: DataFrame) -> np.ndarray:
-    found = profiles.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()  # 2**ORDER_BITS rows at most
-    out = np.zeros(1 << ORDER_BITS, np.uint32)
-    out[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**32 - 1)
-    return out
+    """Sum of the tasks' counters, in two steps so that no group grows with the tasks alone; 2**ORDER_BITS numbers at most."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in group["counters"])
+        return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "counters": [_squeezed(total)]})
+
+    packed = profiles.where("chunk is not null").select("chunk", "counters", (F.col("part") % CHUNKS).alias("salt"))
+    some = packed.groupBy("chunk", "salt").applyInPandas(add, "chunk long, counters binary")
+    rows = some.groupBy("chunk").applyInPandas(add, "chunk long, counters binary").collect()
+    out = np.zeros((CHUNKS, (1 << ORDER_BITS) // CHUNKS), np.uint32)
+    for row in rows:
+        out[row.chunk] = np.minimum(np.frombuffer(zlib.decompress(row.counters), "<i8"), 2**32 - 1)
+    return out.reshape(-1)
 
 
 def _prefix_size(n: np.ndarray) -> np.ndarray:
@@ -266,9 +288,9 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _wanted_sets(docs: DataFrame, wanted, counters) -> DataFrame:
-    """Whole sets by fragment (t null), and prefix rows (tokens null), of rows that the filter's bits name."""
-    names = ["e", "n", "fragment", "tokens", "t", "i"]
+def _wanted_rows(docs: DataFrame, wanted, prefixes) -> DataFrame:
+    """Of the sets that the filter's bits name: whole sets by fragment, or prefix rows in the order of ``prefixes`` (counters)."""
+    names = ["e", "n", "fragment", "tokens"] if prefixes is None else ["t", "e", "p"]
 
     def run(batches):
         seen = set()
@@ -276,38 +298,70 @@ def _wanted_sets(docs: DataFrame, wanted, counters) -> DataFrame:
             for part in slices(batch, "text"):
                 owner, found, size, e, _ = _sets(part)
                 ids = np.asarray(part.column("doc_id").fill_null(0)).astype(np.int64)
-                asked = wanted.value[_bit(e, ids)] & (size > 0)
-                asked &= np.array([not (x in seen) for x in e.tolist()], bool)
-                keep = asked[owner]
-                owner, found = owner[keep], found[keep]
-                if not len(owner):
-                    continue
-                rows = np.flatnonzero(asked)
+                one = wanted.value[_bit(e, ids)] & (size > 0)
+                one &= np.array([x not in seen for x in e.tolist()], bool)
+                rows = np.flatnonzero(one)
                 rows = rows[np.unique(e[rows], return_index=True)[1]]
                 one = np.zeros(len(size), bool)
                 one[rows] = True
                 seen.update(e[rows].tolist())
                 owner, found = owner[one[owner]], found[one[owner]]
-                fragment = (found >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4
-                group = owner * FRAGMENTS + fragment
+                if not len(owner):
+                    continue
+                if prefixes is not None:
+                    owner, found, place = _prefixes(owner, found, np.where(one, size, 0), prefixes.value)
+                    columns = found.view(np.int64), e[owner], _packed(size[owner], size[owner], place)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                    continue
+                group = owner * FRAGMENTS + (found >> np.uint64(32)).astype(np.int64) * FRAGMENTS // (1 << 32)
                 order = np.lexsort((found, group))
                 group, tokens = group[order], found[order]
                 begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 end = np.append(begin[1:], len(group))
                 packed = [tokens[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 of = group[begin] // FRAGMENTS
-                yield record(e[of], size[of], group[begin] % FRAGMENTS, packed, None, None)
-                owner, found, place = _prefixes(owner, found, np.where(one, size, 0), counters.value)
-                yield record(e[owner], size[owner], None, None, found.view(np.int64), place)
+                columns = [pa.array(c, pa.int64()) for c in (e[of], size[of], group[begin] % FRAGMENTS)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=names)
+
+    kinds = "e long, n long, fragment long, tokens binary" if prefixes is None else "t long, e long, p long"
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
-    def record(e, n, fragment, tokens, t, i):
-        empty = lambda kind: pa.nulls(len(e), kind)
-        columns = [pa.array(e, pa.int64()), pa.array(n, pa.int64())]
-        columns += [empty(pa.int64()) if fragment is None else pa.array(fragment, pa.int64()), empty(pa.binary()) if tokens is None else pa.array(tokens, pa.binary())]
-        columns += [empty(pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (t, i)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "e long, n long, fragment long, tokens binary, t long, i long")
+def _once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key. Only rows that equal input rows have given twice are moved for it."""
+    twice = as_table(rows.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key), "twice")
+    if twice.isEmpty():
+        return rows
+    return rows.join(twice, key, "left_anti").unionByName(rows.join(twice, key, "left_semi").dropDuplicates(key))
+
+
+def _shared_prefixes(rows: DataFrame) -> DataFrame:
+    """Prefix rows (t, e, n, i) of shingles in the prefixes of two sets at least; equal rows once."""
+
+    def several(batches):
+        last, told = None, False  # the last row waits until it is known whether its shingle goes on
+        for batch in batches:
+            t, e, p = (np.asarray(batch.column(c)).astype(np.int64) for c in ("t", "e", "p"))
+            if last is not None:
+                t, e, p = (np.concatenate([[x], c]) for x, c in zip(last, (t, e, p), strict=True))
+            if not len(t):
+                continue
+            new = np.append(True, (t[1:] != t[:-1]) | (e[1:] != e[:-1]))
+            t, e, p = t[new], e[new], p[new]
+            same = t[1:] == t[:-1]
+            shared = np.append(same, False) | np.append(told, same)
+            last, told = (int(t[-1]), int(e[-1]), int(p[-1])), bool(shared[-1])
+            ready = np.append(shared[:-1], False)
+            yield record(t[ready], e[ready], p[ready])
+        if told:
+            yield record(*(np.array([x]) for x in last))
+
+    def record(t, e, p):
+        n, _, i = _unpacked(p)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t, e, n, i)], names=["t", "e", "n", "i"])
+
+    ordered = rows.repartition("t").sortWithinPartitions("t", "e")
+    return ordered.mapInArrow(several, "t long, e long, n long, i long")
 
 
 def _bit(e: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -355,24 +409,32 @@ def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFr
     return as_table(labelled.join(shared.select("t", "main"), "t"), "open-rows"), shared
 
 
+def _release(spark) -> None:
+    """Let the driver notice that the shuffles of tables written by now are not needed; their files go then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles of all rows (doc_id, t, n, e) and the roots of linked sets (u, root)."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = as_table(_profiles(rows), "profiles")
     counters = sc.broadcast(_counters(profiles))
-    sets = profiles.where("kind = 0").select("doc_id", "t", "n", "e", "check")
+    sets = profiles.where("chunk is null").select("doc_id", "t", "n", "e", "check")
     pairs = as_table(_star_pairs(_star_rows(rows, counters)), "pairs")
+    _release(docs.sparkSession)
 
     named = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
     firsts = sets.where("n > 0").groupBy("e").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
     wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("e", "rep")))
-    found = as_table(_wanted_sets(rows, wanted, counters), "sets")
-    whole = found.where("t is null").select("e", "n", "fragment", "tokens").dropDuplicates(["e", "fragment"])
-    prefixes = found.where("t is not null").select("e", "n", "t", "i").dropDuplicates(["e", "t"]).join(named, "e", "left_semi")
+    whole = _once(as_table(_wanted_rows(rows, wanted, None), "sets"), ["e", "fragment"])
     pairs = pairs.where("a <> b")
     links = as_table(_links(pairs, whole), "links")
     roots = components(links)
+    _release(docs.sparkSession)
+    prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters)), "prefixes")
+    _release(docs.sparkSession)
 
     tested = pairs
     for last in (False, True):
