@@ -429,6 +429,7 @@ SQL: dict[str, str] = {
     "x_curate_wide": _pipeline(WIDE),
     "x_curate_write": _pipeline(CAT),
     "x_curate_spatial": _pipeline(CAT),
+    "x_prepare_union": f"select object_id, quality, case when quality <> 'O' then v_kms end as v_kms from {CAT}",
     "x_prepare": f"select {CAT_COLUMNS} from {CAT}",
     "x_qa_tables": _warning_rows(nothing=False, footprint=True),
 }

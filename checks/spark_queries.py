@@ -646,6 +646,20 @@ def x_prepare(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def x_prepare_union(spark, sf_dir):
+    """Sources of which one lacks a column."""
+    df = view(spark, sf_dir, "catalog").select("object_id", "quality", "v_kms")
+    parts = []
+    for q in ("F", "O", "P"):
+        parts.append(scratch_path(spark, f"part-{q}"))
+        part = df.where(F.col("quality") == q)
+        (part.drop("v_kms") if q == "O" else part).write.parquet(parts[-1])
+    path = scratch_path(spark, "prepared")
+    skyloom.prepare(spark, parts, path, schema_policy="union", target_partition_bytes=1 << 20)
+    return spark.read.parquet(path)
+
+
 @query
 def x_qa_tables(spark, sf_dir):
     """The warnings of a full quality job with a footprint."""

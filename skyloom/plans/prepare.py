@@ -42,6 +42,11 @@ def read_sources(
     if schema_policy == "strict":
         check_same_columns(headers)
     frames = [read_files(spark, group, kind, column_names, hdu) for group in groups.values()]
+    if kind == "parquet" and schema_policy == "strict":
+        for group, frame in zip(groups.values(), frames, strict=True):
+            more = [c for c in frame.columns if c not in headers[group[0]].columns]
+            if more:
+                raise CatalogError(f"Files below {group[0]} do not have the same schema: some lack {', '.join(more)}.")
     return union_strict(frames) if schema_policy == "strict" else union_outer(frames)
 
 

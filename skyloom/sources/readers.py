@@ -47,8 +47,11 @@ def read_fits(
 
 
 def read_parquet(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet files or folders; row groups split over tasks by Spark's scan."""
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    """Parquet files or folders; row groups split over tasks by Spark's scan.
+
+    The columns are those of all files (one job reads the footers), NULL where a file lacks one.
+    """
+    df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
     return df.select(*[col(c) for c in columns]) if columns else df
 
 
@@ -80,7 +83,7 @@ def schema_frame(
         return spark.createDataFrame([], ", ".join(f"`{n.replace('`', '``')}` string" for n in column_names))
     if kind == "csv":
         return spark.read.option("header", True).option("escape", '"').csv(path)
-    return read_fits(spark, path, hdu) if kind == "fits" else read_parquet(spark, path)
+    return read_fits(spark, path, hdu) if kind == "fits" else spark.read.parquet(path)
 
 
 def read_files(

@@ -273,3 +273,14 @@ def test_common_types_hold_every_value():
     assert t("int", "bigint") == "bigint" and t("bigint", "decimal(10,4)") == "decimal(23,4)"
     assert t("decimal(38,10)", "bigint") == "decimal(38,10)" and t("decimal(38,0)", "decimal(38,38)") == "string"
     assert t("bigint", "double") == "double" and t("bigint", "boolean") == "string"
+
+
+def test_parquet_folders_of_differing_files(spark, tmp_path):
+    path = str(tmp_path / "mixed")
+    spark.createDataFrame([(1, 2.0)], "id long, ra double").write.parquet(path)
+    spark.createDataFrame([(2, 3.0, 4.0)], "id long, ra double, dec double").write.mode("append").parquet(path)
+    got = skyloom.read_parquet(spark, path).select("id", "ra", "dec").orderBy("id")
+    assert [tuple(r) for r in got.collect()] == [(1, 2.0, None), (2, 3.0, 4.0)]
+    with pytest.raises(CatalogError, match="same schema"):
+        skyloom.read_sources(spark, [path])
+    assert set(skyloom.read_sources(spark, [path], schema_policy="union").columns) == {"id", "ra", "dec"}
