@@ -20,6 +20,7 @@ and the parts are summed by pair.
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 
 import numpy as np
@@ -410,9 +411,14 @@ def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _release(spark) -> None:
-    """Let the driver notice that the shuffles of tables written by now are not needed; their files go then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver notice that the shuffles of tables written by now are not needed; their files go then.
+
+    The first round frees the frames, the second what only they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
