@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import time
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ CHUNKS = 64
 FRAGMENTS = 4
 #: Prefix rows that a task puts together before it sends them.
 HELD = 1_000_000
+#: Parts that candidate pairs are compared in, one after the other.
+PAIR_PARTS = 4
 #: Bits that tell which rows' sets are wanted; a false hit costs work, never a result.
 FILTER_BITS = 24
 
@@ -383,7 +386,17 @@ def _bits(rows: DataFrame) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link: partial overlaps by fragment, summed by pair."""
+    """Pairs (a, b) that link, compared in PAIR_PARTS parts: each moves its pairs' sets, and frees them before the next."""
+    found = []
+    for part in range(PAIR_PARTS):
+        own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(PAIR_PARTS)) == part)
+        found.append(as_table(_compared(own, sets), "links"))
+        _release(pairs.sparkSession)
+    return reduce(DataFrame.union, found)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that link: partial overlaps by fragment, summed by pair."""
     one = sets.select(F.col("e").alias("a"), "fragment", F.col("n").alias("na"), F.col("tokens").alias("ta"))
     other = sets.select(F.col("e").alias("b"), "fragment", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     every = pairs.select("a", "b", F.explode(F.array(*(F.lit(i).cast("long") for i in range(FRAGMENTS)))).alias("fragment"))
@@ -436,7 +449,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("e", "rep")))
     whole = _once(as_table(_wanted_rows(rows, wanted, None), "sets"), ["e", "fragment"])
     pairs = pairs.where("a <> b")
-    links = as_table(_links(pairs, whole), "links")
+    links = _links(pairs, whole)
     roots = components(links)
     _release(docs.sparkSession)
     prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters)), "prefixes")
@@ -451,7 +464,9 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             again = outside.join(mains.alias("m"), "t").select(F.least("e", "some").alias("a"), F.greatest("e", "some").alias("b")).distinct()
         again = as_table(again.join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        more = as_table(_links(again, whole), "links")
+        if again.isEmpty():
+            continue
+        more = _links(again, whole)
         tested = tested.union(again)
         if more.take(1):
             links = links.union(more)
