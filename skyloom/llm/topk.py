@@ -87,11 +87,11 @@ def _histograms(vectors: DataFrame, shared, scale: int) -> DataFrame:
     """Counts by query and bin. Bin 0 holds the highest scores of a query's present range."""
 
     def count(batches):
-        block, low, width, need = shared.value
+        block, low, high, width, need = shared.value
         found = {n: np.zeros((len(own), BINS), np.int64) for n, (own, _) in block.items()}
         for n, _, scores in _scored(batches, block, scale):
             at = (scores - low[n][:, None]) // width[n][:, None]
-            q, v = np.nonzero((scores >= low[n][:, None]) & (at < BINS))
+            q, v = np.nonzero((scores >= low[n][:, None]) & (scores < high[n][:, None]))
             flat = np.bincount(q * BINS + (BINS - 1 - at[q, v]), minlength=found[n].size)
             found[n] += flat.reshape(found[n].shape)
         for n, counts in found.items():
@@ -105,16 +105,16 @@ def _histograms(vectors: DataFrame, shared, scale: int) -> DataFrame:
 def _thresholds(vectors: DataFrame, block: dict, k: int, scale: int, radius: float):
     """For each query the lowest score to keep, and how many of the scores equal to it (-1: all of them)."""
     sc = vectors.sparkSession.sparkContext
-    low, width, need, left, done = {}, {}, {}, {}, {}
+    low, high, width, need, left, done = {}, {}, {}, {}, {}, {}
     for n, (own, queries) in block.items():
         reach = np.ceil(np.sqrt((queries**2).sum(axis=1)) * radius) + 1
-        reach = np.minimum(reach, 2.0**62)
-        width[n] = np.ceil((2 * reach + 1) / BINS).astype(np.int64)
-        low[n] = -reach.astype(np.int64)
+        reach = np.minimum(reach, 2.0**62).astype(np.int64)
+        width[n] = reach // (BINS // 2) + 1  # BINS of them are more than 2 * reach
+        low[n], high[n] = -reach, reach + 1
         need[n] = np.full(len(own), k, np.int64)
         left[n], done[n] = np.full(len(own), -1, np.int64), np.zeros(len(own), bool)
     while not all(x.all() for x in done.values()):
-        shared = sc.broadcast((block, low, width, {n: np.where(done[n], 0, need[n]) for n in need}))
+        shared = sc.broadcast((block, low, high, width, {n: np.where(done[n], 0, need[n]) for n in need}))
         ordered = Window.partitionBy("dim", "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         wanted = vectors.sparkSession.createDataFrame(
             [(n, q, int(need[n][q])) for n in need for q in np.flatnonzero(~done[n]).tolist()], "dim long, q long, need long"
@@ -128,6 +128,8 @@ def _thresholds(vectors: DataFrame, block: dict, k: int, scale: int, radius: flo
                     low[n][q], done[n][q] = np.iinfo(np.int64).min + 1, True
                     continue
                 low[n][q] += (BINS - 1 - r.bin) * width[n][q]
+                # Finer bins may reach past the chosen one; what lies there was taken off the need already.
+                high[n][q] = min(high[n][q], low[n][q] + width[n][q])
                 need[n][q] -= r.upto - r.n
                 if r.n == need[n][q]:
                     done[n][q] = True

@@ -44,6 +44,21 @@ def test_topk_of_large_components_and_few_rows(spark):
     assert topk.exact_topk(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def test_topk_of_crowded_bins_in_several_passes(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = unit(np.repeat(unit(rng.normal(size=(150, 32))), 20, axis=0) + rng.normal(scale=0.01, size=(3000, 32))).astype(np.float32)
+    df = frame(spark, list(enumerate(rows.tolist()))).repartition(4)
+    whole = np.floor(1024 * rows.astype(float)).astype(int)
+    want = []
+    for q in range(0, 3000, 15):
+        scores = whole @ whole[q]
+        scores[q] = -(2**62)
+        want += [(q, r + 1, i, int(scores[i])) for r, i in enumerate(np.lexsort((np.arange(3000), -scores))[:10].tolist())]
+    got = topk.exact_topk(df, df.where("vec_id % 15 = 0"), k=10)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def plain_best_fit(lengths, capacity):
     free, n = [], 0
     for length in sorted(lengths, reverse=True):
