@@ -184,7 +184,8 @@ class _Groups:
     A group has a leader, and takes in what is not too large to link with it. Its members meet
     the leader only. Every set that could link with some member without having met it is named
     (a pair with itself), so that it is compared later; a set whose possible partners were all
-    met is not.
+    met is not. A group that came as one row may hold larger sets than the leaders after it, so
+    ``reach``, the largest size of any group of the shingle by now, decides who could link.
     """
 
     def __init__(self):
@@ -192,7 +193,7 @@ class _Groups:
 
     def meet(self, t: int, e: int, n: int, high: int, i: int):
         if t != self.shingle:
-            self.shingle, self.lead = t, None
+            self.shingle, self.lead, self.reach = t, None, 0
         if self.lead is None:
             self._open(t, e, n, high, i)
             return
@@ -200,7 +201,7 @@ class _Groups:
         if e == own:
             self._grow(high)
         elif PART * n > WHOLE * size:  # too large for the leader
-            if PART * n <= WHOLE * self.high:
+            if PART * n <= WHOLE * self.reach:
                 self.pairs.append((e, e))
             self._open(t, e, n, high, i)
         else:
@@ -209,11 +210,12 @@ class _Groups:
             self._grow(max(high, n))
 
     def _open(self, t, e, n, high, i):
-        self.lead, self.high = (e, n, i), high
+        self.lead, self.high, self.reach = (e, n, i), high, max(self.reach, high)
         self.leaders.append([t, e, n, high, i])
 
     def _grow(self, high):
         self.high = max(self.high, high, self.lead[1] + 1)
+        self.reach = max(self.reach, self.high)
         self.leaders[-1][3] = self.high
 
 

@@ -45,6 +45,15 @@ def test_join_equals_all_pairs(spark, near):
     assert got == jaccard_components(rows)
 
 
+def test_groups_name_sets_in_reach_of_earlier_groups():
+    groups = jaccard_join._Groups()
+    # (shingle, set, size, largest size of its group, place): the second stands for a set of 135, which links with the last.
+    for row in ((7, 1, 100, 100, 0), (7, 2, 110, 136, 0), (7, 3, 134, 134, 0), (7, 4, 179, 179, 44), (8, 5, 179, 179, 0), (8, 6, 250, 250, 0)):
+        groups.meet(*row)
+    assert set(groups.pairs) == {(1, 2), (3, 3), (4, 4)}
+    assert [lead[3] for lead in groups.leaders] == [136, 134, 179, 179, 250]
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(documents(spark, [])).count() == 0
     assert [tuple(r)[:3] for r in jaccard_join.join(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
