@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from skyloom.session import as_table
 
 #: Trigrams are counted in so many buckets.
 BUCKETS = 1 << 14
-#: A language must be declared by this share of all rows, so there are 100 at most.
-LEAST_SHARE = 0.01
+#: Numbers of the text model, languages x BUCKETS, that driver and tasks may hold (128 MB). More is an error, not a choice of languages.
+MODEL_CELLS = 1 << 24
 #: How often a declared language is right.
 TRUST = 0.9
 #: Rows that a suffix's or host's parent prior counts for.
@@ -61,24 +62,34 @@ def _text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     counted = rows.select("_text", "_declared").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # languages x buckets at most
     total[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    total = total.reshape(len(languages), BUCKETS) + 0.5
-    return np.log(total / total.sum(axis=1, keepdims=True)).T.copy()
+    total = total.reshape(len(languages), BUCKETS)
+    total += 0.5
+    total /= total.sum(axis=1, keepdims=True)
+    return np.log(total, out=total).T.copy()
 
 
-def _smoothed(counts: DataFrame, keys: list[str], languages: list[str], parent: list) -> DataFrame:
-    """P(language | key), with the parent's probability for PARENT_ROWS rows more."""
-    own = [F.sum(F.when(F.col("_declared") == name, F.col("_n")).otherwise(0)) for name in languages]
-    sums = counts.groupBy(*keys).agg(*(c.alias(f"_c{i}") for i, c in enumerate(own)), *(F.first(c).alias(f"_p{i}") for i, c in enumerate(parent)))
-    total = sum(F.col(f"_c{i}") for i in range(len(languages))) + PARENT_ROWS
-    return sums.select(*keys, *(((F.col(f"_c{i}") + PARENT_ROWS * F.col(f"_p{i}")) / total).alias(f"_q{i}") for i in range(len(languages))))
+def _said(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """For each key the codes of its declared languages and their rows, in two arrays of one order."""
+    sums = counts.where("_code is not null").groupBy(*keys, "_code").agg(F.sum("_n").alias("n"))
+    pairs = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_code", "n"))).alias("p"))
+    return pairs.select(*(F.col(k).alias(name + k) for k in keys), F.col("p._code").alias(f"{name}_code"), F.col("p.n").alias(f"{name}_n"))
+
+
+def _smoothed(codes: pa.Array, counts: pa.Array, parent: np.ndarray) -> np.ndarray:
+    """P(language | key) of each row, with the parent's probability for PARENT_ROWS rows more. Rows without counts have the parent's."""
+    own = np.zeros(parent.shape)
+    row = np.repeat(np.arange(len(own)), np.asarray(pc.fill_null(pc.list_value_length(codes), 0)))
+    own[row, np.asarray(codes.flatten())] = np.asarray(counts.flatten())
+    total = own.sum(axis=1, keepdims=True)
+    return np.where(total > 0, (own + PARENT_ROWS * parent) / (total + PARENT_ROWS), parent)
 
 
 def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: str | None = None, host: str | None = None) -> DataFrame:
     """Add language, posterior and language_accepted to every row (columns of these names are replaced).
 
-    ``declared``, ``suffix`` and ``host`` name columns or are left out. Only languages
-    that LEAST_SHARE of the rows declare are told apart. A null or unknown declared
-    language, a null suffix and a null host are no evidence. A text without letters
+    ``declared``, ``suffix`` and ``host`` name columns or are left out. Every language that
+    some row declares is told apart, however rare; more than MODEL_CELLS allows are an error.
+    A null declared language, a null suffix and a null host are no evidence. A text without letters
     (null and empty too) has no language and is not accepted; nor is one whose
     posterior is under one half. Repeated rows get the same answer. Without any declared
     language nothing is known, so all rows are without language.
@@ -91,26 +102,24 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
     counts = rows.groupBy("_host", "_suffix", "_declared").agg(F.count("*").alias("_n"))
     # Hosts are many; their counts are written once and read for each level.
     counts = as_table(counts, "language-counts")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    wanted = counts.where("_declared is not null").groupBy("_declared").agg(F.sum("_n").alias("n"))
-    languages = {r[0]: r[1] for r in wanted.where(F.col("n") >= LEAST_SHARE * total).collect()}
+    declares = counts.where("_declared is not null").groupBy("_declared").agg(F.sum("_n").alias("n"))
+    most = MODEL_CELLS // BUCKETS
+    languages = {r[0]: r[1] for r in declares.limit(most + 1).collect()}
+    if len(languages) > most:
+        raise ValueError(f"More than {most} declared languages: the text model would not fit. Clean the declared column, or raise MODEL_CELLS.")
     if not languages:
         return bare.withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "language_accepted": F.lit(False)})
     names = sorted(languages)
     every = [languages[x] / sum(languages.values()) for x in names]
     model = rows.sparkSession.sparkContext.broadcast(_text_model(rows, names))
 
-    by_suffix = _smoothed(counts, ["_suffix"], names, [F.lit(x) for x in every])
-    priors = [F.col(f"_q{i}") for i in range(len(names))]
-    with_parent = counts.join(by_suffix, counts["_suffix"].eqNullSafe(by_suffix["_suffix"])).drop(by_suffix["_suffix"])
-    by_host = as_table(_smoothed(with_parent.where("_host is not null"), ["_host", "_suffix"], names, priors), "host-priors")
-    by_suffix = as_table(by_suffix, "suffix-priors")
-    both = lambda prefix, t: t.select(*(F.col(c).alias(prefix + c) for c in t.columns))
-    h, s = both("h", by_host), both("s", by_suffix)
+    codes = rows.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_declared string, _code int")
+    coded = counts.join(F.broadcast(codes), "_declared", "left")
+    h = as_table(_said(coded.where("_host is not null"), ["_host", "_suffix"], "h"), "host-languages")
+    s = as_table(_said(coded, ["_suffix"], "s"), "suffix-languages")
     joined = rows.join(h, (F.col("_host") == F.col("h_host")) & F.col("_suffix").eqNullSafe(F.col("h_suffix")), "left")
     joined = joined.join(s, F.col("_suffix").eqNullSafe(F.col("s_suffix")), "left")
-    prior = [F.coalesce(F.col(f"h_q{i}"), F.col(f"s_q{i}"), F.lit(x)) for i, x in enumerate(every)]
-    ready = joined.select("_row", "_text", "_declared", F.array(*prior).alias("_prior"))
+    ready = joined.select("_row", "_text", "_declared", "h_code", "h_n", "s_code", "s_n")
 
     def fuse(batches):
         logs, index = model.value, {name: i for i, name in enumerate(names)}
@@ -121,7 +130,10 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
                 seen = np.bincount(text_of, minlength=n)
                 score = np.stack([np.bincount(text_of, logs[codes, i], n) for i in range(len(names))], axis=1).astype(float)
                 score *= (np.minimum(seen, EVIDENCE) / np.maximum(seen, 1))[:, None]
-                score += np.log(np.array(part.column("_prior").to_pylist(), float).reshape(n, len(names)))
+                prior = np.tile(np.array(every), (n, 1))
+                for level in "sh":
+                    prior = _smoothed(part.column(f"{level}_code"), part.column(f"{level}_n"), prior)
+                score += np.log(prior)
                 said = np.array([index.get(x, -1) for x in part.column("_declared").to_pylist()], np.int64)
                 known = np.flatnonzero(said >= 0)
                 score[known] += miss

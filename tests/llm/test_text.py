@@ -131,3 +131,23 @@ def test_host_prior_decides_where_text_is_thin(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, suffix string, host string")
     found = {r.doc_id: r.language for r in langid.identify(docs, "text", "lang", "suffix", "host").collect()}
     assert (found[200], found[201]) == ("aa", "bb")
+
+
+def test_rare_languages_keep_their_name(spark):
+    rng = random.Random(15)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(40))
+    parts = {f"l{k}": ["".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(2)) for _ in range(5)] for k in range(31)}
+    rows = [(i, make(parts["l0"]), "l0", "hot") for i in range(1500)]
+    rows += [(2000 + 10 * k + i, make(parts[f"l{k}"]), f"l{k}", f"h{i % 3}") for k in range(1, 31) for i in range(5)]  # each 0.3 % of the rows
+    rows += [(5000 + k, make(parts[f"l{k}"]), None, None) for k in range(31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in langid.identify(docs, "text", declared="lang", host="source").collect()}
+    assert all(found[i].language == name and found[i].language_accepted for i, _, name, _ in rows if name)
+    assert all(found[5000 + k].language == f"l{k}" for k in range(31))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_CELLS", 2 * langid.BUCKETS)
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 3}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="declared languages"):
+        langid.identify(docs, "text", declared="lang")
