@@ -491,7 +491,8 @@ def _count_pairs(outside: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, n_shingles and component_id, with _text_hash to tell rows of one id apart.
+    """One row for each document: doc_id, n_shingles and component_id, with _text_hash to tell rows of one id apart
+    and _kept for the one doc_id (nulls last) and text hash that come first in each component.
 
     A-Z are lower-cased; words are runs of characters other than space and \\x09-\\x0D;
     the set of a document is its distinct five-word shingles, or all its words as one if
@@ -505,12 +506,14 @@ def join(docs: DataFrame) -> DataFrame:
     * Shingles and sets are known by 64-bit hashes; two sets with one hash are noticed and are an error.
     """
     sets, roots = link_sets(docs)
-    classes = sets.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    classes = sets.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("rep"), F.min(rank).alias("first"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     sound = F.when((F.col("n0") == F.col("n1")) & (F.col("c0") == F.col("c1")), F.col("e")).otherwise(F.raise_error(F.lit("Two shingle sets have one hash.")).cast("long"))
-    rooted = classes.select(sound.alias("e"), "rep").join(roots, F.col("e") == F.col("u"), "left").select("e", "rep", F.coalesce("root", "e").alias("root"))
+    rooted = classes.select(sound.alias("e"), "rep", "first").join(roots, F.col("e") == F.col("u"), "left").select("e", "rep", "first", F.coalesce("root", "e").alias("root"))
     rooted = as_table(rooted, "classes")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = rooted.join(least, "root").select("e", "component")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component"), F.min("first").alias("kept"))
+    named = rooted.join(least, "root").select("e", "component", "kept")
     out = sets.join(named, "e", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("t").alias("_text_hash"))
+    kept = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("t").eqNullSafe(F.col("kept.t")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("t").alias("_text_hash"), kept.alias("_kept"))

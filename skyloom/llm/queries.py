@@ -61,7 +61,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text_hash")
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text_hash", "_kept")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

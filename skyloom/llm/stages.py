@@ -34,16 +34,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents keep the one with the least doc_id.
+    """Of each group of linked documents keep exactly one row, that of the least doc_id (nulls last) and text hash.
 
-    Rows with a null doc_id stay. Equal rows (doc_id and text) are one document, of which one row stays.
+    Texts without words link with nothing: equal rows (doc_id and text) of them are one document, of which one
+    row stays; those with a null doc_id stay.
     """
-    found = jaccard_join.join(docs)
-    other = found.where("doc_id is not null and component_id <> doc_id").select("doc_id", "_text_hash").distinct()
-    marked = docs.select(boxed(docs), "doc_id", F.xxhash64("text").alias("_text_hash"))
-    left = marked.join(other, ["doc_id", "_text_hash"], "left_anti")
+    other = jaccard_join.join(docs).where("not _kept").select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash")).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.select(boxed(docs), "doc_id", F.xxhash64("text").alias("_text_hash"), worded.alias("_worded"))
+    left = marked.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
-    left = left.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(nth))
+    left = left.withColumn("_nth", F.when(F.col("doc_id").isNull() & ~F.col("_worded"), 1).otherwise(nth))
     return left.where("_nth = 1").select("_row.*")
 
 

@@ -54,3 +54,16 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    from skyloom.llm.stages import near_duplicates_out
+
+    words = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcd"]
+    rows = [(None, words[0])] * 3 + [(None, words[0] + " more")]  # no member has an id
+    rows += [(7, words[1]), (7, words[1] + " more"), (7, words[1]), (9, words[1]), (None, words[1])]  # one id, two linked texts
+    rows += [(3, words[2]), (3, words[3])]  # one id, unlike texts
+    rows += [(None, None), (None, " "), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _kept int").repartition(3)
+    got = [(r.doc_id, (r.text or "").split(" ")[0][:1]) for r in near_duplicates_out(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (7, "b"), (3, "c"), (3, "d"), (None, ""), (None, ""), (5, "")], key=str)
