@@ -1,9 +1,9 @@
 """Exact Jaccard join of documents on five-word shingles, with vertical partitioning.
 
 Shingles have one global order, rare ones first. Two sets that link must share a shingle
-of their prefixes in that order; those pairs are the candidates. The order is cut into
-fragments, the sets with it; each fragment counts its part of a pair's overlap by itself,
-and the parts are summed by pair.
+of their prefixes in that order; those pairs are the candidates. The shingles' hashes are cut
+into ranges (fragments), the sets with them; each fragment counts its part of a pair's overlap
+by itself, and the parts are summed by pair.
 
 * Equal sets are one set from the start.
 * The order comes from counters of a fixed number, each shared by the shingles of one hash
@@ -14,7 +14,9 @@ and the parts are summed by pair.
   shingle's main one are compared further, first with one set of the main component for each
   shingle they share, at last with all that are left.
 * That last step counts the shared shingles of the prefixes first, and only pairs that
-  can still reach the similarity are compared whole.
+  can still reach the similarity are compared whole. For the count it does spread all pairs of
+  a shingle's sets of different components and like size: a passage in the prefixes of very many
+  unlike documents makes rows with the square of their number there.
 """
 
 from __future__ import annotations
