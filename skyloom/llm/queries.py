@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import chat, jaccard_join, langid, line_dedup, packing, quality, sentencepieces, topk, toxicity, url_filter
+from skyloom.llm import alignment, chat, html_text, jaccard_join, langid, line_dedup, packing, quality, repair, sentencepieces, topk, toxicity, url_filter
 from skyloom.llm.shared import table
 
 
@@ -74,4 +74,33 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_url_filters, op3_best_fit_packing, op4_chat_tool_links, op5_toxicity, op6_line_dedup, op7_language_id, op8_quality_rules, op9_ngram_jaccard_join, op10_sentencepiece)}
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_topk,
+        op2_url_filters,
+        op3_best_fit_packing,
+        op4_chat_tool_links,
+        op5_toxicity,
+        op6_line_dedup,
+        op7_language_id,
+        op8_quality_rules,
+        op9_ngram_jaccard_join,
+        op10_sentencepiece,
+        op11_html_extraction,
+        op12_conversation_repair,
+        op13_cross_tokenizer_alignment,
+    )
+}
