@@ -16,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.chunks import ChunkTable
 from skyloom.llm.shared import slices
 from skyloom.session import as_table
 
@@ -33,6 +32,10 @@ from skyloom.session import as_table
 _UNSPELLED = 2**32 - 1
 #: Bytes of text whose linked pairs are numbered together; a longer document is a block of its own.
 BLOCK_BYTES = 4_000_000
+#: Bytes, about, of a worker's table of chunks, and of a chunk in it besides its characters.
+MOST_BYTES, _OVERHEAD = 64_000_000, 200
+#: Chunks that a tokenizer is given as one text.
+_TOGETHER = 64
 _MARKER = "▁"
 _GAP = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -58,19 +61,33 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Side:
-    """One tokenizer: the bytes of every id, and a table of distinct chunks that it has segmented."""
+    """One tokenizer: the bytes of every id, and how it segments chunks."""
 
     def __init__(self, pieces: list[bytes], encode):
         self.pieces, self._encode = pieces, encode
         self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.names = [str(i) for i in range(len(pieces))]
-        self.table = ChunkTable(self._segment)
 
-    def _segment(self, waiting: list[str]) -> list[list[int]]:
-        """Ids of chunks; a chunk that they do not spell is the one id _UNSPELLED."""
-        found = self._encode(waiting)
-        spelled = (b"".join([self.pieces[i] for i in ids]) == b" " + chunk.encode() for ids, chunk in zip(found, waiting, strict=True))
-        return [ids if ok else [_UNSPELLED] for ids, ok in zip(found, spelled, strict=True)]
+    def segment(self, waiting: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row, and how many each has; a chunk that they do not spell is the one id _UNSPELLED."""
+        found = self._joined(waiting) if all(c and _MARKER not in c and not c[-1].isspace() for c in waiting) else None
+        if found is None:
+            each = self._encode(waiting)
+            spelled = (b"".join([self.pieces[i] for i in ids]) == b" " + chunk.encode() for ids, chunk in zip(each, waiting, strict=True))
+            each = [ids if ok else [_UNSPELLED] for ids, ok in zip(each, spelled, strict=True)]
+            found = np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+        return found
+
+    def _joined(self, waiting: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for chunks that end in something else than white space: many at a time, cut at the known bytes."""
+        texts = [" ".join(waiting[at : at + _TOGETHER]) for at in range(0, len(waiting), _TOGETHER)]
+        ids = list(chain.from_iterable(self._encode(texts)))
+        if b"".join([self.pieces[i] for i in ids]) != "".join([" " + t for t in texts]).encode():
+            return None
+        ids = np.array(ids, np.uint32)
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode())) for c in waiting])
+        last = np.searchsorted(ends, cuts)
+        return (ids, np.diff(last, prepend=-1)) if (ends[last] == cuts).all() else None
 
 
 def _byte_level(path: str) -> _Side:
@@ -99,40 +116,87 @@ def _sentence_pieces(path: str) -> _Side:
     return _Side(pieces, lambda waiting: [ids if chunk else [marker] for ids, chunk in zip(model.encode(waiting, num_threads=1), waiting, strict=True)])
 
 
+class _Numbers(dict):
+    """Chunk -> its number; a new chunk waits to be segmented."""
+
+    def __init__(self):
+        self.waiting, self.held = [], 0
+
+    def __missing__(self, chunk):
+        number = self[chunk] = len(self)
+        self.waiting.append(chunk)
+        self.held += _OVERHEAD + len(chunk)
+        return number
+
+
+class _Both:
+    """Both tokenizers of a worker, and its table of distinct chunks, each segmented once. The table is emptied at MOST_BYTES."""
+
+    def __init__(self, sides: tuple[_Side, _Side]):
+        self.sides = sides
+        self._clear()
+
+    def _clear(self):
+        self._numbers, self._known = _Numbers(), [[np.zeros(0, np.uint32)] * 2 + [np.zeros(0, np.int64)] for _ in self.sides]
+
+    def _learn(self):
+        """Ids, and of each chunk how many and where they begin."""
+        waiting, self._numbers.waiting = self._numbers.waiting, []
+        plain = [bool(c) and _MARKER not in c and not c[-1].isspace() for c in waiting]
+        order = sorted(range(len(waiting)), key=lambda k: not plain[k])
+        split = sum(plain)
+        for side, known in zip(self.sides, self._known, strict=True):
+            parts = [side.segment([waiting[k] for k in own]) for own in (order[:split], order[split:]) if own]
+            ids, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            own = np.empty(len(waiting), np.int64)
+            own[order] = len(known[0]) + np.cumsum(sizes) - sizes
+            count = np.empty(len(waiting), np.uint32)
+            count[order] = sizes
+            known[:] = np.concatenate([known[0], ids]), np.concatenate([known[1], count]), np.concatenate([known[2], own])
+
+    def ids(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of either side the ids of all texts in a row, and where each text begins (n + 1)."""
+        if self._numbers.held > MOST_BYTES:
+            self._clear()
+        numbers = np.fromiter(map(self._numbers.__getitem__, chain.from_iterable(texts)), np.int64)
+        if self._numbers.waiting:
+            self._learn()
+        cuts, out = np.cumsum([0, *map(len, texts)]), []
+        for pool, size, start in self._known:
+            per = size[numbers].astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(per)])
+            out.append((pool[np.arange(first[-1]) + np.repeat(start[numbers] - first[:-1], per)], first[cuts]))
+        return out
+
+
 @cache
-def _sides(byte_path: str, piece_path: str) -> tuple[_Side, _Side]:
-    """Both tokenizers of this worker."""
+def _both(byte_path: str, piece_path: str) -> _Both:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return _byte_level(byte_path), _sentence_pieces(piece_path)
-
+    return _Both((_byte_level(byte_path), _sentence_pieces(piece_path)))
 
-def stretches(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Cut two lists of end offsets with one last end: (a, b, n, m) says that n tokens from a on and m from b on follow.
 
-    n == m is a one-to-one stretch of n groups (or of one, if both ends met after some steps,
-    which is told by n == 1 only); otherwise it is one irregular group.
-    """
+def irregular(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Groups of more than one token on a side, between two lists of end offsets that close with one last end: the
+    first token of A, and how many of A and of B. Everything between them is one to one."""
+    begins, tokens_a, tokens_b = [], [], []
     i, j, last_a, last_b = 0, 0, len(ends_a), len(ends_b)
     while i < last_a:
-        begin, step = i, 1
-        while step:  # probe along the diagonal: double while equal
-            step = min(step, last_a - i, last_b - j)
-            if not step or ends_a[i : i + step] != ends_b[j : j + step]:
-                break
-            i, j, step = i + step, j + step, 2 * step
-        while step > 1:  # what is left of the stretch is shorter than the last step
-            step //= 2
-            if ends_a[i : i + step] == ends_b[j : j + step]:
+        x, y = ends_a[i], ends_b[j]
+        if x == y:  # a diagonal: probe along it, twice as far each time, then closer
+            i, j = i + 1, j + 1
+            step = min(2, last_a - i, last_b - j)
+            while step and ends_a[i : i + step] == ends_b[j : j + step]:
                 i, j = i + step, j + step
-        if i > begin:
-            yield begin, j - (i - begin), i - begin, i - begin
-        if i == last_a:
-            break
+                step = min(2 * step, last_a - i, last_b - j)
+            while step > 1:
+                step //= 2
+                if ends_a[i : i + step] == ends_b[j : j + step]:
+                    i, j = i + step, j + step
+            continue
         begin, other = i, j
-        x, y = ends_a[i], ends_b[j]
-        while x != y:
+        while x != y:  # the side that is behind steps on; where both meet, the next diagonal begins
             if x < y:
                 i += 1
                 x = ends_a[i]
@@ -140,37 +204,68 @@ def stretches(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int,
                 j += 1
                 y = ends_b[j]
         i, j = i + 1, j + 1
-        n, m = i - begin, j - other
-        if n == m:  # several against as many: one group, not a stretch
-            yield begin, other, -n, -m
-        else:
-            yield begin, other, n, m
-
-
-def spelled_groups(a: list[str], b: list[str], cuts) -> list[str]:
-    """The groups as text, `a1,a2|b1`, given the names of the tokens in order."""
-    out = []
-    for i, j, n, m in cuts:
-        if n == m and n > 0:
-            out += map("|".join, zip(a[i : i + n], b[j : j + m], strict=True))
-        else:
-            out.append(",".join(a[i : i + abs(n)]) + "|" + ",".join(b[j : j + abs(m)]))
-    return out
-
-
-def _aligned(texts: list, sides: tuple[_Side, _Side]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """Of each text the ids and ends of both sides and its groups; all empty where a side does not spell it."""
-    none, whole = np.zeros(0, np.int64), [chunks(t) if t else [] for t in texts]
-    (ids_a, first_a), (ids_b, first_b) = (side.table.ids(whole) for side in sides)
-    for k in range(len(texts)):
-        a, b = ids_a[first_a[k] : first_a[k + 1]], ids_b[first_b[k] : first_b[k + 1]]
-        if not len(a) or (a == _UNSPELLED).any() or (b == _UNSPELLED).any():
-            yield none, none, none, none, []
-            continue
-        a, b = a.astype(np.int64), b.astype(np.int64)
-        ends_a, ends_b = (np.cumsum(side.sizes[x]) for side, x in zip(sides, (a, b), strict=True))
-        names = ([side.names[i] for i in x.tolist()] for side, x in zip(sides, (a, b), strict=True))
-        yield a, b, ends_a, ends_b, spelled_groups(*names, stretches(ends_a.tolist(), ends_b.tolist()))
+        begins.append(begin)
+        tokens_a.append(i - begin)
+        tokens_b.append(j - other)
+    return begins, tokens_a, tokens_b
+
+
+def group_sizes(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and of B in every group, in order."""
+    begins, n, m = (np.array(x, np.int64) for x in irregular(ends_a.tolist(), ends_b.tolist()))
+    before = begins - np.concatenate([[0], np.cumsum(n)[:-1]])[: len(n)]  # one-to-one groups before each
+    at = before + np.arange(len(n))
+    groups = len(ends_a) - int(n.sum()) + len(n)
+    out = np.ones((2, groups), np.int64)
+    out[:, at] = n, m
+    return out[0], out[1]
+
+
+class _Aligned:
+    """Some texts in a row: ids a and b, their ends in the bytes of all texts, first token of each text, and the
+    groups: how many tokens of either side each has, and the first group of each text."""
+
+    def __init__(self, texts: list, both: _Both):
+        whole = [chunks(t) if t else [] for t in texts]
+        found = both.ids(whole)
+        bad = {int(np.searchsorted(first, k, side="right")) - 1 for ids, first in found for k in np.flatnonzero(ids == _UNSPELLED)}
+        if bad:
+            found = both.ids([[] if k in bad else w for k, w in enumerate(whole)])
+        (self.a, self.first_a), (self.b, self.first_b) = found
+        self.a, self.b = self.a.astype(np.int64), self.b.astype(np.int64)
+        self.ends_a, self.ends_b = (np.cumsum(side.sizes[ids]) for side, ids in zip(both.sides, (self.a, self.b), strict=True))
+        self.group_a, self.group_b = group_sizes(self.ends_a, self.ends_b)
+        self.first_group = np.searchsorted(np.cumsum(self.group_a), self.first_a, side="right")
+        self.first_group[self.first_a == len(self.a)] = len(self.group_a)
+
+    def spelled(self) -> list[bytes]:
+        """Of each text its groups, `a1,a2|b1;a3|b2`."""
+        after_a, after_b = np.cumsum(self.group_a), np.cumsum(self.group_b)
+        at_a = np.arange(len(self.a)) + np.repeat(after_b - self.group_b, self.group_a)
+        at_b = np.arange(len(self.b)) + np.repeat(after_a, self.group_b)
+        ids, mark = np.empty(len(at_a) + len(at_b), np.int64), np.full(len(at_a) + len(at_b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = self.a, self.b
+        mark[at_a[after_a - 1]], mark[at_b[after_b - 1]] = ord("|"), ord(";")
+        digits = np.ones(len(ids), np.int64)
+        for power in range(1, 10):
+            digits += ids >= 10**power
+        end = np.cumsum(digits + 1)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+        out[end - 1] = mark
+        for power in range(int(digits.max(initial=0))):
+            some = digits > power
+            out[end[some] - 2 - power] = ord("0") + ids[some] // 10**power % 10
+        cuts = np.concatenate([[0], end])[self.first_a + self.first_b].tolist()
+        whole = out.tobytes()
+        return [whole[p : max(p, q - 1)] for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and id pair (a << 32 | b) of every two tokens whose bytes overlap. The overlap lies between two
+        neighbouring ends of both sides together, and each such stretch of bytes has one token of either side."""
+        ends = np.sort(np.concatenate([self.ends_a, self.ends_b]), kind="stable")
+        ends = ends[np.append(True, ends[1:] != ends[:-1])[: len(ends)]]
+        one, other = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
+        return np.searchsorted(self.first_a, one, side="right") - 1, self.a[one] << 32 | self.b[other]
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -189,22 +284,14 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(_aligned(part.column("text").to_pylist(), _sides(byte_path, piece_path)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), *(pa.array([len(f[s]) for f in found], pa.int64()) for s in (0, 1)), pa.array([f[4] for f in found], pa.list_(pa.string()))],
-                    names=["doc_id", "n_a", "n_b", "groups"],
-                )
+                found = _Aligned(part.column("text").to_pylist(), _both(byte_path, piece_path))
+                groups = [g.decode().split(";") if g else [] for g in found.spelled()]
+                columns = [part.column("doc_id"), pa.array(np.diff(found.first_a)), pa.array(np.diff(found.first_b)), pa.array(groups, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "groups"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_a long, n_b long, groups array<string>")
 
 
-def links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
-    """Id pair (a << 32 | b) of every two tokens whose bytes overlap. The overlap of two tokens lies between two
-    neighbouring ends of both lists together, and each such stretch has one token of either side."""
-    ends = np.union1d(ends_a, ends_b)
-    return a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
-
-
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, slots binary, times binary"
 _BLOCKS = f"block long, docs array<struct<{_DOC.replace(' ', ':').replace(',:', ',')}>>, slot int, pair long, held long"
 
@@ -215,18 +302,16 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     kinds = [pa.int64(), pa.list_(pa.struct(fields)), pa.int32(), pa.int64(), pa.int64()]
     names = ["block", "docs", "slot", "pair", "held"]
 
-    def packed(rows, block):
-        each = [r[-1] for r in rows]
-        owner = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-        flat = np.concatenate([*each, np.zeros(0, np.int64)])
+    def packed(rows, found, block):
+        owner, flat = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((flat, owner))
         flat, owner = flat[order], owner[order]
-        begin = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))[: len(flat)]
-        times = np.diff(np.append(begin, len(flat)))
+        begin = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))[: len(flat)])
+        times = np.diff(np.append(begin, len(flat))).astype("<u4")
         pairs, slot, held = np.unique(flat[begin], return_inverse=True, return_counts=True)
-        cuts = np.searchsorted(owner[begin], np.arange(len(rows) + 1))
-        out = [(*r[:-1], slot[p:q].astype("<u4").tobytes(), times[p:q].astype("<u4").tobytes()) for r, p, q in zip(rows, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        yield record([[block], [[dict(zip((n for n, _ in fields), o, strict=True)) for o in out]], *[[None]] * 3])
+        cuts, slot = np.searchsorted(owner[begin], np.arange(len(rows) + 1)).tolist(), slot.astype("<u4")
+        each = [(*r, slot[p:q].tobytes(), times[p:q].tobytes()) for r, p, q in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+        yield record([[block], [[dict(zip((n for n, _ in fields), r, strict=True)) for r in each]], *[[None]] * 3])
         n = len(pairs)
         yield record([np.full(n, block), pa.nulls(n, kinds[1]), np.arange(n), pairs, held])
 
@@ -234,20 +319,21 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches):
-        task, n, rows, held = TaskContext.get().partitionId(), 0, [], 0
+        task, n, rows, links, held = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 if rows and held + part.column("text").nbytes > BLOCK_BYTES:
-                    yield from packed(rows, task << 32 | n)
-                    n, rows, held = n + 1, [], 0
+                    yield from packed(rows, links, task << 32 | n)
+                    n, rows, links, held = n + 1, [], [], 0
                 held += part.column("text").nbytes
-                texts = part.column("text").to_pylist()
-                for doc, (a, b, ends_a, ends_b, groups) in zip(part.column("doc_id").to_pylist(), _aligned(texts, _sides(byte_path, piece_path)), strict=True):
-                    found = links(a, b, ends_a, ends_b) if len(a) else a
-                    digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
-                    rows.append((doc, len(a), len(b), len(groups), len(found), digest, found))
+                found = _Aligned(part.column("text").to_pylist(), _both(byte_path, piece_path))
+                owner, pairs = found.links()
+                links.append((owner + len(rows), pairs))
+                digests = (hashlib.sha256(g).hexdigest() if g else "" for g in found.spelled())
+                counts = (np.diff(x).tolist() for x in (found.first_a, found.first_b, found.first_group))
+                rows += zip(part.column("doc_id").to_pylist(), *counts, np.bincount(owner, minlength=part.num_rows).tolist(), digests, strict=True)
         if rows:
-            yield from packed(rows, task << 32 | n)
+            yield from packed(rows, links, task << 32 | n)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCKS)
 

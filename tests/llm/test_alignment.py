@@ -3,6 +3,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from skyloom.llm import alignment
 from skyloom.llm.queries import tokenizer
 
@@ -107,24 +109,17 @@ def test_statistics_equal_libraries_on_whole_texts(spark, monkeypatch):
     assert aligned[4].groups and aligned[4].n_a >= len(aligned[4].groups)
 
 
-def test_stretches_equal_the_common_ends():
+def test_groups_end_at_the_common_ends():
     rng = random.Random(4)
     for _ in range(500):
         size = rng.randrange(1, 80)
         a, b = (sorted({*rng.sample(range(1, size + 1), rng.randrange(0, size + 1)), size}) for _ in range(2))
         if rng.random() < 0.3:
             b = list(a)
-        i = j = 0
-        ends = []
-        for at, other, n, m in alignment.stretches(a, b):
-            assert (at, other) == (i, j)
-            if n == m and n > 0:
-                assert a[i : i + n] == b[j : j + m]
-                ends += a[i : i + n]
-            else:
-                ends.append(a[i + abs(n) - 1])
-            i, j = i + abs(n), j + abs(m)
-        assert (i, j) == (len(a), len(b)) and ends == sorted(set(a) & set(b))
+        n, m = alignment.group_sizes(np.array(a), np.array(b))
+        common = sorted(set(a) & set(b))
+        assert [a[k - 1] for k in np.cumsum(n)] == common == [b[k - 1] for k in np.cumsum(m)]
+    assert [len(x) for x in alignment.group_sizes(np.zeros(0, int), np.zeros(0, int))] == [0, 0]
 
 
 def test_statistics_of_no_rows_extra_columns_and_long_texts(spark):
