@@ -104,8 +104,8 @@ def statistics(texts: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> forest.Forest | None:
-    """Trees that tell quality 1 from 0, from at most ``rows`` labelled rows chosen by a hash of their ids."""
-    sample = docs.select("doc_id", "text").join(F.broadcast(bounded_sample(labels, "quality", rows)), "doc_id")
+    """Trees that tell quality 1 from 0, from at most ``rows`` labelled rows chosen by a hash of their ids; equal rows are one."""
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(bounded_sample(labels, "quality", rows)), "doc_id")
     names = [f"f{i}" for i in range(len(FEATURES))]
     kinds = ", ".join(f"{n} double" for n in [*names, "y"])
 
@@ -113,10 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> forest.
         for batch in batches:
             for part in slices(batch, "text"):
                 features = statistics(part.column("text"))[1]
-                yield pa.RecordBatch.from_arrays([*(pa.array(f, pa.float64()) for f in features.T), part.column("y")], names=[*names, "y"])
+                columns = [part.column("doc_id"), *(pa.array(f, pa.float64()) for f in features.T), part.column("y")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "y"])
 
-    measured = sample.select("text", "y").mapInArrow(measure, kinds)
-    found = measured.orderBy("y", *names).limit(rows).toArrow()  # repeated rows cannot pass the bound
+    # Repeated rows count once; texts that share an id beyond the bound are left out by the hash of the id, whatever their label.
+    measured = sample.select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, " + kinds).distinct()
+    found = measured.orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(rows).toArrow()
     if not found.num_rows:
         return None
     columns = [found.column(c).to_numpy() for c in names]

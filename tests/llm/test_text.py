@@ -38,6 +38,20 @@ def test_counts_equal_plain_python(spark):
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_repeated_labelled_rows_lose_no_class(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["good", "plain", "words", "here."]) for _ in range(80)) if i % 2 else " ".join(rng.choice("# $ x 9") for _ in range(80)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = documents(spark, texts)
+    many = once
+    for _ in range(9):
+        many = many.union(once)
+    one, other = (quality.train(d, labels, rows=40) for d in (once, many))
+    features = quality.statistics(once.toArrow().column("text").combine_chunks())[1]
+    assert np.array_equal(one.probability(features), other.probability(features))
+    assert np.ptp(one.probability(features)) > 0.5
+
+
 def test_forest_learns_and_stays_monotonic():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 3))
