@@ -11,6 +11,7 @@ from skyloom.functions.expr import CatalogError
 from skyloom.operators.union import check_same_columns, union_outer, union_strict
 from skyloom.sinks.collection import write_collection
 from skyloom.sinks.parquet import check_output, file_count, output_layout, write_manifest, write_parquet
+from skyloom.sources.headers import file_columns, names_of
 from skyloom.sources.readers import format_of, read_files, schema_frame
 
 
@@ -34,22 +35,35 @@ def read_sources(
     if len(set(kinds.values())) != 1:
         raise CatalogError("Files of different formats cannot be read as one catalog.")
     kind = kinds[paths[0]]
-    groups: dict[str, list[str]] = {}
-    headers: dict[str, DataFrame] = {}
-    for path in paths:
-        headers[path] = schema_frame(spark, path, kind, column_names, hdu)
-        groups.setdefault(headers[path].schema.json(), []).append(path)
-    if schema_policy == "strict":
-        check_same_columns(headers)
-    frames = [read_files(spark, group, kind, column_names, hdu) for group in groups.values()]
-    if kind == "parquet" and schema_policy == "strict":
-        for group, frame in zip(groups.values(), frames, strict=True):
-            more = [c for c in frame.columns if c not in headers[group[0]].columns]
-            if more:
-                raise CatalogError(f"Files below {group[0]} do not have the same schema: some lack {', '.join(more)}.")
+    groups = _by_columns(spark, paths, kind, schema_policy == "strict", column_names, hdu)
+    frames = [read_files(spark, group, kind, column_names, hdu) for group in groups]
     return union_strict(frames) if schema_policy == "strict" else union_outer(frames)
 
 
+def _by_columns(spark: SparkSession, paths: Sequence[str], kind: str, strict: bool, column_names: Sequence[str] | None, hdu: int) -> list[list[str]]:
+    """Paths that can be read together, from the headers of all files; ``strict`` refuses files whose column names differ."""
+    if kind == "whitespace":  # no headers; the names are the caller's
+        return [list(paths)]
+    groups: dict[str, list[str]] = {}
+    found = file_columns(spark, paths, kind, hdu)
+    if found is None:  # a store that only Spark opens: its readers tell the columns, file by file
+        headers = {p: schema_frame(spark, p, kind, column_names, hdu) for p in paths}
+        for path, frame in headers.items():
+            groups.setdefault(frame.schema.json(), []).append(path)
+        if strict:
+            check_same_columns(headers)
+        return list(groups.values())
+    examples: dict[str, str] = {}
+    for path, columns in found:
+        groups.setdefault("\n".join(columns), []).append(path)
+        for one in columns:
+            examples.setdefault(", ".join(names_of(one)), path)
+    if strict and len(examples) > 1:
+        lines = [f"{path}: {names}" for names, path in examples.items()]
+        raise CatalogError("\n".join(["All files must have the same schema, in the same order. Different ones, each with one of its paths:", *lines]))
+    return list(groups.values())
+
+
 def prepare(
     spark: SparkSession,
     paths: str | Sequence[str],

@@ -118,6 +118,17 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
+def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[str]:
+    """Sorted full paths of the files below a folder, at any depth; hidden ones are left out."""
+    _, p, fs = _fs(spark, path)
+    found, names = [], fs.listFiles(p, True)
+    while names.hasNext():
+        one = names.next().getPath()
+        if one.getName().endswith(suffixes) and not one.getName().startswith(("_", ".")):
+            found.append(one.toUri().toString())
+    return sorted(found)
+
+
 def total_bytes(spark: SparkSession, path: str) -> int:
     _, p, fs = _fs(spark, path)
     return int(fs.getContentSummary(p).getLength())

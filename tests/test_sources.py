@@ -284,3 +284,39 @@ def test_parquet_folders_of_differing_files(spark, tmp_path):
     with pytest.raises(CatalogError, match="same schema"):
         skyloom.read_sources(spark, [path])
     assert set(skyloom.read_sources(spark, [path], schema_policy="union").columns) == {"id", "ra", "dec"}
+
+
+@pytest.mark.parametrize("wider", ["a", "b"])
+def test_strict_compares_every_file_whichever_comes_first(spark, tmp_path, wider):
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    (tmp_path / "mixed").mkdir()
+    for name in "ab":
+        columns = {"id": [1], "ra": [2.0]} | ({"dec": [4.0]} if name == wider else {})
+        parquet.write_table(pa.table(columns), tmp_path / "mixed" / f"{name}.parquet")
+    for paths in ([str(tmp_path / "mixed")], [str(tmp_path / "mixed" / f"{n}.parquet") for n in "ab"]):
+        with pytest.raises(CatalogError, match="same schema"):
+            skyloom.read_sources(spark, paths)
+        got = skyloom.read_sources(spark, paths, schema_policy="union").collect()
+        assert sorted(r.dec for r in got if r.dec is not None) == [4.0] and len(got) == 2
+
+
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    def jobs(label, action):
+        spark.sparkContext.setJobGroup(label, label)
+        try:
+            action()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    for i in range(200):
+        (tmp_path / f"{i:03}.csv").write_text("id,ra\n1,2.5\n" if i % 2 else '"id",ra,"z,z"\n1,2.5,3\n')
+    paths = [str(tmp_path / f"{i:03}.csv") for i in range(200)]
+    read = lambda n: skyloom.read_sources(spark, paths[:n], schema_policy="union")
+    few, some, many = (jobs(f"of {n}", lambda n=n: read(n)) for n in (12, 80, 200))
+    assert few <= some == many <= 12  # Spark itself lists more than 32 paths by a job
+    assert read(200).columns == ["id", "ra", "z,z"] and read(200).count() == 200
+    with pytest.raises(CatalogError, match="same schema"):
+        skyloom.read_sources(spark, paths)
