@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +44,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def as_table(df: DataFrame, label: str) -> DataFrame:
+#: Paths written in the open scopes of this thread, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch scopes", default=())
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written by ``as_table`` inside the block are deleted at its end, so nothing lazy that reads them may leave it.
+
+    A table made with ``keep`` belongs to the scope around (and stays if there is none).
+    """
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in made:
+            delete_path(spark, path)
+
+
+def as_table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Cut the lineage of a small derived table by writing it once to the shared folder.
 
     Unlike a cached block the files survive lost executors, and the optimizer
     knows their size, so it can decide by itself whether to broadcast them.
     """
     path = scratch_path(df.sparkSession, label)
+    scopes = _SCOPES.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

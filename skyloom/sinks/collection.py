@@ -21,7 +21,7 @@ from skyloom.operators.tiles import (
     row_bytes,
 )
 from skyloom.operators.validate import check_spatial_coordinates, observed, spatial_metrics
-from skyloom.session import as_table, move_single_part, path_exists, replacing, write_text
+from skyloom.session import as_table, move_single_part, path_exists, replacing, scratch_scope, write_text
 from skyloom.sinks.parquet import check_output, write_manifest
 from skyloom.sources.collection import CollectionLayout
 
@@ -180,6 +180,11 @@ def _write_margin(
 
 def add_margin(spark: SparkSession, path: str, threshold_arcsec: float) -> str:
     """Add a margin catalog to an existing collection and return its name; the default margin stays."""
+    with scratch_scope(spark):
+        return _add_margin(spark, path, threshold_arcsec)
+
+
+def _add_margin(spark: SparkSession, path: str, threshold_arcsec: float) -> str:
     layout = CollectionLayout.of(spark, path)
     primary = layout.catalog(layout.primary)
     name = primary.folder.rsplit("/", 1)[-1]
