@@ -1,9 +1,9 @@
 """Exact Jaccard join of documents on five-word shingles, with vertical partitioning.
 
 Shingles have one global order, rare ones first. Two sets that link must share a shingle
-of their prefixes in that order; those pairs are the candidates. The shingles' hashes are cut
-into ranges (fragments), the sets with them; each fragment counts its part of a pair's overlap
-by itself, and the parts are summed by pair.
+of their prefixes in that order; those pairs are the candidates. Pivots cut the order into fragments of about
+equal weight, the sets with them. The fragments are counted one after the other, the rarest first: a pair's
+partial overlaps are summed, and a pair that can no longer reach the similarity moves no further fragment.
 
 * Equal sets are one set from the start.
 * The order comes from counters of a fixed number, each shared by the shingles of one hash
@@ -13,18 +13,15 @@ by itself, and the parts are summed by pair.
   and then those each other). Sets that are in one component by then need not meet: only sets of other components than a
   shingle's main one are compared further, first with one set of the main component for each
   shingle they share, at last with all that are left.
-* That last step counts the shared shingles of the prefixes first, and only pairs that
-  can still reach the similarity are compared whole. For the count it does spread all pairs of
+* That last step pairs two sets only where a shingle can be the first in the order that they share, since
+  what follows it must then suffice. It still spreads those pairs of
   a shingle's sets of different components and like size: a passage in the prefixes of very many
   unlike documents makes rows with the square of their number there.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 import zlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +32,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
 from skyloom.llm.shared import lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
-from skyloom.session import as_table
+from skyloom.session import as_table, scratch_scope
 
 WORDS = 5
 #: Similarity, as a fraction.
@@ -47,8 +44,6 @@ CHUNKS = 64
 FRAGMENTS = 4
 #: Prefix rows that a task puts together before it sends them.
 HELD = 1_000_000
-#: Parts that candidate pairs are compared in, one after the other.
-PAIR_PARTS = 4
 #: Bits that tell which rows' sets are wanted; a false hit costs work, never a result.
 FILTER_BITS = 24
 
@@ -135,6 +130,13 @@ def _counters(profiles: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def pivots(counters: np.ndarray) -> np.ndarray:
+    """Counts that cut the global order into FRAGMENTS fragments of about equal weight; equal counts stay together."""
+    counts = np.sort(counters.astype(np.int64))
+    weight = np.cumsum(counts)
+    return counts[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
+
+
 def _prefix_size(n: np.ndarray) -> np.ndarray:
     return n + (PART * n) // -WHOLE + 1
 
@@ -146,13 +148,6 @@ def _needed(nx, ny):
     return F.ceil(F.lit(PART) * (nx + ny) / F.lit(PART + WHOLE))
 
 
-def _possible(nx, ix, ny, iy):
-    """Whether sets of these sizes can link if they share a shingle at these places of their orders."""
-    if isinstance(nx, np.ndarray):
-        return np.minimum(ix, iy) + 1 + np.minimum(nx - ix, ny - iy) - 1 >= _needed(nx, ny)
-    return F.least(ix, iy) + F.least(nx - ix, ny - iy) >= _needed(nx, ny)
-
-
 def _prefixes(owner, found, size, counters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, shingle and place of the shingles in the prefixes, in the global order."""
     order = np.lexsort((found, counters[(found & np.uint64(len(counters) - 1)).astype(np.int64)], owner))
@@ -296,9 +291,10 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _wanted_rows(docs: DataFrame, wanted, prefixes) -> DataFrame:
-    """Of the sets that the filter's bits name: whole sets by fragment, or prefix rows in the order of ``prefixes`` (counters)."""
-    names = ["e", "n", "fragment", "tokens"] if prefixes is None else ["t", "e", "p"]
+def _wanted_rows(docs: DataFrame, wanted, counters, prefixes: bool) -> DataFrame:
+    """Of the sets that the filter's bits name: prefix rows, or whole sets by fragment (the rarest one even if it is empty)."""
+    names = ["t", "e", "p"] if prefixes else ["e", "n", "fragment", "tokens"]
+    cuts = pivots(counters.value)
 
     def run(batches):
         seen = set()
@@ -316,22 +312,25 @@ def _wanted_rows(docs: DataFrame, wanted, prefixes) -> DataFrame:
                 owner, found = owner[one[owner]], found[one[owner]]
                 if not len(owner):
                     continue
-                if prefixes is not None:
-                    owner, found, place = _prefixes(owner, found, np.where(one, size, 0), prefixes.value)
+                if prefixes:
+                    owner, found, place = _prefixes(owner, found, np.where(one, size, 0), counters.value)
                     columns = found.view(np.int64), e[owner], _packed(size[owner], size[owner], place)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
                     continue
-                group = owner * FRAGMENTS + (found >> np.uint64(32)).astype(np.int64) * FRAGMENTS // (1 << 32)
+                count = counters.value[(found & np.uint64(len(counters.value) - 1)).astype(np.int64)].astype(np.int64)
+                group = owner * FRAGMENTS + np.searchsorted(cuts, count, side="right")
                 order = np.lexsort((found, group))
                 group, tokens = group[order], found[order]
-                begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-                end = np.append(begin[1:], len(group))
+                parts = (rows[:, None] * FRAGMENTS + np.arange(FRAGMENTS)).ravel()
+                begin, end = np.searchsorted(group, parts), np.searchsorted(group, parts, side="right")
+                there = (begin < end) | (parts % FRAGMENTS == 0)
+                begin, end, parts = begin[there], end[there], parts[there]
                 packed = [tokens[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                of = group[begin] // FRAGMENTS
-                columns = [pa.array(c, pa.int64()) for c in (e[of], size[of], group[begin] % FRAGMENTS)]
+                of = parts // FRAGMENTS
+                columns = [pa.array(c, pa.int64()) for c in (e[of], size[of], parts % FRAGMENTS)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=names)
 
-    kinds = "e long, n long, fragment long, tokens binary" if prefixes is None else "t long, e long, p long"
+    kinds = "t long, e long, p long" if prefixes else "e long, n long, fragment long, tokens binary"
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
@@ -390,31 +389,37 @@ def _bits(rows: DataFrame) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, compared in PAIR_PARTS parts: each moves its pairs' sets, and frees them before the next."""
-    found = []
-    for part in range(PAIR_PARTS):
-        own = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(PAIR_PARTS)) == part)
-        found.append(as_table(_compared(own, sets), "links"))
-        _release(pairs.sparkSession)
-    return reduce(DataFrame.union, found)
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that link: partial overlaps by fragment, summed by pair."""
-    one = sets.select(F.col("e").alias("a"), "fragment", F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    other = sets.select(F.col("e").alias("b"), "fragment", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    every = pairs.select("a", "b", F.explode(F.array(*(F.lit(i).cast("long") for i in range(FRAGMENTS)))).alias("fragment"))
-    met = every.join(one, ["a", "fragment"]).join(other, ["b", "fragment"])
+    """Pairs (a, b) that link. Fragments are counted one after the other, the rarest first: of each only the
+    sets of pairs that can still reach the similarity move."""
+    counted = {f"{c}": F.lit(0).cast("long") for c in ("shared", "done_a", "done_b")}
+    alive = pairs.select("a", "b").withColumns(counted)
+    for fragment in range(FRAGMENTS):
+        alive = as_table(_counted(alive, sets.where(F.col("fragment") == fragment), fragment), "alive")
+    return alive.select("a", "b")
+
+
+def _counted(alive: DataFrame, sets: DataFrame, fragment: int) -> DataFrame:
+    """Pairs with one more fragment counted, without those that cannot link any more. The first one tells the sizes."""
+    ids = alive.select(F.col("a").alias("e")).union(alive.select(F.col("b").alias("e"))).distinct()
+    own = sets.join(ids, "e", "left_semi").select("e", "tokens", *(["n"] if not fragment else []))
+    for side in "ab":
+        renamed = own.toDF(side, f"t{side}", *([f"n{side}"] if not fragment else []))
+        alive = alive.join(renamed, side, "left")
 
     def count(batches):
         for batch in batches:
-            x, y = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            shared = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], names=["a", "b", "na", "nb", "shared"])
+            x, y = ([np.frombuffer(t or b"", np.uint64) for t in batch.column(c).to_pylist()] for c in ("ta", "tb"))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            a, b, na, nb, shared, done_a, done_b = (np.asarray(batch.column(c)).astype(np.int64) for c in _PAIR)
+            shared, done_a, done_b = shared + both, done_a + [len(p) for p in x], done_b + [len(q) for q in y]
+            left = np.minimum(na - done_a, nb - done_b)
+            can = shared + left >= _needed(na, nb)
+            yield pa.RecordBatch.from_arrays([pa.array(c[can], pa.int64()) for c in (a, b, na, nb, shared, done_a, done_b)], names=_PAIR)
+
+    return alive.select(*_PAIR, "ta", "tb").mapInArrow(count, ", ".join(f"{c} long" for c in _PAIR))
 
-    parts = met.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(count, "a long, b long, na long, nb long, shared long")
-    total = parts.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return total.where(WHOLE * F.col("shared") >= PART * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+_PAIR = ["a", "b", "na", "nb", "shared", "done_a", "done_b"]
 
 
 def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -427,44 +432,36 @@ def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFr
     return as_table(labelled.join(shared.select("t", "main"), "t"), "open-rows"), shared
 
 
-def _release(spark) -> None:
-    """Let the driver notice that the shuffles of tables written by now are not needed; their files go then.
-
-    The first round frees the frames, the second what only they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows (doc_id, t, n, e) and the roots of linked sets (u, root). What was written for it is deleted."""
+    with scratch_scope(docs.sparkSession):
+        sets, roots = _linked(docs)
+        return sets, as_table(roots, "roots", keep=True)
 
 
-def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Profiles of all rows (doc_id, t, n, e) and the roots of linked sets (u, root)."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = as_table(_profiles(rows), "profiles")
+    profiles = as_table(_profiles(rows), "profiles", keep=True)
     counters = sc.broadcast(_counters(profiles))
     sets = profiles.where("chunk is null").select("doc_id", "t", "n", "e", "check")
     pairs = as_table(_star_pairs(_star_rows(rows, counters)), "pairs")
-    _release(docs.sparkSession)
 
     named = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
     firsts = sets.where("n > 0").groupBy("e").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
     wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("e", "rep")))
-    whole = _once(as_table(_wanted_rows(rows, wanted, None), "sets"), ["e", "fragment"])
+    whole = _once(as_table(_wanted_rows(rows, wanted, counters, False), "sets"), ["e", "fragment"])
     pairs = pairs.where("a <> b")
     links = _links(pairs, whole)
     roots = components(links)
-    _release(docs.sparkSession)
-    prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters)), "prefixes")
-    _release(docs.sparkSession)
+    prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters, True)), "prefixes")
 
     tested = pairs
     for last in (False, True):
         rows_open, mains = _open_rows(prefixes, roots)
         outside = rows_open.where("c <> main").alias("x")
         if last:
-            again = _count_pairs(outside, rows_open.alias("y"))
+            again = _first_met(outside, rows_open)
         else:
             again = outside.join(mains.alias("m"), "t").select(F.least("e", "some").alias("a"), F.greatest("e", "some").alias("b")).distinct()
         again = as_table(again.join(tested, ["a", "b"], "left_anti"), "more-pairs")
@@ -478,18 +475,16 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, roots
 
 
-def _count_pairs(outside: DataFrame, every: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that share so many shingles of their prefixes that they can link."""
-    pairs = outside.join(every, F.col("x.t") == F.col("y.t")).where(F.col("x.c") != F.col("y.c"))
-    pairs = pairs.where((F.col("y.c") == F.col("y.main")) | (F.col("x.e") < F.col("y.e")))
+def _first_met(outside: DataFrame, every: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that can link if a shingle is the first in the order that they share:
+    nothing before it counts, so what follows it in both must be enough. Every link has such a shingle."""
+    x = outside.select("t", "c", "e", "n", "i").alias("x")
+    y = every.select("t", "c", "main", "e", "n", "i").alias("y")
     nx, ny, ix, iy = F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i")
-    pairs = pairs.where((WHOLE * nx >= PART * ny) & (WHOLE * ny >= PART * nx) & _possible(nx, ix, ny, iy))
-    swap = F.col("x.e") > F.col("y.e")
-    ends = {"a": F.least("x.e", "y.e"), "b": F.greatest("x.e", "y.e"), "na": F.when(swap, ny).otherwise(nx), "nb": F.when(swap, nx).otherwise(ny)}
-    counted = pairs.select(*(c.alias(n) for n, c in ends.items())).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    # The prefix that ends first in the order shares nothing of it with the rest of the other set.
-    rest = lambda n: F.ceil(F.lit(PART) * F.col(n) / WHOLE) - 1
-    return counted.where(F.col("k") + F.greatest(rest("na"), rest("nb")) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
+    enough = F.least(nx - ix, ny - iy) >= _needed(nx, ny)
+    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.e") < F.col("y.e"))
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") != F.col("y.c")) & once & enough)
+    return met.select(F.least("x.e", "y.e").alias("a"), F.greatest("x.e", "y.e").alias("b")).distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
