@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import stages
-from skyloom.session import as_table
+from skyloom.session import as_table, scratch_scope
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -22,5 +22,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = as_table(stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark):  # what a stage wrote for itself goes once its result is written
+            docs = as_table(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
