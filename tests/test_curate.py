@@ -9,6 +9,8 @@ from skyloom.session import path_exists
 
 BASE = "object_id,ra,dec,z,quality,extra\n1,10.0,-1.0,0.1,3,drop\n"
 
+# The small inputs and the results of the golden cases below must equal those of the tool this library follows.
+
 
 def spec(z="z", **more):
     redshift = {"column": z, **more.pop("redshift", {})}

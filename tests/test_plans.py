@@ -135,3 +135,20 @@ def test_no_query_needs_an_unsized_product(spark):
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(SQL) == {"margin_cache", "scan_spatial_margin"}
+
+
+def test_scratch_scopes_delete_their_tables(spark):
+    from skyloom.session import as_table, path_exists, scratch_scope
+
+    folder = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    with scratch_scope(spark):
+        with scratch_scope(spark):
+            gone, kept = folder(as_table(spark.range(3), "gone")), as_table(spark.range(4), "kept", keep=True)
+            assert path_exists(spark, gone)
+        assert not path_exists(spark, gone) and kept.count() == 4
+        held = folder(kept)
+    assert not path_exists(spark, held)
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        failed, left = folder(as_table(spark.range(3), "failed")), as_table(spark.range(5), "left", keep=True)
+        1 / 0
+    assert not path_exists(spark, failed) and left.count() == 5

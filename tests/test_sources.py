@@ -13,6 +13,8 @@ from skyloom.operators.union import common_type, union_outer, union_strict
 from skyloom.sinks.parquet import output_layout, write_parquet
 from skyloom.sources.fits import rows_per_partition
 
+# The few golden rows below must equal those of the tool this library follows.
+
 
 def types(df):
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
