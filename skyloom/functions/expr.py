@@ -146,10 +146,5 @@ def valid_z(v: Column, allow_blueshifts: bool = True) -> Column:
     return (v > F.lit(low)) & (v < F.lit(high))
 
 
-def rows_of(agg: DataFrame, structs: list[Column]) -> DataFrame:
-    """Turn the single row of an aggregate into one row per struct (an unpivot, no shuffle)."""
-    return agg.select(F.inline(F.array(*structs)))
-
-
 def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

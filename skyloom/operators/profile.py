@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from skyloom.functions.expr import (
     CatalogError,
@@ -13,12 +16,12 @@ from skyloom.functions.expr import (
     col,
     is_categorical,
     is_numeric,
-    missing,
     ordered_unique,
     require_columns,
-    rows_of,
     type_of,
 )
+from skyloom.operators.facts import Facts, Lookup, table
+from skyloom.operators.quality import missing_aggregates
 
 # Name patterns of each semantic category (searched anywhere, ignoring case).
 PATTERNS: dict[str, list[str]] = {
@@ -152,46 +155,94 @@ def report_columns(df: DataFrame, selection: Sequence[str] | None) -> list[str]:
     return chosen
 
 
+STATS = "column string, count bigint, null_count bigint, mean double, std double, min double, max double"
+
+
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None, moments: bool = True) -> DataFrame:
     """(column, count, null_count, mean, std, min, max); NULL where undefined.
 
     One aggregation serves up to STATS_BATCH columns. Without ``moments`` only
-    counts and extremes are computed, which a Parquet scan can answer from its
-    footers.
+    counts and extremes are computed; ``footer_stats`` finds those of files.
     """
     names = list(columns if columns is not None else [f.name for f in df.schema.fields if is_numeric(f.dataType)])
     require_columns(df, names, "numeric_stats")
-    parts = [_stats_batch(df, names[i : i + STATS_BATCH], moments) for i in range(0, len(names), STATS_BATCH)]
+    batches = [names[i : i + STATS_BATCH] for i in range(0, len(names), STATS_BATCH)]
+    parts = [table(df, stats_facts(df, batch, moments)) for batch in batches]
     if not parts:
-        schema = "column string, count bigint, null_count bigint, mean double, std double, min double, max double"
-        return df.sparkSession.createDataFrame([], schema)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        return df.sparkSession.createDataFrame([], STATS)
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _stats_batch(df: DataFrame, names: Sequence[str], moments: bool) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, name in enumerate(names):
+def stats_facts(df: DataFrame, names: Sequence[str], moments: bool = True) -> Facts:
+    """See ``numeric_stats``."""
+    aggregates = {"rows": F.count(F.lit(1))}
+    kinds = {"count": F.count, "min": F.min, "max": F.max} | ({"mean": F.avg, "std": F.stddev_samp} if moments else {})
+    for name in names:
         v = clean(col(name), type_of(df, name)).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        if moments:
-            aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}")]
-    nothing = F.lit(None).cast("double")
-    structs = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.col(f"n{i}").alias("count"),
-            (F.col("n") - F.col(f"n{i}")).alias("null_count"),
-            (F.col(f"mean{i}") if moments else nothing).alias("mean"),
-            (F.col(f"std{i}") if moments else nothing).alias("std"),
-            F.col(f"lo{i}").alias("min"),
-            F.col(f"hi{i}").alias("max"),
-        )
-        for i, name in enumerate(names)
-    ]
-    return rows_of(df.agg(*aggs), structs)
+        aggregates |= {f"{kind} {name}": f(v) for kind, f in kinds.items()}
+
+    def rows(get: Lookup) -> list[Column]:
+        def one(kind: str, name: str) -> Column:
+            return get(f"{kind} {name}") if kind in kinds else F.lit(None).cast("double")
+
+        return [
+            F.struct(
+                F.lit(name).alias("column"),
+                get(f"count {name}").alias("count"),
+                (get("rows") - get(f"count {name}")).alias("null_count"),
+                *[one(kind, name).alias(kind) for kind in ("mean", "std", "min", "max")],
+            )
+            for name in names
+        ]
+
+    return Facts(aggregates, rows, STATS)
+
+
+def footer_frame(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """One row (n, n0, lo0, hi0, n1, ...) of counts and extremes of whole-number columns, read from Parquet footers.
+
+    The settings that let Spark answer from footers are those of a session of its own, so the
+    caller's queries are planned as before.
+    """
+    side = spark.newSession()
+    side.conf.set("spark.sql.caseSensitive", "true")
+    side.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    listed = side.conf.get("spark.sql.sources.useV1SourceList")
+    side.conf.set("spark.sql.sources.useV1SourceList", ",".join(s for s in listed.split(",") if s.strip() != "parquet"))
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, name in enumerate(columns):
+        c = col(name)
+        aggregates += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    return side.read.parquet(path).agg(*aggregates)
+
+
+def footer_stats(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """``numeric_stats`` without moments of a Parquet file or folder, from its footers where they can tell.
+
+    Footers know the nulls and extremes of whole numbers. They do not know which floats are
+    NaN, and decimals have no pushed extremes: those columns are scanned, and only
+    those. Files that lack statistics (a row group of nulls has no extremes) are scanned too.
+    """
+    df = spark.read.parquet(path)
+    names = list(columns if columns is not None else [f.name for f in df.schema.fields if is_numeric(f.dataType)])
+    require_columns(df, names, "footer_stats")
+    whole = [n for n in names if isinstance(type_of(df, n), T.IntegralType)]
+    found: list[tuple] = []
+    if whole:
+        try:
+            row = footer_frame(spark, path, whole).collect()[0]
+        except (PySparkException, Py4JJavaError) as error:
+            if "spark.sql.parquet.aggregatePushdown" not in str(error):
+                raise  # anything but the advice to do without footers
+            whole = []
+        else:
+            for i, name in enumerate(whole):
+                n, low, high = (row[f"{k}{i}"] for k in ("n", "lo", "hi"))
+                ends = (None if v is None else float(v) for v in (low, high))
+                found.append((name, n, row["n"] - n, None, None, *ends))
+    known = spark.createDataFrame(found, STATS)
+    rest = [n for n in names if n not in whole]
+    return known.unionByName(numeric_stats(df, rest, moments=False)) if rest else known
 
 
 def categorical_uniques(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
@@ -249,8 +300,8 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-def semantic_warnings(df: DataFrame, patterns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(code, columns, message) of what the column names and the redshift nulls give reason to warn of."""
+def semantic_warning_facts(df: DataFrame, patterns: Mapping[str, Sequence[str]] | None = None) -> Facts:
+    """See ``semantic_warnings``."""
     # The sentences below are part of the report format.
     found = candidate_columns(df.columns, patterns)
     numeric = {f.name for f in df.schema.fields if is_numeric(f.dataType)}
@@ -266,28 +317,34 @@ def semantic_warnings(df: DataFrame, patterns: Mapping[str, Sequence[str]] | Non
         text = ", ".join(n for n in names if n not in numeric)
         if text:
             fixed.append((code, text, f"{label} candidate columns are not numeric: {text}."))
+    measured = [n for n in z if n in numeric]
+
+    def rows(get: Lookup) -> list[Column]:
+        made = [
+            F.struct(F.lit(c).alias("code"), F.lit(n).alias("columns"), F.lit(m).alias("message")) for c, n, m in fixed
+        ]
+        parts, names_hit = [], []
+        for name in measured:
+            empty = get(f"missing {name}")
+            share = empty / F.nullif(get("rows"), F.lit(0))
+            hit = (share >= NULL_WARNING_FRACTION) & (empty > 0)
+            text = F.concat(F.lit(f"{name} ("), F.format_string("%.1f", share * 100.0), F.lit("% null)"))
+            parts.append(F.when(hit, text))
+            names_hit.append(F.when(hit, F.lit(name)))
+        if parts:
+            listed = F.concat_ws(", ", *parts)
+            message = F.concat(F.lit("Redshift candidate columns have many null values: "), listed, F.lit("."))
+            nulls = F.struct(
+                F.lit("redshift_nulls").alias("code"),
+                F.concat_ws(", ", *names_hit).alias("columns"),
+                message.alias("message"),
+            )
+            made.append(F.when(listed != "", nulls))
+        return made
+
+    return Facts(missing_aggregates(df, measured), rows, "code string, columns string, message string")
+
 
-    aggs = [F.count(F.lit(1)).alias("n")]
-    parts, names_hit = [], []
-    for i, name in enumerate(n for n in z if n in numeric):
-        aggs.append(F.count_if(missing(col(name), type_of(df, name))).alias(f"m{i}"))
-        share = F.col(f"m{i}") / F.nullif(F.col("n"), F.lit(0))
-        hit = (share >= NULL_WARNING_FRACTION) & (F.col(f"m{i}") > 0)
-        text = F.concat(F.lit(f"{name} ("), F.format_string("%.1f", share * 100.0), F.lit("% null)"))
-        parts.append(F.when(hit, text))
-        names_hit.append(F.when(hit, F.lit(name)))
-    rows = [
-        F.struct(F.lit(c).alias("code"), F.lit(n).alias("columns"), F.lit(m).alias("message")) for c, n, m in fixed
-    ]
-    if parts:
-        listed = F.concat_ws(", ", *parts)
-        message = F.concat(F.lit("Redshift candidate columns have many null values: "), listed, F.lit("."))
-        nulls = F.struct(
-            F.lit("redshift_nulls").alias("code"),
-            F.concat_ws(", ", *names_hit).alias("columns"),
-            message.alias("message"),
-        )
-        rows.append(F.when(listed != "", nulls))
-    if not rows:
-        return df.sparkSession.createDataFrame([], "code string, columns string, message string")
-    return df.agg(*aggs).select(F.inline(F.array_compact(F.array(*rows))))
+def semantic_warnings(df: DataFrame, patterns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(code, columns, message) of what the column names and the redshift nulls give reason to warn of."""
+    return table(df, semantic_warning_facts(df, patterns))

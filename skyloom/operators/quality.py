@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from skyloom.functions.expr import (
     as_number,
@@ -18,31 +18,47 @@ from skyloom.functions.expr import (
     is_numeric,
     missing,
     require_columns,
-    rows_of,
     type_of,
 )
-from skyloom.operators.quantiles import exact_quantiles, first_pass
+from skyloom.operators.facts import Facts, Lookup, table, tables
+from skyloom.operators.quantiles import around, exact_quantiles, sketch
+
+
+def missing_aggregates(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """The rows of a catalog and the missing values of some of its columns, under the keys every table knows them by."""
+    counts = {f"missing {n}": F.count_if(missing(col(n), type_of(df, n))) for n in names}
+    return {"rows": F.count(F.lit(1)), **counts}
+
+
+def row_count_facts() -> Facts:
+    return Facts({"rows": F.count(F.lit(1))}, lambda get: [F.struct(get("rows").alias("n_rows"))], "n_rows bigint")
 
 
 def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n_rows"))
+    return table(df, row_count_facts())
 
 
-def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, missing, missing_pct) for every column; 0 percent of an empty catalog."""
+def missing_facts(df: DataFrame, columns: Sequence[str] | None = None) -> Facts:
     names = list(columns or df.columns)
     require_columns(df, names, "missing_counts")
-    counts = [F.count_if(missing(col(n), type_of(df, n))).alias(f"m{i}") for i, n in enumerate(names)]
-    one = df.agg(F.count(F.lit(1)).alias("n"), *counts)
-    structs = [
-        F.struct(
-            F.lit(n).alias("column"),
-            F.col(f"m{i}").alias("missing"),
-            F.when(F.col("n") > 0, F.col(f"m{i}") * 100.0 / F.col("n")).otherwise(F.lit(0.0)).alias("missing_pct"),
-        )
-        for i, n in enumerate(names)
-    ]
-    return rows_of(one, structs)
+
+    def rows(get: Lookup) -> list[Column]:
+        n = get("rows")
+        return [
+            F.struct(
+                F.lit(name).alias("column"),
+                get(f"missing {name}").alias("missing"),
+                F.when(n > 0, get(f"missing {name}") * 100.0 / n).otherwise(F.lit(0.0)).alias("missing_pct"),
+            )
+            for name in names
+        ]
+
+    return Facts(missing_aggregates(df, names), rows, "column string, missing bigint, missing_pct double")
+
+
+def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, missing, missing_pct) for every column; 0 percent of an empty catalog."""
+    return table(df, missing_facts(df, columns))
 
 
 def _diagnostic_counts(value: Column, value_range: Sequence[float] | None) -> tuple[Column, Column]:
@@ -102,7 +118,27 @@ def bin_index(value: Column, low: float, high: float, bins: int) -> Column:
     return F.when((value >= F.lit(low)) & (value <= F.lit(high)), fixed)
 
 
-def histogram_range(df: DataFrame, column: str, value_range: Sequence[float] | None = None) -> tuple[float, float]:
+def range_facts(df: DataFrame, columns: Sequence[str]) -> Facts:
+    """(column, min_value, max_value) of each column."""
+    aggregates = {}
+    for name in columns:
+        value = as_number(df, name)
+        aggregates |= {f"least {name}": F.min(value), f"greatest {name}": F.max(value)}
+
+    def rows(get: Lookup) -> list[Column]:
+        return [
+            F.struct(
+                F.lit(name).alias("column"),
+                get(f"least {name}").alias("min_value"),
+                get(f"greatest {name}").alias("max_value"),
+            )
+            for name in columns
+        ]
+
+    return Facts(aggregates, rows, "column string, min_value double, max_value double")
+
+
+def histogram_range(df: DataFrame, column: str, value_range: Sequence[float | None] | None = None) -> tuple[float, float]:
     """The range to bin: as given, else observed; (0, 1) if not finite, widened if a point."""
     if value_range is None:
         row = numeric_range(df, column).first()
@@ -171,97 +207,123 @@ def value_counts(df: DataFrame, column: str, drop_missing: bool = False) -> Data
 _QUARTILES = (0.25, 0.5, 0.75)
 DESCRIBE_BATCH = 25
 _MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+DESCRIPTION = (
+    "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+)
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """(column, count, mean, std, min, q25, q50, q75, max) of the numeric columns.
-
-    Quartiles are exact with linear interpolation. ``approximate`` takes them
-    from a sketch in the same single pass instead.
-    """
+def described_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[list[str]]:
+    """The numeric columns in batches, since each keeps a sketch in every task."""
     names = list(columns or [f.name for f in df.schema.fields if is_numeric(f.dataType)])
     require_columns(df, names, "describe")
-    rows = [row for i in range(0, len(names), DESCRIBE_BATCH) for row in _description(df, names[i : i + DESCRIBE_BATCH], approximate)]
-    schema = "column string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return [names[i : i + DESCRIBE_BATCH] for i in range(0, len(names), DESCRIBE_BATCH)]
+
+
+def description_facts(df: DataFrame, names: Sequence[str], approximate: bool = False) -> Facts:
+    """Moments and sketch of each column: the first pass of ``describe``."""
+    fractions = list(_QUARTILES) if approximate else around(_QUARTILES)
+    aggregates = {}
+    for name in names:
+        value = clean(col(name), type_of(df, name)).cast("double")
+        aggregates |= {f"{key} {name}": f(value) for key, f in _MOMENTS.items()}
+        aggregates[f"sketch {name}"] = sketch(value, fractions)
 
+    def rows(get: Lookup) -> list[Column]:
+        keys = [*_MOMENTS, "sketch"]
+        return [F.struct(F.lit(n).alias("column"), *[get(f"{k} {n}").alias(k) for k in keys]) for n in names]
 
-def _description(df: DataFrame, names: Sequence[str], approximate: bool) -> list[tuple]:
+    return Facts(aggregates, rows, "column string, count bigint, mean double, std double, min double, max double, sketch array<double>")
+
+
+def description_rows(df: DataFrame, first: Sequence[Row], approximate: bool = False) -> list[tuple]:
+    """Rows of ``describe`` for the columns of a first pass."""
+    names = [r["column"] for r in first]
     keys = [f"v{i}" for i in range(len(names))]
-    values = df.select(*[clean(col(n), type_of(df, n)).cast("double").alias(k) for n, k in zip(names, keys)])
-    moments = [f(F.col(k)).alias(f"{k}_{n}") for k in keys for n, f in _MOMENTS.items()]
     if approximate:
-        sketches = [F.percentile_approx(F.col(k), list(_QUARTILES), 10000).alias(f"{k}_q") for k in keys]
-        row = values.agg(*moments, *sketches).first()
-        quartiles = {k: row[f"{k}_q"] or [None] * 3 for k in keys}
+        quartiles = {k: r["sketch"] or [None] * 3 for k, r in zip(keys, first)}
     else:
-        row = values.agg(*moments, *first_pass(keys, _QUARTILES)).first()
-        quartiles = exact_quantiles(values, keys, _QUARTILES, first=row)
-    found = []
-    for n, k in zip(names, keys):
-        m = [row[f"{k}_{name}"] for name in _MOMENTS]
-        found.append((n, *m[:4], *quartiles[k], m[4]))
-    return found
+        values = df.select(*[clean(col(n), type_of(df, n)).cast("double").alias(k) for n, k in zip(names, keys)])
+        start = {k: (r["count"], r["sketch"]) for k, r in zip(keys, first)}
+        quartiles = exact_quantiles(values, keys, _QUARTILES, first=start)
+    return [
+        (r["column"], r["count"], r["mean"], r["std"], r["min"], *quartiles[k], r["max"]) for k, r in zip(keys, first)
+    ]
 
 
-def data_warnings(
+def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+    """(column, count, mean, std, min, q25, q50, q75, max) of the numeric columns.
+
+    Quartiles are exact with linear interpolation, from two scans for each DESCRIBE_BATCH
+    columns. ``approximate`` takes them from a sketch in the first scan instead.
+    """
+    rows = []
+    for names in described_columns(df, columns):
+        first = tables(df, {"first": description_facts(df, names, approximate)})["first"]
+        rows += description_rows(df, first, approximate)
+    return df.sparkSession.createDataFrame(rows, DESCRIPTION)
+
+
+def warning_facts(
     df: DataFrame,
     spatial: tuple[str, str] | None = None,
     numeric: Sequence[tuple[str, Sequence[float] | None]] = (),
     categorical: Sequence[str] = (),
-) -> DataFrame:
-    """(code, column, message) of every objective finding, all from one pass over the catalog."""
+) -> Facts:
+    """See ``data_warnings``."""
     names = df.columns
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(missing(col(n), type_of(df, n))).alias(f"m{i}") for i, n in enumerate(names)]
-    findings: list[tuple[Column, str, str | None, Column]] = [
-        (F.col("n") == 0, "empty_catalog", None, F.lit("Catalog is empty."))
-    ]
+    aggregates = missing_aggregates(df, names)
+    if spatial is not None:
+        counts = _spatial_counts(as_number(df, spatial[0]), as_number(df, spatial[1]))
+        aggregates |= {f"{key} {spatial}": c for key, c in counts.items()}
+    for name, limits in numeric:
+        n_finite, n_inside = _diagnostic_counts(as_number(df, name), limits)
+        aggregates |= {f"finite {name}": n_finite, f"inside {limits} {name}": n_inside}
+
+    def rows(get: Lookup) -> list[Column]:
+        n = get("rows")
+        findings: list[Column] = []
+
+        def add(hit: Column, code: str, name: str | None, message: Column | str) -> None:
+            text = F.lit(message) if isinstance(message, str) else message
+            row = F.struct(F.lit(code).alias("code"), F.lit(name).cast("string").alias("column"), text.alias("message"))
+            findings.append(F.when(hit, row))
+
+        # The sentences below are part of the report format.
+        add(n == 0, "empty_catalog", None, "Catalog is empty.")
+        for name in names:
+            add((n > 0) & (get(f"missing {name}") == n), "all_null", name, f"Column {name!r} is entirely null.")
+        if spatial is not None:
+            ra, dec = spatial
+            for key, name, tail in (
+                ("nonfinite_ra", ra, " non-finite coordinate values."),
+                ("nonfinite_dec", dec, " non-finite coordinate values."),
+                ("ra_outside_range", ra, " values outside [0, 360)."),
+                ("dec_outside_range", dec, " values outside [-90, 90]."),
+            ):
+                k = get(f"{key} {spatial}")
+                add(k > 0, key, name, F.concat(F.lit(f"Column {name}: "), k.cast("string"), F.lit(tail)))
+            none = get(f"valid_pairs {spatial}") == 0
+            add(none, "no_valid_pairs", None, "Spatial plot has no finite RA/Dec pairs.")
+        for name, limits in numeric:
+            n_finite, n_inside = get(f"finite {name}"), get(f"inside {limits} {name}")
+            text = f"Configured numeric column {name!r} has no finite values."
+            add(n_finite == 0, "no_finite_values", name, text)
+            if limits is not None:
+                text = f"Column {name!r} has no values inside histogram range {list(limits)!r}."
+                add((n_finite > 0) & (n_inside == 0), "none_in_range", name, text)
+        for name in categorical:
+            hit = (n == 0) | (get(f"missing {name}") == n) if name in names else F.lit(True)
+            add(hit, "no_categories", name, f"Configured categorical column {name!r} has no non-null categories.")
+        return findings
+
+    return Facts(aggregates, rows, "code string, column string, message string")
 
-    def all_missing(name: str) -> Column:
-        return F.col(f"m{names.index(name)}") == F.col("n")
 
-    for name in names:
-        findings.append(
-            ((F.col("n") > 0) & all_missing(name), "all_null", name, F.lit(f"Column {name!r} is entirely null."))
-        )
-    if spatial is not None:
-        ra, dec = spatial
-        counts = _spatial_counts(as_number(df, ra), as_number(df, dec))
-        aggs += [c.alias(f"s_{k}") for k, c in counts.items()]
-        texts = [
-            ("nonfinite_ra", ra, " non-finite coordinate values."),
-            ("nonfinite_dec", dec, " non-finite coordinate values."),
-            ("ra_outside_range", ra, " values outside [0, 360)."),
-            ("dec_outside_range", dec, " values outside [-90, 90]."),
-        ]
-        for key, name, tail in texts:
-            n = F.col(f"s_{key}")
-            message = F.concat(F.lit(f"Column {name}: "), n.cast("string"), F.lit(tail))
-            findings.append((n > 0, key, name, message))
-        findings.append(
-            (F.col("s_valid_pairs") == 0, "no_valid_pairs", None, F.lit("Spatial plot has no finite RA/Dec pairs."))
-        )
-    for i, (name, value_range) in enumerate(numeric):
-        n_finite, n_inside = _diagnostic_counts(as_number(df, name), value_range)
-        aggs += [n_finite.alias(f"f{i}"), n_inside.alias(f"r{i}")]
-        text = f"Configured numeric column {name!r} has no finite values."
-        findings.append((F.col(f"f{i}") == 0, "no_finite_values", name, F.lit(text)))
-        if value_range is not None:
-            text = f"Column {name!r} has no values inside histogram range {list(value_range)!r}."
-            hit = (F.col(f"f{i}") > 0) & (F.col(f"r{i}") == 0)
-            findings.append((hit, "none_in_range", name, F.lit(text)))
-    for name in categorical:
-        hit = (F.col("n") == 0) | all_missing(name) if name in names else F.lit(True)
-        text = f"Configured categorical column {name!r} has no non-null categories."
-        findings.append((hit, "no_categories", name, F.lit(text)))
-    structs = [
-        F.struct(
-            hit.alias("hit"),
-            F.lit(code).alias("code"),
-            F.lit(name).cast("string").alias("column"),
-            message.alias("message"),
-        )
-        for hit, code, name, message in findings
-    ]
-    return rows_of(df.agg(*aggs), structs).where("hit").drop("hit")
+def data_warnings(
+    df: DataFrame,
+    spatial: tuple[str, str] | None = None,
+    numeric: Sequence[tuple[str, Sequence[float] | None]] = (),
+    categorical: Sequence[str] = (),
+) -> DataFrame:
+    """(code, column, message) of every objective finding, all from one pass over the catalog."""
+    return table(df, warning_facts(df, spatial, numeric, categorical))

@@ -12,15 +12,17 @@ from skyloom.functions.expr import col, is_numeric, type_of
 from skyloom.operators.profile import (
     candidate_columns,
     categorical_uniques,
-    numeric_stats,
+    footer_stats,
     patterns_with,
     report_columns,
     sample_columns,
     sample_random,
-    semantic_warnings,
-    shape,
+    semantic_warning_facts,
     stats_columns,
+    stats_facts,
 )
+from skyloom.operators.facts import tables
+from skyloom.operators.quality import row_count_facts
 from skyloom.session import write_text
 
 
@@ -36,12 +38,16 @@ def inspect(
     sample_key: str | None = None,
     sample_seed: int = 42,
     extremes_only: bool = False,
+    footers: str | None = None,
 ) -> dict[str, Any]:
     """Profile of a catalog as plain values.
 
+    All scalar facts (counts, statistics, what the warnings need) come from one pass.
+
     ``sample_key`` draws the five sample rows at random by that key instead of
     from the front. ``extremes_only`` leaves out mean and deviation, which
-    footers cannot answer, as for spatial catalogs.
+    footers cannot answer, as for spatial catalogs; ``footers`` names the Parquet files of
+    such a catalog, and statistics are read from their footers as far as these can tell.
     """
     patterns = patterns_with(column_patterns)
     columns = report_columns(df, column_selection)
@@ -65,19 +71,23 @@ def inspect(
     if vectors and stats_mode != "none":
         warnings.append("Vector columns were skipped in statistics: " + ", ".join(vectors) + ".")
 
+    facts = {"rows": row_count_facts(), "warnings": semantic_warning_facts(chosen, patterns)}
+    if footers is None:
+        facts["stats"] = stats_facts(chosen, numeric, moments=not extremes_only)
+    found = tables(chosen, facts)
+    rows_of_stats = found["stats"] if footers is None else footer_stats(df.sparkSession, footers, numeric).collect()
     stats = {
-        r["column"]: {k: r[k] for k in ("count", "null_count", "mean", "std", "min", "max")}
-        for r in numeric_stats(chosen, numeric, moments=not extremes_only).collect()
+        r["column"]: {k: r[k] for k in ("count", "null_count", "mean", "std", "min", "max")} for r in rows_of_stats
     }
     uniques: dict[str, list[str]] = {c: [] for c in categorical}
     for r in categorical_uniques(chosen, categorical, unique_limit).orderBy("column", "rank").collect():
         uniques[r["column"]].append(r["value"])
-    warnings += [r["message"] for r in semantic_warnings(chosen, patterns).collect()]
+    warnings += [r["message"] for r in found["warnings"]]
     rows = sample_random(chosen, sample_key, 5, sample_seed) if sample_key else chosen.limit(5)
     return {
         "survey": survey,
         "input_file": source,
-        "n_rows": shape(df).first()["n_rows"],
+        "n_rows": found["rows"][0]["n_rows"],
         "n_columns": len(df.columns),
         "n_columns_selected": len(columns),
         "columns": columns,
