@@ -294,13 +294,13 @@ def _unique(column: str, text: str) -> str:
     )
 
 
-def _missing(columns: dict[str, bool]) -> str:
+def _missing(columns: dict[str, bool], source: str = GAPS) -> str:
     parts = []
     for name, is_float in columns.items():
         test = f"{name} is null or isnan({name})" if is_float else f"{name} is null"
         k = f"count(case when {test} then 1 end)"
         parts.append(
-            f"select '{name}' as \"column\", {k} as missing, round({k}*cast(100 as double)/count(*), 9) as missing_pct from {GAPS}"
+            f"select '{name}' as \"column\", {k} as missing, round({k}*cast(100 as double)/count(*), 9) as missing_pct from {source}"
         )
     return " union all ".join(parts)
 
@@ -372,6 +372,11 @@ SQL: dict[str, str] = {
     + _categories(),
     "sample_head": f"select ra, dec, z_spec, z_phot, quality, object_id, v_kms, object_type from {CAT} order by object_id limit 5",
     "spatial_stats": " union all ".join(_stats(GAPS, c, False) for c in ("ra", "z_nan")),
+    "footer_stats": " union all ".join(
+        f"select '{c}' as \"column\", count({c}) as count, count(*) - count({c}) as null_count, cast(null as double) as mean,"
+        f" cast(null as double) as std, cast(min({c}) as double) as min, cast(max({c}) as double) as max from lineitem"
+        for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    ),
     "row_col_counts": f"select count(*) as n_rows, {len(CATALOG)} as n_columns from {CAT}",
     "semantic_warnings": "select 'no_dec' as code, '' as columns, 'No DEC candidate columns were found.' as message"
     " union all select 'several_redshifts', 'z_spec, z_phot', 'Multiple redshift candidate columns were found: z_spec, z_phot.'"
@@ -431,5 +436,13 @@ SQL: dict[str, str] = {
     "x_curate_spatial": _pipeline(CAT),
     "x_prepare_union": f"select object_id, quality, case when quality <> 'O' then v_kms end as v_kms from {CAT}",
     "x_prepare": f"select {CAT_COLUMNS} from {CAT}",
+    "x_inspect": " union all ".join(_stats(GAPS, c) for c in ("ra", "z_nan", "nothing")),
+    "x_qa_row_count": f"select count(*) as n_rows from {CAT}",
+    "x_qa_missing": _missing({"ra": True, "dec": True, "z_spec": True, "z_phot": True, "quality": False}, CAT),
+    "x_qa_describe": " union all ".join(_describe(CAT, c) for c in ("ra", "dec", "z_spec", "z_phot")),
+    "x_qa_redshift_histogram": _histogram(
+        CAT, "z_spec", 37, "min(v) over ()", "max(v) over ()", "(max(v) over () - min(v) over ())/cast(37 as double)"
+    ),
+    "x_qa_counts": f"select quality as value, count(*) as n from {CAT} where quality is not null group by 1",
     "x_qa_tables": _warning_rows(nothing=False, footprint=True),
 }

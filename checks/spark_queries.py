@@ -423,6 +423,13 @@ def spatial_stats(spark, sf_dir):
     return profile.numeric_stats(view(spark, sf_dir, "gaps"), ["ra", "z_nan"], moments=False)
 
 
+@query
+def footer_stats(spark, sf_dir):
+    """Statistics of a file: whole numbers from its footers, a scan for the floats only."""
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    return profile.footer_stats(spark, f"{sf_dir}/lineitem.parquet", columns)
+
+
 @query
 def row_col_counts(spark, sf_dir):
     return profile.shape(view(spark, sf_dir, "catalog"))
@@ -660,6 +667,54 @@ def x_prepare_union(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def x_inspect(spark, sf_dir):
+    """The statistics of an inspection report."""
+    df = view(spark, sf_dir, "gaps").select("object_id", "ra", "z_nan", "nothing", "flag", "note")
+    stats = skyloom.inspect(df, stats_mode="all", sample_key="object_id")["numeric_stats"]
+    rows = [(name, *s.values()) for name, s in stats.items() if name != "object_id"]
+    made = spark.createDataFrame(rows, profile.STATS)
+    return made.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+def _job(spark, sf_dir, table):
+    """One table of a quality job over all rows."""
+    plots = {
+        "spatial": {"ra_column": "ra", "dec_column": "dec"},
+        "redshift": {"column": "z_spec", "bins": 37},
+        "redshift_error": {"column": "z_phot", "range": [0.0, 4.0]},
+        "categorical": [{"column": "quality"}],
+    }
+    df = view(spark, sf_dir, "catalog").select("ra", "dec", "z_spec", "z_phot", "quality")
+    return skyloom.qa(df, plots)[table]
+
+
+@query
+def x_qa_row_count(spark, sf_dir):
+    return _job(spark, sf_dir, "row_count")
+
+
+@query
+def x_qa_missing(spark, sf_dir):
+    return _job(spark, sf_dir, "missing").withColumn("missing_pct", F.round("missing_pct", 9))
+
+
+@query
+def x_qa_describe(spark, sf_dir):
+    digits = {c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")}
+    return _job(spark, sf_dir, "describe").withColumns(digits)
+
+
+@query
+def x_qa_redshift_histogram(spark, sf_dir):
+    return _job(spark, sf_dir, "redshift_histogram")
+
+
+@query
+def x_qa_counts(spark, sf_dir):
+    return _job(spark, sf_dir, "counts_quality")
+
+
 @query
 def x_qa_tables(spark, sf_dir):
     """The warnings of a full quality job with a footprint."""

@@ -1,7 +1,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from conftest import plan_of
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -195,6 +198,79 @@ def test_exact_quantiles_under_refinement(spark, kind):
     np.testing.assert_allclose(got, np.quantile(data, fractions), rtol=1e-12)
 
 
+def counting(df):
+    """The same rows, and a counter of how many of them were read."""
+    read = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), read
+
+
+@pytest.mark.parametrize("columns", [1, 12])
+def test_quantiles_take_two_scans(spark, columns):
+    """Sketches, then counts together with the rows inside the brackets, for any number of columns."""
+    n = 30_000
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(n, columns))
+    frame = pa.table({f"v{i}": data[:, i] for i in range(columns)})
+    df, read = counting(spark.createDataFrame(frame))
+    got = quality.describe(df).collect()
+    assert read.value == 2 * n
+    for i, r in enumerate(got):
+        np.testing.assert_allclose([r["q25"], r["q50"], r["q75"]], np.quantile(data[:, i], [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_scalar_facts_of_the_jobs_take_one_pass(spark):
+    """Row count, missing values, warnings, ranges and the first pass of the description are read together."""
+    rows = [(float(i % 360), 1.0, float(i), "a") for i in range(1000)]
+    df, read = counting(spark.createDataFrame(rows, "ra double, dec double, z double, kind string"))
+    plots = {
+        "spatial": {"ra_column": "ra", "dec_column": "dec"},
+        "redshift": {"column": "z"},
+        "categorical": [{"column": "kind"}],
+    }
+    made = skyloom.qa(df, plots)
+    assert read.value == 2000  # the second scan reads the few values of so small a catalog
+    assert {t: made[t].count() for t in ("row_count", "missing", "warnings", "describe")} == {
+        "row_count": 1, "missing": 4, "warnings": 0, "describe": 3,
+    }
+    assert read.value == 2000
+    assert made["redshift_histogram"].agg(F.min("lower"), F.max("upper"), F.sum("n")).first()[:] == (0.0, 999.0, 1000)
+
+    df, read = counting(spark.createDataFrame(rows, "ra double, dec double, z double, kind string"))
+    report = skyloom.inspect(df, stats_mode="candidates", sample_max_columns=0)
+    assert report["n_rows"] == 1000 and report["numeric_stats"]["z"]["max"] == 999.0
+    assert read.value == 1000
+
+
+def test_footer_stats(spark, tmp_path):
+    """Whole numbers come from footers, floats (which may be NaN) and files without extremes from a scan."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame(
+        [(1, 5, 1.0), (None, 7, NAN), (3, -2, None)], "a bigint, b int, f double"
+    ).coalesce(1).write.parquet(path)
+    plan = plan_of(profile.footer_frame(spark, path, ["a", "b"]))
+    assert "MIN(a)" in plan and "COUNT(b)" in plan and "ReadSchema: struct<count(*)" in plan
+    got = by(profile.footer_stats(spark, path), "column")
+    assert tuple(got["a"])[1:] == (2, 1, None, None, 1.0, 3.0)
+    assert tuple(got["b"])[1:] == (3, 0, None, None, -2.0, 7.0)
+    assert tuple(got["f"])[1:] == (1, 2, None, None, 1.0, 1.0)
+    scanned = by(profile.numeric_stats(spark.read.parquet(path), moments=False), "column")
+    assert got == scanned
+    report = skyloom.inspect(spark.read.parquet(path), stats_mode="all", footers=path)
+    assert report["numeric_stats"]["b"] == {
+        "count": 3, "null_count": 0, "mean": None, "std": None, "min": -2.0, "max": 7.0,
+    }
+
+    empty = str(tmp_path / "groups.parquet")
+    pq.write_table(pa.table({"a": pa.array([None, None, 4, 9], pa.int64())}), empty, row_group_size=2)
+    assert tuple(profile.footer_stats(spark, empty).first())[1:] == (2, 2, None, None, 4.0, 9.0)
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=40))
 def test_exact_quantiles_of_small_lists(spark, values):
