@@ -20,8 +20,6 @@ from skyloom.session import as_table
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: A host or path with one of these words is an example of a page to block; fixed values.
 SEEDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "warez")
-#: A word of a host is looked for up to this length; longer ones can only be unknown words.
-LONGEST = 24
 
 
 def split_url(url):
@@ -45,25 +43,33 @@ def matching_rule(host, path, rules: dict[str, str]):
 def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """Most probable words of each distinct run of letters.
 
-    ``runs``: column run. ``counts``: word and n. An unknown piece of k letters has the
+    ``runs``: column run. ``counts``: word and n, words of any length. An unknown piece of k letters has the
     probability of a word seen once, divided by 10 for each letter more than one.
-    Returns run and words; the shortest first word wins a tie.
+    Returns run and words; the longest last word wins a tie.
     """
-    total = float(counts.agg(F.sum("n")).first()[0] or 1)
+    seen = counts.agg(F.sum("n").alias("n"), F.array_sort(F.collect_set(F.length("word"))).alias("sizes")).first()
+    total, sizes = float(seen["n"] or 1), F.array(*map(F.lit, seen["sizes"])).cast("array<int>")  # lengths of words, few
     starts = F.explode(F.sequence(F.lit(1), F.length("run")))
     pieces = runs.where("run <> ''").select("run", starts.alias("at"))
-    pieces = pieces.select("run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("at") + 1))).alias("size"))
+    fitting = F.filter(sizes, lambda k: k <= F.length("run") - F.col("at") + 1)
+    pieces = pieces.select("run", "at", F.explode(fitting).alias("size"))
     pieces = pieces.withColumn("word", F.expr("substring(run, at, size)")).join(counts, "word")
     known = pieces.groupBy("run").agg(F.collect_list(F.struct("at", "size", "n")).alias("known"))  # bounded by one host's length
     every = runs.where("run <> ''").join(known, "run", "left")
-    unknown = [math.log(1 / total) - (k - 1) * math.log(10) for k in range(1, LONGEST + 1)]
+    once, letter = math.log(1 / total), math.log(10)
 
     def words(run: str, known: list) -> list[str]:
-        weight = {(p["at"] - 1, p["size"]): math.log(p["n"] / total) for p in known or ()}
+        ending = [[] for _ in range(len(run) + 1)]
+        for p in known or ():
+            ending[p["at"] - 1 + p["size"]].append((p["size"], math.log(p["n"] / total)))
         best, last = [0.0], [0]
+        strange, begun = -math.inf, 0  # the best way to here whose last piece is unknown, and where that piece begins
         for end in range(1, len(run) + 1):
-            options = [(best[end - k] + weight.get((end - k, k), unknown[k - 1]), k) for k in range(1, min(end, LONGEST) + 1)]
-            value, k = max(options, key=lambda o: (o[0], o[1]))
+            strange = strange - letter
+            if best[end - 1] + once > strange:
+                strange, begun = best[end - 1] + once, end - 1
+            options = [(best[end - k] + weight, k) for k, weight in ending[end]]
+            value, k = max([*options, (strange, end - begun)])
             best.append(value), last.append(k)
         out, end = [], len(run)
         while end:

@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -103,6 +104,28 @@ def test_segments_are_the_most_probable(spark):
     assert got["zzz"] == ["zzz"] and "".join(got["a" * 60]) == "a" * 60
 
 
+def test_segments_equal_all_cuts(spark):
+    """Against the best of all ways to cut a run, with known words longer than any fixed bound."""
+    rng = random.Random(4)
+    letters = lambda k: "".join(rng.choice("ab") for _ in range(k))
+    counts = {letters(rng.randint(1, 4)): rng.randint(1, 400) for _ in range(12)} | {"b" * 30: 9, "ab" * 20: 3}
+    total = sum(counts.values())
+    runs = sorted({letters(rng.randint(1, 11)) for _ in range(60)})
+
+    def value(words):
+        return sum(math.log(counts[w] / total) if w in counts else math.log(1 / total) - (len(w) - 1) * math.log(10) for w in words)
+
+    def cuts(run):
+        return [[run]] + [[*head, run[i:]] for i in range(1, len(run)) for head in cuts(run[:i])]
+
+    df = spark.createDataFrame([(r,) for r in [*runs, "ab" * 20, "a" + "b" * 30, "zq" * 5000]], "run string")
+    got = {r.run: r.words for r in url_filter.segment(df, spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    for run in runs:
+        assert "".join(got[run]) == run and value(got[run]) == pytest.approx(max(map(value, cuts(run))), abs=1e-9)
+    assert got["ab" * 20] == ["ab" * 20] and got["a" + "b" * 30][-1] == "b" * 30
+    assert got["zq" * 5000] == ["zq" * 5000]
+
+
 def test_bayes_blocks_what_goes_with_seed_words(spark):
     title = "<title>Cheap casino pills win garden tea house</title>"
     rows = [(i, f"http://casinowin{'x' * (i % 2)}.example.com/play/{i}", title) for i in range(30)]
