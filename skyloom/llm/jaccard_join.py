@@ -46,6 +46,8 @@ FRAGMENTS = 4
 HELD = 1_000_000
 #: Bits that tell which rows' sets are wanted; a false hit costs work, never a result.
 FILTER_BITS = 24
+#: Bits of a set's first name.
+NAME_BITS = 64
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -75,19 +77,40 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return owner[new], found[new], n
 
 
-def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of a piece of the table, its set sizes, and two 64-bit names for each set."""
+class _Names:
+    """A set is known by a 64-bit name; where different sets would share one, each of these goes by its second name instead.
+
+    ``clashes`` are the names that different sets have: of N sets N * N / 2**65 are expected. Fewer ``bits`` are for tests.
+    """
+
+    def __init__(self, bits: int = NAME_BITS, clashes: list[int] = ()):
+        self.mask = np.int64((1 << bits) - 1 if bits < 64 else -1)
+        self.clashes = np.array(sorted(clashes), np.int64)
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        first = first & self.mask
+        return np.where(np.isin(first, self.clashes), second, first) if len(self.clashes) else first
+
+
+def _clashes(sets: DataFrame) -> list[int]:
+    """The names that sets of different checks have, the empty set among them."""
+    each = sets.groupBy("e").agg(F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    return [row.e for row in each.where("c0 <> c1 or n0 <> n1").select("e").toLocalIterator()]
+
+
+def _sets(part: pa.RecordBatch, names: _Names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of a piece of the table, its set sizes, and the name and 64-bit check of each set."""
     owner, found, n = shingles(part.column("text"))
     size = np.bincount(owner, minlength=n)
     cuts = np.concatenate([[0], np.cumsum(size)])
-    names = []
+    made = []
     for salt in (0, 1):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(salt)))])
-        names.append(mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(np.uint64)).view(np.int64))
-    return owner, found, size, *names
+        made.append(mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(np.uint64)).view(np.int64))
+    return owner, found, size, names.of(*made), made[1]
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def _profiles(docs: DataFrame, known: _Names) -> DataFrame:
     """One row a document: doc_id, text hash, set size, set and its check. And of each task its counters, packed in
     CHUNKS rows that have only chunk, part and counters."""
     names = ["doc_id", "t", "n", "e", "check", "chunk", "part", "counters"]
@@ -96,7 +119,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         counters = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                _, found, size, e, check = _sets(part)
+                _, found, size, e, check = _sets(part, known)
                 counters += np.bincount((found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=len(counters))
                 rows = [part.column("doc_id"), part.column("t"), *(pa.array(c, pa.int64()) for c in (size, e, check))]
                 rows += [pa.nulls(len(size), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
@@ -216,14 +239,14 @@ class _Groups:
         self.leaders[-1][3] = self.high
 
 
-def _star_rows(docs: DataFrame, counters) -> DataFrame:
+def _star_rows(docs: DataFrame, counters, known: _Names) -> DataFrame:
     """For each shingle of a prefix and part of a task the leaders of its groups, and the pairs that the part's sets make."""
 
     def run(batches):
         seen, held = set(), []
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, found, size, e, _ = _sets(part)
+                owner, found, size, e, _ = _sets(part, known)
                 new = np.array([not (x in seen or seen.add(x)) for x in e.tolist()], bool)
                 owner, found, place = _prefixes(owner, found, size, counters.value)
                 ok = new[owner]
@@ -291,7 +314,7 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _wanted_rows(docs: DataFrame, wanted, counters, prefixes: bool) -> DataFrame:
+def _wanted_rows(docs: DataFrame, wanted, counters, known: _Names, prefixes: bool) -> DataFrame:
     """Of the sets that the filter's bits name: prefix rows, or whole sets by fragment (the rarest one even if it is empty)."""
     names = ["t", "e", "p"] if prefixes else ["e", "n", "fragment", "tokens"]
     cuts = pivots(counters.value)
@@ -300,7 +323,7 @@ def _wanted_rows(docs: DataFrame, wanted, counters, prefixes: bool) -> DataFrame
         seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, found, size, e, _ = _sets(part)
+                owner, found, size, e, _ = _sets(part, known)
                 ids = np.asarray(part.column("doc_id").fill_null(0)).astype(np.int64)
                 one = wanted.value[_bit(e, ids)] & (size > 0)
                 one &= np.array([x not in seen for x in e.tolist()], bool)
@@ -432,29 +455,33 @@ def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFr
     return as_table(labelled.join(shared.select("t", "main"), "t"), "open-rows"), shared
 
 
-def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link_sets(docs: DataFrame, name_bits: int = NAME_BITS) -> tuple[DataFrame, DataFrame]:
     """Profiles of all rows (doc_id, t, n, e) and the roots of linked sets (u, root). What was written for it is deleted."""
     with scratch_scope(docs.sparkSession):
-        sets, roots = _linked(docs)
+        sets, roots = _linked(docs, name_bits)
         return sets, as_table(roots, "roots", keep=True)
 
 
-def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = as_table(_profiles(rows), "profiles", keep=True)
+    profiles = as_table(_profiles(rows, _Names(name_bits)), "profiles", keep=True)
     counters = sc.broadcast(_counters(profiles))
     sets = profiles.where("chunk is null").select("doc_id", "t", "n", "e", "check")
-    pairs = as_table(_star_pairs(_star_rows(rows, counters)), "pairs")
+    clashes = _clashes(sets)
+    known = _Names(name_bits, clashes)
+    if clashes:
+        sets = sets.withColumn("e", F.when(F.col("e").isin(clashes), F.col("check")).otherwise(F.col("e")))
+    pairs = as_table(_star_pairs(_star_rows(rows, counters, known)), "pairs")
 
     named = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
     firsts = sets.where("n > 0").groupBy("e").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
     wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("e", "rep")))
-    whole = _once(as_table(_wanted_rows(rows, wanted, counters, False), "sets"), ["e", "fragment"])
+    whole = _once(as_table(_wanted_rows(rows, wanted, counters, known, False), "sets"), ["e", "fragment"])
     pairs = pairs.where("a <> b")
     links = _links(pairs, whole)
     roots = components(links)
-    prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters, True)), "prefixes")
+    prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters, known, True)), "prefixes")
 
     tested = pairs
     for last in (False, True):
@@ -487,7 +514,7 @@ def _first_met(outside: DataFrame, every: DataFrame) -> DataFrame:
     return met.select(F.least("x.e", "y.e").alias("a"), F.greatest("x.e", "y.e").alias("b")).distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:
     """One row for each document: doc_id, n_shingles and component_id, with _text_hash to tell rows of one id apart
     and _kept for the one doc_id (nulls last) and text hash that come first in each component.
 
@@ -500,9 +527,10 @@ def join(docs: DataFrame) -> DataFrame:
     * A null doc_id links others but is nobody's least id; its own component_id is that of
       its component, null if no member has an id.
     * Repeated rows are repeated. Extra columns are ignored. No rows give no rows.
-    * Shingles and sets are known by 64-bit hashes; two sets with one hash are noticed and are an error.
+    * Shingles are known by 64-bit hashes, sets by names of 64 bits; sets that would share a name go by a second one, so two
+      sets are taken for one only if both names agree. A second name that is also some other set's name is noticed and is an error.
     """
-    sets, roots = link_sets(docs)
+    sets, roots = link_sets(docs, name_bits)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     classes = sets.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("rep"), F.min(rank).alias("first"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     sound = F.when((F.col("n0") == F.col("n1")) & (F.col("c0") == F.col("c1")), F.col("e")).otherwise(F.raise_error(F.lit("Two shingle sets have one hash.")).cast("long"))

@@ -45,6 +45,14 @@ def test_join_equals_all_pairs(spark, near):
     assert got == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("bits", [3, 9])
+def test_sets_that_share_a_name_stay_apart(spark, near, bits):
+    """So few bits that nearly all, or some, of the different sets have a name in common."""
+    df = spark.createDataFrame(near, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(df, name_bits=bits).collect()), key=str)
+    assert got == jaccard_components(near)
+
+
 def test_groups_name_sets_in_reach_of_earlier_groups():
     groups = jaccard_join._Groups()
     # (shingle, set, size, largest size of its group, place): the second stands for a set of 135, which links with the last.
