@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyloom.functions.expr import CatalogError, finite
 from skyloom.operators.quality import sky_x
+from skyloom.session import as_table
 
 # Column sets that identify the two footprint formats.
 REGION_COLUMNS = ("region_id", "ring_type", "vertex_id", "ra_deg", "dec_deg")
 LIMIT_COLUMNS = ("ra_center", "dec_limit")
 
+#: Points of a block, about.
 VERTEX_BLOCK = 100_000
-RA_BLOCK_DEG = 0.01
-_LAST_BLOCK = (1 << 63) - 1  # points without a position come last
 
 
 def footprint_format(columns: list[str], expected: str | None = None) -> str:
@@ -32,30 +32,42 @@ def footprint_format(columns: list[str], expected: str | None = None) -> str:
 
 
 def footprint_curves(vertices: DataFrame) -> DataFrame:
-    """(curve, position, block, ra, dec): the vertices to draw, whatever the format.
-
-    ``position`` orders the points of a curve. ``block`` cuts a curve into
-    stretches of bounded size that follow that order.
-    """
+    """(curve, position, ra, dec): the vertices to draw, whatever the format. ``position`` orders the points of a curve."""
     kind = footprint_format(vertices.columns)
     if kind == "region_vertices":
         position = F.col("vertex_id").cast("double")
-        block = F.floor(position / VERTEX_BLOCK)
         exterior = vertices.where((F.col("ring_type") == "exterior") & F.col("region_id").isNotNull())
         curve, ra, dec, source = F.col("region_id").cast("string"), "ra_deg", "dec_deg", exterior
     else:
         position = F.col("ra_center").cast("double")
-        block = F.floor(position / RA_BLOCK_DEG)
         curve, ra, dec, source = F.lit("limit"), "ra_center", "dec_limit", vertices
     return source.select(
         curve.alias("curve"),
         position.alias("position"),
-        F.coalesce(block.cast("bigint"), F.lit(_LAST_BLOCK)).alias("block"),
         F.col(ra).cast("double").alias("ra"),
         F.col(dec).cast("double").alias("dec"),
     )
 
 
+def _along() -> list[Column]:
+    """Order of the points of a curve: by position, those without one last, ties by place on the sky."""
+    return [F.col("position").asc_nulls_last(), F.col("ra"), F.col("dec")]
+
+
+def blocked_curves(vertices: DataFrame) -> DataFrame:
+    """The points of ``footprint_curves`` with a block: stretches of like size that follow the order of a curve.
+
+    Blocks are ranges of (curve, order) with sampled bounds, so their size does not depend on how
+    positions are spread. They are written once, since two runs may sample other bounds.
+    """
+    points = footprint_curves(vertices)
+    blocks = math.ceil(points.count() / VERTEX_BLOCK)
+    if blocks <= 1:
+        return points.withColumn("block", F.lit(0))
+    ranged = points.repartitionByRange(blocks, F.col("curve"), *_along())
+    return as_table(ranged.withColumn("block", F.spark_partition_id()), "curve-blocks")
+
+
 def curve_usable(vertices: DataFrame) -> DataFrame:
     """One row: does any curve have at least two finite points?"""
     points = footprint_curves(vertices)
@@ -66,8 +78,8 @@ def curve_usable(vertices: DataFrame) -> DataFrame:
 
 def ordered_curves(vertices: DataFrame) -> DataFrame:
     """Curve points with their 1-based place along the curve."""
-    points = footprint_curves(vertices)
-    local = F.row_number().over(Window.partitionBy("curve", "block").orderBy("position"))
+    points = blocked_curves(vertices)
+    local = F.row_number().over(Window.partitionBy("curve", "block").orderBy(*_along()))
     ranked = points.withColumn("place", local)
     sizes = points.groupBy("curve", "block").agg(F.count(F.lit(1)).alias("size"))
     before = F.sum("size").over(Window.partitionBy("curve").orderBy("block")) - F.col("size")
@@ -89,10 +101,8 @@ def curve_segments(vertices: DataFrame) -> DataFrame:
         """A missing coordinate is NaN here, so that NULL can mean "no neighbour"."""
         return F.coalesce(c, F.lit(math.nan))
 
-    points = footprint_curves(vertices).select(
-        "curve", "position", "block", present(sky_x(F.col("ra"))).alias("x"), F.radians("dec").alias("y")
-    )
-    inside = Window.partitionBy("curve", "block").orderBy("position")
+    points = blocked_curves(vertices).withColumns({"x": present(sky_x(F.col("ra"))), "y": F.radians("dec")})
+    inside = Window.partitionBy("curve", "block").orderBy(*_along())
 
     def jump(a: Column, b: Column) -> Column:
         step = F.abs(a - b)
@@ -109,7 +119,7 @@ def curve_segments(vertices: DataFrame) -> DataFrame:
     local = local.withColumn("cuts", F.sum("cut").over(inside))
     along = Window.partitionBy("curve").orderBy("block")
     blocks = local.groupBy("curve", "block").agg(
-        F.max("cuts").alias("inner"), F.min_by("x", "position").alias("head"), F.max_by("x", "position").alias("tail")
+        F.max("cuts").alias("inner"), F.min_by("x", "row").alias("head"), F.max_by("x", "row").alias("tail")
     )
     blocks = blocks.select(
         "curve",

@@ -316,6 +316,24 @@ def test_curve_order_across_blocks(spark, monkeypatch):
     assert [(r["place"], r["ra"]) for r in rows] == [(1, 3.0), (2, 1.0), (3, 2.0), (4, 9.0), (5, 4.0)]
 
 
+@pytest.mark.parametrize("apart", [100_000, 1, 0])
+def test_blocks_are_of_like_size_however_ids_are_spread(spark, monkeypatch, apart):
+    """Ids far apart, dense, or (0) all missing: no window of the curve, nor of its blocks, grows with the spread of the ids."""
+    monkeypatch.setattr(footprint, "VERTEX_BLOCK", 100)
+    n = 3000
+    rows = [("r", "exterior", i * apart if apart else None, float(i * 37 % 360), float(i % 90)) for i in range(n)]
+    schema = "region_id string, ring_type string, vertex_id bigint, ra_deg double, dec_deg double"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    sizes = [r["count"] for r in footprint.blocked_curves(df).groupBy("curve", "block").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 400 and len(sizes) <= 30
+    ordered = footprint.ordered_curves(df).orderBy("place").collect()
+    assert [r["place"] for r in ordered] == list(range(1, n + 1))
+    if apart:
+        assert [r["ra"] for r in ordered] == [r[3] for r in rows]
+    monkeypatch.setattr(footprint, "VERTEX_BLOCK", 10**9)
+    assert [r["ra"] for r in footprint.ordered_curves(df).orderBy("place").collect()] == [r["ra"] for r in ordered]
+
+
 def test_footprint_usability(spark):
     assert not footprint.curve_usable(region(spark, [10.0])).first()[0]
     assert not footprint.curve_usable(region(spark, [10.0, 11.0], ring="interior")).first()[0]
