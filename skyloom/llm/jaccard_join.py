@@ -44,7 +44,9 @@ CHUNKS = 64
 FRAGMENTS = 4
 #: Prefix rows that a task puts together before it sends them.
 HELD = 1_000_000
-#: Bits that tell which rows' sets are wanted; a false hit costs work, never a result.
+#: Rows of one Arrow batch of those.
+PIECE = 1 << 16
+#: Bits that tell which texts' sets are wanted; a false hit costs work, never a result.
 FILTER_BITS = 24
 #: Bits of a set's first name.
 NAME_BITS = 64
@@ -165,9 +167,7 @@ def _prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def _needed(nx, ny):
-    """Overlap that sets of these sizes need, in numpy or as Spark columns."""
-    if isinstance(nx, np.ndarray):
-        return -((-PART * (nx + ny)) // (PART + WHOLE))
+    """Overlap that sets of these sizes need, as Spark columns."""
     return F.ceil(F.lit(PART) * (nx + ny) / F.lit(PART + WHOLE))
 
 
@@ -198,45 +198,83 @@ def _unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n, np.ceil(n * (1 + more / _STEPS)).astype(np.int64), i
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 class _Groups:
-    """Sets of one shingle, met in the order of their sizes.
+    """Sets of each shingle, met in the order of their sizes.
 
     A group has a leader, and takes in what is not too large to link with it. Its members meet
     the leader only. Every set that could link with some member without having met it is named
     (a pair with itself), so that it is compared later; a set whose possible partners were all
     met is not. A group that came as one row may hold larger sets than the leaders after it, so
     ``reach``, the largest size of any group of the shingle by now, decides who could link.
+
+    Rows come in pieces, ordered by shingle and size. Groups of all shingles of a piece are cut side by side, one of
+    each shingle in a round; the last group stays open for the next piece.
     """
 
     def __init__(self):
-        self.shingle, self.pairs, self.leaders = None, [], []
+        self._open, self._reach, self._closed, self._pairs = None, 0, [], []
 
-    def meet(self, t: int, e: int, n: int, high: int, i: int):
-        if t != self.shingle:
-            self.shingle, self.lead, self.reach = t, None, 0
-        if self.lead is None:
-            self._open(t, e, n, high, i)
+    def meet(self, t, e, n, high, i):
+        rows = np.array([t, e, n, high, i], np.int64).reshape(5, -1)
+        if not rows.shape[1]:
             return
-        own, size, place = self.lead
-        if e == own:
-            self._grow(high)
-        elif PART * n > WHOLE * size:  # too large for the leader
-            if PART * n <= WHOLE * self.reach:
-                self.pairs.append((e, e))
-            self._open(t, e, n, high, i)
-        else:
-            can = min(place, i) + min(size - place, n - i) >= -(-PART * (size + n) // (PART + WHOLE))
-            self.pairs += [(own, e)] if can else [(own, own), (e, e)]
-            self._grow(max(high, n))
-
-    def _open(self, t, e, n, high, i):
-        self.lead, self.high, self.reach = (e, n, i), high, max(self.reach, high)
-        self.leaders.append([t, e, n, high, i])
-
-    def _grow(self, high):
-        self.high = max(self.high, high, self.lead[1] + 1)
-        self.reach = max(self.reach, self.high)
-        self.leaders[-1][3] = self.high
+        reach = 0
+        if self._open is not None and self._open[0] == rows[0, 0]:
+            rows, reach = np.concatenate([self._open[:, None], rows], axis=1), self._reach
+        elif self._open is not None:
+            self._closed.append(self._open[:, None])
+        t, e, n, high, i = rows
+        new = np.append(True, t[1:] != t[:-1])
+        shingle, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        stop = np.append(first[1:], len(t))
+        order, at, starts = shingle << 26 | n, first, []
+        while len(at):  # what is too large for the leader opens the next group
+            starts.append(at)
+            most = np.minimum(WHOLE * n[at] // PART, 2**26 - 1)
+            after = np.searchsorted(order, shingle[at] << 26 | most, side="right")
+            at = after[after < stop[shingle[at]]]
+        starts = np.sort(np.concatenate(starts))
+        size, of = np.diff(np.append(starts, len(t))), shingle[starts]
+        top = np.maximum.reduceat(high, starts)
+        top = np.where(size > 1, np.maximum(top, n[starts] + 1), top)
+        largest = np.maximum.accumulate(of << 38 | top) & (2**38 - 1)
+        largest[of == 0] = np.maximum(largest[of == 0], reach)
+
+        later = np.flatnonzero(of[1:] == of[:-1]) + 1
+        named = e[starts[later[PART * n[starts[later]] <= WHOLE * largest[later - 1]]]]
+        lead = np.repeat(starts, size)
+        met = np.flatnonzero(e != e[lead])
+        lead = lead[met]
+        needed = -(-PART * (n[lead] + n[met]) // (PART + WHOLE))
+        can = np.minimum(i[lead], i[met]) + np.minimum(n[lead] - i[lead], n[met] - i[met]) >= needed
+        named = np.concatenate([named, e[lead[~can]], e[met[~can]]])
+        self._pairs.append((np.concatenate([e[lead[can]], named]), np.concatenate([e[met[can]], named])))
+        groups = np.stack([t[starts], e[starts], n[starts], top, i[starts]])
+        self._closed.append(groups[:, :-1])
+        self._open, self._reach = groups[:, -1], largest[-1]
+
+    def take_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs since the last call. Closed groups are forgotten."""
+        pairs = _distinct(*(np.concatenate([p[k] for p in self._pairs] or [np.zeros(0, np.int64)]) for k in (0, 1)))
+        self._pairs, self._closed = [], []
+        return pairs
+
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        return [pair for a, b in self._pairs for pair in zip(a.tolist(), b.tolist(), strict=True)]
+
+    @property
+    def leaders(self) -> np.ndarray:
+        """Of each group its leader's row, with the largest size of the group."""
+        return np.concatenate([*self._closed, self._open[:, None]], axis=1).T
 
 
 def _star_rows(docs: DataFrame, counters, known: _Names) -> DataFrame:
@@ -261,22 +299,19 @@ def _star_rows(docs: DataFrame, counters, known: _Names) -> DataFrame:
         if not held:
             return
         t, e, n, i = (np.concatenate(c).astype(np.int64) for c in zip(*held, strict=True))
+        if not len(t):
+            return
         order = np.lexsort((e, n, t))
-        t, e, n, i = t[order], e[order], n[order], i[order]
-        yield from grouped(t, e, n, n, i, _Groups())
-
-    def grouped(t, e, n, high, i, groups):
-        several = np.zeros(len(t), bool)
-        several[1:] = t[1:] == t[:-1]
-        several[:-1] |= several[1:]
-        one = ~several
-        yield batch_of(t[one], e[one], _packed(n[one], high[one], i[one]))
-        for row in zip(*(c[several].tolist() for c in (t, e, n, high, i)), strict=True):
-            groups.meet(*row)
-        lead = np.array(groups.leaders, np.int64).reshape(-1, 5).T
-        yield batch_of(lead[0], lead[1], _packed(lead[2], lead[3], lead[4]))
-        pairs = np.unique(np.array(groups.pairs, np.int64).reshape(-1, 2), axis=0)
-        yield batch_of(pairs[:, 0], pairs[:, 1], np.full(len(pairs), _DIRECT))
+        groups = _Groups()
+        groups.meet(t[order], e[order], n[order], n[order], i[order])
+        t, e, n, high, i = groups.leaders.T
+        yield from pieces(t, e, _packed(n, high, i))
+        a, b = groups.take_pairs()
+        yield from pieces(a, b, np.full(len(a), _DIRECT))
+
+    def pieces(*columns):
+        for k in range(0, len(columns[0]), PIECE):
+            yield batch_of(*(c[k : k + PIECE] for c in columns))
 
     def batch_of(t, e, p):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t, e, p)], names=["t", "e", "p"])
@@ -290,71 +325,59 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     ordered = rows.repartition("t").sortWithinPartitions("t", "p", "e")
 
     def meet(batches):
-        groups, waiting = _Groups(), None
+        groups = _Groups()
         for batch in batches:
             t, e, p = (np.asarray(batch.column(c)).astype(np.int64) for c in ("t", "e", "p"))
             direct = p == _DIRECT
             yield pa.RecordBatch.from_arrays([pa.array(t[direct]), pa.array(e[direct])], names=["a", "b"])
             t, e, p = t[~direct], e[~direct], p[~direct]
-            if waiting is not None:  # the last row of the batch before may share its shingle with this one
-                t, e, p = (np.concatenate([[x], c]) for x, c in zip(waiting, (t, e, p), strict=True))
-            if not len(t):
-                continue
-            waiting = t[-1], e[-1], p[-1]
-            several = np.zeros(len(t), bool)
-            several[1:] = t[1:] == t[:-1]
-            several[:-1] |= several[1:]
-            columns = (c[several].tolist() for c in (t, e, *_unpacked(p)))
-            for row in zip(*columns, strict=True):
-                groups.meet(*row)
-            found = np.unique(np.array(groups.pairs, np.int64).reshape(-1, 2), axis=0)
-            groups.pairs, groups.leaders = [], groups.leaders[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            groups.meet(t, e, *_unpacked(p))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in groups.take_pairs()], names=["a", "b"])
 
     return ordered.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _wanted_rows(docs: DataFrame, wanted, counters, known: _Names, prefixes: bool) -> DataFrame:
-    """Of the sets that the filter's bits name: prefix rows, or whole sets by fragment (the rarest one even if it is empty)."""
-    names = ["t", "e", "p"] if prefixes else ["e", "n", "fragment", "tokens"]
+def _wanted_sets(docs: DataFrame, wanted, counters, known: _Names) -> DataFrame:
+    """Sets of the texts that the filter's bits name, by fragment (the first one even if it is empty): shingles in the global
+    order, and how many come before them. Only these texts are cut into shingles."""
     cuts = pivots(counters.value)
+    names = ["e", "n", "fragment", "before", "tokens"]
 
     def run(batches):
         seen = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            ids, t = (np.asarray(batch.column(c).fill_null(0)).astype(np.int64) for c in ("doc_id", "t"))
+            for part in slices(batch.filter(pa.array(wanted.value[_bit(t, ids)])), "text"):
                 owner, found, size, e, _ = _sets(part, known)
-                ids = np.asarray(part.column("doc_id").fill_null(0)).astype(np.int64)
-                one = wanted.value[_bit(e, ids)] & (size > 0)
-                one &= np.array([x not in seen for x in e.tolist()], bool)
+                one = (size > 0) & np.array([not (x in seen or seen.add(x)) for x in e.tolist()], bool)
                 rows = np.flatnonzero(one)
-                rows = rows[np.unique(e[rows], return_index=True)[1]]
-                one = np.zeros(len(size), bool)
-                one[rows] = True
-                seen.update(e[rows].tolist())
-                owner, found = owner[one[owner]], found[one[owner]]
-                if not len(owner):
-                    continue
-                if prefixes:
-                    owner, found, place = _prefixes(owner, found, np.where(one, size, 0), counters.value)
-                    columns = found.view(np.int64), e[owner], _packed(size[owner], size[owner], place)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                if not len(rows):
                     continue
+                owner, found = owner[one[owner]], found[one[owner]]
                 count = counters.value[(found & np.uint64(len(counters.value) - 1)).astype(np.int64)].astype(np.int64)
-                group = owner * FRAGMENTS + np.searchsorted(cuts, count, side="right")
-                order = np.lexsort((found, group))
-                group, tokens = group[order], found[order]
+                order = np.lexsort((found, count, owner))
+                tokens = found[order].view(np.int64)
+                group = owner[order] * FRAGMENTS + np.searchsorted(cuts, count[order], side="right")
                 parts = (rows[:, None] * FRAGMENTS + np.arange(FRAGMENTS)).ravel()
                 begin, end = np.searchsorted(group, parts), np.searchsorted(group, parts, side="right")
+                before = begin - np.repeat(begin[::FRAGMENTS], FRAGMENTS)
                 there = (begin < end) | (parts % FRAGMENTS == 0)
-                begin, end, parts = begin[there], end[there], parts[there]
-                packed = [tokens[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-                of = parts // FRAGMENTS
-                columns = [pa.array(c, pa.int64()) for c in (e[of], size[of], parts % FRAGMENTS)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], names=names)
+                of = parts[there] // FRAGMENTS
+                columns = [pa.array(c, pa.int64()) for c in (e[of], size[of], parts[there] % FRAGMENTS, before[there])]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin[there], len(tokens)), pa.int32()), pa.array(tokens, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=names)
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(run, "e long, n long, fragment long, before long, tokens array<long>")
+
 
-    kinds = "t long, e long, p long" if prefixes else "e long, n long, fragment long, tokens binary"
-    return docs.select("doc_id", "text").mapInArrow(run, kinds)
+def _prefix_rows(sets: DataFrame) -> DataFrame:
+    """Prefix rows of whole sets."""
+    inside = F.expr(f"n - (n * {PART} + {WHOLE - 1}) div {WHOLE} + 1 - before")
+    cut = sets.select("e", "n", "before", "tokens", inside.cast("int").alias("inside")).where("inside > 0")
+    rows = cut.select("e", "n", "before", F.posexplode(F.slice("tokens", F.lit(1), F.col("inside"))).alias("at", "t"))
+    place = F.least(F.col("before") + F.col("at"), F.lit(2**24 - 1))
+    return rows.select("t", "e", F.shiftleft("n", 37).bitwiseOR(place).alias("p"))
 
 
 def _once(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -394,12 +417,12 @@ def _shared_prefixes(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(several, "t long, e long, n long, i long")
 
 
-def _bit(e: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (mix(mix(e.view(np.uint64)) + ids.view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def _bit(t: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (mix(mix(t.view(np.uint64)) + ids.view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
-    """Filter of (set, id) rows: distinct bit numbers, 2**FILTER_BITS at most whatever the rows."""
+    """Filter of (text hash, id) rows: distinct bit numbers, 2**FILTER_BITS at most whatever the rows."""
 
     def number(batches):
         for batch in batches:
@@ -414,35 +437,27 @@ def _bits(rows: DataFrame) -> np.ndarray:
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that link. Fragments are counted one after the other, the rarest first: of each only the
     sets of pairs that can still reach the similarity move."""
-    counted = {f"{c}": F.lit(0).cast("long") for c in ("shared", "done_a", "done_b")}
+    counted = {c: F.lit(0).cast("long") for c in ("shared", "done_a", "done_b")}
     alive = pairs.select("a", "b").withColumns(counted)
+    left = F.least(F.col("na") - F.col("done_a"), F.col("nb") - F.col("done_b"))
     for fragment in range(FRAGMENTS):
+        # Written first, so that the overlap is not counted again by the filter.
         alive = as_table(_counted(alive, sets.where(F.col("fragment") == fragment), fragment), "alive")
+        alive = alive.where(F.col("shared") + left >= _needed(F.col("na"), F.col("nb")))
     return alive.select("a", "b")
 
 
 def _counted(alive: DataFrame, sets: DataFrame, fragment: int) -> DataFrame:
-    """Pairs with one more fragment counted, without those that cannot link any more. The first one tells the sizes."""
+    """Pairs with one more fragment counted. The first one tells the sizes."""
     ids = alive.select(F.col("a").alias("e")).union(alive.select(F.col("b").alias("e"))).distinct()
     own = sets.join(ids, "e", "left_semi").select("e", "tokens", *(["n"] if not fragment else []))
     for side in "ab":
         renamed = own.toDF(side, f"t{side}", *([f"n{side}"] if not fragment else []))
         alive = alive.join(renamed, side, "left")
-
-    def count(batches):
-        for batch in batches:
-            x, y = ([np.frombuffer(t or b"", np.uint64) for t in batch.column(c).to_pylist()] for c in ("ta", "tb"))
-            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
-            a, b, na, nb, shared, done_a, done_b = (np.asarray(batch.column(c)).astype(np.int64) for c in _PAIR)
-            shared, done_a, done_b = shared + both, done_a + [len(p) for p in x], done_b + [len(q) for q in y]
-            left = np.minimum(na - done_a, nb - done_b)
-            can = shared + left >= _needed(na, nb)
-            yield pa.RecordBatch.from_arrays([pa.array(c[can], pa.int64()) for c in (a, b, na, nb, shared, done_a, done_b)], names=_PAIR)
-
-    return alive.select(*_PAIR, "ta", "tb").mapInArrow(count, ", ".join(f"{c} long" for c in _PAIR))
-
-
-_PAIR = ["a", "b", "na", "nb", "shared", "done_a", "done_b"]
+    none = F.array().cast("array<long>")
+    ta, tb = F.coalesce("ta", none), F.coalesce("tb", none)
+    more = {"shared": F.size(F.array_intersect(ta, tb)), "done_a": F.size(ta), "done_b": F.size(tb)}
+    return alive.select("a", "b", "na", "nb", *((F.col(c) + k).alias(c) for c, k in more.items()))
 
 
 def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -475,13 +490,13 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     pairs = as_table(_star_pairs(_star_rows(rows, counters, known)), "pairs")
 
     named = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
-    firsts = sets.where("n > 0").groupBy("e").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("rep"))
-    wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("e", "rep")))
-    whole = _once(as_table(_wanted_rows(rows, wanted, counters, known, False), "sets"), ["e", "fragment"])
+    firsts = sets.where("n > 0").groupBy("e").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "t")).alias("m"))
+    wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("m.t", "m.id")))
+    whole = _once(as_table(_wanted_sets(rows, wanted, counters, known), "sets"), ["e", "fragment"])
     pairs = pairs.where("a <> b")
     links = _links(pairs, whole)
     roots = components(links)
-    prefixes = as_table(_shared_prefixes(_wanted_rows(rows, wanted, counters, known, True)), "prefixes")
+    prefixes = as_table(_shared_prefixes(_prefix_rows(whole)), "prefixes")
 
     tested = pairs
     for last in (False, True):
