@@ -43,7 +43,7 @@ ORDER_BITS = 20
 CHUNKS = 64
 FRAGMENTS = 4
 #: Prefix rows that a task puts together before it sends them.
-HELD = 1_000_000
+HELD = 250_000
 #: Rows of one Arrow batch of those.
 PIECE = 1 << 16
 #: Bits that tell which texts' sets are wanted; a false hit costs work, never a result.
@@ -462,9 +462,9 @@ def _counted(alive: DataFrame, sets: DataFrame, fragment: int) -> DataFrame:
 
 def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prefix rows of shingles that sets of several components share, with the component c and the shingle's main one;
-    and for each such shingle one set of the main component."""
-    labelled = prefixes.join(roots, prefixes["e"] == roots["u"], "left").select("t", "e", "n", "i", F.coalesce("root", "e").alias("c"))
-    groups = labelled.groupBy("t", "c").agg(F.count("*").alias("k"), F.min_by("e", F.xxhash64("e", "t")).alias("some"))
+    and for each such shingle one set of the main component. Rows move once, by shingle."""
+    labelled = prefixes.join(roots, prefixes["e"] == roots["u"], "left").select("t", "e", "n", "i", F.coalesce("root", "e").alias("c")).repartition("t")
+    groups = labelled.groupBy("t", "c").agg(F.count("*").alias("k"), F.min_by(F.struct("e", "n", "i"), F.xxhash64("e", "t")).alias("some"))
     shared = groups.groupBy("t").agg(F.max(F.struct("k", "c", "some")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
     shared = as_table(shared.select("t", F.col("m.c").alias("main"), F.col("m.some").alias("some")), "open-shingles")
     return as_table(labelled.join(shared.select("t", "main"), "t"), "open-rows"), shared
@@ -505,7 +505,7 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
         if last:
             again = _first_met(outside, rows_open)
         else:
-            again = outside.join(mains.alias("m"), "t").select(F.least("e", "some").alias("a"), F.greatest("e", "some").alias("b")).distinct()
+            again = _main_met(outside, mains)
         again = as_table(again.join(tested, ["a", "b"], "left_anti"), "more-pairs")
         if again.isEmpty():
             continue
@@ -517,6 +517,14 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     return sets, roots
 
 
+def _main_met(outside: DataFrame, mains: DataFrame) -> DataFrame:
+    """Pairs of an outside set with the shingle's set of the main component, where sizes and places let them link."""
+    met = outside.join(mains.select("t", F.col("some.e").alias("f"), F.col("some.n").alias("m"), F.col("some.i").alias("j")), "t")
+    before, after = F.least("i", "j"), F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    met = met.where(before + after >= _needed(F.col("n"), F.col("m")))
+    return met.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
+
+
 def _first_met(outside: DataFrame, every: DataFrame) -> DataFrame:
     """Pairs of sets of different components that can link if a shingle is the first in the order that they share:
     nothing before it counts, so what follows it in both must be enough. Every link has such a shingle."""

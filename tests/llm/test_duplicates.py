@@ -62,6 +62,45 @@ def test_groups_name_sets_in_reach_of_earlier_groups():
     assert [lead[3] for lead in groups.leaders] == [136, 134, 179, 179, 250]
 
 
+def met_one_by_one(rows):
+    """Pairs and leaders of (shingle, set, size, largest size, place) rows, taken singly."""
+    pairs, leaders, shingle = set(), [], None
+    for t, e, n, high, i in rows:
+        if t != shingle:
+            shingle, reach = t, high
+            leaders.append([t, e, n, high, i])
+            continue
+        lead = leaders[-1]
+        if 75 * n > 100 * lead[2]:
+            if 75 * n <= 100 * reach:
+                pairs.add((e, e))
+            leaders.append([t, e, n, high, i])
+        else:
+            if e != lead[1]:
+                can = 175 * (min(i, lead[4]) + min(n - i, lead[2] - lead[4])) >= 75 * (n + lead[2])
+                pairs |= {(lead[1], e)} if can else {(lead[1], lead[1]), (e, e)}
+            lead[3] = max(lead[3], high, lead[2] + 1)
+        reach = max(reach, leaders[-1][3])
+    return pairs, leaders
+
+
+def test_groups_of_pieces_equal_those_of_single_rows():
+    rng = random.Random(13)
+    for _ in range(40):
+        sizes = [rng.randint(1, 400) for _ in range(40)]
+        rows = [(rng.randint(0, 6), e, n, n + rng.choice([0, n // 4]), rng.randint(0, n // 4)) for e, n in enumerate(sizes) for _ in range(rng.randint(1, 4))]
+        rows.sort(key=lambda r: (r[0], r[2], r[1]))
+        groups, at, pairs = jaccard_join._Groups(), 0, set()
+        while at < len(rows):
+            piece = rows[at : at + rng.randint(1, 60)]
+            groups.meet(*zip(*piece, strict=True))
+            pairs |= set(groups.pairs)
+            at += len(piece)
+        expected, leaders = met_one_by_one(rows)
+        assert pairs == expected
+        assert groups.leaders.tolist() == leaders
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(documents(spark, [])).count() == 0
     assert [tuple(r)[:3] for r in jaccard_join.join(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
