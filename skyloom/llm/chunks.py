@@ -7,6 +7,7 @@ emptied when it holds ``MOST`` chunks, which costs time and changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -25,10 +26,16 @@ class _Codes(dict):
         return code
 
 
+def flat(ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each chunk has, and all of them in a row."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+
+
 class ChunkTable:
-    """Ids of texts that are given as lists of chunks."""
+    """Ids of texts that are given as lists of chunks. ``segment`` tells the ids of distinct chunks as ``flat`` does."""
 
-    def __init__(self, segment: Callable[[list], Sequence[Sequence[int]]]):
+    def __init__(self, segment: Callable[[list], tuple[np.ndarray, np.ndarray]]):
         self._segment = segment
         self._clear()
 
@@ -41,17 +48,15 @@ class ChunkTable:
         chunks, self._codes.waiting = self._codes.waiting, []
         if not chunks:
             return
-        ids = self._segment(chunks)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
-        known, used = self._known + len(ids), self._used + len(flat)
+        sizes, ids = self._segment(chunks)
+        known, used = self._known + len(sizes), self._used + len(ids)
         while known > len(self._size):
             self._start, self._size = np.concatenate([self._start] * 2), np.concatenate([self._size] * 2)
         while used > len(self._pool):
             self._pool = np.concatenate([self._pool] * 2)
         self._start[self._known : known] = self._used + np.cumsum(sizes) - sizes
         self._size[self._known : known] = sizes
-        self._pool[self._used : used] = flat
+        self._pool[self._used : used] = ids
         self._known, self._used = known, used
 
     def ids(self, texts: Sequence[list]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +64,7 @@ class ChunkTable:
         if len(self._codes) > MOST:
             self._clear()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = np.fromiter(map(self._codes.__getitem__, (c for text in texts for c in text)), np.int64, int(sizes.sum()))
+        codes = np.fromiter(map(self._codes.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         self._learn()
         per = self._size[codes]
         first = np.concatenate([[0], np.cumsum(per)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import boxed, slices
+from skyloom.llm.shared import arrow_map, boxed, slices
 from skyloom.llm.word_bpe import encoder
 from skyloom.session import as_table
 
@@ -32,11 +32,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
-        table = encoder(tokenizer_path)
+        table, words = encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [(t or "").encode().split() for t in part.column("text").to_pylist()]
-                ids, first = table.ids(texts)
+                ids, first = table.ids([words.pieces(t or "") for t in part.column("text").to_pylist()])
                 rows = []
                 for doc, begin, end in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                     own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4").tobytes()
@@ -45,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                         rows.append((doc, piece, at // 4, len(one) // 4, one))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return arrow_map(docs.select("doc_id", "text"), cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyloom.llm.chunks import ChunkTable
+from skyloom.llm.chunks import ChunkTable, flat
 from skyloom.llm.shared import slices
 
 _MARKER = "▁"
@@ -46,9 +46,9 @@ class _Segmenter:
         if self.model.encode("a  b ", out_type=str)[0] != _MARKER + "a":
             raise ValueError("The model does not put a whitespace marker before a text.")
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.model.encode(words, num_threads=1)
-        return [ids if word else [self.marker] for word, ids in zip(words, found, strict=True)]
+        return flat([ids if word else [self.marker] for word, ids in zip(words, found, strict=True)])
 
 
 @cache

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one step inside a task works on.
 SLICE_BYTES = 1_000_000
+#: Bytes of one Arrow batch between Spark and a Python worker; Spark's own limit is 64 MB, which either side holds several times.
+BATCH_BYTES = 4_000_000
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,30 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system. Arrow's and C's allocators keep it for later use."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_BYTES, unless the session sets a limit, and workers that hold little between tasks.
+
+    Spark keeps its workers, idle ones too, so what a task leaves in them counts for an executor as long as it lives.
+    The limit is a setting of the session, since a plan is run after this returns.
+    """
+    conf = df.sparkSession.conf
+    if _BATCH_LIMIT not in conf.getAll:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, kinds)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; null is the empty text."""
     column = pa.compute.fill_null(column, "").cast(pa.large_string())

@@ -123,3 +123,31 @@ def test_pieces_are_the_tokenizers_ids(spark):
         assert b"".join(bytes(r.ids) for r in mine) == np.array(ids, "<u4").tobytes()
         assert [(r.piece, r.start, r.length) for r in mine] == [(k, 2048 * k, min(2048, len(ids) - 2048 * k)) for k in range(len(mine))]
     assert zlib.crc32(np.array([0], "<u4").tobytes()) == zlib.crc32(bytes(next(r for r in rows if r.doc_id == 0).ids))
+
+
+def test_words_that_differ_in_marks_or_case_share_their_pieces():
+    from tokenizers import Tokenizer
+
+    from skyloom.llm.word_bpe import encoder
+
+    path = tokenizer("word_bpe_49k.json")
+    own, (table, words) = Tokenizer.from_file(path), encoder(path)
+    texts = ["Hello, hello. HELLO### über,%% Über. hello", "n\u0303o ÑO. J\u030cx jx", "don't DON'T a12b <|endoftext|>x", "a\x1cb\u00a0c µ÷×"]
+    ids, first = table.ids([words.pieces(t) for t in texts])
+    for k, text in enumerate(texts):
+        assert ids[first[k] : first[k + 1]].tolist() == own.encode(text, add_special_tokens=False).ids
+    assert set(words.pieces(texts[0])) == {"hello", "über", ",", ".", "###", ",%%"}
+
+
+def test_workers_get_small_batches(spark):
+    import pyarrow as pa
+
+    from skyloom.llm import shared
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 5000) AS text")
+    seen = [r.n for r in shared.arrow_map(rows, sizes, "n long").collect()]
+    assert len(seen) > 1 and max(seen) < 1.1 * shared.BATCH_BYTES
