@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
-from skyloom.llm.shared import lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
+from skyloom.llm.shared import arrow_map, lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
 from skyloom.session import as_table, scratch_scope
 
 WORDS = 5
 #: Similarity, as a fraction.
 PART, WHOLE = 75, 100
-#: Counters of the global order.
-ORDER_BITS = 20
+#: Counters of the global order. The more shingles share one, the less it tells rare ones from others; they are broadcast in 16 bits each.
+ORDER_BITS = 22
 #: Rows that a task's counters are packed in.
 CHUNKS = 64
 FRAGMENTS = 4
@@ -118,11 +118,11 @@ def _profiles(docs: DataFrame, known: _Names) -> DataFrame:
     names = ["doc_id", "t", "n", "e", "check", "chunk", "part", "counters"]
 
     def run(batches):
-        counters = np.zeros(1 << ORDER_BITS, np.int64)
+        counters = np.zeros(1 << ORDER_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 _, found, size, e, check = _sets(part, known)
-                counters += np.bincount((found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=len(counters))
+                np.add.at(counters, (found & np.uint64(len(counters) - 1)).astype(np.int64), np.uint32(1))
                 rows = [part.column("doc_id"), part.column("t"), *(pa.array(c, pa.int64()) for c in (size, e, check))]
                 rows += [pa.nulls(len(size), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
@@ -132,33 +132,33 @@ def _profiles(docs: DataFrame, known: _Names) -> DataFrame:
         yield pa.RecordBatch.from_arrays(rows, names=names)
 
     kinds = "doc_id long, t long, n long, e long, check long, chunk long, part long, counters binary"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, kinds)
+    return arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("t")), run, kinds)
 
 
 def _squeezed(counters: np.ndarray) -> bytes:
-    return zlib.compress(counters.astype("<i8").tobytes(), 1)
+    return zlib.compress(np.minimum(counters, 2**32 - 1).astype("<u4").tobytes(), 1)
 
 
 def _counters(profiles: DataFrame) -> np.ndarray:
     """Sum of the tasks' counters, in two steps so that no group grows with the tasks alone; 2**ORDER_BITS numbers at most."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in group["counters"])
+        total = sum(np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64) for c in group["counters"])
         return pd.DataFrame({"chunk": [group["chunk"].iloc[0]], "counters": [_squeezed(total)]})
 
     packed = profiles.where("chunk is not null").select("chunk", "counters", (F.col("part") % CHUNKS).alias("salt"))
     some = packed.groupBy("chunk", "salt").applyInPandas(add, "chunk long, counters binary")
     rows = some.groupBy("chunk").applyInPandas(add, "chunk long, counters binary").collect()
-    out = np.zeros((CHUNKS, (1 << ORDER_BITS) // CHUNKS), np.uint32)
+    out = np.zeros((CHUNKS, (1 << ORDER_BITS) // CHUNKS), np.uint16)
     for row in rows:
-        out[row.chunk] = np.minimum(np.frombuffer(zlib.decompress(row.counters), "<i8"), 2**32 - 1)
+        out[row.chunk] = np.minimum(np.frombuffer(zlib.decompress(row.counters), "<u4"), 2**16 - 1)
     return out.reshape(-1)
 
 
 def pivots(counters: np.ndarray) -> np.ndarray:
     """Counts that cut the global order into FRAGMENTS fragments of about equal weight; equal counts stay together."""
-    counts = np.sort(counters.astype(np.int64))
-    weight = np.cumsum(counts)
+    counts = np.sort(counters)
+    weight = np.cumsum(counts, dtype=np.int64)
     return counts[np.searchsorted(weight, weight[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)]
 
 
@@ -316,7 +316,7 @@ def _star_rows(docs: DataFrame, counters, known: _Names) -> DataFrame:
     def batch_of(t, e, p):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t, e, p)], names=["t", "e", "p"])
 
-    return docs.select("text").mapInArrow(run, _ROW)
+    return arrow_map(docs.select("text"), run, _ROW)
 
 
 def _star_pairs(rows: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
             groups.meet(t, e, *_unpacked(p))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in groups.take_pairs()], names=["a", "b"])
 
-    return ordered.mapInArrow(meet, "a long, b long").distinct()
+    return arrow_map(ordered, meet, "a long, b long").distinct()
 
 
 def _wanted_sets(docs: DataFrame, wanted, counters, known: _Names) -> DataFrame:
@@ -368,7 +368,7 @@ def _wanted_sets(docs: DataFrame, wanted, counters, known: _Names) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, lists], names=names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return rows.mapInArrow(run, "e long, n long, fragment long, before long, tokens array<long>")
+    return arrow_map(rows, run, "e long, n long, fragment long, before long, tokens array<long>")
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def _shared_prefixes(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (t, e, n, i)], names=["t", "e", "n", "i"])
 
     ordered = rows.repartition("t").sortWithinPartitions("t", "e")
-    return ordered.mapInArrow(several, "t long, e long, n long, i long")
+    return arrow_map(ordered, several, "t long, e long, n long, i long")
 
 
 def _bit(t: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -428,7 +428,7 @@ def _bits(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"bit": np.unique(_bit(*(np.asarray(batch.column(c)).astype(np.int64) for c in (0, 1))))})
 
-    found = rows.mapInArrow(number, "bit long").distinct().toArrow().column(0).to_numpy()
+    found = arrow_map(rows, number, "bit long").distinct().toArrow().column(0).to_numpy()
     out = np.zeros(1 << FILTER_BITS, bool)
     out[found] = True
     return out
@@ -494,8 +494,7 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     wanted = sc.broadcast(_bits(firsts.join(named, "e", "left_semi").select("m.t", "m.id")))
     whole = _once(as_table(_wanted_sets(rows, wanted, counters, known), "sets"), ["e", "fragment"])
     pairs = pairs.where("a <> b")
-    links = _links(pairs, whole)
-    roots = components(links)
+    roots = components(_links(pairs, whole))
     prefixes = as_table(_shared_prefixes(_prefix_rows(whole)), "prefixes")
 
     tested = pairs
@@ -512,8 +511,7 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
         more = _links(again, whole)
         tested = tested.union(again)
         if more.take(1):
-            links = links.union(more)
-            roots = components(links)
+            roots = components(roots.select("u", "root").union(more))  # the components by now are what their links say
     return sets, roots
 
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import LETTER, box_type, boxed, lower_ascii, mix, slices, text_buffer
+from skyloom.llm.shared import LETTER, arrow_map, box_type, boxed, lower_ascii, mix, slices, text_buffer
 from skyloom.session import as_table
 
 #: Trigrams are counted in so many buckets.
@@ -59,7 +59,7 @@ def _text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": at, "n": found[at]})
 
     total = np.zeros(len(languages) * BUCKETS)
-    counted = rows.select("_text", "_declared").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counted = arrow_map(rows.select("_text", "_declared"), count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # languages x buckets at most
     total[got.column("at").to_numpy()] = got.column("n").to_numpy()
     total = total.reshape(len(languages), BUCKETS)
@@ -148,4 +148,4 @@ def identify(docs: DataFrame, text: str, declared: str | None = None, suffix: st
                 yield pa.RecordBatch.from_arrays(out, names=["_row", *added])
 
     kinds = box_type(bare, ("language", "string"), ("posterior", "double"), ("language_accepted", "boolean"))
-    return ready.mapInArrow(fuse, kinds).select("_row.*", *added)
+    return arrow_map(ready, fuse, kinds).select("_row.*", *added)

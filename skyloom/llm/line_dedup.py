@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import boxed, line_bounds, mix, slices, text_buffer, word_bounds, word_hashes
+from skyloom.llm.shared import arrow_map, boxed, line_bounds, mix, slices, text_buffer, word_bounds, word_hashes
 from skyloom.session import as_table
 
 #: A run of lines must have so many words to count as repeated.
@@ -62,7 +62,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 columns += [words, f, b, number, following]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], names=names)
 
-    return docs.select("_d", "_t", "text").mapInArrow(cut, ", ".join(f"{n} long" for n in names))
+    return arrow_map(docs.select("_d", "_t", "text"), cut, ", ".join(f"{n} long" for n in names))
 
 
 def _repeated(named: DataFrame, key: list[str], place: list[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def _runs(active: DataFrame, min_words: int) -> DataFrame:
             columns = [*keys, batch.column("_d").take(owner), batch.column("_t").take(owner), at[begin], column["_lo"][begin], column["_hi"][last], size]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], names=out)
 
-    return stretches.mapInArrow(name, ", ".join(f"{c} long" for c in out))
+    return arrow_map(stretches, name, ", ".join(f"{c} long" for c in out))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

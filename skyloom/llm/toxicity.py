@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.shared import LETTER, bounded_sample, box_type, boxed, lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
+from skyloom.llm.shared import LETTER, arrow_map, bounded_sample, box_type, boxed, lower_ascii, mix, slices, text_buffer, word_bounds, word_hashes
 
 #: Labelled rows the chain is fitted to at most.
 TRAIN_ROWS = 8_000
@@ -152,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows: in
         )
 
     sample = docs.select("doc_id", "text").join(wanted, "doc_id")
-    seen = sample.mapInArrow(look, "doc_id long, features binary, labels array<double>")
+    seen = arrow_map(sample, look, "doc_id long, features binary, labels array<double>")
     seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(rows).repartition(1)
-    learnt = seen.mapInArrow(learn, "place long, feature binary, weight binary, earlier binary, constant double").orderBy("place").collect()
+    learnt = arrow_map(seen, learn, "place long, feature binary, weight binary, earlier binary, constant double").orderBy("place").collect()
     return [Link(np.frombuffer(r.feature, "<i8"), np.frombuffer(r.weight), np.frombuffer(r.earlier), r.constant) for r in learnt]
 
 
@@ -186,4 +186,4 @@ def score(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
                 yield pa.RecordBatch.from_arrays([part.column("_row"), *(pa.array(x) for x in p.T)], names=["_row", *names])
 
     kinds = box_type(docs, *((n, "double") for n in names))
-    return docs.select(boxed(docs), "text").mapInArrow(run, kinds).select("_row.*", *names)
+    return arrow_map(docs.select(boxed(docs), "text"), run, kinds).select("_row.*", *names)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -146,3 +147,13 @@ def test_dedup_of_odd_rows(spark):
     got = {(r.doc_id, r._d): (r.text, r.emptied) for r in line_dedup.dedup(df).collect()}
     assert got == {(None, "k"): (text, False), (5, "k"): ("", True), (6, "k"): ("more", False)}
     assert line_dedup.dedup(df).count() == 4 and line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_counters_are_finer_than_a_million_and_keep_to_16_bits(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40)) + " same five words in all") for i in range(300)], "doc_id long, text string")
+    counters = jaccard_join._counters(jaccard_join._profiles(rows, jaccard_join._Names()))
+    assert counters.dtype == np.uint16 and len(counters) >= 1 << 22
+    assert counters.sum() == sum(len(r.text.split()) - 4 for r in rows.collect()) and counters.max() == 300
+    assert zlib.decompress(jaccard_join._squeezed(np.array([2**33, 7]))) == np.array([2**32 - 1, 7], "<u4").tobytes()
