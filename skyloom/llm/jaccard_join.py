@@ -13,10 +13,13 @@ partial overlaps are summed, and a pair that can no longer reach the similarity
   and then those each other). Sets that are in one component by then need not meet: only sets of other components than a
   shingle's main one are compared further, first with one set of the main component for each
   shingle they share, at last with all that are left.
+* Each set has a mark: for each of MARK_BITS buckets of shingles whether it holds an odd number of them. Two sets
+  differ in at least as many shingles as their marks in bits, which bounds their overlap. Pairs that cannot link by it are
+  left before any shingles move.
 * That last step pairs two sets only where a shingle can be the first in the order that they share, since
-  what follows it must then suffice. It still spreads those pairs of
-  a shingle's sets of different components and like size: a passage in the prefixes of very many
-  unlike documents makes rows with the square of their number there.
+  what follows it must then suffice; for a shingle of many sets the marks are compared inside the join, so that it
+  makes rows only of pairs that link or nearly do. They are still compared, in time that
+  grows with the square of the number of such sets.
 """
 
 from __future__ import annotations
@@ -50,6 +53,11 @@ PIECE = 1 << 16
 FILTER_BITS = 24
 #: Bits of a set's first name.
 NAME_BITS = 64
+#: Bits of a set's mark, in words of 64.
+MARK_BITS = 512
+MARK_WORDS = MARK_BITS // 64
+#: Rows of a shingle from which marks are compared when its sets are paired. With fewer, a row makes no more pairs than this.
+MANY = 32
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -337,11 +345,24 @@ def _star_pairs(rows: DataFrame) -> DataFrame:
     return arrow_map(ordered, meet, "a long, b long").distinct()
 
 
+def _marks(found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each set, whose shingles begin at ``starts``, the parities of its buckets in MARK_WORDS numbers. No set is empty."""
+    bucket = found >> np.uint64(65 - MARK_BITS.bit_length())
+    word, bit = bucket >> np.uint64(6), np.uint64(1) << (bucket & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), starts) for w in range(MARK_WORDS)], axis=1).view(np.int64)
+
+
+def _can_link(nx, ny, mx, my):
+    """Whether sets of these sizes and marks can link, as Spark columns: they differ in as many shingles as their marks in bits, or more."""
+    differ = sum((F.bit_count(mx[w].bitwiseXOR(my[w])) for w in range(MARK_WORDS)), F.lit(0))
+    return nx + ny - differ >= 2 * _needed(nx, ny)
+
+
 def _wanted_sets(docs: DataFrame, wanted, counters, known: _Names) -> DataFrame:
     """Sets of the texts that the filter's bits name, by fragment (the first one even if it is empty): shingles in the global
-    order, and how many come before them. Only these texts are cut into shingles."""
+    order, and how many come before them. The first fragment has the set's mark. Only these texts are cut into shingles."""
     cuts = pivots(counters.value)
-    names = ["e", "n", "fragment", "before", "tokens"]
+    names = ["e", "n", "fragment", "before", "tokens", "mark"]
 
     def run(batches):
         seen = set()
@@ -354,6 +375,7 @@ def _wanted_sets(docs: DataFrame, wanted, counters, known: _Names) -> DataFrame:
                 if not len(rows):
                     continue
                 owner, found = owner[one[owner]], found[one[owner]]
+                marks = _marks(found, np.searchsorted(owner, rows))
                 count = counters.value[(found & np.uint64(len(counters.value) - 1)).astype(np.int64)].astype(np.int64)
                 order = np.lexsort((found, count, owner))
                 tokens = found[order].view(np.int64)
@@ -365,10 +387,12 @@ def _wanted_sets(docs: DataFrame, wanted, counters, known: _Names) -> DataFrame:
                 of = parts[there] // FRAGMENTS
                 columns = [pa.array(c, pa.int64()) for c in (e[of], size[of], parts[there] % FRAGMENTS, before[there])]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(begin[there], len(tokens)), pa.int32()), pa.array(tokens, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, lists], names=names)
+                marked = np.cumsum(np.append(0, np.where(parts[there] % FRAGMENTS == 0, MARK_WORDS, 0)))
+                marks = pa.ListArray.from_arrays(pa.array(marked, pa.int32()), pa.array(marks.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, lists, marks], names=names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return arrow_map(rows, run, "e long, n long, fragment long, before long, tokens array<long>")
+    return arrow_map(rows, run, "e long, n long, fragment long, before long, tokens array<long>, mark array<long>")
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
@@ -435,25 +459,40 @@ def _bits(rows: DataFrame) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link. Fragments are counted one after the other, the rarest first: of each only the
-    sets of pairs that can still reach the similarity move."""
+    """Pairs (a, b) that link. What the marks rule out is left first. Then fragments are counted one after the other, the
+    rarest first: of each only the sets of pairs that can still reach the similarity move."""
     counted = {c: F.lit(0).cast("long") for c in ("shared", "done_a", "done_b")}
-    alive = pairs.select("a", "b").withColumns(counted)
+    alive = as_table(_near(pairs, sets), "near").withColumns(counted)
     left = F.least(F.col("na") - F.col("done_a"), F.col("nb") - F.col("done_b"))
     for fragment in range(FRAGMENTS):
         # Written first, so that the overlap is not counted again by the filter.
-        alive = as_table(_counted(alive, sets.where(F.col("fragment") == fragment), fragment), "alive")
+        alive = as_table(_counted(alive, sets.where(F.col("fragment") == fragment)), "alive")
         alive = alive.where(F.col("shared") + left >= _needed(F.col("na"), F.col("nb")))
     return alive.select("a", "b")
 
 
-def _counted(alive: DataFrame, sets: DataFrame, fragment: int) -> DataFrame:
-    """Pairs with one more fragment counted. The first one tells the sizes."""
-    ids = alive.select(F.col("a").alias("e")).union(alive.select(F.col("b").alias("e"))).distinct()
-    own = sets.join(ids, "e", "left_semi").select("e", "tokens", *(["n"] if not fragment else []))
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
+    return sets.join(ids, "e", "left_semi")
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """Size and mark of each set."""
+    return sets.where("fragment = 0").select("e", "n", "mark")
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that can link by sizes and marks, with the sizes."""
+    own = _of_pairs(_marked(sets), pairs)
+    met = pairs.select("a", "b").join(own.toDF("a", "na", "ma"), "a").join(own.toDF("b", "nb", "mb"), "b")
+    return met.where(_can_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"))).select("a", "b", "na", "nb")
+
+
+def _counted(alive: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with one more fragment counted."""
+    own = _of_pairs(sets, alive).select("e", "tokens")
     for side in "ab":
-        renamed = own.toDF(side, f"t{side}", *([f"n{side}"] if not fragment else []))
-        alive = alive.join(renamed, side, "left")
+        alive = alive.join(own.toDF(side, f"t{side}"), side, "left")
     none = F.array().cast("array<long>")
     ta, tb = F.coalesce("ta", none), F.coalesce("tb", none)
     more = {"shared": F.size(F.array_intersect(ta, tb)), "done_a": F.size(ta), "done_b": F.size(tb)}
@@ -462,12 +501,12 @@ def _counted(alive: DataFrame, sets: DataFrame, fragment: int) -> DataFrame:
 
 def _open_rows(prefixes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prefix rows of shingles that sets of several components share, with the component c and the shingle's main one;
-    and for each such shingle one set of the main component. Rows move once, by shingle."""
+    (and whether it has MANY rows); and for each such shingle one set of the main component. Rows move once, by shingle."""
     labelled = prefixes.join(roots, prefixes["e"] == roots["u"], "left").select("t", "e", "n", "i", F.coalesce("root", "e").alias("c")).repartition("t")
     groups = labelled.groupBy("t", "c").agg(F.count("*").alias("k"), F.min_by(F.struct("e", "n", "i"), F.xxhash64("e", "t")).alias("some"))
-    shared = groups.groupBy("t").agg(F.max(F.struct("k", "c", "some")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
-    shared = as_table(shared.select("t", F.col("m.c").alias("main"), F.col("m.some").alias("some")), "open-shingles")
-    return as_table(labelled.join(shared.select("t", "main"), "t"), "open-rows"), shared
+    shared = groups.groupBy("t").agg(F.max(F.struct("k", "c", "some")).alias("m"), F.count("*").alias("groups"), F.sum("k").alias("rows")).where("groups > 1")
+    shared = as_table(shared.select("t", F.col("m.c").alias("main"), F.col("m.some").alias("some"), (F.col("rows") > MANY).alias("many")), "open-shingles")
+    return as_table(labelled.join(shared.select("t", "main", "many"), "t"), "open-rows"), shared
 
 
 def link_sets(docs: DataFrame, name_bits: int = NAME_BITS) -> tuple[DataFrame, DataFrame]:
@@ -500,11 +539,10 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     tested = pairs
     for last in (False, True):
         rows_open, mains = _open_rows(prefixes, roots)
-        outside = rows_open.where("c <> main").alias("x")
         if last:
-            again = _first_met(outside, rows_open)
+            again = _first_met(rows_open, _marked(whole))
         else:
-            again = _main_met(outside, mains)
+            again = _main_met(rows_open.where("c <> main"), mains)
         again = as_table(again.join(tested, ["a", "b"], "left_anti"), "more-pairs")
         if again.isEmpty():
             continue
@@ -523,16 +561,24 @@ def _main_met(outside: DataFrame, mains: DataFrame) -> DataFrame:
     return met.select(F.least("e", "f").alias("a"), F.greatest("e", "f").alias("b")).distinct()
 
 
-def _first_met(outside: DataFrame, every: DataFrame) -> DataFrame:
+def _first_met(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs of sets of different components that can link if a shingle is the first in the order that they share:
-    nothing before it counts, so what follows it in both must be enough. Every link has such a shingle."""
-    x = outside.select("t", "c", "e", "n", "i").alias("x")
-    y = every.select("t", "c", "main", "e", "n", "i").alias("y")
+    nothing before it counts, so what follows it in both must be enough. Every link has such a shingle.
+    Where a shingle has many sets, their marks must let them link, too."""
+    few = _met(rows.where("not many"))
+    many = _met(rows.where("many").join(marks.select("e", "mark"), "e"), marked=True)
+    return few.union(many).distinct()
+
+
+def _met(rows: DataFrame, marked: bool = False) -> DataFrame:
+    x, y = rows.where("c <> main").alias("x"), rows.alias("y")
     nx, ny, ix, iy = F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i")
     enough = F.least(nx - ix, ny - iy) >= _needed(nx, ny)
     once = (F.col("y.c") == F.col("y.main")) | (F.col("x.e") < F.col("y.e"))
-    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.c") != F.col("y.c")) & once & enough)
-    return met.select(F.least("x.e", "y.e").alias("a"), F.greatest("x.e", "y.e").alias("b")).distinct()
+    meet = (F.col("x.t") == F.col("y.t")) & (F.col("x.c") != F.col("y.c")) & once & enough
+    if marked:
+        meet &= _can_link(nx, ny, F.col("x.mark"), F.col("y.mark"))
+    return x.join(y, meet).select(F.least("x.e", "y.e").alias("a"), F.greatest("x.e", "y.e").alias("b"))
 
 
 def join(docs: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:

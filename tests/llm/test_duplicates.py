@@ -102,6 +102,44 @@ def test_groups_of_pieces_equal_those_of_single_rows():
         assert groups.leaders.tolist() == leaders
 
 
+def test_outliers_of_a_large_group_make_few_pairs(spark, monkeypatch):
+    """Texts just too far from a large group share prefix shingles with all of it, but are not paired with each of its texts."""
+    rng = random.Random(14)
+    base = prose(rng, 150, 10**6)
+    rows = list(enumerate([edited(rng, base, 2) for _ in range(200)] + [edited(rng, base, 4) for _ in range(60)]))
+    written = {}
+
+    def as_table(df, label, keep=False, real=jaccard_join.as_table):
+        table = real(df, label, keep)
+        written[label] = written.get(label, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(jaccard_join, "as_table", as_table)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()), key=str)
+    assert got == jaccard_components(rows)
+    assert len({c for _, _, c in got}) >= 20
+    assert written["more-pairs"] < 8 * len(rows) and written["alive"] < 16 * len(rows)
+
+
+def test_marks_never_rule_out_a_link(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng, pairs = np.random.default_rng(15), []
+    for n in [1, 2, 3, 8, 50, 146, 700, 5000] * 12:
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        y = np.concatenate([x[: rng.integers(n // 2, n + 1)], rng.integers(0, 2**64, rng.integers(0, n // 3 + 2), dtype=np.uint64)])
+        y = y if len(y) else x
+        mx, my = jaccard_join._marks(np.concatenate([x, y]), np.array([0, n])).tolist()
+        shared = len({*x.tolist()} & {*y.tolist()})
+        pairs.append((n, len(y), mx, my, 100 * shared >= 75 * (n + len(y) - shared)))
+    df = spark.createDataFrame(pairs, "nx long, ny long, mx array<long>, my array<long>, links boolean")
+    got = df.select("nx", "links", jaccard_join._can_link(F.col("nx"), F.col("ny"), F.col("mx"), F.col("my")).alias("can")).collect()
+    assert all(r["can"] for r in got if r["links"]) and sum(r["links"] for r in got) > 20
+    assert sum(not r["can"] for r in got if not r["links"] and r["nx"] <= 146) > 5
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(documents(spark, [])).count() == 0
     assert [tuple(r)[:3] for r in jaccard_join.join(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
