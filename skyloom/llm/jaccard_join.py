@@ -14,8 +14,7 @@ partial overlaps are summed, and a pair that can no longer reach the similarity
   shingle's main one are compared further, first with one set of the main component for each
   shingle they share, at last with all that are left.
 * Each set has a mark: for each of MARK_BITS buckets of shingles whether it holds an odd number of them. Two sets
-  differ in at least as many shingles as their marks in bits, which bounds their overlap. Pairs that cannot link by it are
-  left before any shingles move.
+  differ in at least as many shingles as their marks in bits, which bounds their overlap.
 * That last step pairs two sets only where a shingle can be the first in the order that they share, since
   what follows it must then suffice; for a shingle of many sets the marks are compared inside the join, so that it
   makes rows only of pairs that link or nearly do. They are still compared, in time that
@@ -57,7 +56,7 @@ NAME_BITS = 64
 MARK_BITS = 512
 MARK_WORDS = MARK_BITS // 64
 #: Rows of a shingle from which marks are compared when its sets are paired. With fewer, a row makes no more pairs than this.
-MANY = 32
+MANY = 128
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -459,40 +458,25 @@ def _bits(rows: DataFrame) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link. What the marks rule out is left first. Then fragments are counted one after the other, the
-    rarest first: of each only the sets of pairs that can still reach the similarity move."""
+    """Pairs (a, b) that link. Fragments are counted one after the other, the rarest first: of each only the
+    sets of pairs that can still reach the similarity move."""
     counted = {c: F.lit(0).cast("long") for c in ("shared", "done_a", "done_b")}
-    alive = as_table(_near(pairs, sets), "near").withColumns(counted)
+    alive = pairs.select("a", "b").withColumns(counted)
     left = F.least(F.col("na") - F.col("done_a"), F.col("nb") - F.col("done_b"))
     for fragment in range(FRAGMENTS):
         # Written first, so that the overlap is not counted again by the filter.
-        alive = as_table(_counted(alive, sets.where(F.col("fragment") == fragment)), "alive")
+        alive = as_table(_counted(alive, sets.where(F.col("fragment") == fragment), fragment), "alive")
         alive = alive.where(F.col("shared") + left >= _needed(F.col("na"), F.col("nb")))
     return alive.select("a", "b")
 
 
-def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("e")).union(pairs.select(F.col("b").alias("e"))).distinct()
-    return sets.join(ids, "e", "left_semi")
-
-
-def _marked(sets: DataFrame) -> DataFrame:
-    """Size and mark of each set."""
-    return sets.where("fragment = 0").select("e", "n", "mark")
-
-
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that can link by sizes and marks, with the sizes."""
-    own = _of_pairs(_marked(sets), pairs)
-    met = pairs.select("a", "b").join(own.toDF("a", "na", "ma"), "a").join(own.toDF("b", "nb", "mb"), "b")
-    return met.where(_can_link(F.col("na"), F.col("nb"), F.col("ma"), F.col("mb"))).select("a", "b", "na", "nb")
-
-
-def _counted(alive: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with one more fragment counted."""
-    own = _of_pairs(sets, alive).select("e", "tokens")
+def _counted(alive: DataFrame, sets: DataFrame, fragment: int) -> DataFrame:
+    """Pairs with one more fragment counted. The first one tells the sizes."""
+    ids = alive.select(F.col("a").alias("e")).union(alive.select(F.col("b").alias("e"))).distinct()
+    own = sets.join(ids, "e", "left_semi").select("e", "tokens", *(["n"] if not fragment else []))
     for side in "ab":
-        alive = alive.join(own.toDF(side, f"t{side}"), side, "left")
+        renamed = own.toDF(side, f"t{side}", *([f"n{side}"] if not fragment else []))
+        alive = alive.join(renamed, side, "left")
     none = F.array().cast("array<long>")
     ta, tb = F.coalesce("ta", none), F.coalesce("tb", none)
     more = {"shared": F.size(F.array_intersect(ta, tb)), "done_a": F.size(ta), "done_b": F.size(tb)}
@@ -540,7 +524,7 @@ def _linked(docs: DataFrame, name_bits: int) -> tuple[DataFrame, DataFrame]:
     for last in (False, True):
         rows_open, mains = _open_rows(prefixes, roots)
         if last:
-            again = _first_met(rows_open, _marked(whole))
+            again = _first_met(rows_open, whole.where("fragment = 0").select("e", "mark"))
         else:
             again = _main_met(rows_open.where("c <> main"), mains)
         again = as_table(again.join(tested, ["a", "b"], "left_anti"), "more-pairs")
@@ -566,7 +550,7 @@ def _first_met(rows: DataFrame, marks: DataFrame) -> DataFrame:
     nothing before it counts, so what follows it in both must be enough. Every link has such a shingle.
     Where a shingle has many sets, their marks must let them link, too."""
     few = _met(rows.where("not many"))
-    many = _met(rows.where("many").join(marks.select("e", "mark"), "e"), marked=True)
+    many = _met(rows.where("many").join(marks, "e"), marked=True)
     return few.union(many).distinct()
 
 
