@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from skyloom.functions.expr import CatalogError, col, require_columns
 from skyloom.functions.healpix import (
@@ -21,6 +22,8 @@ from skyloom.functions.healpix import (
 from skyloom.session import as_table
 
 MAX_ORDER = 10
+# Orders a cell with too many rows is counted further down, in one more scan of the rows inside.
+FINER_ORDERS = 5
 MAX_TILE_ROWS = 1_000_000
 # Fixed value: an angle on the sky is at least this share of the distance on the unit face (true bound 0.65).
 MIN_STRETCH = 0.6
@@ -51,13 +54,17 @@ def occupied_cells(indexed: DataFrame, order: int = MAX_ORDER, size: Column | No
 
 
 def partition_map(
-    cells: DataFrame, order: int = MAX_ORDER, max_rows: int = MAX_TILE_ROWS, max_bytes: int | None = None
+    cells: DataFrame,
+    order: int = MAX_ORDER,
+    max_rows: int = MAX_TILE_ROWS,
+    max_bytes: int | None = None,
+    coarsest: int = 0,
 ) -> DataFrame:
     """(Norder, Npix, n_rows): the coarsest tiles that hold at most ``max_rows`` and ``max_bytes``.
 
-    A cell of the finest order stays one tile however full it is. Every cell
-    counts towards all its ancestors in one aggregation; ``cells`` should be a
-    written table, as it is read twice.
+    A cell of the finest order stays one tile however full it is, and no tile is
+    coarser than ``coarsest``. Every cell counts towards all its ancestors in one
+    aggregation; ``cells`` should be a written table, as it is read twice.
     """
     ancestors = F.explode(
         F.array(
@@ -67,7 +74,7 @@ def partition_map(
                     F.shiftright("cell", 2 * (order - o)).alias("Npix"),
                     F.shiftright("cell", 2 * (order - o + 1)).alias("parent"),
                 )
-                for o in range(order + 1)
+                for o in range(coarsest, order + 1)
             ]
         )
     )
@@ -83,7 +90,7 @@ def partition_map(
     full = counts.where(~fits).select((F.col("Norder") + 1).alias("child_order"), F.col("Npix").alias("full_parent"))
     split = (F.col("Norder") == F.col("child_order")) & (F.col("parent") == F.col("full_parent"))
     under_full = counts.join(full, split, "left_semi")
-    roots = counts.where(F.col("Norder") == 0)
+    roots = counts.where(F.col("Norder") == coarsest)
     tiles = roots.unionByName(under_full).where(fits | (F.col("Norder") == order))
     return tiles.select("Norder", "Npix", "n_rows")
 
@@ -102,7 +109,8 @@ class TileMap:
     def ranges(self) -> pd.DataFrame:
         """Tiles in the order of the index, with the range of it (start, end) each covers.
 
-        At most 12 * 4**max_order rows, whatever the catalog; it is sent to every task.
+        At most 12 * 4**max_order rows, and a few more for each cell of that order that had
+        to be split further; it is sent to every task.
         """
         found = self.table.toPandas()
         width = 2 * (INDEX_ORDER - found["Norder"].to_numpy("int64"))
@@ -136,20 +144,25 @@ def build_tile_map(
     max_order: int = MAX_ORDER,
     max_bytes: int | None = None,
     strict: bool = False,
+    finer: Callable[[DataFrame, int, int], DataFrame] | None = None,
 ) -> TileMap:
     """Derive the tiles from ``count_cells``; every row must have a place on the sky.
 
     ``strict`` refuses a cell of the finest order with more than ``max_rows`` instead of keeping it whole.
+    ``finer`` (see ``cells_below``) counts inside such cells, so that they are split at any order of the index first.
     """
     lost = cells.where(F.col("cell").isNull()).first()
     if lost is not None:
         raise CatalogError(f"{lost['n_rows']} rows have no coordinates and cannot be placed in a tile.")
     table = as_table(partition_map(cells, max_order, max_rows, max_bytes), "tiles")
-    fullest = F.max(F.struct("n_rows", "Norder", "Npix")).alias("top")
-    found = table.groupBy("Norder").agg(F.count(F.lit(1)).alias("t"), F.sum("n_rows").alias("n"), fullest).collect()
-    if not found:
-        raise CatalogError("A spatial catalog needs at least one row.")
-    top = max(r["top"] for r in found)
+    found, top = _tiles_by_order(table)
+    while finer is not None and top["n_rows"] > max_rows and max_order < INDEX_ORDER:
+        full = F.col("n_rows") > max_rows
+        below = min(max_order + FINER_ORDERS, INDEX_ORDER)
+        inside = finer(table.where(full).select(F.col("Npix").alias("__full")), max_order, below)
+        split = partition_map(inside, below, max_rows, max_bytes, coarsest=max_order + 1)
+        table, max_order = as_table(table.where(~full).unionByName(split), "tiles"), below
+        found, top = _tiles_by_order(table)
     if strict and top["n_rows"] > max_rows:
         raise CatalogError(
             f"Cell {top['Npix']} of order {top['Norder']} holds {top['n_rows']} rows, more than the {max_rows} of a tile;"
@@ -159,9 +172,31 @@ def build_tile_map(
     return TileMap(table, orders, sum(r["t"] for r in found), sum(r["n"] for r in found), max_rows, max_order)
 
 
+def _tiles_by_order(table: DataFrame) -> tuple[list[Row], Row]:
+    """Count of tiles (t) and rows (n) of each order of a partition map, and its fullest tile."""
+    fullest = F.max(F.struct("n_rows", "Norder", "Npix")).alias("top")
+    found = table.groupBy("Norder").agg(F.count(F.lit(1)).alias("t"), F.sum("n_rows").alias("n"), fullest).collect()
+    if not found:
+        raise CatalogError("A spatial catalog needs at least one row.")
+    return found, max(r["top"] for r in found)
+
+
+def cells_below(
+    indexed: DataFrame, size: Column | None = None
+) -> Callable[[DataFrame, int, int], DataFrame]:
+    """The count, as a written table, of cells of a lower order inside given ones: (cells, their order, lower order)."""
+
+    def count(full: DataFrame, order: int, below: int) -> DataFrame:
+        # Null-safe, though nothing is null here: a plain equality would be pushed below the index as a filter that repeats it.
+        inside = indexed.join(full, coarser(F.col(INDEX_COLUMN), order).eqNullSafe(F.col("__full")))
+        return count_cells(inside, below, size)
+
+    return count
+
+
 def tile_folder(npix: Column) -> Column:
     """Directory number a tile is filed under."""
-    return (F.floor(npix / 10000) * 10000).cast("bigint")
+    return (npix - npix % 10000).cast("bigint")
 
 
 def assign_tiles(indexed: DataFrame, tiles: TileMap) -> DataFrame:
@@ -172,22 +207,21 @@ def assign_tiles(indexed: DataFrame, tiles: TileMap) -> DataFrame:
     catalog moves, at any number of tiles.
     """
     found = tiles.ranges()
-    numbers = found["Npix"].to_numpy("int64") * 32 + found["Norder"].to_numpy("int64")
-    shared = indexed.sparkSession.sparkContext.broadcast((found["start"].to_numpy(), found["end"].to_numpy(), numbers))
+    orders = found["Norder"].to_numpy("int32")
+    shared = indexed.sparkSession.sparkContext.broadcast((found["start"].to_numpy(), found["end"].to_numpy(), orders))
 
-    @F.pandas_udf("long")
-    def tile_of(index: pd.Series) -> pd.Series:
-        starts, ends, numbers = shared.value
+    @F.pandas_udf("int")
+    def order_of(index: pd.Series) -> pd.Series:
+        starts, ends, orders = shared.value
         value = index.fillna(-1).to_numpy("int64")
         at = np.maximum(np.searchsorted(starts, value, side="right") - 1, 0)
         inside = (value >= starts[at]) & (value < ends[at])
-        return pd.Series(numbers[at]).where(pd.Series(inside))
+        return pd.Series(orders[at]).where(pd.Series(inside))
 
     kept = [col(c) for c in indexed.columns]
-    placed = indexed.select(*kept, tile_of(F.col(INDEX_COLUMN)).alias("__tile"))
-    npix = F.shiftright("__tile", 5)
-    norder = F.col("__tile").bitwiseAND(31).cast("int")
-    return placed.select(*kept, norder.alias("Norder"), tile_folder(npix).alias("Dir"), npix.alias("Npix"))
+    placed = indexed.select(*kept, order_of(F.col(INDEX_COLUMN)).alias("Norder"))
+    npix = F.expr(f"shiftright(`{INDEX_COLUMN}`, 2 * ({INDEX_ORDER} - Norder))")
+    return placed.select(*kept, "Norder", tile_folder(npix).alias("Dir"), npix.alias("Npix"))
 
 
 def cluster_tiles(assigned: DataFrame, tiles: TileMap, sort_column: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from skyloom.operators.tiles import (
     TileMap,
     assign_tiles,
     build_tile_map,
+    cells_below,
     cluster_tiles,
     count_cells,
     margin_rows,
@@ -73,7 +74,7 @@ def write_collection(
     name: str | None = None,
     margin_arcsec: float | None = DEFAULT_MARGIN_ARCSEC,
     max_tile_rows: int = MAX_TILE_ROWS,
-    max_order: int = MAX_ORDER,
+    max_order: int | None = None,
     sort_column: str | None = None,
     overwrite: bool = False,
     verify: Callable[[], None] | None = None,
@@ -87,6 +88,9 @@ def write_collection(
     lengths of texts), sizes the tiles and checks the ranges; one writes. The margin reads the
     written tiles, not the input again. ``verify`` is a check of the caller's own to run between
     them, ``facts`` a manifest to add. The collection takes its place when it is complete.
+
+    Cells of ``MAX_ORDER`` with more than ``max_tile_rows`` take a scan more and are split as far as
+    that needs; a ``max_order`` of the caller's own is kept to, and such cells are refused.
     """
     spark, path = df.sparkSession, path.rstrip("/")
     title = path.rsplit("/", 1)[-1]
@@ -97,12 +101,14 @@ def write_collection(
     df = df.drop(INDEX_COLUMN, *TILE_COLUMNS)
     sized, ranges = observed(df, spatial_metrics(df, ra, dec))
     size = row_bytes(df) if max_tile_bytes is not None else None
-    cells = count_cells(add_sky_index(sized, ra, dec), max_order, size)
+    finest = MAX_ORDER if max_order is None else max_order
+    cells = count_cells(add_sky_index(sized, ra, dec), finest, size)
     if verify is not None:
         verify()
     check_spatial_coordinates(ranges(), ra, dec)
-    tiles = build_tile_map(cells, max_tile_rows, max_order, max_tile_bytes, strict=True)
     indexed = add_sky_index(df, ra, dec)
+    finer = cells_below(indexed, size) if max_order is None else None
+    tiles = build_tile_map(cells, max_tile_rows, finest, max_tile_bytes, strict=True, finer=finer)
     with replacing(spark, path) as staged:
         primary = f"{staged}/{name}"
         _write_leaves(cluster_tiles(assign_tiles(indexed, tiles), tiles, sort_column), primary)

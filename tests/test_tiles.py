@@ -94,6 +94,43 @@ def test_a_full_finest_cell_is_named(spark):
         tiles.build_tile_map(tiles.count_cells(df, 3), 10, 3, strict=True)
 
 
+@pytest.mark.parametrize("spread", [0.01, 3e-6])
+def test_a_patch_denser_than_the_usual_finest_cell_is_split(spark, tmp_path, spread):
+    """More rows than a tile may hold inside one cell of MAX_ORDER; the narrow patch needs orders near the end of the index."""
+    rng = np.random.default_rng(4)
+    ra = np.concatenate([100.0 + spread * rng.random(300), rng.uniform(0, 360, 100)])
+    dec = np.concatenate([20.0 + spread * rng.random(300), rng.uniform(-80, 80, 100)])
+    df = spark.createDataFrame([(i, float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec))], "id long, ra double, dec double")
+    path, arcsec = str(tmp_path / "dense"), 900 * spread
+    found = write_collection(df, path, "ra", "dec", margin_arcsec=arcsec, max_tile_rows=20)
+    table = found.table.toPandas()
+    assert max(found.orders) > tiles.MAX_ORDER and found.n_rows == 400 == table.n_rows.sum() and table.n_rows.max() <= 20
+    back = read_spatial(spark, path, tiles=True).toPandas()
+    assert sorted(back.id) == list(range(400)) and (back.Dir == back.Npix // 10000 * 10000).all()
+    assert (back[INDEX_COLUMN].to_numpy() >> (2 * (29 - back.Norder.to_numpy().astype("int64"))) == back.Npix).all()
+    assert back.groupby(["Norder", "Npix"]).id.count().sort_index().tolist() == table.set_index(["Norder", "Npix"]).n_rows.sort_index().tolist()
+    margin = read_margin(spark, path, tiles=True)
+    got = [(r["id"], r["Norder"], r["Npix"]) for r in margin.select("id", "Norder", "Npix").collect()]
+    wide, want = math.radians(arcsec / 3600), set()
+    for o, pix in zip(table.Norder, table.Npix):
+        inner = int(pix) & ((1 << 2 * o) - 1)
+        x, y = (sum(((inner >> (2 * i + k)) & 1) << i for i in range(o)) for k in (0, 1))
+        away = distance_to_tile(*(np.array(v) for v in (back.ra, back.dec)), *(np.full(400, v) for v in (o, x, y, pix >> 2 * o)))
+        own = (back.Norder == o) & (back.Npix == pix)
+        want |= {(int(i), int(o), int(pix)) for i in back.id[(away <= wide) & ~own]}
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_finest_order_of_the_callers_own_is_kept_to(spark, tmp_path):
+    df = spark.range(50).select("id", (10 + F.col("id") * 1e-4).alias("ra"), F.lit(5.0).alias("dec"))
+    with pytest.raises(CatalogError, match="of order 8 holds 50 rows"):
+        write_collection(df, str(tmp_path / "c"), "ra", "dec", max_tile_rows=10, max_order=8)
+    one_place = df.withColumn("ra", F.lit(10.0))
+    with pytest.raises(CatalogError, match="of order 29 holds 50 rows"):
+        write_collection(one_place, str(tmp_path / "c"), "ra", "dec", max_tile_rows=10)
+    assert os.listdir(tmp_path) == []
+
+
 def test_tiles_are_whole_in_their_task_and_one_file(spark, tmp_path):
     """Many input partitions and a small advisory size must not scatter a tile over files."""
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
