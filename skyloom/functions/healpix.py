@@ -206,14 +206,14 @@ def neighbourhood(face: Column, x: Column, y: Column, order: int) -> Column:
     return F.array_distinct(numbers)
 
 
-def tile_distance_udf():
-    """Pandas UDF (ra, dec, order, face, x, y) -> radians to the tile, Arrow batch by batch."""
-    distance = tile_distance.distance_to_tile
+def tile_reach_udf(reach: float):
+    """Pandas UDF (ra, dec, order, face, x, y) -> whether the tile is within ``reach`` radians, Arrow batch by batch."""
+    within = tile_distance.within_reach
 
     def run(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for ra, dec, order, face, x, y in batches:
             args = [np.asarray(s, dtype=np.float64) for s in (ra, dec)]
             whole = [np.asarray(s, dtype=np.int64) for s in (order, x, y, face)]
-            yield pd.Series(distance(*args, *whole))
+            yield pd.Series(within(*args, *whole, reach))
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, "boolean")

@@ -17,7 +17,7 @@ from skyloom.functions.healpix import (
     add_face_xy,
     coarser,
     neighbourhood,
-    tile_distance_udf,
+    tile_reach_udf,
 )
 from skyloom.session import as_table
 
@@ -25,6 +25,8 @@ MAX_ORDER = 10
 # Orders a cell with too many rows is counted further down, in one more scan of the rows inside.
 FINER_ORDERS = 5
 MAX_TILE_ROWS = 1_000_000
+# Neighbouring tiles of a margin in one task: they share rows, which makes the exchange smaller.
+DEALT_TOGETHER = 4
 # Fixed value: an angle on the sky is at least this share of the distance on the unit face (true bound 0.65).
 MIN_STRETCH = 0.6
 
@@ -224,18 +226,25 @@ def assign_tiles(indexed: DataFrame, tiles: TileMap) -> DataFrame:
     return placed.select(*kept, "Norder", tile_folder(npix).alias("Dir"), npix.alias("Npix"))
 
 
-def cluster_tiles(assigned: DataFrame, tiles: TileMap, sort_column: str | None = None) -> DataFrame:
+def cluster_tiles(
+    assigned: DataFrame, tiles: TileMap, sort_column: str | None = None, counted: bool = True
+) -> DataFrame:
     """Bring the rows of a tile together, ordered by ``sort_column`` and position.
 
     The counts are known, so tiles are packed whole into tasks of like size, in index
     order; only one beyond the map's limit, such as a patch of sky with a third
     of the catalog, is dealt over several tasks by a hash of the row. One exchange.
+
+    Rows that the map has not ``counted``, such as margins, have their tiles dealt out a few at a time:
+    those with many rows lie side by side, and packed by the map's counts one task would get them all.
     """
     if sort_column is not None:
         require_columns(assigned, [sort_column], "tile sort")
     inner = [sort_column, INDEX_COLUMN] if sort_column else [INDEX_COLUMN]
     spark = assigned.sparkSession
     found, n_tasks = tiles.tasks(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not counted:
+        found["first"], found["pieces"] = np.arange(len(found)) // DEALT_TOGETHER % n_tasks, 1
     shared = spark.sparkContext.broadcast(tuple(found[c].to_numpy("int64") for c in ("start", "first", "pieces")))
 
     @F.pandas_udf("int")
@@ -310,9 +319,9 @@ def margin_rows(assigned: DataFrame, tiles: TileMap, ra: str, dec: str, threshol
     pairs = around.join(
         lookup, (F.col("__key.o") == F.col("__ko")) & (F.col("__key.p") == F.col("__kp"))
     ).where((F.col("Norder") != F.col("__own_order")) | (F.col("Npix") != F.col("__own_pix")))
-    distance = tile_distance_udf()(
+    within = tile_reach_udf(reach)(
         col(ra).cast("double"), col(dec).cast("double"), "Norder", "__tile_face", "__tile_x", "__tile_y"
     )
-    return pairs.where(distance <= F.lit(reach)).select(
+    return pairs.where(within).select(
         *kept, F.col("Norder"), tile_folder(F.col("Npix")).alias("Dir"), F.col("Npix")
     )

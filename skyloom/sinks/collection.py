@@ -165,7 +165,7 @@ def _write_margin(
     stored = spark.read.parquet(f"{path}/{name}/dataset")
     stored = stored.withColumns({"Norder": F.col("Norder").cast("int"), "Npix": F.col("Npix").cast("bigint")})
     rows = margin_rows(stored, tiles, ra, dec, threshold)
-    _write_leaves(cluster_tiles(rows, tiles), f"{path}/{margin}")
+    _write_leaves(cluster_tiles(rows, tiles, counted=False), f"{path}/{margin}")
     # An empty margin leaves a folder without data files, which has no schema to read back.
     written = spark.read.schema(rows.schema).parquet(f"{path}/{margin}/dataset")
     found = as_table(written.groupBy("Norder", "Npix").agg(F.count(F.lit(1)).alias("n_rows")), "margin-tiles")

@@ -7,6 +7,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from skyloom import CatalogError, curate_to, curate_to_collection, read_margin, read_spatial, write_collection
+from skyloom.functions import tile_distance
 from skyloom.functions.healpix import INDEX_COLUMN, add_face_xy, add_sky_index, coarser
 from skyloom.functions.tile_distance import distance_to_tile, face_to_vector
 from skyloom.operators import tiles
@@ -207,6 +208,49 @@ def test_distance_is_exact_at_a_corner():
     assert distance_to_tile(ra, dec, zero, zero, zero, np.array([2]))[0] == pytest.approx(math.radians(1.0), rel=1e-9)
 
 
+@pytest.mark.parametrize("order, reach", [(0, 0.2), (6, math.radians(0.5)), (12, math.radians(0.5)), (14, math.radians(5 / 3600)), (29, 1e-9)])
+def test_reach_is_told_by_bounds_for_most_pairs(monkeypatch, order, reach):
+    rng = np.random.default_rng(order)
+    n, some, side = 4000, 30, 2.0**-order
+    at = np.stack([np.full(some, order), *rng.integers(0, 1 << order, (2, some)), rng.integers(0, 12, some)])
+    at[1:3, :6], at[1, 6:12] = (1 << order) - 1, 0
+    at = at[:, rng.integers(0, some, n)]
+    point = face_to_vector(at[3], (at[1] + 0.5) * side, (at[2] + 0.5) * side)
+    way = rng.normal(size=(3, n))
+    point = point + way / np.linalg.norm(way, axis=0) * rng.random(n) * (1.2 * side + 1.3 * reach)
+    ra, dec = np.degrees(np.arctan2(point[1], point[0])), np.degrees(np.arcsin(point[2] / np.linalg.norm(point, axis=0)))
+    want, measured = distance_to_tile(ra, dec, *at) <= reach, []
+    monkeypatch.setattr(tile_distance, "distance_to_tile", lambda *a: (measured.append(len(a[0])), distance_to_tile(*a))[1])
+    got = tile_distance.within_reach(ra, dec, *at, reach)
+    assert (got == want).all() and 0 < want.sum() < n
+    assert sum(measured) < n / 10 or reach < 1e-6
+    assert len(tile_distance.within_reach(*(v[:0] for v in (ra, dec, *at)), reach)) == 0
+
+
+def test_largest_stretch_is_below_the_bound():
+    rng = np.random.default_rng(0)
+    n, h = 200_000, 1e-6
+    face, x, y = rng.integers(0, 12, n), rng.random(n) * 0.999, rng.random(n) * 0.999
+    for right, up in ((h, 0), (0, h)):
+        step = face_to_vector(face, x + right, y + up) - face_to_vector(face, x, y)
+        assert (np.sqrt((step**2).sum(axis=0)) / h).max() < tile_distance.MAX_STRETCH
+
+
+def test_margins_of_neighbouring_tiles_are_dealt_out(spark):
+    """Small tiles side by side in a dense patch have the most margin rows; no task may hold all of theirs."""
+    rng = np.random.default_rng(3)
+    ra = np.concatenate([100.0 + rng.random(600), rng.uniform(0, 360, 3000)])
+    dec = np.concatenate([20.0 + rng.random(600), np.degrees(np.arcsin(rng.uniform(-1, 1, 3000)))])
+    df = spark.createDataFrame([(float(a), float(d)) for a, d in zip(ra, dec)], "ra double, dec double")
+    indexed = add_sky_index(df, "ra", "dec")
+    found = tile_map(indexed, 20, 10)
+    rows = tiles.margin_rows(as_table(tiles.assign_tiles(indexed, found), "dense"), found, "ra", "dec", 1800.0)
+    together = tiles.cluster_tiles(rows, found, counted=False).withColumn("task", F.spark_partition_id()).toPandas()
+    assert (together.groupby(["Norder", "Npix"]).task.nunique() == 1).all()
+    per_task = together.groupby("task").size()
+    assert per_task.max() < 2 * per_task.mean()
+
+
 def test_margin_threshold_must_make_sense(spark):
     df = add_sky_index(sky(spark, 50), "ra", "dec")
     found = tile_map(df, 1000, 2)
